@@ -9,8 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tandem.operators.fold import cents_to_amount
+from tandem.functions.scalars import snapshot_path
+from tandem.operators.fold import amount_to_cents, cents_to_amount
+from tandem.operators.modes import POSITION
 from tandem.session import prepare
+from tandem.sources.topics import encode_business_events, encode_control_signals
 
 PAIRS = 25
 PARTITIONS = 24
@@ -102,14 +105,14 @@ SIGNAL_RANK = {
 }
 
 
-def _signal(name: str, when: Column, at: Column, target: Column, source: Column, offsets=None, reason=None, traced=True) -> Column:
+def _signal(name: str, when: Column, at: Column, target: Column, source: Column, offsets=None, reason=None, traced=True, from_app=False) -> Column:
     empty = F.lit(None)
     return F.when(when, F.struct(
         F.lit(name).alias("signal_type"),
         target.cast("string").alias("target_app_id"),
         source.cast("string").alias("source_app_id"),
         (offsets if offsets is not None else empty).cast("map<int,bigint>").alias("cutover_offsets"),
-        (F.lit("coordinator-1") if source is not None else empty).cast("string").alias("coordinator_id"),
+        (empty if from_app else F.lit("coordinator-1")).cast("string").alias("coordinator_id"),
         at.cast("bigint").alias("timestamp"),
         (F.col("trace") if traced else empty).cast("string").alias("trace_id"),
         (F.lit(reason) if reason else empty).cast("string").alias("reason"),
@@ -145,11 +148,11 @@ def to_control_log(orders: DataFrame) -> DataFrame:
         _signal("SAVEPOINT_FAILED", failed, t0 + 500, F.lit(None), coordinator),
         _signal("PREPARE_HANDOFF", running, t0 + 1000, everyone, coordinator, F.map_from_arrays(partitions, F.col("target"))),
         _signal("HEARTBEAT", F.lit(True), t0 + 1500, everyone, coordinator, traced=False),
-        _signal("DRAINED_AT", running, t0 + F.when(late, 70000).otherwise(2000), everyone, F.col("loses"), F.map_from_arrays(partitions, drained)),
+        _signal("DRAINED_AT", running, t0 + F.when(late, 70000).otherwise(2000), everyone, F.col("loses"), F.map_from_arrays(partitions, drained), from_app=True),
         _signal("TRANSFER_REFUSED", running & ~late & refused, t0 + 2400, F.lit(None), coordinator),
         _signal("PROMOTE", moved, t0 + 2500 + F.when(n % 13 == 0, HOUR).otherwise(0), F.col("gains"), coordinator),
         _signal("DEMOTE", moved, t0 + 2600 + F.when(n % 11 == 0, HOUR).otherwise(0), F.col("loses"), coordinator),
-        _signal("PROMOTED_CONFIRMED", moved & (F.col("status") == "F"), t0 + 3000 + n % 500, everyone, F.col("gains")),
+        _signal("PROMOTED_CONFIRMED", moved & (F.col("status") == "F"), t0 + 3000 + n % 500, everyone, F.col("gains"), from_app=True),
         _signal("HANDOFF_ABORT", running & late, t0 + 61000, everyone, coordinator, reason="App1 drain timeout"),
     )
     signals = base.select("pair_id", "trace_no", F.explode(F.filter(rows, lambda s: s.isNotNull())).alias("s"))
@@ -158,7 +161,6 @@ def to_control_log(orders: DataFrame) -> DataFrame:
 
 # Rows that the coordinator logs but does not send.
 LOG_ONLY = ("TRIGGER", "SAVEPOINT_FAILED", "TRANSFER_REFUSED")
-POSITION = ("offset", "trace_no")
 
 
 def control_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,15 +216,88 @@ def heartbeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def raw_business_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as topic records, with a field the decoder does not know."""
+    return as_business_records(business_events(spark, sf_dir))
+
+
+def as_business_records(events: DataFrame) -> DataFrame:
+    return events.select("partition", "offset", encode_business_events(F.lit(1).alias("extra")).alias("value"))
+
+
+def record_no() -> Column:
+    return F.col("trace_no") * 10 + F.col("offset") % 16
+
+
+def raw_control_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wire signals as topic records, some of them unreadable."""
+    return as_control_records(control_signals(spark, sf_dir))
+
+
+def as_control_records(signals: DataFrame) -> DataFrame:
+    odd = (
+        F.when(record_no() % 97 == 0, "not-json")
+        .when(record_no() % 89 == 0, "")
+        .when(record_no() % 83 == 0, '{"signalType":"REBOOT","timestamp":1}')
+        .when(record_no() % 79 == 0, '{"signalType":"HEARTBEAT","timestamp":"soon"}')
+    )
+    return encode_control_signals(signals).select("pair_id", *POSITION, F.coalesce(odd, F.col("value")).alias("value"))
+
+
+def job_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source positions of app1 as job metrics, with an aggregate that names no partition."""
+    rows = offset_snapshots(spark, sf_dir).filter((F.col("group_id") == "app1") & (F.col("topic") == TOPIC))
+    part = F.col("partition").cast("string")
+    names = F.array(
+        F.when(F.col("partition") % 2 == 0, F.concat(F.lit("KafkaSourceReader.currentOffset.partition-"), part))
+        .otherwise(F.concat(F.lit("KafkaSourceReader.KafkaSourceReader-p"), part, F.lit(".currentOffset"))),
+        F.lit("KafkaSourceReader.currentOffset"),
+    )
+    return rows.select("pair_id", "observed_ms", F.explode(names).alias("metric_id"), F.col("offset").cast("string").alias("value"))
+
+
+def earliest_retained(spark: SparkSession, sf_dir: str, kept_from_ms: int) -> DataFrame:
+    """The first offset per partition that a time-based retention still keeps."""
+    kept = business_events(spark, sf_dir).filter(F.col("event_ts_ms") >= kept_from_ms)
+    return kept.groupBy("pair_id", "partition").agg(F.min("offset").alias("earliest"))
+
+
+def savepoint_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each snapshot as registered and, once it ended, its status update a minute later."""
+    states = F.array(
+        F.struct(F.lit("IN_PROGRESS").alias("status"), F.lit(0).alias("after")),
+        F.when(F.col("status") != "IN_PROGRESS", F.struct(F.col("status").alias("status"), F.lit(60000).alias("after"))),
+    )
+    return savepoints(spark, sf_dir).select(
+        "savepoint_id", "source_job_id", "location", "taken_at_ms",
+        F.explode(F.filter(states, lambda v: v.isNotNull())).alias("v"),
+    ).select("savepoint_id", "source_job_id", "location", (F.col("taken_at_ms") + F.col("v.after")).alias("changed_ms"), "v.status")
+
+
+def app2_states(states: DataFrame) -> DataFrame:
+    """The second copy's states: some a cent off, some missing."""
+    number = F.col("customer_id").cast("bigint")
+    off = F.when(number % 37 == 0, 1).otherwise(0)
+    return states.filter(number % 41 != 0).withColumn(
+        "total_amount", cents_to_amount(amount_to_cents(F.col("total_amount")) + off)
+    )
+
+
+def leaders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs(spark, sf_dir).select("pair_id", F.lit("app1").alias("app"), F.lit(1).alias("version"))
+
+
 def savepoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("o_orderkey")
     offsets = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda p: F.lit(1000).cast("bigint") + (key + p) % 50)
     status = F.when(F.col("o_orderstatus") == "F", "COMPLETED").when(F.col("o_orderstatus") == "O", "IN_PROGRESS").otherwise("FAILED")
+    taken = epoch_ms("o_orderdate") + key % 86400 * 1000
+    name = F.concat(F.lit("s"), key)
     return table(spark, sf_dir, "orders").select(
-        F.concat(F.lit("s"), key).alias("savepoint_id"),
+        name.alias("savepoint_id"),
+        snapshot_path(F.lit("snapshots"), F.lit("/jobs/state/"), taken, name).alias("location"),
         F.concat(F.lit("job-"), F.col("o_custkey") % 50).alias("source_job_id"),
-        (F.col("o_custkey") % 50).alias("job_no"),
-        (epoch_ms("o_orderdate") + key % 86400 * 1000).alias("taken_at_ms"),
+        taken.alias("taken_at_ms"),
         F.map_from_arrays(F.array(*[F.lit(p) for p in range(4)]), offsets).alias("kafka_offsets"),
         status.alias("status"),
         key.alias("savepoint_no"),

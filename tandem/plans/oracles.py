@@ -410,3 +410,33 @@ _oracle("scalar_functions", sql=f"""
            's3://bucket/' || CASE o_orderkey % 4 WHEN 0 THEN 'a/b/' WHEN 1 THEN '' WHEN 2 THEN 'a/' ELSE 'a/b/' END
              || 'sp-' || (epoch_us(o_orderdate) // 1000) || '-id' || o_orderkey AS path
     FROM orders""")
+
+# -- streams: what they write equals the batch form over the same records
+
+for _key, _same in (
+    ("src_business_events", "decode_business_events"),
+    ("src_control_signals", "decode_control_signals"),
+    ("stream_customer_state", "customer_state_changes"),
+    ("stream_customer_state_chunked", "customer_state_changes"),
+    ("state_snapshot_read", "customer_state_latest"),
+    ("stream_shadow_pair", "conditional_upsert"),
+    ("stream_cutover", "conditional_upsert"),
+    ("stream_heartbeat_watchdog", "heartbeat_gaps"),
+):
+    ORACLES[_key] = ORACLES[_same]
+_oracle("stream_bootstrap", "changes", sql=f"""
+    SELECT seq, event_id, {STATE} FROM changes WHERE seq > (SELECT max(event_id) // 2 FROM events)""")
+_oracle("stream_shadow_counts", "business_events_ooo", sql="""
+    SELECT app_id, sum(CASE WHEN (app_id = 'app1') = (seq < middle) THEN 1 ELSE 0 END)::BIGINT AS written,
+           sum(CASE WHEN (app_id = 'app1') = (seq < middle) THEN 0 ELSE 1 END)::BIGINT AS dropped
+    FROM business_events_ooo, (SELECT min(seq) + (max(seq) - min(seq) + 1) // 2 AS middle FROM business_events_ooo), (VALUES ('app1'), ('app2')) a(app_id)
+    WHERE event_type IN ('ORDER_CREATED', 'ORDER_UPDATED', 'ORDER_CANCELLED') GROUP BY app_id""")
+_oracle("stream_watermark", "business_events", sql="""
+    SELECT event_ts_ms // 3600000 * 3600000 AS hour_ms, event_type, count(*) AS events FROM business_events
+    WHERE (event_ts_ms // 3600000 + 1) * 3600000 <= (SELECT max(event_ts_ms) - 5000 FROM business_events) GROUP BY ALL""")
+_oracle("stream_mode", "mode_signals", sql="""
+    SELECT pair_id, app_id, mode, ts AS since_ms, "offset", trace_no
+    FROM (SELECT *, lag(mode) OVER (PARTITION BY app_id ORDER BY "offset", trace_no) AS prev FROM mode_signals) WHERE prev <> mode""")
+_oracle("stream_handoff_progress", "outcomes", sql="""
+    SELECT pair_id, trace_id, state, reason, assumed, triggered_ms, prepared_ms, drained_ms, confirmed_ms, finished_ms FROM outcomes
+    WHERE finished_ms <= (SELECT max("timestamp") FROM control_log)""")

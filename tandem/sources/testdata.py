@@ -209,7 +209,11 @@ def offset_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def heartbeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").filter(F.col("event_type") == "click").select(
+    return to_heartbeats(table(spark, sf_dir, "events"))
+
+
+def to_heartbeats(events: DataFrame) -> DataFrame:
+    return events.filter(F.col("event_type") == "click").select(
         F.col("user_id").cast("string").alias("app_id"),
         epoch_ms("ts").alias("ts_ms"),
         F.col("event_id").alias("seq"),

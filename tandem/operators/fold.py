@@ -145,6 +145,17 @@ def unknown_event_types(events: DataFrame) -> DataFrame:
     return events.filter(unknown).groupBy("event_type").agg(F.count(F.lit(1)).alias("events"))
 
 
+def key_partitions(events: DataFrame) -> DataFrame:
+    """The partitions each customer's events lie in.
+
+    Arrival order is the producer's order only for a customer in one partition; with several, (partition,
+    offset) is merely a fixed order.
+    """
+    return events.groupBy("customer_id").agg(
+        F.min("partition").alias("first_partition"), F.max("partition").alias("last_partition"), F.count(F.lit(1)).alias("events")
+    )
+
+
 def customer_state_changes(events: DataFrame, order: Sequence[str] = ("seq",), initial: DataFrame | None = None) -> DataFrame:
     """The state of the event's customer after each accepted event, in arrival order."""
     if initial is not None:

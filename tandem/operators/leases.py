@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tandem.operators.chain import follow
-from tandem.operators.scan import Running, running
+from tandem.operators.scan import Running, find_hot_keys, running
 
 # fixed value: how long a lock lasts without renewal
 LOCK_TTL_S = 30
@@ -21,6 +21,7 @@ def leader_transfers(attempts: DataFrame, leaders: DataFrame) -> DataFrame:
     ``leaders`` (pair_id, app, version) is where each pair starts. If an attempt succeeds, the next one that
     can succeed is the first later attempt from its new leader at the next version.
     """
+    hot = find_hot_keys(attempts, ["pair_id"], "seq")
     done = attempts.select(
         "pair_id", F.col("to_app").alias("app"), (F.col("expected_version") + 1).alias("version"), "seq",
         F.lit(False).alias("tries"),
@@ -28,8 +29,9 @@ def leader_transfers(attempts: DataFrame, leaders: DataFrame) -> DataFrame:
     tried = attempts.select("pair_id", F.col("from_app").alias("app"), F.col("expected_version").alias("version"), "seq", F.lit(True).alias("tries"))
     events = done.unionByName(tried).withColumn("_back", -F.col("seq"))
     ahead = Running("next", "last", F.when(F.col("tries"), F.col("seq")))
-    linked = running(events, ["pair_id", "app", "version"], ["_back"], ahead).filter(~F.col("tries"))
-    won = follow(linked.select("pair_id", F.col("seq").alias("id"), "next"), "pair_id")
+    keys = ["pair_id", "app", "version"]
+    linked = running(events, keys, ["_back"], ahead, hot=hot.finer(keys, "_back")).filter(~F.col("tries"))
+    won = follow(linked.select("pair_id", F.col("seq").alias("id"), "next"), "pair_id", hot.finer(["pair_id"], "id"))
     won = won.filter(F.col("id") != START).select("pair_id", F.col("id").alias("seq"), F.lit(True).alias("accepted"))
     return attempts.join(won, ["pair_id", "seq"], "left").fillna(False, ["accepted"])
 
@@ -50,9 +52,11 @@ def lease_replay(ops: DataFrame, ttl_s: int = LOCK_TTL_S) -> DataFrame:
     next renew or release, or the first acquire after expiry, whichever comes first; after a release the
     first acquire. ``seq`` orders the log and ``at_s`` never falls along it.
     """
+    hot = find_hot_keys(ops, ["lock_id"], "seq")
     own = ops.withColumn("_back", -F.col("seq"))
     holder = Running("next_own", "last", F.when(F.col("op") != "ACQUIRE", F.col("seq")), before=True)
-    own = running(own, ["lock_id", "coordinator_id"], ["_back"], holder)
+    keys = ["lock_id", "coordinator_id"]
+    own = running(own, keys, ["_back"], holder, hot=hot.finer(keys, "_back"))
 
     released = F.col("op") == "RELEASE"
     # a probe sees the acquires of later seconds only, or, after a release, all later rows
@@ -66,12 +70,12 @@ def lease_replay(ops: DataFrame, ttl_s: int = LOCK_TTL_S) -> DataFrame:
         (-F.col("at_s")).alias("_time"), (-F.col("seq")).alias("_place"),
     )
     ahead = Running("next_acquire", "last", F.when(F.col("is_acquire") == 1, F.col("seq")))
-    linked = running(probes.unionByName(acquires), ["lock_id"], ["_time", "_place", "is_acquire"], ahead)
+    linked = running(probes.unionByName(acquires), ["lock_id"], ["_time", "_place", "is_acquire"], ahead, hot=hot.finer(["lock_id"], "_time"))
     nodes = linked.filter("is_acquire = 0").select("lock_id", F.col("seq").alias("id"), F.least("next_own", "next_acquire").alias("next"))
     first = ops.groupBy("lock_id").agg(
         F.lit(START).cast("bigint").alias("id"), F.min(F.when(F.col("op") == "ACQUIRE", F.col("seq"))).alias("next")
     )
-    won = follow(nodes.unionByName(first), "lock_id").filter(F.col("id") != START).select("lock_id", F.col("id").alias("seq"), F.lit(True).alias("accepted"))
+    won = follow(nodes.unionByName(first), "lock_id", hot.finer(["lock_id"], "id")).filter(F.col("id") != START).select("lock_id", F.col("id").alias("seq"), F.lit(True).alias("accepted"))
     return ops.join(won, ["lock_id", "seq"], "left").fillna(False, ["accepted"])
 
 

@@ -33,6 +33,10 @@ class HotKeys:
     by: str
     table: DataFrame | None
 
+    def finer(self, keys: Sequence[str], by: str) -> HotKeys | None:
+        """For keys that split these: if no key here is hot, none of theirs can be; else unknown."""
+        return HotKeys(tuple(keys), by, None) if self.table is None else None
+
     @property
     def partition(self) -> list[str]:
         return [*self.keys, CHUNK] if self.table is not None else list(self.keys)

@@ -88,6 +88,10 @@ _oracle("unknown_event_types", "business_events", sql="""
     WHERE event_type IS NULL OR event_type NOT IN ('ORDER_CREATED', 'ORDER_UPDATED', 'ORDER_CANCELLED') GROUP BY event_type""")
 
 
+_oracle("key_partitions", "business_events", sql="""
+    SELECT customer_id, min(partition) AS first_partition, max(partition) AS last_partition, count(*) AS events
+    FROM business_events GROUP BY customer_id""")
+
 # -- control log
 
 DERIVED["pairs"] = ((), """
@@ -357,6 +361,9 @@ DERIVED["intervals"] = (("lease_steps",), """
            CASE WHEN count(*) FILTER (WHERE op = 'RELEASE') > 0 THEN 'RELEASED' ELSE 'EXPIRED' END AS ended_by
     FROM (SELECT l.*, s.session FROM lease_log l JOIN lease_steps s USING (lock_id, rn) WHERE accepted) GROUP BY lock_id, session, coordinator_id""")
 _oracle("lease_intervals", "intervals", sql="SELECT * FROM intervals")
+_oracle("lock_holders", "intervals", sql="""
+    SELECT lock_id, coordinator_id AS holder FROM intervals
+    WHERE from_s <= (SELECT max(o_orderkey // 2) // 2 FROM orders) AND until_s > (SELECT max(o_orderkey // 2) // 2 FROM orders)""")
 _oracle("pair_status", "outcomes", "max_lags", "transfer_steps", "intervals", sql="""
     SELECT p.pair_id, coalesce(o.state, 'IDLE') AS state, o.trace_id, t.leader, t.version, m.max_lag, i.coordinator_id AS holder,
            i.coordinator_id IS NOT NULL AND coalesce(o.state, 'IDLE') <> 'HANDOFF_FAILED' AS ready

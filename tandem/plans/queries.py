@@ -47,6 +47,11 @@ def unknown_event_types(spark, sf_dir):
     return fold.unknown_event_types(t.business_events(spark, sf_dir))
 
 
+@query
+def key_partitions(spark, sf_dir):
+    return fold.key_partitions(t.business_events(spark, sf_dir))
+
+
 def _upsert(events: DataFrame) -> DataFrame:
     writes = fold.customer_state_changes(events).select("seq", *fold.STATE_COLUMNS)
     return upsert.conditional_upsert(writes, "customer_id", "last_updated_ms", ["seq"]).select(*fold.STATE_COLUMNS)
@@ -291,6 +296,13 @@ def lease_replay(spark, sf_dir):
     return leases.lease_replay(t.lease_ops(spark, sf_dir))
 
 
+@query
+def lock_holders(spark, sf_dir):
+    """Who held each lock half way through the log."""
+    middle = t.lease_ops(spark, sf_dir).agg(F.expr("max(at_s) div 2").alias("now_s")).first()["now_s"]
+    return leases.lock_holders(lease_intervals(spark, sf_dir), middle)
+
+
 @query
 def lease_intervals(spark, sf_dir):
     return leases.lease_intervals(lease_replay(spark, sf_dir))

@@ -90,73 +90,88 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# rank of a signal among those of one trace and millisecond
-SIGNAL_RANK = {
-    "TRIGGER": 0,
-    "SAVEPOINT_FAILED": 1,
-    "PREPARE_HANDOFF": 2,
-    "HEARTBEAT": 3,
-    "DRAINED_AT": 4,
-    "TRANSFER_REFUSED": 5,
-    "PROMOTE": 6,
-    "DEMOTE": 7,
-    "PROMOTED_CONFIRMED": 8,
-    "HANDOFF_ABORT": 9,
-}
-
-
-def _signal(name: str, when: Column, at: Column, target: Column, source: Column, offsets=None, reason=None, traced=True, from_app=False) -> Column:
-    empty = F.lit(None)
-    return F.when(when, F.struct(
-        F.lit(name).alias("signal_type"),
-        target.cast("string").alias("target_app_id"),
-        source.cast("string").alias("source_app_id"),
-        (offsets if offsets is not None else empty).cast("map<int,bigint>").alias("cutover_offsets"),
-        (empty if from_app else F.lit("coordinator-1")).cast("string").alias("coordinator_id"),
-        at.cast("bigint").alias("timestamp"),
-        (F.col("trace") if traced else empty).cast("string").alias("trace_id"),
-        (F.lit(reason) if reason else empty).cast("string").alias("reason"),
-        F.lit(SIGNAL_RANK[name]).alias("rank"),
-    ))
+# Signals of one handoff; the place is their rank among those of one trace and millisecond.
+SIGNALS = (
+    "TRIGGER",
+    "SAVEPOINT_FAILED",
+    "PREPARE_HANDOFF",
+    "HEARTBEAT",
+    "DRAINED_AT",
+    "TRANSFER_REFUSED",
+    "PROMOTE",
+    "DEMOTE",
+    "PROMOTED_CONFIRMED",
+    "HANDOFF_ABORT",
+)
+
+
+def _by_signal(cases: dict[str, Column], default: Column) -> Column:
+    out = default
+    for name, value in cases.items():
+        out = F.when(F.col("signal_type") == name, value).otherwise(out)
+    return out
 
 
 def to_control_log(orders: DataFrame) -> DataFrame:
     """One handoff per order: its trigger and outcome rows from the coordinator, and its wire signals.
 
-    Status F confirms, P never confirms, O drains too late. ``position`` is (offset, trace_no).
+    Status F confirms, P never confirms, O drains too late. The position of a row is (offset, trace_no).
+    Only the signal names are exploded; every other column is computed after that, if a query asks for it.
     """
     key = F.col("o_orderkey")
     pair = (F.col("o_custkey") % PAIRS).cast("int")
-    base = orders.select(
+    named = orders.select(
         key.alias("trace_no"),
         pair.alias("pair_id"),
-        F.concat(F.lit("t"), key).alias("trace"),
         F.col("o_orderstatus").alias("status"),
         (F.lit(JANUARY) + (key * 7919) % JANUARY_SECONDS * 1000).cast("bigint").alias("t0"),
-        F.concat(F.when(key % 2 == 0, "app2-").otherwise("app1-"), pair).alias("gains"),
-        F.concat(F.when(key % 2 == 0, "app1-").otherwise("app2-"), pair).alias("loses"),
-        F.transform(F.sequence(F.lit(0), F.lit(3)), lambda p: F.lit(1000).cast("bigint") + (key + p) % 50).alias("target"),
+        F.posexplode(F.array(*[F.lit(s) for s in SIGNALS])).alias("rank", "signal_type"),
     )
-    n, t0, everyone, coordinator = F.col("trace_no"), F.col("t0"), F.lit("broadcast"), F.lit("coordinator-1")
-    failed, refused = n % 19 == 0, n % 23 == 0
-    late = F.col("status") == "O"
-    running, moved = ~failed, ~failed & ~late & ~refused
-    partitions = F.array(*[F.lit(p) for p in range(4)])
-    drained = F.transform("target", lambda o, i: F.when((i == 0) & (n % 7 == 0), o - 1).otherwise(o))
-    rows = F.array(
-        _signal("TRIGGER", F.lit(True), t0, F.lit(None), coordinator),
-        _signal("SAVEPOINT_FAILED", failed, t0 + 500, F.lit(None), coordinator),
-        _signal("PREPARE_HANDOFF", running, t0 + 1000, everyone, coordinator, F.map_from_arrays(partitions, F.col("target"))),
-        _signal("HEARTBEAT", F.lit(True), t0 + 1500, everyone, coordinator, traced=False),
-        _signal("DRAINED_AT", running, t0 + F.when(late, 70000).otherwise(2000), everyone, F.col("loses"), F.map_from_arrays(partitions, drained), from_app=True),
-        _signal("TRANSFER_REFUSED", running & ~late & refused, t0 + 2400, F.lit(None), coordinator),
-        _signal("PROMOTE", moved, t0 + 2500 + F.when(n % 13 == 0, HOUR).otherwise(0), F.col("gains"), coordinator),
-        _signal("DEMOTE", moved, t0 + 2600 + F.when(n % 11 == 0, HOUR).otherwise(0), F.col("loses"), coordinator),
-        _signal("PROMOTED_CONFIRMED", moved & (F.col("status") == "F"), t0 + 3000 + n % 500, everyone, F.col("gains"), from_app=True),
-        _signal("HANDOFF_ABORT", running & late, t0 + 61000, everyone, coordinator, reason="App1 drain timeout"),
+    n, none = F.col("trace_no"), F.lit(None).cast("string")
+    failed, refused, late = n % 19 == 0, n % 23 == 0, F.col("status") == "O"
+    moved = ~failed & ~late & ~refused
+    happens = _by_signal({
+        "SAVEPOINT_FAILED": failed,
+        "PREPARE_HANDOFF": ~failed,
+        "DRAINED_AT": ~failed,
+        "TRANSFER_REFUSED": ~failed & ~late & refused,
+        "PROMOTE": moved,
+        "DEMOTE": moved,
+        "PROMOTED_CONFIRMED": moved & (F.col("status") == "F"),
+        "HANDOFF_ABORT": ~failed & late,
+    }, F.lit(True))
+    after = _by_signal({
+        "SAVEPOINT_FAILED": F.lit(500),
+        "PREPARE_HANDOFF": F.lit(1000),
+        "HEARTBEAT": F.lit(1500),
+        "DRAINED_AT": F.when(late, 70000).otherwise(2000),
+        "TRANSFER_REFUSED": F.lit(2400),
+        "PROMOTE": F.lit(2500) + F.when(n % 13 == 0, HOUR).otherwise(0),
+        "DEMOTE": F.lit(2600) + F.when(n % 11 == 0, HOUR).otherwise(0),
+        "PROMOTED_CONFIRMED": F.lit(3000) + n % 500,
+        "HANDOFF_ABORT": F.lit(61000),
+    }, F.lit(0))
+    gains = F.concat(F.when(n % 2 == 0, "app2-").otherwise("app1-"), F.col("pair_id"))
+    loses = F.concat(F.when(n % 2 == 0, "app1-").otherwise("app2-"), F.col("pair_id"))
+    everyone, coordinator = F.lit("broadcast"), F.lit("coordinator-1")
+    short = F.when((F.col("signal_type") == "DRAINED_AT") & (n % 7 == 0), 1).otherwise(0)
+    target = [F.lit(1000).cast("bigint") + (n + p) % 50 - (short if p == 0 else 0) for p in range(4)]
+    offsets = F.map_from_arrays(F.array(*[F.lit(p) for p in range(4)]), F.array(*target))
+    timed = named.filter(happens).withColumn("timestamp", (F.col("t0") + after).cast("bigint"))
+    by_app = F.col("signal_type").isin("DRAINED_AT", "PROMOTED_CONFIRMED")
+    return timed.select(
+        "pair_id",
+        (F.col("timestamp") * 16 + F.col("rank")).alias("offset"),
+        "trace_no",
+        "signal_type",
+        _by_signal({**{name: none for name in LOG_ONLY}, "PROMOTE": gains, "DEMOTE": loses}, everyone).alias("target_app_id"),
+        _by_signal({"DRAINED_AT": loses, "PROMOTED_CONFIRMED": gains}, coordinator).alias("source_app_id"),
+        F.when(F.col("signal_type").isin("PREPARE_HANDOFF", "DRAINED_AT"), offsets).alias("cutover_offsets"),
+        F.when(~by_app, coordinator).alias("coordinator_id"),
+        "timestamp",
+        F.when(F.col("signal_type") != "HEARTBEAT", F.concat(F.lit("t"), n)).alias("trace_id"),
+        F.when(F.col("signal_type") == "HANDOFF_ABORT", "App1 drain timeout").alias("reason"),
     )
-    signals = base.select("pair_id", "trace_no", F.explode(F.filter(rows, lambda s: s.isNotNull())).alias("s"))
-    return signals.select("pair_id", (F.col("s.timestamp") * 16 + F.col("s.rank")).alias("offset"), "trace_no", "s.*").drop("rank")
 
 
 # Rows that the coordinator logs but does not send.

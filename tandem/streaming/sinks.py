@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tandem.operators import cutover, upsert
 from tandem.schemas import ACTIVE
+from tandem.sources.topics import encode_control_signals
 
 WriteFn = Callable[[DataFrame, int], None]
 
@@ -56,15 +57,14 @@ class NewerWinsTable:
 
 
 class GateCounts:
-    """Written and dropped records per app, one small file per batch."""
+    """Written and dropped records per app, one row per batch."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self._spark, self._path = spark, path
 
-    def add(self, app_id: str, batch_id: int, mode: str, rows: DataFrame) -> None:
-        is_active = F.lit(mode == ACTIVE)
-        counts = rows.agg(F.count_if(is_active).alias("written"), F.count_if(~is_active).alias("dropped"))
-        counts.write.mode("overwrite").parquet(f"{self._path}/app_id={app_id}/batch={batch_id}")
+    def add(self, app_id: str, batch_id: int, written: int, dropped: int) -> None:
+        row = self._spark.range(1).select(F.lit(written).cast("bigint").alias("written"), F.lit(dropped).cast("bigint").alias("dropped"))
+        row.write.mode("overwrite").parquet(f"{self._path}/app_id={app_id}/batch={batch_id}")
 
     def read(self) -> DataFrame:
         rows = self._spark.read.schema("written BIGINT, dropped BIGINT, app_id STRING, batch BIGINT").parquet(self._path)
@@ -74,15 +74,21 @@ class GateCounts:
 def shadow_sink(app_id: str, write_fn: WriteFn, mode_fn: Callable[[str], str], counts: GateCounts | None = None) -> WriteFn:
     """Wrap any batch writer: while the app is ACTIVE it writes, otherwise the batch is dropped and counted.
 
-    The mode is read once per batch. The state of the stream advances either way.
+    The mode is read once per batch. The batch is computed in either mode, since only that moves the state of
+    the stream on; it is kept while it is counted and written, so that it is computed once.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        mode = mode_fn(app_id)
-        if mode == ACTIVE:
-            write_fn(batch, batch_id)
+        active = mode_fn(app_id) == ACTIVE
+        batch.persist()
+        try:
+            rows = batch.count()
+            if active:
+                write_fn(batch, batch_id)
+        finally:
+            batch.unpersist()
         if counts is not None:
-            counts.add(app_id, batch_id, mode, batch)
+            counts.add(app_id, batch_id, rows if active else 0, 0 if active else rows)
 
     return write
 
@@ -118,3 +124,9 @@ def mode_from_table(spark: SparkSession, path: str, initial: str) -> Callable[[s
         return row["mode"] if row else initial
 
     return mode
+
+
+def send_signals(signals: DataFrame, brokers: str, topic: str) -> None:
+    """Publish control signals, keyed by the addressed app. Needs the Kafka connector on the class path."""
+    rows = encode_control_signals(signals).select("key", "value")
+    rows.write.format("kafka").option("kafka.bootstrap.servers", brokers).option("topic", topic).save()

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tandem.operators import fold
+from tandem.schemas import CUSTOMER_STATE
 from tandem.streaming.runtime import use_state_store
 
 STATE_NAME = "customer-state"
@@ -90,53 +92,51 @@ def read_snapshot(spark: SparkSession, checkpoint: str) -> DataFrame:
 class BatchFold:
     """The fold for ``foreachBatch``: hot customers are cut into chunks, and no Python touches a row.
 
-    Each batch folds on top of the states written by earlier batches and appends its changes and its new
-    states under its own number, so a replayed batch rewrites the same files.
+    Each batch folds on top of the states written by earlier batches and appends its changes and the states
+    of the customers it touched under its own number, so a replayed batch rewrites the same files. Every
+    ``full_every`` batches all states are written, and readers start from there.
     """
 
-    def __init__(self, spark: SparkSession, folder: str) -> None:
+    def __init__(self, spark: SparkSession, folder: str, full_every: int = 20) -> None:
+        self._spark, self._full_every = spark, full_every
         self.changes_path, self.states_path = f"{folder}/changes", f"{folder}/states"
-        self._spark = spark
 
     def states(self, before: int | None = None) -> DataFrame | None:
         """The newest state per customer, optionally as of the start of a batch."""
-        if not _exists(self._spark, self.states_path):
+        try:
+            rows = self._spark.read.schema(f"{CUSTOMER_STATE}, full INT, batch BIGINT").parquet(self.states_path)
+        except AnalysisException:
             return None
-        rows = self._spark.read.schema(f"seq BIGINT, {_STATE_DDL}, batch BIGINT").parquet(self.states_path)
         if before is not None:
             rows = rows.filter(F.col("batch") < before)
-        value = [c for c in rows.columns if c not in ("customer_id", "batch")]
+        # only the folder names are needed to find the last full set
+        start = rows.filter("full = 1").agg(F.max("batch").alias("batch")).first()["batch"]
+        if start is not None:
+            rows = rows.filter(F.col("batch") >= start)
+        value = [c for c in fold.STATE_COLUMNS if c != "customer_id"]
         last = rows.groupBy("customer_id").agg(F.max(F.struct("batch", *value)).alias("s"))
         return last.select("customer_id", *[F.col(f"s.{c}").alias(c) for c in value])
 
     def changes(self) -> DataFrame:
-        return self._spark.read.schema(f"seq BIGINT, event_id STRING, {_STATE_DDL}, batch BIGINT").parquet(self.changes_path).drop("batch")
+        return self._spark.read.schema(f"seq BIGINT, event_id STRING, {CUSTOMER_STATE}, batch BIGINT").parquet(self.changes_path).drop("batch")
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        try:
+            self._fold(batch, batch_id)
+        finally:
+            batch.unpersist()
+
+    def _fold(self, batch: DataFrame, batch_id: int) -> None:
         known = self.states(before=batch_id)
-        initial = None
-        if known is not None:
-            touched = batch.select("customer_id").distinct()
-            initial = known.join(touched, "customer_id", "left_semi")
+        touched = fold.known_events(batch).select("customer_id").distinct()
+        initial = known.join(touched, "customer_id", "left_semi") if known is not None else None
         folded = fold.customer_state_changes(batch, ["seq"], initial)
         path = f"{self.changes_path}/batch={batch_id}"
         folded.write.mode("overwrite").parquet(path)
-        written = self._spark.read.schema(folded.schema).parquet(path)
-        fold.latest_state(written, ["seq"]).withColumn("seq", F.lit(None).cast("bigint")).write.mode("overwrite").parquet(
-            f"{self.states_path}/batch={batch_id}"
-        )
-
-
-_STATE_DDL = (
-    "customer_id STRING, order_count INT, total_amount DECIMAL(18,2), last_event_type STRING, last_updated_ms BIGINT, state_version INT"
-)
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    from pyspark.errors import AnalysisException
 
-    try:
-        spark.read.parquet(path)
-        return True
-    except AnalysisException:
-        return False
+        states = fold.latest_state(self._spark.read.schema(folded.schema).parquet(path), ["seq"])
+        full = known is not None and batch_id % self._full_every == 0
+        if full:
+            states = states.unionByName(known.join(touched, "customer_id", "left_anti"))
+        states.write.mode("overwrite").parquet(f"{self.states_path}/full={int(full)}/batch={batch_id}")

@@ -97,6 +97,9 @@ def attach(df: DataFrame, carried: DataFrame, hot: HotKeys) -> DataFrame:
     return df.join(carried, hot.partition, "left")
 
 
+KINDS = ("sum", "max", "min", "last", "lag", "lead")
+
+
 @dataclass(frozen=True)
 class Running:
     """One running value: ``kind`` is sum, max, min, last (newest non-null), lag or lead.
@@ -109,6 +112,10 @@ class Running:
     value: Column
     before: bool = False
 
+    def __post_init__(self) -> None:
+        if self.kind not in KINDS:
+            raise ValueError(f"unknown running value {self.kind!r}")
+
 
 def _local(spec: Running, window) -> Column:
     if spec.kind in ("lag", "lead"):

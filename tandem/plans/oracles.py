@@ -17,9 +17,11 @@ DERIVED = {
                event_id AS "offset", props AS payload
         FROM events"""),
     "business_events_ooo": (("business_events",), """
-        SELECT * REPLACE ((seq + 400 * (seq % 5)) * 5 + 4 - seq % 5 AS seq) FROM business_events"""),
+        SELECT * REPLACE ((seq + 400 * (seq % 5)) * 5 + 4 - seq % 5 AS seq) FROM business_events
+        WHERE event_type IN ('ORDER_CREATED', 'ORDER_UPDATED', 'ORDER_CANCELLED')"""),
     "business_events_coarse": (("business_events",), """
-        SELECT * REPLACE (event_ts_ms // 3600000 * 3600000 AS event_ts_ms) FROM business_events"""),
+        SELECT * REPLACE (event_ts_ms // 3600000 * 3600000 AS event_ts_ms) FROM business_events
+        WHERE event_type IN ('ORDER_CREATED', 'ORDER_UPDATED', 'ORDER_CANCELLED')"""),
 }
 
 
@@ -437,7 +439,7 @@ _oracle("stream_shadow_counts", "business_events_ooo", sql="""
     SELECT app_id, sum(CASE WHEN (app_id = 'app1') = (seq < middle) THEN 1 ELSE 0 END)::BIGINT AS written,
            sum(CASE WHEN (app_id = 'app1') = (seq < middle) THEN 0 ELSE 1 END)::BIGINT AS dropped
     FROM business_events_ooo, (SELECT min(seq) + (max(seq) - min(seq) + 1) // 2 AS middle FROM business_events_ooo), (VALUES ('app1'), ('app2')) a(app_id)
-    WHERE event_type IN ('ORDER_CREATED', 'ORDER_UPDATED', 'ORDER_CANCELLED') GROUP BY app_id""")
+    GROUP BY app_id""")
 _oracle("stream_watermark", "business_events", sql="""
     SELECT event_ts_ms // 3600000 * 3600000 AS hour_ms, event_type, count(*) AS events FROM business_events
     WHERE (event_ts_ms // 3600000 + 1) * 3600000 <= (SELECT max(event_ts_ms) - 5000 FROM business_events) GROUP BY ALL""")

@@ -29,7 +29,7 @@ def query(fn: Query) -> Query:
 
 @query
 def customer_state_changes(spark, sf_dir):
-    return fold.customer_state_changes(t.business_events(spark, sf_dir))
+    return fold.customer_state_changes(t.known_business_events(spark, sf_dir))
 
 
 @query
@@ -133,7 +133,7 @@ def mode_timeline(spark, sf_dir):
 
 def _writes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The records both copies of a pair would write, with the modes in force."""
-    records = fold.known_events(t.business_events(spark, sf_dir)).select("pair_id", "seq", "event_id", "customer_id", "event_ts_ms")
+    records = t.known_business_events(spark, sf_dir).select("pair_id", "seq", "event_id", "customer_id", "event_ts_ms")
     return modes.modes_at_write(records, t.control_signals(spark, sf_dir), t.pairs(spark, sf_dir), "event_ts_ms", "seq")
 
 
@@ -337,7 +337,7 @@ def state_hash_diff(spark, sf_dir):
 
 @query
 def split_invariance(spark, sf_dir):
-    events = t.business_events(spark, sf_dir)
+    events = t.known_business_events(spark, sf_dir)
     middle = events.agg(F.expr("max(seq) div 2").alias("at")).first()["at"]
     return verify.split_invariance(events, middle)
 

@@ -48,9 +48,10 @@ def encode_business_events(*extra: Column) -> Column:
 
 
 def decode_business_events(raw: DataFrame) -> DataFrame:
-    """Decode strictly: a malformed record fails the job, unknown fields are ignored, missing numbers are 0."""
+    """Decode strictly: a malformed or empty record fails the job, unknown fields are ignored, missing numbers are 0."""
     kept = [c for c in raw.columns if c != "value"]
-    rows = raw.withColumn("v", F.from_json("value", _BUSINESS_JSON, {"mode": "FAILFAST"}))
+    decoded = F.from_json("value", _BUSINESS_JSON, {"mode": "FAILFAST"})
+    rows = raw.withColumn("v", F.coalesce(decoded, F.raise_error(F.lit("empty business record"))))
     out = rows.select(*kept, *[F.col(f"v.{wire}").alias(name) for name, wire in BUSINESS_EVENT_WIRE.items()])
     return out.withColumns({
         "amount": F.coalesce("amount", F.lit(0).cast("decimal(18,2)")),

@@ -8,6 +8,8 @@ number of joins), and each chunk then walks its own part.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -60,7 +62,7 @@ def follow(nodes: DataFrame, key: str, hot: HotKeys | None = None) -> DataFrame:
     hot = hot or find_hot_keys(nodes, [key], "id")
     roots = nodes.groupBy(key).agg(F.min("id").alias("id"))
     schema = f"{key} {dict(nodes.dtypes)[key]}, id bigint"
-    if hot.table is None:
+    if not hot.found:
         started = nodes.join(roots.withColumnRenamed("id", "start"), key)
         return started.groupBy(key).applyInPandas(lambda pdf: _walk(pdf, key), schema)
 
@@ -78,7 +80,7 @@ def follow(nodes: DataFrame, key: str, hot: HotKeys | None = None) -> DataFrame:
 def _crossing(nodes: DataFrame, hot: HotKeys) -> DataFrame:
     """Rows of hot keys whose successor lies in another chunk."""
     here = with_chunk(nodes.filter("next >= 0"), hot).withColumnRenamed(CHUNK, "_here")
-    there = with_chunk(here, HotKeys(hot.keys, "next", hot.table))
+    there = with_chunk(here, replace(hot, by="next"))
     return there.filter(F.col("_here") != F.col(CHUNK))
 
 

@@ -91,7 +91,7 @@ def fold(events: DataFrame, keys: Sequence[str], order: Sequence[str], event_typ
     local = sums.withColumns(
         {f"_floor_{q.name}": F.max(F.when(F.col(f"_floored_{q.name}"), -F.col(f"_sum_{q.name}"))).over(window) for q in quantities}
     )
-    if hot.table is not None:
+    if hot.found:
         local = _complete(sums, local, hot, quantities)
     out = local.withColumns(
         {q.name: F.col(f"_sum_{q.name}") + F.greatest(F.lit(0).cast("bigint"), F.col(f"_floor_{q.name}")) for q in quantities}

@@ -22,59 +22,82 @@ MAX_HOT_KEYS = 10_000
 # Chunks are cut at equal widths of the order column; cutting finer absorbs uneven density.
 OVERSPLIT = 4
 
+# A chunk that still holds too many rows, since its rows lie dense, is cut again, LEVELS times in all. The
+# numbers of all levels share one BIGINT.
+LEVELS = 3
+PART_BITS = 21
+
 CHUNK = "_chunk"
 
 
 @dataclass(frozen=True)
 class HotKeys:
-    """Keys to be cut, with the origin and chunk width of each; ``table`` is None when there are none."""
+    """Keys to be cut. Each level has the origin and chunk width per key, or per chunk of the level before."""
 
     keys: tuple[str, ...]
     by: str
-    table: DataFrame | None
+    levels: tuple[DataFrame, ...] = ()
 
-    def finer(self, keys: Sequence[str], by: str) -> HotKeys | None:
-        """For keys that split these: if no key here is hot, none of theirs can be; else unknown."""
-        return HotKeys(tuple(keys), by, None) if self.table is None else None
+    @property
+    def found(self) -> bool:
+        return bool(self.levels)
 
     @property
     def partition(self) -> list[str]:
-        return [*self.keys, CHUNK] if self.table is not None else list(self.keys)
+        return [*self.keys, CHUNK] if self.found else list(self.keys)
+
+    def finer(self, keys: Sequence[str], by: str) -> HotKeys | None:
+        """For keys that split these: if no key here is hot, none of theirs can be; else unknown."""
+        return None if self.found else HotKeys(tuple(keys), by)
 
 
 def find_hot_keys(df: DataFrame, keys: Sequence[str], by: str) -> HotKeys:
     """Count rows per key (partial counts only are shuffled) and keep the keys over the chunk size.
 
-    ``by`` is the integer column that leads the order of the scan.
+    ``by`` is the integer column that leads the order of the scan. Further passes happen only while there are
+    chunks to cut again, and read two columns of the hot keys' rows.
     """
+    hot = HotKeys(tuple(keys), by)
+    rows = df.select(*dict.fromkeys([*keys, by]))
+    while len(hot.levels) < LEVELS:
+        groups = rows if not hot.found else with_chunk(rows, hot).filter(F.col(CHUNK) >= 0)
+        cut = _oversized(groups, hot.partition, by)
+        if cut is None:
+            break
+        hot = HotKeys(hot.keys, by, (*hot.levels, cut))
+    return hot
+
+
+def _oversized(df: DataFrame, groups: Sequence[str], by: str) -> DataFrame | None:
+    """Groups with more rows than a chunk should have, with the lowest position and the width to cut them by."""
     spark = df.sparkSession
     limit = int(spark.conf.get(ROWS_PER_CHUNK_CONF, str(ROWS_PER_CHUNK)))
-    counts = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"), F.min(by).alias("_lo"), F.max(by).alias("_hi"))
-        .filter(F.col("_n") > limit)
-        .withColumn(
-            "_width",
-            F.greatest(F.lit(1), F.floor((F.col("_hi") - F.col("_lo") + 1) * float(limit) / (F.col("_n") * OVERSPLIT))).cast("bigint"),
-        )
-        .withColumn("_lo", F.col("_lo").cast("bigint"))
-    )
-    found = counts.orderBy(F.desc("_n")).limit(MAX_HOT_KEYS).select(*keys, "_lo", "_width")
+    position = F.col(by).cast("bigint")
+    counts = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"), F.min(position).alias("_lo"), F.max(position).alias("_hi"))
+    # groups at one single position cannot be cut
+    large = counts.filter((F.col("_n") > limit) & (F.col("_hi") > F.col("_lo"))).orderBy(F.desc("_n")).limit(MAX_HOT_KEYS)
+    span = F.col("_hi") - F.col("_lo") + 1
+    width = F.greatest(F.lit(1), F.floor(span * float(limit) / (F.col("_n") * OVERSPLIT)), F.ceil(span / 2.0**PART_BITS))
+    found = large.select(*groups, "_lo", width.cast("bigint").alias("_width"))
     rows = found.collect()
-    table = spark.createDataFrame(rows, found.schema) if rows else None
-    return HotKeys(tuple(keys), by, table)
+    return spark.createDataFrame(rows, found.schema) if rows else None
+
+
+def _number(by: str) -> Column:
+    """The place of a row in its cut group, NULL if that is not cut; rows without a position go to the front."""
+    steps = F.floor((F.coalesce(F.col(by), F.col("_lo")) - F.col("_lo")) / F.col("_width"))
+    return F.when(F.col("_lo").isNotNull(), F.greatest(F.lit(0), steps)).cast("bigint")
 
 
 def with_chunk(df: DataFrame, hot: HotKeys) -> DataFrame:
-    """Add the chunk number; -1 for keys that stay whole. Rows without a position go to the first chunk."""
-    if hot.table is None:
-        return df
-    number = F.floor((F.coalesce(F.col(hot.by), F.col("_lo")) - F.col("_lo")) / F.col("_width")).cast("bigint")
-    return (
-        df.join(F.broadcast(hot.table), list(hot.keys), "left")
-        .withColumn(CHUNK, F.when(F.col("_lo").isNull(), F.lit(-1)).otherwise(F.greatest(F.lit(0), number)).cast("bigint"))
-        .drop("_lo", "_width")
-    )
+    """Add the chunk number, rising with the position; -1 for keys that stay whole."""
+    out = df
+    for level, cut in enumerate(hot.levels):
+        unit = 1 << (PART_BITS * (LEVELS - 1 - level))
+        out = out.join(F.broadcast(cut), [*hot.keys, *([CHUNK] if level else [])], "left")
+        number = F.coalesce(_number(hot.by) * unit + (F.col(CHUNK) if level else 0), F.col(CHUNK) if level else F.lit(-1))
+        out = out.withColumn(CHUNK, number.cast("bigint")).drop("_lo", "_width")
+    return out
 
 
 def chunk_window(hot: HotKeys, order: Sequence[str]):
@@ -165,7 +188,7 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], *specs: Ru
     """
     hot = hot or find_hot_keys(df, keys, order[0])
     window = chunk_window(hot, order)
-    if hot.table is None:
+    if not hot.found:
         out = df.withColumns({s.name: _local(s, window) for s in specs})
     else:
         chunked = with_chunk(df, hot)

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tandem.operators.scan import Running, find_hot_keys, running
+from tandem.operators.scan import CHUNK, Running, find_hot_keys, running, with_chunk
 from tandem.operators.small import join_small
 
 from conftest import rows
@@ -53,7 +53,7 @@ def test_running_values(spark, request, seed, split):
     df = spark.createDataFrame(data, "k int, at bigint, n int, v int")
     specs = [Running(f"s{i}", kind, F.col("v"), before) for i, (kind, before) in enumerate(SPECS)]
     hot = find_hot_keys(df, ["k"], "at")
-    assert (hot.table is not None) == split
+    assert hot.found == split
     got = running(df, ["k"], ["at", "n"], *specs, hot=hot)
     result = sorted((tuple(r[c] for c in ["k", "at", "n", "v"] + [s.name for s in specs]) for r in got.collect()), key=repr)
     assert result == expected(data)
@@ -62,7 +62,7 @@ def test_running_values(spark, request, seed, split):
 def test_hot_keys_are_the_large_ones(spark, small_chunks):
     df = spark.createDataFrame([(k, n) for k, size in ((7, 100), (8, 21), (9, 20)) for n in range(size)], "k int, at bigint")
     hot = find_hot_keys(df, ["k"], "at")
-    assert sorted(r.k for r in hot.table.collect()) == [7, 8]
+    assert sorted(r.k for r in hot.levels[0].collect()) == [7, 8]
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
@@ -70,3 +70,17 @@ def test_join_small_is_the_same_beyond_the_limit(spark, how):
     big = spark.range(1000).select((F.col("id") % 7).alias("k"), "id")
     small = spark.createDataFrame([(k, f"v{k}") for k in range(5)], "k bigint, v string")
     assert rows(join_small(big, small, ["k"], how, max_rows=3)) == rows(join_small(big, small, ["k"], how))
+
+
+def test_dense_stretches_are_cut_again(spark, small_chunks):
+    """Nearly all rows of the key lie in a hundredth of its range."""
+    positions = [0, 10**6] + list(range(5000, 5400))
+    df = spark.createDataFrame([(1, p, 1) for p in positions] + [(2, 5, 1)], "k int, at bigint, v int")
+    hot = find_hot_keys(df, ["k"], "at")
+    assert len(hot.levels) > 1
+    sizes = with_chunk(df, hot).groupBy("k", CHUNK).count().collect()
+    assert max(r["count"] for r in sizes) <= 20
+    got = running(df, ["k"], ["at"], Running("s", "sum", F.col("v")), Running("p", "lag", F.col("at")), hot=hot)
+    series = sorted(positions)
+    wanted = [(1, p, i + 1, series[i - 1] if i else None) for i, p in enumerate(series)] + [(2, 5, 1, None)]
+    assert sorted((r.k, r["at"], r.s, r.p) for r in got.collect()) == wanted

@@ -20,12 +20,12 @@ def runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], condition: Co
     return marked.filter("_on").drop("_on", "_was")
 
 
-def sustained(df: DataFrame, keys: Sequence[str], order: Sequence[str], condition: Column, duration_ms: Column, strict: bool = True, *extra: Column) -> DataFrame:
+def sustained(df: DataFrame, keys: Sequence[str], order: Sequence[str], condition: Column, duration_ms: Column, strict: bool = True, *extra: Column, hot: HotKeys | None = None) -> DataFrame:
     """One row per run that lasted: when it began, when it had lasted for ``duration_ms``, when last seen."""
     at = F.col(order[0])
     age = at - F.col("run_start_ms")
     reached = age > duration_ms if strict else age >= duration_ms
-    out = runs(df, keys, order, condition).groupBy(*keys, "run_start_ms").agg(
+    out = runs(df, keys, order, condition, hot).groupBy(*keys, "run_start_ms").agg(
         F.min(F.when(reached, at)).alias("fired_ms"), F.max(at).alias("last_seen_ms"), *extra
     )
     return out.filter(F.col("fired_ms").isNotNull())

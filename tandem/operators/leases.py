@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tandem.operators.chain import follow
-from tandem.operators.scan import Running, find_hot_keys, running
+from tandem.operators.scan import HotKeys, Running, find_hot_keys, running
 
 # fixed value: how long a lock lasts without renewal
 LOCK_TTL_S = 30
@@ -44,7 +44,12 @@ def current_leaders(transfers: DataFrame, leaders: DataFrame) -> DataFrame:
     return last.select("pair_id", F.col("s.app").alias("leader"), F.col("s.version").alias("version"))
 
 
-def lease_replay(ops: DataFrame, ttl_s: int = LOCK_TTL_S) -> DataFrame:
+def hot_locks(ops: DataFrame) -> HotKeys:
+    """Found once for a replay and what is read from it, since accepted operations are some of all."""
+    return find_hot_keys(ops, ["lock_id"], "seq")
+
+
+def lease_replay(ops: DataFrame, ttl_s: int = LOCK_TTL_S, hot: HotKeys | None = None) -> DataFrame:
     """Each lock operation with ``accepted``.
 
     An acquire needs a free or expired lock (expiry strictly before now), a renew or release needs the same
@@ -52,7 +57,7 @@ def lease_replay(ops: DataFrame, ttl_s: int = LOCK_TTL_S) -> DataFrame:
     next renew or release, or the first acquire after expiry, whichever comes first; after a release the
     first acquire. ``seq`` orders the log and ``at_s`` never falls along it.
     """
-    hot = find_hot_keys(ops, ["lock_id"], "seq")
+    hot = hot or hot_locks(ops)
     own = ops.withColumn("_back", -F.col("seq"))
     holder = Running("next_own", "last", F.when(F.col("op") != "ACQUIRE", F.col("seq")), before=True)
     keys = ["lock_id", "coordinator_id"]
@@ -79,11 +84,11 @@ def lease_replay(ops: DataFrame, ttl_s: int = LOCK_TTL_S) -> DataFrame:
     return ops.join(won, ["lock_id", "seq"], "left").fillna(False, ["accepted"])
 
 
-def lease_intervals(replayed: DataFrame, ttl_s: int = LOCK_TTL_S) -> DataFrame:
+def lease_intervals(replayed: DataFrame, ttl_s: int = LOCK_TTL_S, hot: HotKeys | None = None) -> DataFrame:
     """Who held each lock and when: from an accepted acquire to its release, or to the expiry of its last renewal."""
     accepted = replayed.filter("accepted")
     start = Running("session", "last", F.when(F.col("op") == "ACQUIRE", F.col("seq")))
-    rows = running(accepted, ["lock_id"], ["seq"], start)
+    rows = running(accepted, ["lock_id"], ["seq"], start, hot=hot)
     released = F.max(F.when(F.col("op") == "RELEASE", F.col("at_s")))
     expires = F.max(F.when(F.col("op") != "RELEASE", F.col("at_s"))) + ttl_s
     return rows.groupBy("lock_id", "session", "coordinator_id").agg(

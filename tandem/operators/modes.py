@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tandem.operators.scan import Running, find_hot_keys, running
+from tandem.operators.scan import HotKeys, Running, find_hot_keys, running
 from tandem.operators.small import join_small
 from tandem.schemas import ACTIVE, BROADCAST, SHADOW
 
@@ -96,15 +96,20 @@ def gate_counts(per_app_rows: DataFrame) -> DataFrame:
     )
 
 
-def handoff_coverage(records: DataFrame, key: str, seq: str) -> DataFrame:
+def hot_writers(records: DataFrame, key: str, seq: str) -> HotKeys:
+    return find_hot_keys(records.withColumn("_back", -F.col(seq)), [key], "_back")
+
+
+def handoff_coverage(records: DataFrame, key: str, seq: str, hot: HotKeys | None = None) -> DataFrame:
     """Records that not exactly one copy wrote: gap or overlap.
 
     A gap matters only until the key's next written record, so that record is looked up, scanning each key
-    backwards.
+    backwards. ``hot`` may come from the records before their modes were looked up (see ``hot_writers``).
     """
     writers = (F.col("app1_mode") == ACTIVE).cast("int") + (F.col("app2_mode") == ACTIVE).cast("int")
     rows = records.withColumn("writers", writers).withColumn("_back", -F.col(seq))
-    seen = running(rows, [key], ["_back"], Running("next_written", "last", F.when(F.col("writers") > 0, F.col(seq)), before=True))
+    written = Running("next_written", "last", F.when(F.col("writers") > 0, F.col(seq)), before=True)
+    seen = running(rows, [key], ["_back"], written, hot=hot)
     status = F.when(F.col("writers") == 0, "GAP").otherwise("OVERLAP")
     bad = seen.filter(F.col("writers") != 1).withColumn("status", status)
     return bad.withColumn("repaired_by", F.when(F.col("writers") == 0, F.col("next_written"))).drop("_back", "next_written")

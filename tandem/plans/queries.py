@@ -12,6 +12,7 @@ from tandem.functions import scalars
 from tandem.operators import (
     alerts, cutover, fold, handoff, lag, leases, metrics, modes, savepoints, status, upsert, verify,
 )
+from tandem.session import stored
 from tandem.sources import testdata as t
 from tandem.sources import topics
 
@@ -131,9 +132,14 @@ def mode_timeline(spark, sf_dir):
     return modes.mode_timeline(t.control_signals(spark, sf_dir), t.pairs(spark, sf_dir))
 
 
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records both copies of a pair would write."""
+    return t.known_business_events(spark, sf_dir).select("pair_id", "seq", "event_id", "customer_id", "event_ts_ms")
+
+
 def _writes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The records both copies of a pair would write, with the modes in force."""
-    records = t.known_business_events(spark, sf_dir).select("pair_id", "seq", "event_id", "customer_id", "event_ts_ms")
+    """Those records with the modes in force."""
+    records = _records(spark, sf_dir)
     return modes.modes_at_write(records, t.control_signals(spark, sf_dir), t.pairs(spark, sf_dir), "event_ts_ms", "seq")
 
 
@@ -150,7 +156,8 @@ def shadow_gate_counts(spark, sf_dir):
 
 @query
 def handoff_coverage(spark, sf_dir):
-    return modes.handoff_coverage(_writes(spark, sf_dir), "customer_id", "seq").drop("event_ts_ms")
+    hot = modes.hot_writers(_records(spark, sf_dir), "customer_id", "seq")
+    return modes.handoff_coverage(_writes(spark, sf_dir), "customer_id", "seq", hot).drop("event_ts_ms")
 
 
 @query
@@ -266,12 +273,12 @@ def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def sustained_alerts(spark, sf_dir):
-    return alerts.sustained_alerts(_samples(spark, sf_dir), ALERT_RULES)
+    return alerts.sustained_alerts(stored(_samples(spark, sf_dir), "samples"), ALERT_RULES)
 
 
 @query
 def metrics_long(spark, sf_dir):
-    outcomes = handoff_outcomes(spark, sf_dir)
+    outcomes = stored(handoff_outcomes(spark, sf_dir), "outcomes")
     end = F.lit(t.JANUARY + t.TICK * t.TICKS)
     return metrics.union_metrics(
         metrics.metric_rows(mode_timeline(spark, sf_dir), "SinkMode", scalars.mode_number(F.col("mode")), F.col("valid_from_ms"), F.col("app_id")),
@@ -305,7 +312,9 @@ def lock_holders(spark, sf_dir):
 
 @query
 def lease_intervals(spark, sf_dir):
-    return leases.lease_intervals(lease_replay(spark, sf_dir))
+    ops = t.lease_ops(spark, sf_dir)
+    hot = leases.hot_locks(ops)
+    return leases.lease_intervals(leases.lease_replay(ops, hot=hot), hot=hot)
 
 
 @query

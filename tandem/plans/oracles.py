@@ -438,7 +438,7 @@ _oracle("stream_bootstrap", "changes", sql=f"""
 _oracle("stream_shadow_counts", "business_events_ooo", sql="""
     SELECT app_id, sum(CASE WHEN (app_id = 'app1') = (seq < middle) THEN 1 ELSE 0 END)::BIGINT AS written,
            sum(CASE WHEN (app_id = 'app1') = (seq < middle) THEN 0 ELSE 1 END)::BIGINT AS dropped
-    FROM business_events_ooo, (SELECT min(seq) + (max(seq) - min(seq) + 1) // 2 AS middle FROM business_events_ooo), (VALUES ('app1'), ('app2')) a(app_id)
+    FROM business_events_ooo, (SELECT min(seq) + (max(seq) - min(seq) + 2) // 2 AS middle FROM business_events_ooo), (VALUES ('app1'), ('app2')) a(app_id)
     GROUP BY app_id""")
 _oracle("stream_watermark", "business_events", sql="""
     SELECT event_ts_ms // 3600000 * 3600000 AS hour_ms, event_type, count(*) AS events FROM business_events

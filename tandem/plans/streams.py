@@ -24,12 +24,8 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.to_business_events(_stream(spark, sf_dir, "events"))
 
 
-def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t.to_control_log(_stream(spark, sf_dir, "orders"))
-
-
 def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _log(spark, sf_dir).filter(~F.col("signal_type").isin(*t.LOG_ONLY))
+    return t.to_control_log(_stream(spark, sf_dir, "orders")).filter(~F.col("signal_type").isin(*t.LOG_ONLY))
 
 
 @query
@@ -54,26 +50,38 @@ def _changes(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("offset").alias("seq"), "event_id", *fold.STATE_COLUMNS)
 
 
+def _staged(spark: SparkSession, rows: DataFrame, position: str, folder: str, transform, parts: int = 1) -> DataFrame:
+    """Replay a table slice by slice through a stream that keeps its checkpoint, and give back what it wrote."""
+    for path in runtime.stage(rows, position, f"{folder}/topic", parts):
+        out = transform(runtime.stream_table(spark, path))
+        runtime.start_to_table(out, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{folder}/out")
+
+
+def _changes(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("offset").alias("seq"), "event_id", *fold.STATE_COLUMNS)
+
+
 @query
 def stream_customer_state(spark, sf_dir):
-    return _changes(runtime.run_to_table(state.stream_customer_state(_events(spark, sf_dir)), run_dir(spark, "stream_customer_state")))
+    folder = run_dir(spark, "stream_customer_state")
+    return _changes(_staged(spark, t.known_business_events(spark, sf_dir), "seq", folder, state.stream_customer_state))
 
 
 @query
 def stream_customer_state_chunked(spark, sf_dir):
-    """The same changes without Python processors, batch by batch, over two slices of arrival."""
+    """The same changes without Python processors, batch by batch, over at least two slices of arrival."""
     folder = run_dir(spark, "stream_customer_state_chunked")
-    events = t.business_events(spark, sf_dir)
     batches = state.BatchFold(spark, folder)
-    for _ in runtime.stage(events, runtime.halves(events, "seq", 2), f"{folder}/topic"):
-        runtime.run_batches(runtime.stream_table(spark, f"{folder}/topic"), batches, f"{folder}/checkpoint")
+    for path in runtime.stage(t.known_business_events(spark, sf_dir), "seq", f"{folder}/topic", 2):
+        runtime.run_batches(runtime.stream_table(spark, path), batches, f"{folder}/checkpoint")
     return batches.changes()
 
 
 @query
 def state_snapshot_read(spark, sf_dir):
     folder = run_dir(spark, "state_snapshot_read")
-    runtime.run_to_table(state.stream_customer_state(_events(spark, sf_dir)), folder)
+    _staged(spark, t.known_business_events(spark, sf_dir), "seq", folder, state.stream_customer_state)
     return state.read_snapshot(spark, f"{folder}/checkpoint").select(*fold.STATE_COLUMNS)
 
 
@@ -81,13 +89,13 @@ def state_snapshot_read(spark, sf_dir):
 def stream_bootstrap(spark, sf_dir):
     """A second copy that starts from a snapshot in the middle and reads only what came after it."""
     folder = run_dir(spark, "stream_bootstrap")
-    events = t.business_events(spark, sf_dir)
-    middle = events.agg(F.expr("max(seq) div 2").alias("at")).first()["at"]
+    events = t.known_business_events(spark, sf_dir)
+    middle = t.business_events(spark, sf_dir).agg(F.expr("max(seq) div 2").alias("at")).first()["at"]
     before = fold.customer_state_changes(events.filter(F.col("seq") <= middle))
     fold.latest_state(before).write.parquet(f"{folder}/snapshot")
     snapshot = spark.read.parquet(f"{folder}/snapshot")
-    after = _events(spark, sf_dir).filter(F.col("seq") > middle)
-    return _changes(runtime.run_to_table(state.stream_customer_state(after, snapshot), folder))
+    after = events.filter(F.col("seq") > middle)
+    return _changes(_staged(spark, after, "seq", folder, lambda rows: state.stream_customer_state(rows, snapshot)))
 
 
 TABLE = (
@@ -103,17 +111,17 @@ def _to_sink(write):
 
 def _shadow_pair(spark: SparkSession, sf_dir: str, folder: str) -> tuple[sinks.NewerWinsTable, sinks.GateCounts]:
     """Both copies fold the same topic from their own positions; the roles change after the first half."""
-    events = t.business_events_ooo(spark, sf_dir)
     table = sinks.NewerWinsTable(spark, f"{folder}/table", TABLE, "customer_id", "last_updated_ms", "seq")
     counts = sinks.GateCounts(spark, f"{folder}/counts")
-    for part in runtime.stage(events, runtime.halves(events, "seq", 2), f"{folder}/topic"):
-        if part == 1:
+    paths = list(runtime.stage(t.business_events_ooo(spark, sf_dir), "seq", f"{folder}/topic", 2))
+    for part, path in enumerate(paths):
+        if part == len(paths) // 2:
             swap = [("app1", SHADOW, 1, 0), ("app2", ACTIVE, 2, 0)]
             spark.createDataFrame(swap, "app_id string, mode string, offset bigint, trace_no bigint").write.parquet(f"{folder}/modes")
         for app, initial in (("app1", ACTIVE), ("app2", SHADOW)):
             mode = sinks.mode_from_table(spark, f"{folder}/modes", initial)
             sink = sinks.shadow_sink(app, _to_sink(table.writer(app)), mode, counts)
-            changes = state.stream_customer_state(runtime.stream_table(spark, f"{folder}/topic"))
+            changes = state.stream_customer_state(runtime.stream_table(spark, path))
             runtime.run_batches(changes, sink, f"{folder}/checkpoint-{app}")
     return table, counts
 
@@ -137,27 +145,30 @@ def stream_cutover(spark, sf_dir):
     agreed.write.parquet(f"{folder}/cutover")
     offsets = spark.read.parquet(f"{folder}/cutover")
     table = sinks.NewerWinsTable(spark, f"{folder}/table", TABLE, "customer_id", "last_updated_ms", "seq")
-    for side, app in (("OLD", "app1"), ("NEW", "app2")):
-        sink = sinks.cutover_sink(side, _to_sink(table.writer(app)), offsets)
-        changes = state.stream_customer_state(t.shuffled(_events(spark, sf_dir)))
-        pair = (F.col("customer_id").cast("bigint") % t.PAIRS).cast("int")
-        runtime.run_batches(changes.withColumn("pair_id", pair), sink, f"{folder}/checkpoint-{app}")
+    pair = (F.col("customer_id").cast("bigint") % t.PAIRS).cast("int")
+    for path in runtime.stage(events, "seq", f"{folder}/topic"):
+        for side, app in (("OLD", "app1"), ("NEW", "app2")):
+            sink = sinks.cutover_sink(side, _to_sink(table.writer(app)), offsets)
+            changes = state.stream_customer_state(runtime.stream_table(spark, path))
+            runtime.run_batches(changes.withColumn("pair_id", pair), sink, f"{folder}/checkpoint-{app}")
     return table.read()
 
 
 @query
 def stream_mode(spark, sf_dir):
-    changes = control.stream_modes(_signals(spark, sf_dir), F.col("app_id").startswith("app1-"))
-    return runtime.run_to_table(changes, run_dir(spark, "stream_mode"))
+    folder, first = run_dir(spark, "stream_mode"), F.col("app_id").startswith("app1-")
+    return _staged(spark, t.control_signals(spark, sf_dir), "offset", folder, lambda rows: control.stream_modes(rows, first))
 
 
 @query
 def stream_heartbeat_watchdog(spark, sf_dir):
-    beats = t.to_heartbeats(_stream(spark, sf_dir, "events"))
-    return runtime.run_to_table(control.stream_heartbeat_watchdog(beats, 24 * t.HOUR, event_time=True), run_dir(spark, "stream_heartbeat_watchdog"))
+    folder = run_dir(spark, "stream_heartbeat_watchdog")
+    watch = lambda rows: control.stream_heartbeat_watchdog(rows, 24 * t.HOUR, event_time=True)
+    return _staged(spark, t.heartbeats(spark, sf_dir), "ts_ms", folder, watch)
 
 
 @query
 def stream_handoff_progress(spark, sf_dir):
-    progress = control.stream_handoff_progress(_log(spark, sf_dir), event_time=True)
-    return runtime.run_to_table(progress, run_dir(spark, "stream_handoff_progress"))
+    folder = run_dir(spark, "stream_handoff_progress")
+    progress = lambda rows: control.stream_handoff_progress(rows, event_time=True)
+    return _staged(spark, t.control_log(spark, sf_dir), "offset", folder, progress)

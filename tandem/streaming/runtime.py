@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -15,11 +15,11 @@ def use_state_store(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
 
 
-def stream_table(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
-    """A stored parquet table (a file or a folder of files) read as a stream."""
+def stream_table(spark: SparkSession, path: str, max_bytes: str | None = None) -> DataFrame:
+    """A stored parquet table (a file or a folder of files) read as a stream, optionally bounded per micro-batch."""
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
-    if max_files:
-        reader = reader.option("maxFilesPerTrigger", max_files)
+    if max_bytes:
+        reader = reader.option("maxBytesPerTrigger", max_bytes)
     return reader.parquet(f"{path}*")
 
 
@@ -46,20 +46,26 @@ def run_batches(df: DataFrame, write_batch, checkpoint: str) -> None:
     start_batches(df, write_batch, checkpoint).awaitTermination()
 
 
-def stage(rows: DataFrame, cuts: Sequence[Column], folder: str):
-    """Write a table to ``folder`` in slices that arrive one after the other, yielding after each.
+# Rows of a staged slice, which is one micro-batch: a key's share of it is sorted in one task.
+SLICE_ROWS = 10_000_000
+FILES_PER_SLICE = 8
 
-    ``cuts`` are the conditions of the slices. A stream over the folder that is started after each slice sees
-    it as its next micro-batch, and goes through a restart in between.
-    """
-    for number, condition in enumerate(cuts):
-        rows.filter(condition).write.mode("append").parquet(folder)
-        yield number
 
+def stage(rows: DataFrame, position: str, folder: str, parts: int = 1) -> Iterator[str]:
+    """Write a table in slices of a position column and give their folders in order.
 
-def halves(rows: DataFrame, column: str, parts: int) -> list[Column]:
-    """Conditions that cut a table into ``parts`` ranges of a position column."""
-    low, high = rows.agg(F.min(column), F.max(column)).first()
-    bounds = [low + (high - low + 1) * i // parts for i in range(parts + 1)]
-    at = F.col(column)
-    return [(at >= bounds[i]) & (at < bounds[i + 1]) for i in range(parts)]
+    A stream that is started on each slice in turn, with one checkpoint, gets the table in arrival order and in
+    micro-batches of bounded size, and goes through a restart in between. The table is written in one pass, in
+    at least ``parts`` slices.
+    """
+    low, high, count = rows.agg(F.min(position), F.max(position), F.count(F.lit(1))).first()
+    parts = max(parts, -(-count // SLICE_ROWS))
+    number = F.expr(f"(({position} - {low}) * {parts}) div {high - low + 1}")
+    files = F.pmod(F.xxhash64(position), F.lit(FILES_PER_SLICE))
+    sliced = rows.withColumn("slice", number).repartition("slice", files)
+    sliced.write.partitionBy("slice").parquet(folder)
+    # folder names only; one row per slice
+    filled = {row["slice"] for row in rows.sparkSession.read.parquet(folder).select("slice").distinct().collect()}
+    for part in range(parts):
+        if part in filled:
+            yield f"{folder}/slice={part}"

@@ -22,11 +22,6 @@ TABLE = (
 )
 
 
-def arrive(spark, df, folder, parts):
-    """Append ``parts`` slices by arrival, giving control back after each."""
-    yield from runtime.stage(df, runtime.halves(df, "seq", parts), folder)
-
-
 def changes_of(df):
     return rows(df.select(F.col("offset").alias("seq"), "event_id", *fold.STATE_COLUMNS))
 
@@ -35,8 +30,8 @@ def changes_of(df):
 def test_late_and_unsorted_rows_all_fold_across_restarts(spark, parts):
     folder = run_dir(spark, "test-fold")
     events = t.business_events_ooo(spark, SF)
-    for _ in arrive(spark, events, f"{folder}/topic", parts):
-        changes = state.stream_customer_state(runtime.stream_table(spark, f"{folder}/topic"))
+    for path in runtime.stage(events, "seq", f"{folder}/topic", parts):
+        changes = state.stream_customer_state(runtime.stream_table(spark, path))
         runtime.start_to_table(changes, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
     got = spark.read.parquet(f"{folder}/out")
     expected = fold.customer_state_changes(events)
@@ -63,8 +58,8 @@ def test_batch_fold_across_batches(spark, request, split):
     events = t.business_events_ooo(spark, SF)
     # full state sets at batches 2 and 4, so later batches start from them
     batches = state.BatchFold(spark, folder, full_every=2)
-    for _ in arrive(spark, events, f"{folder}/topic", 6):
-        runtime.run_batches(runtime.stream_table(spark, f"{folder}/topic"), batches, f"{folder}/checkpoint")
+    for path in runtime.stage(events, "seq", f"{folder}/topic", 6):
+        runtime.run_batches(runtime.stream_table(spark, path), batches, f"{folder}/checkpoint")
     expected = fold.customer_state_changes(events)
     assert rows(batches.changes()) == rows(expected)
     assert rows(batches.states()) == rows(fold.latest_state(expected))
@@ -155,10 +150,10 @@ def test_cutover_writes_each_record_once(spark):
 
 def test_signal_handler_sees_every_delivered_signal_once(spark):
     folder = run_dir(spark, "test-handler")
-    signals = t.control_signals(spark, SF).withColumnRenamed("trace_no", "seq")
+    signals = t.control_signals(spark, SF)
     seen = []
-    for _ in arrive(spark, signals, f"{folder}/topic", 2):
-        stream = topics.encode_control_signals(runtime.stream_table(spark, f"{folder}/topic"))
+    for path in runtime.stage(signals, "offset", f"{folder}/topic", 2):
+        stream = topics.encode_control_signals(runtime.stream_table(spark, path))
         runtime.run_batches(stream, lambda df, i: seen.append(df.count()), f"{folder}/checkpoint")
     assert len(seen) == 2 and sum(seen) == signals.count()
 
@@ -171,12 +166,9 @@ def progress(df):
 def test_handoff_progress_across_restarts_equals_the_audit(spark):
     folder = run_dir(spark, "test-progress")
     log = t.control_log(spark, SF)
-    low, high = log.agg(F.min("offset"), F.max("offset")).first()
-    cuts = [low + (high + 1 - low) * i // 4 for i in range(5)]
     # the log arrives in order of time, as a topic does
-    conditions = [(F.col("offset") >= cuts[i]) & (F.col("offset") < cuts[i + 1]) for i in range(4)]
-    for _ in runtime.stage(log, conditions, f"{folder}/topic"):
-        stream = control.stream_handoff_progress(runtime.stream_table(spark, f"{folder}/topic"), event_time=True)
+    for path in runtime.stage(log, "offset", f"{folder}/topic", 4):
+        stream = control.stream_handoff_progress(runtime.stream_table(spark, path), event_time=True)
         runtime.start_to_table(stream, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
     last = log.agg(F.max("timestamp")).first()[0]
     assert progress(spark.read.parquet(f"{folder}/out")) == progress(handoff.handoff_outcomes(log).filter(F.col("finished_ms") <= last))
@@ -184,9 +176,9 @@ def test_handoff_progress_across_restarts_equals_the_audit(spark):
 
 def test_modes_across_restarts(spark):
     folder = run_dir(spark, "test-modes")
-    signals = t.control_signals(spark, SF).withColumn("seq", F.col("offset"))
-    for _ in arrive(spark, signals, f"{folder}/topic", 3):
-        stream = control.stream_modes(runtime.stream_table(spark, f"{folder}/topic"), F.col("app_id").startswith("app1-"))
+    signals = t.control_signals(spark, SF)
+    for path in runtime.stage(signals, "offset", f"{folder}/topic", 3):
+        stream = control.stream_modes(runtime.stream_table(spark, path), F.col("app_id").startswith("app1-"))
         runtime.start_to_table(stream, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
     from tandem.operators import modes
 

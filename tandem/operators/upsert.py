@@ -43,3 +43,10 @@ def conditional_write_audit(writes: DataFrame, key: str, version: str, order: Se
     seen = running(writes, [key], order, Running("stored_version", "max", F.col(version), before=True))
     accepted = F.col("stored_version").isNull() | (F.col(version) > F.col("stored_version"))
     return seen.withColumn("accepted", accepted)
+
+
+def key_value_items(states: DataFrame) -> DataFrame:
+    """States as items for a key-value store: every field as text, missing fields left out."""
+    names = F.array(*[F.lit(c) for c in states.columns])
+    values = F.array(*[F.col(c).cast("string") for c in states.columns])
+    return states.select(F.map_filter(F.map_from_arrays(names, values), lambda _, v: v.isNotNull()).alias("item"))

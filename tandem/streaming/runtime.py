@@ -47,7 +47,7 @@ def run_batches(df: DataFrame, write_batch, checkpoint: str) -> None:
 
 
 # Rows of a staged slice, which is one micro-batch: a key's share of it is sorted in one task.
-SLICE_ROWS = 10_000_000
+SLICE_ROWS = 4_000_000
 FILES_PER_SLICE = 8
 
 

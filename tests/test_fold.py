@@ -139,3 +139,8 @@ def test_split_anywhere_gives_the_same_state(spark):
     df = spark.createDataFrame(events(9, 120), SCHEMA)
     for at in (0, 17, 60, 118):
         assert {r.status for r in verify.split_invariance(df, at).collect()} == {"MATCH"}
+
+
+def test_items_for_a_key_value_store(spark):
+    row = spark.createDataFrame([("a", 2, Decimal("1.50"), None)], "customer_id string, order_count int, total_amount decimal(18,2), last_event_type string")
+    assert upsert.key_value_items(row).first().item == {"customer_id": "a", "order_count": "2", "total_amount": "1.50"}

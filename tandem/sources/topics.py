@@ -74,7 +74,9 @@ def read_control_records(raw: DataFrame) -> DataFrame:
     """
     kept = [c for c in raw.columns if c != "value"]
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
-    rows = raw.withColumn("v", F.from_json("value", _CONTROL_JSON, options))
+    # exploding the one record keeps filters above the parser, which would otherwise run once per use
+    parsed = F.explode(F.array(F.from_json("value", _CONTROL_JSON, options)))
+    rows = raw.select(*kept, parsed.alias("v"))
     keys_ok = F.coalesce(F.forall(F.map_keys("v.cutoverOffsets"), lambda k: k.rlike(r"^\d{1,9}$")), F.lit(True))
     readable = F.col("v").isNotNull() & F.col("v._bad").isNull() & F.col("v.signalType").isin(*SIGNAL_TYPES) & keys_ok
     rows = rows.withColumn("readable", F.coalesce(readable, F.lit(False)))

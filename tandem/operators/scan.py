@@ -18,7 +18,7 @@ ROWS_PER_CHUNK_CONF = "tandem.scan.rowsPerChunk"
 ROWS_PER_CHUNK = 2_000_000
 # A key over 1/MAX_HOT_KEYS of all rows is always among the collected ones, so what is collected and
 # broadcast has a fixed bound while the largest unsplit key stays below that share.
-MAX_HOT_KEYS = 10_000
+MAX_HOT_KEYS = 50_000
 # Chunks are cut at equal widths of the order column; cutting finer absorbs uneven density.
 OVERSPLIT = 4
 

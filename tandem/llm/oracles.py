@@ -37,12 +37,12 @@ WITH RECURSIVE w AS (
 ), links AS (
   SELECT x, y FROM pairs JOIN s a ON a.doc_id = x JOIN s b ON b.doc_id = y
   WHERE 100 * shared >= 90 * (len(a.grams) + len(b.grams) - shared)
-), both AS (
+), two_way AS (
   SELECT x, y FROM links UNION ALL SELECT y, x FROM links
 ), reach AS (
   SELECT doc_id AS root, doc_id AS node FROM s
   UNION
-  SELECT r.root, b.y FROM reach r JOIN both b ON b.x = r.node
+  SELECT r.root, b.y FROM reach r JOIN two_way b ON b.x = r.node
 ), lowest AS (
   SELECT root, min(node) AS component_id FROM reach GROUP BY root
 )

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tandem.llm import text as tx
+from tandem.session import stored
 
 K1, B = 1.2, 0.75
 PASSAGE_WORDS, PASSAGE_STEP = 64, 32
@@ -205,10 +206,10 @@ def _pass(docs: DataFrame, index) -> DataFrame:
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
-    """The test items in blocks of bounded size, in the order of their ids."""
+    """The test items in blocks of bounded size."""
     items = benchmark.select(F.col(item_col).cast("bigint").alias("i"), F.col(text_col).cast("string").alias("t")).filter("i is not null and t is not null")
     held, size = [], 0
-    for row in items.distinct().orderBy("i", "t").toLocalIterator():
+    for row in stored(items.distinct(), "test-items").toLocalIterator():
         held.append((row["i"], row["t"]))
         size += len(row["t"])
         if size >= INDEX_BYTES:

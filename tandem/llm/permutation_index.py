@@ -143,7 +143,7 @@ def search(index: DataFrame, queries: DataFrame, top: int = 5, pivots: int = PIV
         return index.mapInArrow(rows, _HITS)
 
     held, parts = [], []
-    for row in queries.dropDuplicates(["vec_id"]).toLocalIterator():
+    for row in stored(queries.dropDuplicates(["vec_id"]), "queries").toLocalIterator():
         held.append(row)
         if len(held) == QUERY_BLOCK:
             parts.append(block(held))

@@ -17,6 +17,8 @@ _U = np.uint64
 _BASE = 0xA0761D6478BD642F
 _BYTES = np.random.Generator(np.random.PCG64(23)).integers(1, 1 << 63, 256, dtype=np.uint64)
 _PLACE = (1 << 20) - 1
+# Positions of a run that round three ranks together.
+BLOCK = 8
 _arrays: dict[str, np.ndarray] = {}
 
 
@@ -102,7 +104,7 @@ def _runs(data: np.ndarray, places: np.ndarray, length: int, size: int) -> Itera
         whole = prints.at(lo, hi + length, 2) + (a - lo).astype(np.uint64)
         first = np.searchsorted(places, begin + lo, "right") - 1
         # texts of no bytes share their place with the next one
-        yield first, begin + lo - places[first], begin + hi - places[first], keys[a], whole
+        yield first, begin + lo - places[first], begin + hi - places[first], begin + a - places[first], keys[a], whole
 
 
 def _items(docs: DataFrame, length: int, size: int) -> DataFrame:
@@ -110,40 +112,68 @@ def _items(docs: DataFrame, length: int, size: int) -> DataFrame:
         for batch in batches:
             data, places = tx.buffers(batch.column("text"))
             ids, ties = batch.column("doc").to_numpy(zero_copy_only=False), batch.column("tie").to_numpy(zero_copy_only=False)
-            for text, lo, hi, key, whole in _runs(data, places, length, size):
+            for text, lo, hi, anchor, key, whole in _runs(data, places, length, size):
                 yield pa.record_batch(
-                    [pa.array(key.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(ids[text]), pa.array(ties[text]), pa.array(lo), pa.array(hi)],
-                    ["key", "whole", "doc", "tie", "lo", "hi"],
+                    [pa.array(key.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(ids[text]), pa.array(ties[text]), pa.array(lo), pa.array(hi), pa.array(anchor)],
+                    ["key", "whole", "doc", "tie", "lo", "hi", "anchor"],
                 )
 
-    return docs.select("doc", "tie", "text").mapInArrow(rows, "key bigint, whole bigint, doc bigint, tie bigint, lo bigint, hi bigint")
+    return docs.select("doc", "tie", "text").mapInArrow(rows, "key bigint, whole bigint, doc bigint, tie bigint, lo bigint, hi bigint, anchor bigint")
 
 
-def _positions(docs: DataFrame, length: int) -> DataFrame:
-    """The rank pair of every asked position: the ranks of its first and second half of ``length`` bytes."""
-    half = length // 2
+def _ranked(docs: DataFrame, rank) -> DataFrame:
+    """Rows of ``rank(prints, begin, asked)`` for the spans asked of each text: a rank pair and the span it stands for."""
 
     def rows(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc, tie, text, asked in zip(*(batch.column(c) for c in ("doc", "tie", "text", "asked")), strict=True):
                 data = np.frombuffer(text.as_buffer(), np.uint8)
-                spans = np.array([(s["lo"], s["hi"]) for s in asked.as_py()], np.int64)
+                spans = np.array([(s["lo"], s["hi"], s["anchor"], s["end"]) for s in asked.as_py()], np.int64)
                 spans = spans[np.argsort(spans[:, 0], kind="stable")]
-                step = tx.BLOCK_BYTES // 2
-                block = spans[:, 0] // step
+                block = spans[:, 0] // (tx.BLOCK_BYTES // 2)
                 for number in np.unique(block):
                     own = spans[block == number]
-                    begin, end = int(own[0, 0]), int(own[:, 1].max()) + length
-                    prints = _Prints(data[begin:end])
-                    at = np.unique(np.concatenate([np.arange(lo, hi + 1) for lo, hi in own])) - begin
-                    left, right = prints.at(at, at + half, 3), prints.at(at + half, at + length, 4)
-                    n = len(at)
-                    yield pa.record_batch(
-                        [pa.array(left.view(np.int64)), pa.array(right.view(np.int64)), pa.array(np.full(n, doc.as_py())), pa.array(np.full(n, tie.as_py())), pa.array(at + begin)],
-                        ["left", "right", "doc", "tie", "lo"],
-                    )
+                    begin = int(own[0, 0])
+                    found = rank(_Prints(data[begin : int(own[:, 3].max())]), begin, own)
+                    n = len(found[0])
+                    columns = [found[0].view(np.int64), found[1].view(np.int64), np.full(n, doc.as_py()), np.full(n, tie.as_py()), *found[2:]]
+                    yield pa.record_batch([pa.array(c) for c in columns], ["left", "right", "doc", "tie", "lo", "hi", "anchor"])
+
+    schema = "left bigint, right bigint, doc bigint, tie bigint, lo bigint, hi bigint, anchor bigint"
+    return docs.select("doc", "tie", "text", "asked").mapInArrow(rows, schema)
+
+
+def _cores(docs: DataFrame, length: int, block: int) -> DataFrame:
+    """Blocks of ``block`` positions of each asked run, at fixed distances from its sampled suffix, with the rank of the
+    bytes that all strings of the block share: equal strings lie in blocks of equal rank."""
+
+    def rank(prints: _Prints, begin: int, spans: np.ndarray) -> tuple:
+        lo, hi, anchor = spans[:, 0], spans[:, 1], spans[:, 2]
+        near, far = (anchor - hi) // block, (anchor - lo) // block
+        count = far - near + 1
+        run = np.repeat(np.arange(len(spans)), count)
+        number = np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count) + near[run]
+        last = anchor[run] - number * block
+        end = last - block + 1 + length
+        first = last - begin
+        left = prints.at(first, end - begin, 3) + number.astype(np.uint64)
+        right = prints.at(anchor[run] - begin, end - begin, 4)
+        return left, right, np.maximum(lo[run], last - block + 1), np.minimum(hi[run], last), anchor[run]
+
+    return _ranked(docs, rank)
+
+
+def _positions(docs: DataFrame, length: int) -> DataFrame:
+    """The rank pair of every asked position: the ranks of its first and second half of ``length`` bytes."""
+    half = length // 2
 
-    return docs.select("doc", "tie", "text", "asked").mapInArrow(rows, "left bigint, right bigint, doc bigint, tie bigint, lo bigint")
+    def rank(prints: _Prints, begin: int, spans: np.ndarray) -> tuple:
+        count = spans[:, 1] - spans[:, 0] + 1
+        at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(spans[:, 0], count)
+        first = at - begin
+        return prints.at(first, first + half, 3), prints.at(first + half, first + length, 4), at, at, at
+
+    return _ranked(docs, rank)
 
 
 def _cut(docs: DataFrame) -> DataFrame:
@@ -174,31 +204,44 @@ def _cut(docs: DataFrame) -> DataFrame:
     return docs.select("doc", "text", "spans").mapInArrow(rows, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
+def _shared_ranks(ranked: DataFrame) -> DataFrame:
+    return ranked.groupBy("left", "right").agg(F.min(F.struct("doc", "tie", "lo")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+
+
+def _asking(rows: DataFrame, spans: DataFrame, length: int) -> DataFrame:
+    """Texts that have spans, with these as a list."""
+    asked = F.collect_list(F.struct("lo", "hi", "anchor", (F.col("hi") + length).alias("end"))).alias("asked")
+    texts = rows.select("doc", "tie", F.col("text").cast("binary").alias("text"))
+    return texts.join(spans.groupBy("doc", "tie").agg(asked), ["doc", "tie"]).dropDuplicates(["doc", "tie"])
+
+
 def repeated_spans(rows: DataFrame, length: int) -> DataFrame:
     """``(doc, tie, lo, end)``: byte ranges covered by strings of ``length`` bytes that also start earlier.
 
-    Ranks are 64-bit names of byte strings. Round one ranks the sampled suffixes by their first bytes and drops
-    those of unique rank. Round two ranks whole runs of neighbouring positions: all but the first run of a rank
-    are repeated. Round three ranks every position of the first runs that still share a sampled suffix with another
-    one, by the pair of ranks of its two halves, past the threshold.
+    Ranks are 64-bit names of byte strings, and only what shares its rank goes on to a longer offset. Round one ranks
+    the sampled suffixes by their first bytes. Round two ranks whole runs of neighbouring positions: all but the first
+    run of a rank are repeated. Round three ranks, of the first runs that still share a sampled suffix, blocks of
+    positions by the bytes common to their strings. Round four ranks the positions that are left by the pair of ranks of
+    their two halves, past the threshold.
     """
     size = max(1, length * 36 // 100)
     known = rows.filter("doc is not null")
     items = _items(known, length, size)
     shared = items.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
     alive = stored(items.join(shared, "key", "left_semi"), "alive-suffixes")
-    classes = stored(alive.groupBy("key", "whole").agg(F.min(F.struct("doc", "tie", "lo")).alias("first"), F.max("hi").alias("hi")), "runs")
     here = F.struct("doc", "tie", "lo")
-    later = alive.join(classes.select("key", "whole", "first"), ["key", "whole"]).filter(here != F.col("first"))
-    later = later.select("doc", "tie", "lo", (F.col("hi") + length).alias("end"))
+    classes = alive.groupBy("key", "whole").agg(F.min(here).alias("first"), F.count(F.lit(1)).alias("n"))
+    classes = stored(classes, "runs")
     several = classes.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    openings = alive.join(classes.select("key", "whole", "first"), ["key", "whole"]).filter(here == F.col("first")).join(several, "key", "left_semi")
-    asked = openings.groupBy("doc", "tie").agg(F.collect_set(F.struct("lo", "hi")).alias("asked"))
-    asked = stored(asked, "asked-positions")
-    texts = known.select("doc", "tie", F.col("text").cast("binary").alias("text")).join(asked, ["doc", "tie"]).dropDuplicates(["doc", "tie"])
-    ranked = stored(_positions(texts, length), "rank-pairs")
-    earliest = ranked.groupBy("left", "right").agg(F.min(here).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    again = ranked.join(earliest, ["left", "right"]).filter(here != F.col("first"))
+    later = alive.join(classes.filter("n > 1").select("key", "whole", "first"), ["key", "whole"]).filter(here != F.col("first"))
+    later = later.select("doc", "tie", "lo", (F.col("hi") + length).alias("end"))
+    # the first run of a rank is in the aggregate itself, but for its extent, which all runs of the rank share
+    opening = classes.join(several, "key", "left_semi").select("key", "whole", F.col("first.doc").alias("doc"), F.col("first.tie").alias("tie"), F.col("first.lo").alias("lo"))
+    opening = alive.join(opening, ["key", "whole", "doc", "tie", "lo"], "left_semi").select("doc", "tie", "lo", "hi", "anchor")
+    cores = stored(_cores(_asking(known, opening, length), length, BLOCK if size > BLOCK else 1), "cores")
+    blocks = cores.join(_shared_ranks(cores), ["left", "right"]).select("doc", "tie", "lo", "hi", "anchor")
+    ranked = stored(_positions(_asking(known, blocks, length), length), "rank-pairs").select("left", "right", "doc", "tie", "lo")
+    again = ranked.join(_shared_ranks(ranked), ["left", "right"]).filter(here != F.col("first"))
     again = again.select("doc", "tie", "lo", (F.col("lo") + length).alias("end"))
     return later.unionByName(again)
 
@@ -218,6 +261,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     twice = stored(rows.groupBy("doc").count().filter("count > 1 and doc is not null").select("doc", F.lit(True).alias("twice")), "repeated-ids")
     rows = rows.join(twice, "doc", "left").withColumn("tie", F.when(F.col("twice"), F.xxhash64("text")).otherwise(F.lit(0).cast("bigint")))
     rows = rows.select("doc", "tie", "text")
-    spans = repeated_spans(rows, length).distinct().groupBy("doc", "tie").agg(F.collect_list(F.struct("lo", "end")).alias("spans"))
+    spans = repeated_spans(rows, length).groupBy("doc", "tie").agg(F.collect_list(F.struct("lo", "end")).alias("spans"))
     spans = stored(spans, "spans")
     return _cut(rows.withColumn("text", F.col("text").cast("binary")).join(spans, ["doc", "tie"], "left"))

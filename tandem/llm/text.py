@@ -51,8 +51,9 @@ def mix(values: np.ndarray, salt: int = 0) -> np.ndarray:
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound the rows of an Arrow batch, since a text may be long."""
+    """Bound the rows of an Arrow batch, since a text may be long, and let finished jobs free their shuffle files."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

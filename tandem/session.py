@@ -57,4 +57,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write an intermediate result that is read more than once to the shared folder, and read it back."""
     path = run_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``stored`` gave, once nothing that is still to run reads them."""
+    for table in tables:
+        remove(table.sparkSession, table.stored_at)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of this session below the shared folder."""
+    if not folder.startswith(f"{shared_dir(spark)}/"):
+        raise ValueError(f"{folder} is not in the shared folder")
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tandem.llm import text as tx
-from tandem.session import stored
+from tandem.session import discard, stored
 
 _U = np.uint64
 _BASE = 0xA0761D6478BD642F
@@ -216,7 +216,7 @@ def _asking(rows: DataFrame, spans: DataFrame, length: int) -> DataFrame:
 
 
 def repeated_spans(rows: DataFrame, length: int) -> DataFrame:
-    """``(doc, tie, lo, end)``: byte ranges covered by strings of ``length`` bytes that also start earlier.
+    """``(doc, tie, spans)``: the byte ranges of a text covered by strings of ``length`` bytes that also start earlier.
 
     Ranks are 64-bit names of byte strings, and only what shares its rank goes on to a longer offset. Round one ranks
     the sampled suffixes by their first bytes. Round two ranks whole runs of neighbouring positions: all but the first
@@ -240,10 +240,15 @@ def repeated_spans(rows: DataFrame, length: int) -> DataFrame:
     opening = alive.join(opening, ["key", "whole", "doc", "tie", "lo"], "left_semi").select("doc", "tie", "lo", "hi", "anchor")
     cores = stored(_cores(_asking(known, opening, length), length, BLOCK if size > BLOCK else 1), "cores")
     blocks = cores.join(_shared_ranks(cores), ["left", "right"]).select("doc", "tie", "lo", "hi", "anchor")
-    ranked = stored(_positions(_asking(known, blocks, length), length), "rank-pairs").select("left", "right", "doc", "tie", "lo")
+    ranked = _positions(_asking(known, blocks, length), length).select("left", "right", "doc", "tie", "lo")
+    ranked = stored(ranked, "rank-pairs")
+    discard(cores)
     again = ranked.join(_shared_ranks(ranked), ["left", "right"]).filter(here != F.col("first"))
     again = again.select("doc", "tie", "lo", (F.col("lo") + length).alias("end"))
-    return later.unionByName(again)
+    spans = later.unionByName(again).groupBy("doc", "tie").agg(F.collect_list(F.struct("lo", "end")).alias("spans"))
+    spans = stored(spans, "spans")
+    discard(alive, classes, ranked)
+    return spans
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100) -> DataFrame:
@@ -261,6 +266,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     twice = stored(rows.groupBy("doc").count().filter("count > 1 and doc is not null").select("doc", F.lit(True).alias("twice")), "repeated-ids")
     rows = rows.join(twice, "doc", "left").withColumn("tie", F.when(F.col("twice"), F.xxhash64("text")).otherwise(F.lit(0).cast("bigint")))
     rows = rows.select("doc", "tie", "text")
-    spans = repeated_spans(rows, length).groupBy("doc", "tie").agg(F.collect_list(F.struct("lo", "end")).alias("spans"))
-    spans = stored(spans, "spans")
+    spans = repeated_spans(rows, length)
     return _cut(rows.withColumn("text", F.col("text").cast("binary")).join(spans, ["doc", "tie"], "left"))

@@ -14,8 +14,8 @@ from tandem.llm import text as tx
 from tandem.llm.graph import components
 from tandem.session import stored
 
-SKETCH_BITS = 20
-_SLICE = 1 << 14
+SKETCH_BITS = 22
+_SLICE = 1 << 16
 HUBS = 32
 
 _HEADS = "doc bigint, n bigint, f1 bigint, f2 bigint, p0 array<bigint>, p1 array<bigint>, p2 array<bigint>"
@@ -55,14 +55,15 @@ def _sketch(docs: DataFrame, size: int) -> np.ndarray:
     out = np.zeros(1 << SKETCH_BITS, np.uint64)
     for row in slices.collect():  # at most one row per slice of the fixed table
         out[row["part"] * _SLICE : (row["part"] + 1) * _SLICE] += np.frombuffer(zlib.decompress(row["counts"]), np.uint64)
-    return np.minimum(out, (1 << 24) - 1).astype(np.uint32)
+    return np.minimum(out, (1 << 16) - 1).astype(np.uint16)
 
 
 def _prefix(keys: np.ndarray, tokens: np.ndarray, count: int) -> np.ndarray:
-    """The tokens with the ``count`` smallest keys, and any that tie with the last of them."""
-    if count >= len(keys):
-        return tokens
-    return tokens[keys <= np.partition(keys, count - 1)[count - 1]]
+    """The ``count`` first tokens by key and then token, in that order."""
+    if count < len(keys):
+        least = keys <= np.partition(keys, count - 1)[count - 1]
+        keys, tokens = keys[least], tokens[least]
+    return tokens[np.lexsort((tokens, keys))][:count]
 
 
 def _heads(docs: DataFrame, size: int, percent: int, counts) -> DataFrame:
@@ -123,8 +124,14 @@ def _linked(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataF
     return wide.filter(shared * 100 >= union * percent).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
 
 
-def _length_fits(percent: int):
-    return F.least("x_n", "y_n") * 100 >= F.greatest("x_n", "y_n") * percent
+def _may_link(percent: int):
+    """Whether lengths and positions allow a link, if the token is the first that both prefixes share.
+
+    A link needs an overlap of ``percent`` / (100 + ``percent``) of both sizes, and no more than the rest of either set
+    from its position on can be shared.
+    """
+    rest = F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at"))
+    return (F.least("x_n", "y_n") * 100 >= F.greatest("x_n", "y_n") * percent) & (rest * (100 + percent) >= (F.col("x_n") + F.col("y_n")) * percent)
 
 
 def links(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
@@ -135,26 +142,26 @@ def links(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataF
     members against the rest (blocks double), skipping pairs that are already connected, until every list is
     done. So a large group of near copies costs about one comparison per member, and nothing is left out.
     """
-    postings = classes.select(F.explode("p0").alias("token"), "doc", "n")
-    lists = postings.groupBy("token").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("doc", "n")).alias("hub"))
+    postings = classes.select(F.posexplode("p0").alias("at", "token"), "doc", "n")
+    lists = postings.groupBy("token").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("doc", "n", "at")).alias("hub"))
     shared = stored(postings.join(lists.filter("members > 1").select("token", "hub"), "token"), "postings")
     pairs = shared.filter(F.col("doc") > F.col("hub.doc"))
-    pairs = pairs.select(F.col("hub.doc").alias("x"), F.col("doc").alias("y"), F.col("hub.n").alias("x_n"), F.col("n").alias("y_n"))
-    tested = stored(_filtered(pairs.filter(_length_fits(percent)).select("x", "y").distinct(), classes), "pairs")
+    pairs = pairs.select(F.col("hub.doc").alias("x"), F.col("doc").alias("y"), F.col("hub.n").alias("x_n"), F.col("n").alias("y_n"), F.col("hub.at").alias("x_at"), F.col("at").alias("y_at"))
+    tested = stored(_filtered(pairs.filter(_may_link(percent)).select("x", "y").distinct(), classes), "pairs")
     found = stored(_linked(tested, docs, size, percent), "found")
     first, block = 1, HUBS
     while True:
         groups = stored(components(found), "groups")
-        member = shared.select("token", "doc", "n").join(groups.withColumnRenamed("node", "doc"), "doc", "left")
+        member = shared.select("token", "doc", "n", "at").join(groups.withColumnRenamed("node", "doc"), "doc", "left")
         member = member.withColumn("component", F.coalesce("component", "doc"))
         open_lists = member.groupBy("token").agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi"))
         open_lists = open_lists.filter((F.col("lo") < F.col("hi")) & (F.col("members") > first)).select("token")
         rank = F.row_number().over(Window.partitionBy("token").orderBy("doc")) - 1
         ranked = stored(member.join(open_lists, "token", "left_semi").withColumn("rank", rank).filter(F.col("rank") >= first), "open-lists")
         hubs = ranked.filter(F.col("rank") < first + block)
-        hubs = hubs.select("token", F.col("doc").alias("x"), F.col("n").alias("x_n"), F.col("component").alias("x_c"), F.col("rank").alias("x_rank"))
-        pairs = ranked.withColumnsRenamed({"doc": "y", "n": "y_n"}).join(hubs, "token")
-        pairs = pairs.filter((F.col("rank") > F.col("x_rank")) & (F.col("component") != F.col("x_c")) & _length_fits(percent))
+        hubs = hubs.select("token", F.col("doc").alias("x"), F.col("n").alias("x_n"), F.col("at").alias("x_at"), F.col("component").alias("x_c"), F.col("rank").alias("x_rank"))
+        pairs = ranked.withColumnsRenamed({"doc": "y", "n": "y_n", "at": "y_at"}).join(hubs, "token")
+        pairs = pairs.filter((F.col("rank") > F.col("x_rank")) & (F.col("component") != F.col("x_c")) & _may_link(percent))
         pairs = stored(_filtered(pairs.select("x", "y").distinct().join(tested, ["x", "y"], "left_anti"), classes), "pairs")
         if not pairs.isEmpty():
             more = stored(_linked(pairs, docs, size, percent), "found")
@@ -178,7 +185,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     tx.small_batches(spark)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    counts = spark.sparkContext.broadcast(_sketch(rows, size))  # 4 MB, whatever the input
+    counts = spark.sparkContext.broadcast(_sketch(rows, size))  # 8 MB, whatever the input
     heads = stored(_heads(rows, size, percent, counts), "heads")
     known = heads.filter("n > 0 and doc is not null")
     classes = known.groupBy("n", "f1", "f2").agg(F.min("doc").alias("doc"), *[F.min_by(p, "doc").alias(p) for p in ("p0", "p1", "p2")])

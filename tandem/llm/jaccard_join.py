@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 
 from tandem.llm import text as tx
 from tandem.llm.graph import components
-from tandem.session import stored
+from tandem.session import discard, stored
 
 SKETCH_BITS = 22
 _SLICE = 1 << 16
-HUBS = 32
+HUBS = 4
 
 _HEADS = "doc bigint, n bigint, f1 bigint, f2 bigint, p0 array<bigint>, p1 array<bigint>, p2 array<bigint>"
 
@@ -117,7 +117,8 @@ def _linked(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataF
     """The pairs whose whole sets are similar enough; sets are built again for the texts that are asked for."""
     asked = pairs.select(F.col("x").alias("doc")).unionByName(pairs.select(F.col("y").alias("doc"))).distinct()
     sets = _sets(docs.join(asked, "doc", "left_semi"), size)
-    sets = stored(sets.dropDuplicates(["doc", "tokens"]), "shingle-sets")
+    sets = sets.dropDuplicates(["doc", "tokens"])
+    sets = stored(sets, "shingle-sets")
     wide = pairs.join(_side(sets, "x", "tokens"), "x").join(_side(sets, "y", "tokens"), "y")
     shared = F.size(F.array_intersect("x_tokens", "y_tokens"))
     union = F.size("x_tokens") + F.size("y_tokens") - shared
@@ -134,40 +135,53 @@ def _may_link(percent: int):
     return (F.least("x_n", "y_n") * 100 >= F.greatest("x_n", "y_n") * percent) & (rest * (100 + percent) >= (F.col("x_n") + F.col("y_n")) * percent)
 
 
+def _either_way(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+
+
 def links(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
     """Links between classes that give the same components as all links would.
 
-    Classes meet in the posting list of a shared prefix token. First each list is compared with its smallest class
-    only. Then only lists whose members are not yet in one component go on, block by block of ``HUBS`` further
+    Classes meet in the posting list of a shared prefix token. First each list is compared with one class only,
+    the one that shares most tokens with others. Then only lists whose members are not yet in one component go on, block by block of ``HUBS`` further
     members against the rest (blocks double), skipping pairs that are already connected, until every list is
     done. So a large group of near copies costs about one comparison per member, and nothing is left out.
     """
     postings = classes.select(F.posexplode("p0").alias("at", "token"), "doc", "n")
-    lists = postings.groupBy("token").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("doc", "n", "at")).alias("hub"))
-    shared = stored(postings.join(lists.filter("members > 1").select("token", "hub"), "token"), "postings")
-    pairs = shared.filter(F.col("doc") > F.col("hub.doc"))
+    lists = postings.groupBy("token").agg(F.count(F.lit(1)).alias("members"))
+    shared = stored(postings.join(lists.filter("members > 1"), "token"), "postings")
+    # the class that others are copies of has the tokens of all of them, so it is in the longest lists
+    central = shared.groupBy("doc").agg(F.sum("members").alias("reach"))
+    ordered = stored(shared.drop("members").join(central, "doc"), "postings")
+    discard(shared)
+    shared = ordered
+    hub = shared.groupBy("token").agg(F.max(F.struct(F.col("reach"), -F.col("doc"), "doc", "n", "at")).alias("hub"))
+    pairs = shared.join(hub, "token").filter(F.col("doc") != F.col("hub.doc"))
     pairs = pairs.select(F.col("hub.doc").alias("x"), F.col("doc").alias("y"), F.col("hub.n").alias("x_n"), F.col("n").alias("y_n"), F.col("hub.at").alias("x_at"), F.col("at").alias("y_at"))
-    tested = stored(_filtered(pairs.filter(_may_link(percent)).select("x", "y").distinct(), classes), "pairs")
+    tested = stored(_filtered(_either_way(pairs.filter(_may_link(percent))), classes), "pairs")
     found = stored(_linked(tested, docs, size, percent), "found")
     first, block = 1, HUBS
     while True:
         groups = stored(components(found), "groups")
-        member = shared.select("token", "doc", "n", "at").join(groups.withColumnRenamed("node", "doc"), "doc", "left")
+        member = shared.join(groups.withColumnRenamed("node", "doc"), "doc", "left")
         member = member.withColumn("component", F.coalesce("component", "doc"))
         open_lists = member.groupBy("token").agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi"))
         open_lists = open_lists.filter((F.col("lo") < F.col("hi")) & (F.col("members") > first)).select("token")
-        rank = F.row_number().over(Window.partitionBy("token").orderBy("doc")) - 1
+        rank = F.row_number().over(Window.partitionBy("token").orderBy(F.desc("reach"), "doc")) - 1
         ranked = stored(member.join(open_lists, "token", "left_semi").withColumn("rank", rank).filter(F.col("rank") >= first), "open-lists")
         hubs = ranked.filter(F.col("rank") < first + block)
         hubs = hubs.select("token", F.col("doc").alias("x"), F.col("n").alias("x_n"), F.col("at").alias("x_at"), F.col("component").alias("x_c"), F.col("rank").alias("x_rank"))
         pairs = ranked.withColumnsRenamed({"doc": "y", "n": "y_n", "at": "y_at"}).join(hubs, "token")
         pairs = pairs.filter((F.col("rank") > F.col("x_rank")) & (F.col("component") != F.col("x_c")) & _may_link(percent))
-        pairs = stored(_filtered(pairs.select("x", "y").distinct().join(tested, ["x", "y"], "left_anti"), classes), "pairs")
+        pairs = stored(_filtered(_either_way(pairs).join(tested, ["x", "y"], "left_anti"), classes), "pairs")
         if not pairs.isEmpty():
             more = stored(_linked(pairs, docs, size, percent), "found")
             found, tested = found.unionByName(more), tested.unionByName(pairs)
         first, block = first + block, block * 2
-        if ranked.filter(F.col("rank") >= first).isEmpty():
+        done = ranked.filter(F.col("rank") >= first).isEmpty()
+        discard(ranked, groups)
+        if done:
+            discard(shared)
             return found
 
 

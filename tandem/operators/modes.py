@@ -26,9 +26,15 @@ def signals_delivered(signals: DataFrame, pairs: DataFrame) -> DataFrame:
     return wide.withColumn("app_id", F.explode(apps)).drop("app1", "app2")
 
 
-def _mode_changes(signals: DataFrame) -> DataFrame:
-    rows = signals.filter(F.col("signal_type").isin(*MODE_OF))
-    return rows.select("pair_id", F.col("target_app_id").alias("app_id"), signal_mode(F.col("signal_type")).alias("mode"), "timestamp", *POSITION)
+def receivers(target: Column, app1: Column, app2: Column) -> Column:
+    """The apps that a signal reaches: the addressed one, or both of its pair; a broadcast to an unknown pair reaches none."""
+    return F.filter(F.when(target == BROADCAST, F.array(app1, app2)).otherwise(F.array(target)), lambda app: app.isNotNull())
+
+
+def _mode_changes(signals: DataFrame, pairs: DataFrame) -> DataFrame:
+    rows = join_small(signals.filter(F.col("signal_type").isin(*MODE_OF)), pairs.select("pair_id", "app1", "app2"), ["pair_id"], "left")
+    app = F.explode(receivers(F.col("target_app_id"), F.col("app1"), F.col("app2"))).alias("app_id")
+    return rows.select("pair_id", app, signal_mode(F.col("signal_type")).alias("mode"), "timestamp", *POSITION)
 
 
 def mode_timeline(signals: DataFrame, pairs: DataFrame, initial: tuple[str, str] = (ACTIVE, SHADOW)) -> DataFrame:
@@ -42,7 +48,7 @@ def mode_timeline(signals: DataFrame, pairs: DataFrame, initial: tuple[str, str]
     )
     start = pairs.select("pair_id", F.explode(roles).alias("r")).select("pair_id", "r.*", F.lit(0).cast("bigint").alias("timestamp"))
     keys = ["pair_id", "app_id"]
-    changes = _mode_changes(signals).unionByName(start, allowMissingColumns=True)
+    changes = _mode_changes(signals, pairs).unionByName(start, allowMissingColumns=True)
     hot = find_hot_keys(changes, keys, POSITION[0])
     seen = running(changes, keys, POSITION, Running("previous", "lag", F.col("mode")), hot=hot)
     kept = seen.filter(F.col("previous").isNull() | (F.col("mode") != F.col("previous")))
@@ -52,7 +58,7 @@ def mode_timeline(signals: DataFrame, pairs: DataFrame, initial: tuple[str, str]
 
 def _two_modes(signals: DataFrame, pairs: DataFrame) -> DataFrame:
     """Mode signals with one column per role of the pair."""
-    rows = join_small(_mode_changes(signals), pairs, ["pair_id"])
+    rows = join_small(_mode_changes(signals, pairs), pairs, ["pair_id"])
     return rows.select(
         "pair_id", "timestamp", *POSITION,
         F.when(F.col("app_id") == F.col("app1"), F.col("mode")).alias("mode1"),

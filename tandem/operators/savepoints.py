@@ -10,13 +10,12 @@ from pyspark.sql import functions as F
 
 def current_status(versions: DataFrame, version: str = "changed_ms") -> DataFrame:
     """The newest version of each registered snapshot; a status update appends a version."""
-    value = [c for c in versions.columns if c not in ("savepoint_id", version) and not _is_map(versions, c)]
-    maps = [c for c in versions.columns if _is_map(versions, c)]
-    # maps cannot be compared, so they ride along by the version alone
-    best = versions.groupBy("savepoint_id").agg(
-        F.max(F.struct(version, *value)).alias("s"), *[F.max_by(c, version).alias(c) for c in maps]
-    )
-    return best.select("savepoint_id", F.col(f"s.{version}").alias(version), *[F.col(f"s.{c}").alias(c) for c in value], *maps)
+    columns = [c for c in versions.columns if c not in ("savepoint_id", version)]
+    # maps cannot be compared, but their sorted entries can: one row wins as a whole, also among equal versions
+    order = [F.array_sort(F.map_entries(c)) if _is_map(versions, c) else F.col(c) for c in columns]
+    row = F.struct(version, *columns)
+    best = versions.groupBy("savepoint_id").agg(F.max_by(row, F.struct(F.col(version).alias("v"), *[c.alias(f"c{i}") for i, c in enumerate(order)])).alias("s"))
+    return best.select("savepoint_id", "s.*")
 
 
 def _is_map(df: DataFrame, name: str) -> bool:
@@ -26,8 +25,8 @@ def _is_map(df: DataFrame, name: str) -> bool:
 def latest_completed(savepoints: DataFrame) -> DataFrame:
     """The newest completed snapshot per source job; the lower id wins among equals."""
     done = savepoints.filter(F.col("status") == "COMPLETED")
-    position = F.struct(F.col("taken_at_ms"), (-F.col("savepoint_no")).alias("no"))
-    best = done.groupBy("source_job_id").agg(F.max_by(F.struct("savepoint_id", "location", "taken_at_ms", "kafka_offsets"), position).alias("s"))
+    position = F.struct(F.coalesce(-F.col("taken_at_ms"), F.lit(1 << 62)).alias("age"), F.col("savepoint_id"))
+    best = done.groupBy("source_job_id").agg(F.min_by(F.struct("savepoint_id", "location", "taken_at_ms", "kafka_offsets"), position).alias("s"))
     return best.select("source_job_id", "s.*")
 
 

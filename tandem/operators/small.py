@@ -8,17 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_BROADCAST_ROWS = 200_000
-SALTS = 64
 
 
 def join_small(rows: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner", max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``small`` when it really has at most ``max_rows`` rows, else spread hot keys by salt.
+    """Broadcast ``small`` when it really has at most ``max_rows`` rows, else join by shuffle.
 
-    Beyond the limit each row of ``small`` is repeated once per salt and each row of ``rows`` takes one
-    salt, so one key of ``rows`` is shared by many tasks. ``how`` is inner, left, left_semi or left_anti.
+    Beyond the limit adaptive execution splits the parts of ``rows`` that are skewed; neither side is repeated and
+    columns of any type may ride along. ``how`` is inner, left, left_semi or left_anti.
     """
     if small.limit(max_rows + 1).count() <= max_rows:
         return rows.join(F.broadcast(small), list(on), how)
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
-    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+    return rows.join(small, list(on), how)

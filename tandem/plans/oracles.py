@@ -407,7 +407,7 @@ DERIVED["savepoints"] = ((), f"""
     FROM orders""")
 _oracle("savepoint_latest_completed", "savepoints", sql="""
     SELECT source_job_id, savepoint_id, location, taken_at_ms, kafka_offsets FROM savepoints WHERE status = 'COMPLETED'
-    QUALIFY row_number() OVER (PARTITION BY source_job_id ORDER BY taken_at_ms DESC, savepoint_no) = 1""")
+    QUALIFY row_number() OVER (PARTITION BY source_job_id ORDER BY taken_at_ms DESC, savepoint_id) = 1""")
 _oracle("savepoint_by_id", "savepoints", sql="SELECT * FROM savepoints WHERE savepoint_id = 's1234'")
 _oracle("savepoint_current_status", "savepoints", sql="""
     SELECT savepoint_id, source_job_id, location, taken_at_ms + CASE WHEN status = 'IN_PROGRESS' THEN 0 ELSE 60000 END AS changed_ms, status

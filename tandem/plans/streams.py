@@ -58,10 +58,6 @@ def _staged(spark: SparkSession, rows: DataFrame, position: str, folder: str, tr
     return spark.read.schema(out.schema).parquet(f"{folder}/out")
 
 
-def _changes(rows: DataFrame) -> DataFrame:
-    return rows.select(F.col("offset").alias("seq"), "event_id", *fold.STATE_COLUMNS)
-
-
 @query
 def stream_customer_state(spark, sf_dir):
     folder = run_dir(spark, "stream_customer_state")
@@ -110,12 +106,15 @@ def _to_sink(write):
 
 
 def _shadow_pair(spark: SparkSession, sf_dir: str, folder: str) -> tuple[sinks.NewerWinsTable, sinks.GateCounts]:
-    """Both copies fold the same topic from their own positions; the roles change after the first half."""
+    """Both copies fold the same topic from their own positions; the roles change at the middle position."""
     table = sinks.NewerWinsTable(spark, f"{folder}/table", TABLE, "customer_id", "last_updated_ms", "seq")
     counts = sinks.GateCounts(spark, f"{folder}/counts")
-    paths = list(runtime.stage(t.business_events_ooo(spark, sf_dir), "seq", f"{folder}/topic", 2))
-    for part, path in enumerate(paths):
-        if part == len(paths) // 2:
+    events = t.business_events_ooo(spark, sf_dir)
+    middle = events.agg(F.expr("min(seq) + (max(seq) - min(seq) + 2) div 2").alias("at")).first()["at"]
+    before = list(runtime.stage(events.filter(F.col("seq") < middle), "seq", f"{folder}/before"))
+    after = runtime.stage(events.filter(F.col("seq") >= middle), "seq", f"{folder}/after")
+    for part, path in enumerate([*before, *after]):
+        if part == len(before):
             swap = [("app1", SHADOW, 1, 0), ("app2", ACTIVE, 2, 0)]
             spark.createDataFrame(swap, "app_id string, mode string, offset bigint, trace_no bigint").write.parquet(f"{folder}/modes")
         for app, initial in (("app1", ACTIVE), ("app2", SHADOW)):

@@ -47,9 +47,14 @@ def encode_business_events(*extra: Column) -> Column:
     return F.to_json(F.struct(*[F.col(c).alias(w) for c, w in BUSINESS_EVENT_WIRE.items()], *extra))
 
 
+def _kept(raw: DataFrame, decoded: dict) -> list[Column]:
+    """The position columns; one with the name of a decoded field, as the topic's own timestamp, gets a prefix."""
+    return [F.col(c).alias(f"topic_{c}") if c in decoded else F.col(c) for c in raw.columns if c != "value"]
+
+
 def decode_business_events(raw: DataFrame) -> DataFrame:
     """Decode strictly: a malformed or empty record fails the job, unknown fields are ignored, missing numbers are 0."""
-    kept = [c for c in raw.columns if c != "value"]
+    kept = _kept(raw, BUSINESS_EVENT_WIRE)
     decoded = F.from_json("value", _BUSINESS_JSON, {"mode": "FAILFAST"})
     rows = raw.withColumn("v", F.coalesce(decoded, F.raise_error(F.lit("empty business record"))))
     out = rows.select(*kept, *[F.col(f"v.{wire}").alias(name) for name, wire in BUSINESS_EVENT_WIRE.items()])
@@ -72,7 +77,7 @@ def read_control_records(raw: DataFrame) -> DataFrame:
     Empty records, text that is not JSON, wrong types, unknown signal types and offsets under keys that are
     no partition numbers are unreadable; their signal columns are NULL.
     """
-    kept = [c for c in raw.columns if c != "value"]
+    kept = _kept(raw, CONTROL_SIGNAL_WIRE)
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
     # exploding the one record keeps filters above the parser, which would otherwise run once per use
     parsed = F.explode(F.array(F.from_json("value", _CONTROL_JSON, options)))
@@ -88,7 +93,7 @@ def read_control_records(raw: DataFrame) -> DataFrame:
         if name == "timestamp":
             value = F.coalesce(value, F.lit(0).cast("bigint"))
         columns.append(F.when(F.col("readable"), value).alias(name))
-    return rows.select(*kept, "readable", *columns)
+    return rows.select(*[c for c in rows.columns if c not in ("v", "readable")], "readable", *columns)
 
 
 def decode_control_signals(raw: DataFrame) -> DataFrame:

@@ -42,11 +42,20 @@ class ModeProcessor(StatefulProcessor):
         pass
 
 
-def stream_modes(signals: DataFrame, first_copy) -> DataFrame:
-    """Mode changes per app. ``first_copy`` is a condition on ``app_id`` that holds for apps starting ACTIVE."""
+def stream_modes(signals: DataFrame, first_copy, pairs: DataFrame | None = None) -> DataFrame:
+    """Mode changes per app. ``first_copy`` is a condition on ``app_id`` that holds for apps starting ACTIVE.
+
+    A broadcast signal reaches both apps of its pair, which a static table of ``pairs`` names.
+    """
     use_state_store(signals.sparkSession)
-    rows = signals.filter(F.col("signal_type").isin(*modes.MODE_OF) & (F.col("target_app_id") != BROADCAST)).select(
-        "pair_id", F.col("target_app_id").alias("app_id"), modes.signal_mode(F.col("signal_type")).alias("mode"),
+    rows = signals.filter(F.col("signal_type").isin(*modes.MODE_OF))
+    if pairs is None:
+        rows = rows.filter(F.col("target_app_id") != BROADCAST).withColumn("app_id", F.col("target_app_id"))
+    else:
+        rows = rows.join(pairs.select("pair_id", "app1", "app2"), "pair_id", "left")
+        rows = rows.withColumn("app_id", F.explode(modes.receivers(F.col("target_app_id"), F.col("app1"), F.col("app2"))))
+    rows = rows.select(
+        "pair_id", "app_id", modes.signal_mode(F.col("signal_type")).alias("mode"),
         "timestamp", "offset", "trace_no",
     )
     rows = rows.withColumn("initial_mode", F.when(first_copy, ACTIVE).otherwise(SHADOW))

@@ -20,7 +20,8 @@ def stream_table(spark: SparkSession, path: str, max_bytes: str | None = None) -
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if max_bytes:
         reader = reader.option("maxBytesPerTrigger", max_bytes)
-    return reader.parquet(f"{path}*")
+    # a stream wants a folder or a pattern; this pattern fits a file, or a folder, of exactly this name
+    return reader.parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def start_to_table(df: DataFrame, path: str, checkpoint: str, output_mode: str = "append") -> StreamingQuery:

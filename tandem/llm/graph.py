@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tandem.session import stored
+from tandem.session import discard, stored
+
+# Links of one task; fewer links than this need no shuffle at all.
+LINKS_PER_PART = 200_000
 
 
 def _digest(edges: DataFrame) -> tuple:
@@ -13,28 +16,48 @@ def _digest(edges: DataFrame) -> tuple:
     return row["n"], row["h"]
 
 
+def _both_ways(edges: DataFrame) -> DataFrame:
+    ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    return edges.select(F.explode(ways).alias("way")).select("way.a", "way.b")
+
+
 def components(links: DataFrame) -> DataFrame:
     """``links(a, b)`` of nodes to ``(node, component)``, where the component is its smallest node.
 
     Large stars hang the larger neighbours of a node on the smallest one, small stars the smaller ones, until
     nothing changes; a round is two joins on aggregated minima, so a node with many links is not gathered
-    anywhere. Only nodes with a link to another node are returned.
+    anywhere. Rounds run in as many tasks as the count of links asks for. Only nodes with a link to another node
+    are returned.
     """
     edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct()
     edges = stored(edges, "links")
     seen = _digest(edges)
+    parts = max(1, -(-seen[0] // LINKS_PER_PART))
     while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = _both_ways(edges.coalesce(parts))
         lowest = both.groupBy("a").agg(F.min("b").alias("low")).withColumn("low", F.least("low", "a"))
         large = both.join(lowest, "a").filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).filter("a > b").distinct()
         large = stored(large, "large-star")
-        lowest = large.groupBy("a").agg(F.min("b").alias("low"))
-        small = large.join(lowest, "a")
-        small = small.select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(small.select("a", F.col("low").alias("b")))
-        edges = stored(small.filter("a > b").distinct(), "small-star")
-        now = _digest(edges)
+        lowest = large.coalesce(parts).groupBy("a").agg(F.min("b").alias("low"))
+        hung = large.coalesce(parts).join(lowest, "a")
+        hung = hung.select(F.explode(F.array("a", "b")).alias("a"), F.col("low").alias("b"))
+        small = stored(hung.filter("a > b").distinct(), "small-star")
+        discard(edges, large)
+        edges, now = small, _digest(small)
         if now == seen:
             break
         seen = now
-    leaves = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return leaves.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    roots = F.explode(F.array("a", "b"))
+    return edges.coalesce(parts).select(roots.alias("node"), F.col("b").alias("component")).distinct()
+
+
+def extend(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """The components after more ``links(a, b)``, given those so far: only links between them are followed."""
+    left = groups.select(F.col("node").alias("a"), F.col("component").alias("a_c"))
+    right = groups.select(F.col("node").alias("b"), F.col("component").alias("b_c"))
+    between = links.join(left, "a", "left").join(right, "b", "left")
+    between = between.select(F.coalesce("a_c", "a").alias("a"), F.coalesce("b_c", "b").alias("b"))
+    merged = stored(components(between), "merged")
+    moved = merged.select(F.col("node").alias("component"), F.col("component").alias("moved"))
+    old = groups.join(moved, "component", "left").select("node", F.coalesce("moved", "component").alias("component"))
+    return old.unionByName(merged.join(groups, "node", "left_anti"))

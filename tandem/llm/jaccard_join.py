@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tandem.llm import text as tx
-from tandem.llm.graph import components
+from tandem.llm.graph import components, extend
 from tandem.session import discard, stored
 
 SKETCH_BITS = 22
@@ -107,22 +107,37 @@ def _side(table: DataFrame, name: str, *columns: str) -> DataFrame:
     return table.select(F.col("doc").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in columns])
 
 
+def _asked(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("x", "y")).alias("doc")).distinct()
+
+
 def _filtered(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Candidate pairs that share a prefix token under the other orders too."""
-    wide = pairs.join(_side(classes, "x", "p1", "p2"), "x").join(_side(classes, "y", "p1", "p2"), "y")
-    return wide.filter(F.arrays_overlap("x_p1", "y_p1") & F.arrays_overlap("x_p2", "y_p2")).select("x", "y").distinct()
+    """Candidate pairs that share a prefix token under the other orders too.
+
+    Pairs and the prefixes they ask for are written first, so that joins are planned by their true sizes and the
+    prefixes of all other classes stay where they are.
+    """
+    pairs = stored(pairs, "candidates")
+    prefixes = stored(classes.join(_asked(pairs), "doc", "left_semi").select("doc", "p1", "p2"), "prefixes")
+    wide = pairs.join(_side(prefixes, "x", "p1", "p2"), "x").join(_side(prefixes, "y", "p1", "p2"), "y")
+    kept = wide.filter(F.arrays_overlap("x_p1", "y_p1") & F.arrays_overlap("x_p2", "y_p2")).select("x", "y").distinct()
+    kept = stored(kept, "pairs")
+    discard(pairs, prefixes)
+    return kept
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs whose whole sets are similar enough; sets are built again for the texts that are asked for."""
-    asked = pairs.select(F.col("x").alias("doc")).unionByName(pairs.select(F.col("y").alias("doc"))).distinct()
-    sets = _sets(docs.join(asked, "doc", "left_semi"), size)
+    sets = _sets(docs.join(_asked(pairs), "doc", "left_semi"), size)
     sets = sets.dropDuplicates(["doc", "tokens"])
     sets = stored(sets, "shingle-sets")
     wide = pairs.join(_side(sets, "x", "tokens"), "x").join(_side(sets, "y", "tokens"), "y")
     shared = F.size(F.array_intersect("x_tokens", "y_tokens"))
     union = F.size("x_tokens") + F.size("y_tokens") - shared
-    return wide.filter(shared * 100 >= union * percent).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    found = wide.filter(shared * 100 >= union * percent).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    found = stored(found, "found")
+    discard(sets)
+    return found
 
 
 def _may_link(percent: int):
@@ -139,12 +154,12 @@ def _either_way(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
 
-def links(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links between classes that give the same components as all links would.
+def linked_classes(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+    """``(node, component)`` of all classes with a link, as all links would give them.
 
     Classes meet in the posting list of a shared prefix token. First each list is compared with one class only,
     the one that shares most tokens with others. Then only lists whose members are not yet in one component go on, block by block of ``HUBS`` further
-    members against the rest (blocks double), skipping pairs that are already connected, until every list is
+    members against the rest (blocks grow fourfold), skipping pairs that are already connected, until every list is
     done. So a large group of near copies costs about one comparison per member, and nothing is left out.
     """
     postings = classes.select(F.posexplode("p0").alias("at", "token"), "doc", "n")
@@ -158,11 +173,10 @@ def links(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataF
     hub = shared.groupBy("token").agg(F.max(F.struct(F.col("reach"), -F.col("doc"), "doc", "n", "at")).alias("hub"))
     pairs = shared.join(hub, "token").filter(F.col("doc") != F.col("hub.doc"))
     pairs = pairs.select(F.col("hub.doc").alias("x"), F.col("doc").alias("y"), F.col("hub.n").alias("x_n"), F.col("n").alias("y_n"), F.col("hub.at").alias("x_at"), F.col("at").alias("y_at"))
-    tested = stored(_filtered(_either_way(pairs.filter(_may_link(percent))), classes), "pairs")
-    found = stored(_linked(tested, docs, size, percent), "found")
+    tested = _filtered(_either_way(pairs.filter(_may_link(percent))), classes)
+    groups = stored(components(_linked(tested, docs, size, percent)), "groups")
     first, block = 1, HUBS
     while True:
-        groups = stored(components(found), "groups")
         member = shared.join(groups.withColumnRenamed("node", "doc"), "doc", "left")
         member = member.withColumn("component", F.coalesce("component", "doc"))
         open_lists = member.groupBy("token").agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi"))
@@ -173,16 +187,20 @@ def links(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataF
         hubs = hubs.select("token", F.col("doc").alias("x"), F.col("n").alias("x_n"), F.col("at").alias("x_at"), F.col("component").alias("x_c"), F.col("rank").alias("x_rank"))
         pairs = ranked.withColumnsRenamed({"doc": "y", "n": "y_n", "at": "y_at"}).join(hubs, "token")
         pairs = pairs.filter((F.col("rank") > F.col("x_rank")) & (F.col("component") != F.col("x_c")) & _may_link(percent))
-        pairs = stored(_filtered(_either_way(pairs).join(tested, ["x", "y"], "left_anti"), classes), "pairs")
-        if not pairs.isEmpty():
-            more = stored(_linked(pairs, docs, size, percent), "found")
-            found, tested = found.unionByName(more), tested.unionByName(pairs)
-        first, block = first + block, block * 2
+        pairs = _filtered(_either_way(pairs).join(tested, ["x", "y"], "left_anti"), classes)
+        first, block = first + block, block * 4
         done = ranked.filter(F.col("rank") >= first).isEmpty()
-        discard(ranked, groups)
+        discard(ranked)
+        if not pairs.isEmpty():
+            tested = tested.unionByName(pairs)
+            more = _linked(pairs, docs, size, percent)
+            if not more.isEmpty():
+                wider = stored(extend(groups, more), "groups")
+                discard(groups)
+                groups = wider
         if done:
             discard(shared)
-            return found
+            return groups
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -204,8 +222,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = heads.filter("n > 0 and doc is not null")
     classes = known.groupBy("n", "f1", "f2").agg(F.min("doc").alias("doc"), *[F.min_by(p, "doc").alias(p) for p in ("p0", "p1", "p2")])
     classes = stored(classes, "classes")
-    found = links(rows.filter("doc is not null"), classes, size, percent)
-    groups = components(found).withColumnRenamed("node", "doc")
+    groups = linked_classes(rows.filter("doc is not null"), classes, size, percent).withColumnRenamed("node", "doc")
     named = classes.select("n", "f1", "f2", "doc").join(groups, "doc", "left")
     named = named.select("n", "f1", "f2", F.coalesce("component", "doc").alias("component"))
     out = heads.select("doc", "n", "f1", "f2").join(named, ["n", "f1", "f2"], "left")

@@ -77,6 +77,13 @@ def test_components_of_a_long_chain(spark):
     assert got == dict.fromkeys(range(61), 0)
     assert graph.components(links.filter("a < 0")).count() == 0
 
+def test_components_extended_by_more_links(spark):
+    first = spark.createDataFrame([(1, 2), (5, 4), (9, 8), (20, 21)], "a bigint, b bigint")
+    more = spark.createDataFrame([(2, 9), (30, 4), (40, 41), (5, 30), (9, 2)], "a bigint, b bigint")
+    got = {r["node"]: r["component"] for r in graph.extend(graph.components(first), more).collect()}
+    want = {r["node"]: r["component"] for r in graph.components(first.union(more)).collect()}
+    assert got == want == {1: 1, 2: 1, 8: 1, 9: 1, 4: 4, 5: 4, 30: 4, 20: 20, 21: 20, 40: 40, 41: 40}
+
 
 def brute_repeats(rows, length):
     documents = sorted({(i, t or "") for i, t in rows if i is not None})

@@ -162,12 +162,16 @@ def stream_mode(spark, sf_dir):
 @query
 def stream_heartbeat_watchdog(spark, sf_dir):
     folder = run_dir(spark, "stream_heartbeat_watchdog")
-    watch = lambda rows: control.stream_heartbeat_watchdog(rows, 24 * t.HOUR, event_time=True)
-    return _staged(spark, t.heartbeats(spark, sf_dir), "ts_ms", folder, watch)
+    watch = lambda rows: control.stream_heartbeat_watchdog(rows, 24 * t.HOUR, stored_log=True)
+    ended = _staged(spark, t.heartbeats(spark, sf_dir), "ts_ms", folder, watch)
+    return ended.unionByName(control.open_silences(spark, f"{folder}/checkpoint", 24 * t.HOUR))
 
 
 @query
 def stream_handoff_progress(spark, sf_dir):
     folder = run_dir(spark, "stream_handoff_progress")
-    progress = lambda rows: control.stream_handoff_progress(rows, event_time=True)
-    return _staged(spark, t.control_log(spark, sf_dir), "offset", folder, progress)
+    progress = lambda rows: control.stream_handoff_progress(rows, stored_log=True)
+    log = t.control_log(spark, sf_dir)
+    ended = _staged(spark, log, "offset", folder, progress)
+    end = log.agg(F.max("timestamp").alias("end_ms")).first()["end_ms"]
+    return ended.unionByName(control.timed_out_traces(spark, f"{folder}/checkpoint", end))

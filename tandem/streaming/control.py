@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -66,50 +66,73 @@ SILENCE = "app_id STRING, last_beat_ms BIGINT, next_beat_ms BIGINT, silence_ms B
 
 
 class HeartbeatWatchdog(StatefulProcessor):
-    """Reports silences of one app longer than the timeout, while they last and once they end.
+    """Reports silences of one app longer than the timeout, once they end and, live, while they last.
 
-    A timer stands one timeout behind the last beat. Nothing but a report follows from it.
+    Live, a timer stands one timeout behind the arrival of the last beat by the clock of the executor, so a beat
+    whose own clock is wrong hides nothing, and it is set again after each report. A stored log has no such clock:
+    silences that end are reported here, and ``open_silences`` gives the others after the last row. Nothing but a
+    report follows from it.
     """
 
-    def __init__(self, timeout_ms: int, event_time: bool) -> None:
-        self._timeout, self._event_time = timeout_ms, event_time
+    def __init__(self, timeout_ms: int, live: bool) -> None:
+        self._timeout, self._live = timeout_ms, live
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._last = handle.getValueState("last", "beat_ms BIGINT, timer_ms BIGINT")
+        self._last = handle.getValueState("last", "beat_ms BIGINT, arrived_ms BIGINT, timer_ms BIGINT")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         held = self._last.get()
-        last, timer = held if held else (None, None)
+        last, _, timer = held if held else (None, None, None)
         for beat in sorted(r.ts_ms for r in rows):
             if last is not None and beat - last > self._timeout:
                 yield Row(app_id=key[0], last_beat_ms=last, next_beat_ms=beat, silence_ms=beat - last, still_open=False)
             last = beat if last is None else max(last, beat)
-        if timer is not None:
-            self._handle.deleteTimer(timer)
-        start = last if self._event_time else timerValues.getCurrentProcessingTimeInMs()
-        timer = start + self._timeout
-        self._handle.registerTimer(timer)
-        self._last.update((last, timer))
+        arrived = None
+        if self._live:
+            if timer is not None:
+                self._handle.deleteTimer(timer)
+            arrived = timerValues.getCurrentProcessingTimeInMs()
+            timer = arrived + self._timeout
+            self._handle.registerTimer(timer)
+        self._last.update((last, arrived, timer))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        last = self._last.get()[0]
-        now = timerValues.getCurrentWatermarkInMs() if self._event_time else timerValues.getCurrentProcessingTimeInMs()
-        if now - last > self._timeout:
-            yield Row(app_id=key[0], last_beat_ms=last, next_beat_ms=None, silence_ms=now - last, still_open=True)
-        self._last.update((last, None))
+        last, arrived, _ = self._last.get()
+        now = timerValues.getCurrentProcessingTimeInMs()
+        yield Row(app_id=key[0], last_beat_ms=last, next_beat_ms=None, silence_ms=now - arrived, still_open=True)
+        timer = now + self._timeout
+        self._handle.registerTimer(timer)
+        self._last.update((last, arrived, timer))
 
     def close(self) -> None:
         pass
 
 
-def stream_heartbeat_watchdog(beats: DataFrame, timeout_ms: int, event_time: bool = False) -> DataFrame:
-    """Silences as they happen; with ``event_time`` a stored log is judged by its own clock."""
+def stream_heartbeat_watchdog(beats: DataFrame, timeout_ms: int, stored_log: bool = False) -> DataFrame:
+    """Silences as they happen; with ``stored_log`` only those that end, judged by the beats alone.
+
+    No watermark is set, so no beat is dropped.
+    """
     use_state_store(beats.sparkSession)
-    if event_time:
-        beats = beats.withColumn("beat_at", F.timestamp_millis("ts_ms")).withWatermark("beat_at", "0 seconds")
-    time_mode = "EventTime" if event_time else "ProcessingTime"
-    return beats.groupBy("app_id").transformWithState(HeartbeatWatchdog(timeout_ms, event_time), SILENCE, "Append", time_mode)
+    time_mode = "None" if stored_log else "ProcessingTime"
+    return beats.groupBy("app_id").transformWithState(HeartbeatWatchdog(timeout_ms, not stored_log), SILENCE, "Append", time_mode)
+
+
+def _held(spark: SparkSession, checkpoint: str, variable: str) -> DataFrame:
+    use_state_store(spark)
+    spark.streams  # noqa: B018  the state reader needs the streaming manager to exist
+    return spark.read.format("statestore").option("stateVarName", variable).load(checkpoint)
+
+
+def open_silences(spark: SparkSession, checkpoint: str, timeout_ms: int) -> DataFrame:
+    """Silences that a replayed log leaves open at its newest beat, from the state of its stream."""
+    last = _held(spark, checkpoint, "last").select("key.app_id", F.col("value.beat_ms").alias("last_beat_ms"))
+    end = last.agg(F.max("last_beat_ms").alias("end_ms")).first()["end_ms"]
+    silence = F.lit(end).cast("bigint") - F.col("last_beat_ms")
+    return last.filter(silence > timeout_ms).select(
+        "app_id", "last_beat_ms", F.lit(None).cast("bigint").alias("next_beat_ms"), silence.alias("silence_ms"), F.lit(True).alias("still_open")
+    )
 
 
 PROGRESS = (
@@ -121,12 +144,21 @@ PROGRESS = (
 _TRIGGERED, _DRAINING, _PROMOTING, _ENDED = "WAITING_FOR_APP2_CATCHUP", "WAITING_FOR_APP1_DRAIN", "PROMOTING_APP2", "ENDED"
 
 
+# How long an ended trace is remembered, so that late signals do not open it again.
+KEEP_ENDED_MS = 7 * 86_400_000
+
+
 class HandoffProgress(StatefulProcessor):
-    """Follows one trace through its signals and time limits and reports how it ended. It commands nothing."""
+    """Follows one trace through its signals and time limits and reports how it ended. It commands nothing.
+
+    Live, the deadline of a stage is set once, when the stage is entered; an ended trace is forgotten after
+    ``KEEP_ENDED_MS``. In a stored log only its own times count, and ``timed_out_traces`` gives the traces whose time
+    limit passed after their last signal.
+    """
 
-    def __init__(self, drain_ms: int, promote_ms: int, event_time: bool) -> None:
+    def __init__(self, drain_ms: int, promote_ms: int, live: bool) -> None:
         self._limits = {_DRAINING: drain_ms, _PROMOTING: promote_ms}
-        self._event_time = event_time
+        self._live = live
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
@@ -135,6 +167,7 @@ class HandoffProgress(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         held = self._trace.get()
         stage, triggered, prepared, drained, timer = held if held else (_TRIGGERED, None, None, None, None)
+        entered = stage
         for row in _in_order(rows):
             if triggered is None:
                 triggered = row.timestamp
@@ -162,21 +195,25 @@ class HandoffProgress(StatefulProcessor):
             if outcome:
                 stage = _ENDED
                 yield self._row(key, outcome, reason, False, triggered, prepared, drained, confirmed, row.timestamp)
-        if timer is not None:
-            self._handle.deleteTimer(timer)
-            timer = None
-        if stage in self._limits:
-            since = drained if stage == _PROMOTING else prepared
-            start = since if self._event_time else timerValues.getCurrentProcessingTimeInMs()
-            timer = start + self._limits[stage]
-            self._handle.registerTimer(timer)
+        if self._live and stage != entered:
+            timer = self._set_timer(stage, timer, timerValues)
         self._trace.update((stage, triggered, prepared, drained, timer))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         stage, triggered, prepared, drained, _ = self._trace.get()
-        if stage in self._limits:
-            yield self._timed_out(key, stage, triggered, prepared, drained)
-        self._trace.update((_ENDED, triggered, prepared, drained, None))
+        if stage == _ENDED:
+            self._trace.clear()
+            return
+        yield self._timed_out(key, stage, triggered, prepared, drained)
+        timer = self._set_timer(_ENDED, None, timerValues)
+        self._trace.update((_ENDED, triggered, prepared, drained, timer))
+
+    def _set_timer(self, stage, old, timerValues) -> int:
+        if old is not None:
+            self._handle.deleteTimer(old)
+        timer = timerValues.getCurrentProcessingTimeInMs() + self._limits.get(stage, KEEP_ENDED_MS)
+        self._handle.registerTimer(timer)
+        return timer
 
     def _timed_out(self, key, stage, triggered, prepared, drained) -> Row:
         if stage == _PROMOTING:
@@ -195,14 +232,27 @@ class HandoffProgress(StatefulProcessor):
 
 
 def stream_handoff_progress(
-    log: DataFrame, drain_ms: int = handoff.DRAIN_TIMEOUT_MS, promote_ms: int = handoff.PROMOTE_TIMEOUT_MS, event_time: bool = False
+    log: DataFrame, drain_ms: int = handoff.DRAIN_TIMEOUT_MS, promote_ms: int = handoff.PROMOTE_TIMEOUT_MS, stored_log: bool = False
 ) -> DataFrame:
-    """One row per trace when it ends, by a signal or by its time limit."""
+    """One row per trace when it ends, by a signal or by its time limit; no watermark, so no signal is dropped.
+
+    With ``stored_log`` a time limit counts once a later signal of its trace shows it.
+    """
     use_state_store(log.sparkSession)
     rows = log.filter(F.col("trace_id").isNotNull()).select("pair_id", "trace_id", "offset", "trace_no", "signal_type", "timestamp", "reason")
-    if event_time:
-        rows = rows.withColumn("signal_at", F.timestamp_millis("timestamp")).withWatermark("signal_at", "0 seconds")
-    time_mode = "EventTime" if event_time else "ProcessingTime"
-    return rows.groupBy("pair_id", "trace_id").transformWithState(
-        HandoffProgress(drain_ms, promote_ms, event_time), PROGRESS, "Append", time_mode
+    processor = HandoffProgress(drain_ms, promote_ms, not stored_log)
+    return rows.groupBy("pair_id", "trace_id").transformWithState(processor, PROGRESS, "Append", "None" if stored_log else "ProcessingTime")
+
+
+def timed_out_traces(
+    spark: SparkSession, checkpoint: str, end_ms: int | None, drain_ms: int = handoff.DRAIN_TIMEOUT_MS, promote_ms: int = handoff.PROMOTE_TIMEOUT_MS
+) -> DataFrame:
+    """Traces of a replayed log whose time limit passed between their last signal and ``end_ms``, the end of the log."""
+    held = _held(spark, checkpoint, "trace").select("key.*", "value.*").filter(F.col("stage").isin(_DRAINING, _PROMOTING))
+    promoting = F.col("stage") == _PROMOTING
+    finished = F.when(promoting, F.col("drained_ms") + promote_ms).otherwise(F.col("prepared_ms") + drain_ms)
+    return held.filter(finished <= F.lit(end_ms).cast("bigint")).select(
+        "pair_id", "trace_id", F.when(promoting, "HANDOFF_COMPLETE").otherwise("HANDOFF_FAILED").alias("state"),
+        F.when(~promoting, handoff.DRAIN_TIMEOUT).alias("reason"), promoting.alias("assumed"), "triggered_ms", "prepared_ms",
+        F.when(promoting, F.col("drained_ms")).alias("drained_ms"), F.lit(None).cast("bigint").alias("confirmed_ms"), finished.alias("finished_ms"),
     )

@@ -4,9 +4,10 @@ import random
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from tandem.operators import fold, handoff
+from tandem.operators import alerts, fold, handoff
 from tandem.schemas import ACTIVE, SHADOW
 from tandem.session import run_dir
 from tandem.sources import testdata as t
@@ -168,10 +169,89 @@ def test_handoff_progress_across_restarts_equals_the_audit(spark):
     log = t.control_log(spark, SF)
     # the log arrives in order of time, as a topic does
     for path in runtime.stage(log, "offset", f"{folder}/topic", 4):
-        stream = control.stream_handoff_progress(runtime.stream_table(spark, path), event_time=True)
+        stream = control.stream_handoff_progress(runtime.stream_table(spark, path), stored_log=True)
         runtime.start_to_table(stream, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
     last = log.agg(F.max("timestamp")).first()[0]
-    assert progress(spark.read.parquet(f"{folder}/out")) == progress(handoff.handoff_outcomes(log).filter(F.col("finished_ms") <= last))
+    got = spark.read.schema(stream.schema).parquet(f"{folder}/out").unionByName(control.timed_out_traces(spark, f"{folder}/checkpoint", last))
+    assert progress(got) == progress(handoff.handoff_outcomes(log).filter(F.col("finished_ms") <= last))
+
+
+@pytest.mark.parametrize("parts", [1, 12])
+def test_silences_do_not_depend_on_the_number_of_slices(spark, parts):
+    folder = run_dir(spark, "test-silences")
+    beats, timeout = t.heartbeats(spark, SF), 24 * t.HOUR
+    for path in runtime.stage(beats, "ts_ms", f"{folder}/topic", parts):
+        stream = control.stream_heartbeat_watchdog(runtime.stream_table(spark, path), timeout, stored_log=True)
+        runtime.start_to_table(stream, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    ended = spark.read.schema(stream.schema).parquet(f"{folder}/out")
+    got = ended.unionByName(control.open_silences(spark, f"{folder}/checkpoint", timeout))
+    expected = alerts.heartbeat_gaps(beats, timeout)
+    assert rows(got.select(*expected.columns)) == rows(expected)
+
+
+class Handle:
+    """Stands in for the handle and the clock of a state processor."""
+
+    def __init__(self):
+        self.value, self.timers, self.now = None, set(), 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.discard(at)
+
+    def getCurrentProcessingTimeInMs(self):
+        return self.now
+
+    def expire(self, processor, key):
+        due = {at for at in self.timers if at <= self.now}
+        self.timers -= due
+        return [r for _ in due for r in processor.handleExpiredTimer(key, self, None)]
+
+
+def test_a_live_silence_is_reported_again_and_again_whatever_the_clock_of_the_beat():
+    handle, watchdog = Handle(), control.HeartbeatWatchdog(1000, live=True)
+    watchdog.init(handle)
+    handle.now = 10_000
+    assert not list(watchdog.handleInputRows(("a",), [Row(ts_ms=14_000)], handle))
+    for now in (11_000, 12_500):
+        handle.now = now
+        (report,) = handle.expire(watchdog, ("a",))
+        assert (report.last_beat_ms, report.silence_ms, report.still_open) == (14_000, now - 10_000, True)
+    handle.now = 13_000
+    list(watchdog.handleInputRows(("a",), [Row(ts_ms=15_000)], handle))
+    assert handle.timers == {14_000}
+
+
+def test_a_live_deadline_is_set_once_per_stage_and_ended_traces_are_forgotten():
+    def signal(kind, offset):
+        return Row(offset=offset, trace_no=0, signal_type=kind, timestamp=offset, reason=None)
+
+    handle, progress_of = Handle(), control.HandoffProgress(60_000, 30_000, live=True)
+    progress_of.init(handle)
+    key = (1, "t")
+    list(progress_of.handleInputRows(key, [signal("PREPARE_HANDOFF", 1)], handle))
+    handle.now = 50_000
+    list(progress_of.handleInputRows(key, [signal("OTHER", 2)], handle))
+    assert handle.timers == {60_000}
+    handle.now = 60_000
+    (report,) = handle.expire(progress_of, key)
+    assert (report.state, report.reason, report.finished_ms) == ("HANDOFF_FAILED", handoff.DRAIN_TIMEOUT, 60_001)
+    handle.now += control.KEEP_ENDED_MS
+    assert handle.expire(progress_of, key) == [] and handle.value is None and not handle.timers
 
 
 def test_modes_across_restarts(spark):

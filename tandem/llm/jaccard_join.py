@@ -18,7 +18,7 @@ SKETCH_BITS = 22
 _SLICE = 1 << 16
 HUBS = 4
 
-_HEADS = "doc bigint, n bigint, f1 bigint, f2 bigint, p0 array<bigint>, p1 array<bigint>, p2 array<bigint>"
+_HEADS = "doc bigint, n bigint, f1 bigint, f2 bigint, p0 array<bigint>, p1 array<int>, p2 array<int>"
 
 
 def _sketch(docs: DataFrame, size: int) -> np.ndarray:
@@ -66,6 +66,12 @@ def _prefix(keys: np.ndarray, tokens: np.ndarray, count: int) -> np.ndarray:
     return tokens[np.lexsort((tokens, keys))][:count]
 
 
+def _filter_prefix(keys: np.ndarray, count: int) -> np.ndarray:
+    """The ``count`` smallest keys, by their low 32 bits: enough for a filter, which may let more through but loses nothing."""
+    least = np.partition(keys, count - 1)[:count] if count < len(keys) else keys
+    return (least & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+
+
 def _heads(docs: DataFrame, size: int, percent: int, counts) -> DataFrame:
     """Per document its set size, a fingerprint of its set and its prefix under each of three token orders.
 
@@ -83,8 +89,9 @@ def _heads(docs: DataFrame, size: int, percent: int, counts) -> DataFrame:
                 prints.append((int(scrambled.sum(dtype=np.uint64)), int(tx.mix(tokens, 4).sum(dtype=np.uint64))))
                 need = n - -(-percent * n // 100) + 1
                 rare = (table[tokens >> np.uint64(64 - SKETCH_BITS)].astype(np.uint64) << np.uint64(40)) | (scrambled >> np.uint64(24))
-                for out, keys in zip(prefixes, (rare, tx.mix(tokens, 5), tx.mix(tokens, 6)), strict=True):
-                    out.append(_prefix(keys, tokens, need) if n else tokens)
+                prefixes[0].append(_prefix(rare, tokens, need) if n else tokens)
+                for out, salt in zip(prefixes[1:], (5, 6), strict=True):
+                    out.append(_filter_prefix(tx.mix(tokens, salt), need) if n else tokens.astype(np.uint32))
             f = np.array(prints, np.uint64).reshape(-1, 2).view(np.int64)
             yield pa.record_batch(
                 [batch.column("doc"), pa.array(sizes, pa.int64()), pa.array(f[:, 0].copy()), pa.array(f[:, 1].copy()), *map(tx.lists, prefixes)],

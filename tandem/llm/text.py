@@ -171,8 +171,8 @@ def shingle_sets(data: np.ndarray, places: np.ndarray, size: int) -> Iterator[np
 
 
 def lists(arrays: list[np.ndarray]) -> pa.ListArray:
-    """An Arrow column of lists of 64-bit values."""
+    """An Arrow column of lists of unsigned values, as signed ones of that width."""
     offsets = np.zeros(len(arrays) + 1, np.int32)
     np.cumsum([len(a) for a in arrays], out=offsets[1:])
     values = np.concatenate(arrays) if arrays else np.zeros(0, np.uint64)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)))
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(f"i{values.itemsize}")))

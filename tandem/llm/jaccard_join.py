@@ -182,22 +182,23 @@ def linked_classes(docs: DataFrame, classes: DataFrame, size: int, percent: int)
     pairs = pairs.select(F.col("hub.doc").alias("x"), F.col("doc").alias("y"), F.col("hub.n").alias("x_n"), F.col("n").alias("y_n"), F.col("hub.at").alias("x_at"), F.col("at").alias("y_at"))
     tested = _filtered(_either_way(pairs.filter(_may_link(percent))), classes)
     groups = stored(components(_linked(tested, docs, size, percent)), "groups")
-    first, block = 1, HUBS
+    first, block, left, ranked = 1, HUBS, shared, None
     while True:
-        member = shared.join(groups.withColumnRenamed("node", "doc"), "doc", "left")
-        member = member.withColumn("component", F.coalesce("component", "doc"))
-        open_lists = member.groupBy("token").agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-        open_lists = open_lists.filter((F.col("lo") < F.col("hi")) & (F.col("members") > first)).select("token")
-        rank = F.row_number().over(Window.partitionBy("token").orderBy(F.desc("reach"), "doc")) - 1
-        ranked = stored(member.join(open_lists, "token", "left_semi").withColumn("rank", rank).filter(F.col("rank") >= first), "open-lists")
+        # who was a hub is done with, so only members from the next rank on decide whether a list goes on
+        member = left.join(groups.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+        open_lists = member.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("token")
+        member = member.join(open_lists, "token", "left_semi")
+        if ranked is None:
+            rank = F.row_number().over(Window.partitionBy("token").orderBy(F.desc("reach"), "doc", F.desc("n"), F.desc("at"))) - 1
+            member = member.withColumn("rank", rank).filter(F.col("rank") >= first)
+        ranked = stored(member, "open-lists")
+        discard(left)
         hubs = ranked.filter(F.col("rank") < first + block)
         hubs = hubs.select("token", F.col("doc").alias("x"), F.col("n").alias("x_n"), F.col("at").alias("x_at"), F.col("component").alias("x_c"), F.col("rank").alias("x_rank"))
         pairs = ranked.withColumnsRenamed({"doc": "y", "n": "y_n", "at": "y_at"}).join(hubs, "token")
         pairs = pairs.filter((F.col("rank") > F.col("x_rank")) & (F.col("component") != F.col("x_c")) & _may_link(percent))
         pairs = _filtered(_either_way(pairs).join(tested, ["x", "y"], "left_anti"), classes)
         first, block = first + block, block * 4
-        done = ranked.filter(F.col("rank") >= first).isEmpty()
-        discard(ranked)
         if not pairs.isEmpty():
             tested = tested.unionByName(pairs)
             more = _linked(pairs, docs, size, percent)
@@ -205,9 +206,12 @@ def linked_classes(docs: DataFrame, classes: DataFrame, size: int, percent: int)
                 wider = stored(extend(groups, more), "groups")
                 discard(groups)
                 groups = wider
-        if done:
-            discard(shared)
+        rest = ranked.filter(F.col("rank") >= first)
+        if rest.isEmpty():
+            discard(ranked)
             return groups
+        left = rest.drop("component")
+        left.stored_at = ranked.stored_at
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:

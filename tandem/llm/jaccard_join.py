@@ -133,10 +133,17 @@ def _filtered(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return kept
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs whose whole sets are similar enough; sets are built again for the texts that are asked for."""
-    sets = _sets(docs.join(_asked(pairs), "doc", "left_semi"), size)
-    sets = sets.dropDuplicates(["doc", "tokens"])
+def _linked(pairs: DataFrame, docs: DataFrame, repeated: DataFrame | None, size: int, percent: int) -> DataFrame:
+    """The pairs whose whole sets are similar enough; sets are built again for the texts that are asked for.
+
+    Only ``repeated`` ids can give a set twice, so only theirs are moved to be told apart.
+    """
+    asked = docs.join(_asked(pairs), "doc", "left_semi")
+    if repeated is None:
+        sets = _sets(asked, size)
+    else:
+        several = _sets(asked.join(repeated, "doc", "left_semi"), size).dropDuplicates(["doc", "tokens"])
+        sets = _sets(asked.join(repeated, "doc", "left_anti"), size).unionByName(several)
     sets = stored(sets, "shingle-sets")
     wide = pairs.join(_side(sets, "x", "tokens"), "x").join(_side(sets, "y", "tokens"), "y")
     shared = F.size(F.array_intersect("x_tokens", "y_tokens"))
@@ -161,7 +168,7 @@ def _either_way(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
 
-def linked_classes(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+def linked_classes(docs: DataFrame, classes: DataFrame, repeated: DataFrame | None, size: int, percent: int) -> DataFrame:
     """``(node, component)`` of all classes with a link, as all links would give them.
 
     Classes meet in the posting list of a shared prefix token. First each list is compared with one class only,
@@ -181,7 +188,7 @@ def linked_classes(docs: DataFrame, classes: DataFrame, size: int, percent: int)
     pairs = shared.join(hub, "token").filter(F.col("doc") != F.col("hub.doc"))
     pairs = pairs.select(F.col("hub.doc").alias("x"), F.col("doc").alias("y"), F.col("hub.n").alias("x_n"), F.col("n").alias("y_n"), F.col("hub.at").alias("x_at"), F.col("at").alias("y_at"))
     tested = _filtered(_either_way(pairs.filter(_may_link(percent))), classes)
-    groups = stored(components(_linked(tested, docs, size, percent)), "groups")
+    groups = stored(components(_linked(tested, docs, repeated, size, percent)), "groups")
     first, block, left, ranked = 1, HUBS, shared, None
     while True:
         # who was a hub is done with, so only members from the next rank on decide whether a list goes on
@@ -201,7 +208,7 @@ def linked_classes(docs: DataFrame, classes: DataFrame, size: int, percent: int)
         first, block = first + block, block * 4
         if not pairs.isEmpty():
             tested = tested.unionByName(pairs)
-            more = _linked(pairs, docs, size, percent)
+            more = _linked(pairs, docs, repeated, size, percent)
             if not more.isEmpty():
                 wider = stored(extend(groups, more), "groups")
                 discard(groups)
@@ -229,11 +236,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tx.small_batches(spark)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).cast("string").alias("text"))
     counts = spark.sparkContext.broadcast(_sketch(rows, size))  # 8 MB, whatever the input
-    heads = stored(_heads(rows, size, percent, counts), "heads")
-    known = heads.filter("n > 0 and doc is not null")
+    wide = stored(_heads(rows, size, percent, counts), "heads")
+    heads = stored(wide.select("doc", "n", "f1", "f2"), "sizes")
+    known = wide.filter("n > 0 and doc is not null")
     classes = known.groupBy("n", "f1", "f2").agg(F.min("doc").alias("doc"), *[F.min_by(p, "doc").alias(p) for p in ("p0", "p1", "p2")])
     classes = stored(classes, "classes")
-    groups = linked_classes(rows.filter("doc is not null"), classes, size, percent).withColumnRenamed("node", "doc")
+    discard(wide)
+    repeated = stored(heads.filter("doc is not null").groupBy("doc").count().filter("count > 1").select("doc"), "repeated-ids")
+    repeated = None if repeated.isEmpty() else repeated
+    groups = linked_classes(rows.filter("doc is not null"), classes, repeated, size, percent).withColumnRenamed("node", "doc")
     named = classes.select("n", "f1", "f2", "doc").join(groups, "doc", "left")
     named = named.select("n", "f1", "f2", F.coalesce("component", "doc").alias("component"))
     out = heads.select("doc", "n", "f1", "f2").join(named, ["n", "f1", "f2"], "left")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -15,6 +16,20 @@ def use_state_store(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
 
 
+def writer_run(spark: SparkSession) -> str:
+    """The id of the streaming query whose batch is being written, ``direct`` outside of one.
+
+    It is kept in the checkpoint: a restart has the same id, a stream with a new checkpoint, whose batch numbers
+    begin again, another one.
+    """
+    return spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "direct"
+
+
+def not_written_yet(error: AnalysisException) -> bool:
+    """Whether a read failed since the table has no files so far; any other failure must not pass for that."""
+    return error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
+
+
 def stream_table(spark: SparkSession, path: str, max_bytes: str | None = None) -> DataFrame:
     """A stored parquet table (a file or a folder of files) read as a stream, optionally bounded per micro-batch."""
     reader = spark.readStream.schema(spark.read.parquet(path).schema)

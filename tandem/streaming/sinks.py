@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from tandem.operators import cutover, upsert
 from tandem.schemas import ACTIVE
 from tandem.sources.topics import encode_control_signals
+from tandem.streaming.runtime import not_written_yet, writer_run
 
 WriteFn = Callable[[DataFrame, int], None]
 
@@ -20,7 +22,8 @@ class NewerWinsTable:
 
     Keeping the newest version (the earliest write among equals) does not depend on the order or number of
     merges, so a batch only adds its own survivors: nothing is read or locked to write, two writers cannot
-    harm each other, and a batch that runs again rewrites its own files. ``compact`` bounds what readers merge.
+    harm each other, and a batch that runs again rewrites its own files. A stream with a new checkpoint adds to what
+    earlier ones wrote under its name. ``compact`` bounds what readers merge.
     """
 
     def __init__(self, spark: SparkSession, path: str, schema: str, key: str, version: str, order: str) -> None:
@@ -31,7 +34,8 @@ class NewerWinsTable:
         """A write function for one stream; ``name`` keeps the batches of several writers apart."""
 
         def write(batch: DataFrame, batch_id: int) -> None:
-            self._survivors(batch).write.mode("overwrite").parquet(f"{self._path}/written={name}-{batch_id}")
+            run = writer_run(batch.sparkSession)
+            self._survivors(batch).write.mode("overwrite").parquet(f"{self._path}/written={name}-{run}-{batch_id}")
 
         return write
 
@@ -45,15 +49,37 @@ class NewerWinsTable:
     def read(self) -> DataFrame:
         try:
             rows = self._spark.read.schema(f"{self._schema}, written STRING").parquet(self._path).drop("written")
-        except AnalysisException:
+        except AnalysisException as error:
+            if not not_written_yet(error):
+                raise
             rows = self._spark.createDataFrame([], self._schema)
         return self._survivors(rows).drop(self._order)
 
-    def compact(self, path: str) -> NewerWinsTable:
-        """The same content in one batch under a new path."""
-        rows = self._spark.read.schema(f"{self._schema}, written STRING").parquet(self._path).drop("written")
-        self._survivors(rows).write.mode("overwrite").parquet(f"{path}/written=compacted")
-        return NewerWinsTable(self._spark, path, self._schema, self._key, self._version, self._order)
+    def _batches(self) -> list:
+        """The folders of the batches that are complete, by name."""
+        path = self._spark._jvm.org.apache.hadoop.fs.Path(self._path)
+        files = path.getFileSystem(self._spark._jsc.hadoopConfiguration())
+        folders = [s.getPath() for s in files.listStatus(path) if s.isDirectory()] if files.exists(path) else []
+        done = self._spark._jvm.org.apache.hadoop.fs.Path
+        return [f for f in folders if f.getName().startswith("written=") and files.exists(done(f, "_SUCCESS"))]
+
+    def compact(self, path: str | None = None) -> NewerWinsTable:
+        """The same content in one batch, under a new path or in place.
+
+        In place, exactly the complete batches that are there at the start are merged into one and then deleted, so
+        writers may go on meanwhile: what they add lies in other folders. A batch that is both in the merged set and
+        still in its own folder changes nothing for readers; a reader that is at work during the deletion fails
+        and has to read again.
+        """
+        old = self._batches()
+        if old:
+            rows = self._spark.read.schema(self._schema).parquet(*[f.toString() for f in old])
+            self._survivors(rows).write.parquet(f"{path or self._path}/written=compacted-{uuid.uuid4().hex}")
+        if path:
+            return NewerWinsTable(self._spark, path, self._schema, self._key, self._version, self._order)
+        for folder in old:
+            folder.getFileSystem(self._spark._jsc.hadoopConfiguration()).delete(folder, True)
+        return self
 
 
 class GateCounts:
@@ -64,10 +90,10 @@ class GateCounts:
 
     def add(self, app_id: str, batch_id: int, written: int, dropped: int) -> None:
         row = self._spark.range(1).select(F.lit(written).cast("bigint").alias("written"), F.lit(dropped).cast("bigint").alias("dropped"))
-        row.write.mode("overwrite").parquet(f"{self._path}/app_id={app_id}/batch={batch_id}")
+        row.write.mode("overwrite").parquet(f"{self._path}/app_id={app_id}/run={writer_run(self._spark)}/batch={batch_id}")
 
     def read(self) -> DataFrame:
-        rows = self._spark.read.schema("written BIGINT, dropped BIGINT, app_id STRING, batch BIGINT").parquet(self._path)
+        rows = self._spark.read.schema("written BIGINT, dropped BIGINT, app_id STRING, run STRING, batch BIGINT").parquet(self._path)
         return rows.groupBy("app_id").agg(F.sum("written").alias("written"), F.sum("dropped").alias("dropped"))
 
 
@@ -118,7 +144,9 @@ def mode_from_table(spark: SparkSession, path: str, initial: str) -> Callable[[s
     def mode(app_id: str) -> str:
         try:
             changes = spark.read.parquet(path).filter(F.col("app_id") == app_id)
-        except AnalysisException:
+        except AnalysisException as error:
+            if not not_written_yet(error):
+                raise
             return initial
         row = latest_modes(changes).first()
         return row["mode"] if row else initial

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tandem.operators import fold
 from tandem.schemas import CUSTOMER_STATE
-from tandem.streaming.runtime import use_state_store
+from tandem.streaming.runtime import not_written_yet, use_state_store, writer_run
 
 STATE_NAME = "customer-state"
 STATE_SCHEMA = "order_count INT, total_cents BIGINT, last_event_type STRING, last_updated_ms BIGINT, state_version INT"
@@ -94,18 +94,38 @@ class BatchFold:
 
     Each batch folds on top of the states written by earlier batches and appends its changes and the states
     of the customers it touched under its own number, so a replayed batch rewrites the same files. Every
-    ``full_every`` batches all states are written, and readers start from there.
+    ``full_every`` batches all states are written, and readers start from there. A folder belongs to one checkpoint:
+    a stream with another one, whose batch numbers begin again, is refused before it writes anything.
     """
 
     def __init__(self, spark: SparkSession, folder: str, full_every: int = 20) -> None:
         self._spark, self._full_every = spark, full_every
-        self.changes_path, self.states_path = f"{folder}/changes", f"{folder}/states"
+        self.changes_path, self.states_path, self._runs_path = f"{folder}/changes", f"{folder}/states", f"{folder}/runs"
+        self._run = None
+
+    def _claim(self, run: str) -> None:
+        """Note the stream that the folder belongs to, or fail if it is another one."""
+        if run == self._run:
+            return
+        try:
+            owner = self._spark.read.schema("run STRING").parquet(self._runs_path).first()
+        except AnalysisException as error:
+            if not not_written_yet(error):
+                raise
+            owner = None
+        if owner is None:
+            self._spark.range(1).select(F.lit(run).alias("run")).write.mode("overwrite").parquet(self._runs_path)
+        elif owner["run"] != run:
+            raise ValueError(f"{self.changes_path} belongs to the stream {owner['run']}; a stream with a new checkpoint needs a new folder")
+        self._run = run
 
     def states(self, before: int | None = None) -> DataFrame | None:
         """The newest state per customer, optionally as of the start of a batch."""
         try:
             rows = self._spark.read.schema(f"{CUSTOMER_STATE}, full INT, batch BIGINT").parquet(self.states_path)
-        except AnalysisException:
+        except AnalysisException as error:
+            if not not_written_yet(error):
+                raise
             return None
         if before is not None:
             rows = rows.filter(F.col("batch") < before)
@@ -121,6 +141,7 @@ class BatchFold:
         return self._spark.read.schema(f"seq BIGINT, event_id STRING, {CUSTOMER_STATE}, batch BIGINT").parquet(self.changes_path).drop("batch")
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        self._claim(writer_run(batch.sparkSession))
         batch.persist()
         try:
             self._fold(batch, batch_id)

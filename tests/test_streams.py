@@ -14,7 +14,7 @@ from tandem.sources import testdata as t
 from tandem.sources import topics
 from tandem.streaming import control, runtime, sinks, state
 
-from conftest import rows
+from tests.conftest import rows
 
 SF = "/root/testdata/sf0.001"
 TABLE = (
@@ -108,6 +108,57 @@ def test_newer_wins_table(spark):
     assert smaller.read().filter("customer_id = 'a'").first().order_count == 7
 
 
+def test_a_new_checkpoint_adds_to_the_table_and_the_counts(spark):
+    folder = run_dir(spark, "test-second-checkpoint")
+    sink, counts = table(spark, folder), sinks.GateCounts(spark, f"{folder}/counts")
+    gate = sinks.shadow_sink("app1", sink.writer("app1"), lambda app: ACTIVE, counts)
+    for number, customer in enumerate("ab"):
+        spark.createDataFrame([write(number, customer, 5, 1)], TABLE).write.parquet(f"{folder}/topic-{customer}")
+        runtime.run_batches(runtime.stream_table(spark, f"{folder}/topic-{customer}"), gate, f"{folder}/checkpoint-{customer}")
+    assert sorted(r.customer_id for r in sink.read().collect()) == ["a", "b"]
+    assert counts.read().first().written == 2
+
+
+def test_batches_written_while_compacting_are_kept(spark):
+    folder = run_dir(spark, "test-compact")
+    sink = table(spark, folder)
+    writer = sink.writer("app1")
+    for number, customer in enumerate("aab"):
+        writer(spark.createDataFrame([write(number, customer, number, number)], TABLE), number)
+    survivors = sink._survivors
+    # a batch arrives between the listing and the deletion
+    sink._survivors = lambda rows: (writer_now(), survivors(rows))[1]
+
+    def writer_now():
+        sink._survivors = survivors
+        writer(spark.createDataFrame([write(9, "c", 9, 9)], TABLE), 3)
+
+    assert sink.compact() is sink and len(sink._batches()) == 2
+    writer(spark.createDataFrame([write(10, "a", 10, 10)], TABLE), 4)
+    sink.compact()
+    assert len(sink._batches()) == 1
+    assert sorted((r.customer_id, r.order_count) for r in sink.read().collect()) == [("a", 10), ("b", 2), ("c", 9)]
+
+
+def test_a_fold_refuses_the_folder_of_another_checkpoint(spark):
+    folder = run_dir(spark, "test-owner")
+    events = t.known_business_events(spark, SF).filter("seq < 60")
+    events.write.parquet(f"{folder}/topic")
+    stream = runtime.stream_table(spark, f"{folder}/topic")
+    runtime.run_batches(stream, state.BatchFold(spark, folder), f"{folder}/checkpoint-1")
+    before = rows(state.BatchFold(spark, folder).changes())
+    with pytest.raises(Exception, match="needs a new folder"):
+        runtime.run_batches(stream, state.BatchFold(spark, folder), f"{folder}/checkpoint-2")
+    assert rows(state.BatchFold(spark, folder).changes()) == before
+
+
+def test_a_broken_table_is_not_taken_for_an_empty_one(spark):
+    folder = run_dir(spark, "test-broken")
+    spark.range(1).write.parquet(f"{folder}/modes")
+    with pytest.raises(Exception, match="app_id"):
+        sinks.mode_from_table(spark, f"{folder}/modes", SHADOW)("app1")
+
+
 def test_gate_through_a_handoff(spark):
     """Before: app1 writes 2, app2 drops 1. During: app1 writes 1 more. After: app1 writes none, app2 writes 3."""
     folder = run_dir(spark, "test-gate")

@@ -28,7 +28,8 @@ _WORD = r"(?:(?<!\p{L})|\G)\p{L}++"
 
 CONTEXT_CHARS = 80
 MIN_TERM_CHARS = 4
-MIN_SUPPORT = 3
+# Texts without the entity that every term is taken to have been seen in besides its own.
+SMOOTHING = 1.0
 DISCLOSURE = 0.8
 
 
@@ -105,6 +106,15 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*parts))
 
 
+def _entities(spans: Column) -> Column:
+    """What the values of base spans name, as hashes: the value itself (digits only, where that is all that tells cards and
+    phones apart), and for an e-mail its user and its domain too, which further texts may share."""
+    value = lambda s: F.when(s["kind"].isin("card", "phone"), _digits(s["value"])).otherwise(F.lower(s["value"]))
+    part = lambda s, n: F.when(s["kind"] == "email", F.xxhash64(F.lit(f"part {n}"), F.split(F.lower(s["value"]), "@")[n]))
+    names = F.transform(spans, lambda s: F.array(F.xxhash64(s["kind"], value(s)), part(s, 0), part(s, 1)))
+    return F.array_distinct(F.array_compact(F.flatten(names)))
+
+
 def _contexts(found: DataFrame) -> DataFrame:
     """Every term in the stretches of text before and after a base span: ``(doc, text_key, entity, term, start, end)``.
 
@@ -113,8 +123,9 @@ def _contexts(found: DataFrame) -> DataFrame:
     each = found.select("doc", "key", "text", "spans", F.explode("spans").alias("s"))
     begin = F.greatest(F.col("s.start") - CONTEXT_CHARS, F.lit(0))
     stop = F.least(F.col("s.end") + CONTEXT_CHARS, F.length("text"))
-    stretch = F.explode(F.array(F.struct(begin.alias("lo"), F.col("s.start").alias("hi")), F.struct(F.col("s.end").alias("lo"), stop.alias("hi"))))
-    each = each.select("doc", "key", "spans", F.xxhash64("s.kind", F.lower("s.value")).alias("entity"), stretch.alias("w"), "text")
+    stretch_at = F.array(F.struct(begin.alias("lo"), F.col("s.start").alias("hi")), F.struct(F.col("s.end").alias("lo"), stop.alias("hi")))
+    each = each.select("doc", "key", "spans", F.explode(_entities(F.array("s"))).alias("entity"), stretch_at.alias("at"), "text")
+    each = each.select("doc", "key", "spans", "entity", F.explode("at").alias("w"), "text")
     part = F.substring("text", F.col("w.lo") + 1, F.col("w.hi") - F.col("w.lo"))
     whole = F.length("text")
     edges = each.select("doc", "key", "spans", "entity", "w", part.alias("part"), whole.alias("chars"))
@@ -130,15 +141,16 @@ def _contexts(found: DataFrame) -> DataFrame:
     return terms.select("doc", "key", "entity", "term", "start", "end")
 
 
-def revealing_terms(rows: DataFrame, contexts: DataFrame, entities: DataFrame, disclosure: float, support: int) -> DataFrame:
+def revealing_terms(rows: DataFrame, contexts: DataFrame, entities: DataFrame, disclosure: float) -> DataFrame:
     """``(entity, term)``: terms whose pointwise mutual information with an entity is at least ``disclosure`` of its information.
 
     With n texts, n_e of them holding the entity, n_t the term and n_te the term next to the entity, the disclosed
-    share is log(n n_te / (n_t n_e)) / log(n / n_e). Counts are of different texts over the whole corpus, so that
-    copies of one text are one observation.
+    share is log(n p / n_e) / log(n / n_e), where p = (n_te + s n_e / n) / (n_t + s) estimates how often a text with the
+    term holds the entity and s is ``SMOOTHING``. No pair is left out for being rare. Counts are of different texts
+    over the whole corpus, so that copies of one text are one observation.
     """
     joint = contexts.select("entity", "term", "key").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te"))
-    joint = stored(joint.filter(F.col("n_te") >= support), "joint-counts")
+    joint = stored(joint, "joint-counts")
     asked = stored(joint.select("term").distinct(), "asked-terms")
     words = rows.select("key", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("term"))
     # the planner broadcasts the written terms only if they are small
@@ -148,11 +160,12 @@ def revealing_terms(rows: DataFrame, contexts: DataFrame, entities: DataFrame, d
     n = float(max(1, total.first()["n"]))  # one number
     scored = joint.join(seen, "term").join(held, "entity")
     inform = F.log(F.lit(n) / F.col("n_e"))
-    shared = F.log(F.lit(n) * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
+    likely = (F.col("n_te") + SMOOTHING * F.col("n_e") / n) / (F.col("n_t") + SMOOTHING)
+    shared = F.log(F.lit(n) * likely / F.col("n_e"))
     return scored.filter((inform > 0) & (shared >= disclosure * inform)).select("entity", "term")
 
 
-def find(docs: DataFrame, id_col: str, text_col: str, disclosure: float = DISCLOSURE, support: int = MIN_SUPPORT) -> DataFrame:
+def find(docs: DataFrame, id_col: str, text_col: str, disclosure: float = DISCLOSURE) -> DataFrame:
     """Per row of ``docs`` ``(doc, key, spans)``: all spans, the base ones and those of revealing terms."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("key", F.xxhash64("text", F.length("text")))
@@ -161,8 +174,8 @@ def find(docs: DataFrame, id_col: str, text_col: str, disclosure: float = DISCLO
     found = stored(found, "base-spans")
     holding = found.filter(F.size("spans") > 0)
     contexts = stored(_contexts(holding), "contexts")
-    entities = holding.select("key", F.explode("spans").alias("s")).select("key", F.xxhash64("s.kind", F.lower("s.value")).alias("entity")).distinct()
-    flagged = revealing_terms(rows, contexts, entities, disclosure, support)
+    entities = holding.select("key", F.explode(_entities(F.col("spans"))).alias("entity")).distinct()
+    flagged = revealing_terms(rows, contexts, entities, disclosure)
     more = contexts.join(flagged, ["entity", "term"]).select("doc", "key", "start", "end", "term").distinct()
     extra = F.struct(F.col("start"), F.lit(len(KINDS)).alias("rank"), F.col("end"), F.lit(TERM).alias("kind"), F.col("term").alias("value"))
     more = more.groupBy("doc", "key").agg(F.collect_list(extra).alias("extra"))

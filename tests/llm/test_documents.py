@@ -72,6 +72,15 @@ def test_terms_that_reveal_an_entity_are_removed(spark):
     assert clean[100] == other[0][1]
 
 
+def test_terms_of_a_value_in_one_text_are_removed(spark):
+    told = [(0, "Ask Zebulon Quastor at z@q.com about the plan"), (1, "Ask Ulrika at u@firm.org about the plan of Firmament"), (2, "Ask Ottokar at o@firm.org about the plan of Firmament")]
+    docs = spark.createDataFrame(told + [(100 + i, f"Ask number {i} about the plan") for i in range(200)], "doc_id bigint, text string")
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
+    assert clean[0].split() == "Ask at [EMAIL] about the plan".split()
+    assert clean[1].split() == clean[2].split() == "Ask at [EMAIL] about the plan of".split()
+    assert clean[100] == "Ask number 0 about the plan"
+
+
 def test_tokens_equal_the_library_and_packing_is_whole(spark, awkward, nothing):
     tokens, plain = packing.WordTokens(VOCABULARY), Tokenizer.from_file(VOCABULARY)
     odd = ["a,b(c)'s d're,x we'll... ('s)", "it's\"ok\"[x]é,ö.ä ½x ²", "a!!b ??c---d_e", "Don't İstanbul ΣΑΣ", "á b", "x<|endoftext|>y", "\x1c a\x85b\xa0c", "１２ ٣ 'S", "", "  "]

@@ -1,4 +1,4 @@
-"""Personal data by pattern, and the terms around it that the corpus shows to give it away. Columns and SQL functions only."""
+"""Personal data by pattern, and the terms beside it that the corpus shows to give it away. Columns and SQL functions only."""
 
 from __future__ import annotations
 
@@ -24,18 +24,18 @@ PATTERNS = {
 HINTS = {"email": "@", "phone": "+"}
 SIGNS = {"ip": r"[0-9]\.[0-9]", "card": "[0-9](?:[ -]?[0-9]){11}"}
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-_WORD = r"(?:(?<!\p{L})|\G)\p{L}++"
+_WORD = r"\p{L}++"
 
-CONTEXT_CHARS = 80
 MIN_TERM_CHARS = 4
 # Texts without the entity that every term is taken to have been seen in besides its own.
 SMOOTHING = 1.0
 DISCLOSURE = 0.8
 
 
-def _located(text: Column, pattern: str) -> Column:
+def _located(text: Column, pattern: str | Column) -> Column:
     """The matches of a pattern with their places in code points: lengths between and of matches, summed up."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    found = F.regexp_extract_all(text, pattern, F.lit(0))
     between = F.split(text, pattern, -1)
     empty = F.array().cast("array<struct<value:string,start:int,end:int>>")
     return F.aggregate(
@@ -115,54 +115,66 @@ def _entities(spans: Column) -> Column:
     return F.array_distinct(F.array_compact(F.flatten(names)))
 
 
-def _contexts(found: DataFrame) -> DataFrame:
-    """Every term in the stretches of text before and after a base span: ``(doc, text_key, entity, term, start, end)``.
+def _blanked(text: Column, spans: Column) -> Column:
+    """The text with every character of a span replaced by one that is no letter, so that places stay as they are."""
+    return F.aggregate(
+        spans,
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts")),
+        lambda acc, s: F.struct(
+            F.greatest(acc["at"], s["end"]).alias("at"),
+            F.concat(
+                acc["parts"],
+                F.array(
+                    F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))),
+                    F.repeat(F.lit("\uffff"), F.greatest(s["end"] - F.greatest(s["start"], acc["at"]), F.lit(0))),
+                ),
+            ).alias("parts"),
+        ),
+        lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(text, acc["at"] + 1, F.length(text))),
+    )
 
-    Terms cut by the edge of a stretch are left out, and so are those that overlap a base span.
-    """
-    each = found.select("doc", "key", "text", "spans", F.explode("spans").alias("s"))
-    begin = F.greatest(F.col("s.start") - CONTEXT_CHARS, F.lit(0))
-    stop = F.least(F.col("s.end") + CONTEXT_CHARS, F.length("text"))
-    stretch_at = F.array(F.struct(begin.alias("lo"), F.col("s.start").alias("hi")), F.struct(F.col("s.end").alias("lo"), stop.alias("hi")))
-    each = each.select("doc", "key", "spans", F.explode(_entities(F.array("s"))).alias("entity"), stretch_at.alias("at"), "text")
-    each = each.select("doc", "key", "spans", "entity", F.explode("at").alias("w"), "text")
-    part = F.substring("text", F.col("w.lo") + 1, F.col("w.hi") - F.col("w.lo"))
-    whole = F.length("text")
-    edges = each.select("doc", "key", "spans", "entity", "w", part.alias("part"), whole.alias("chars"))
-    terms = edges.select("doc", "key", "spans", "entity", "w", "chars", F.explode(_located(F.col("part"), _WORD)).alias("m"))
-    start, end = F.col("w.lo") + F.col("m.start"), F.col("w.lo") + F.col("m.end")
-    terms = terms.select(
-        "doc", "key", "spans", "entity", F.lower("m.value").alias("term"), start.alias("start"), end.alias("end"),
-        ((start > F.col("w.lo")) | (F.col("w.lo") == 0) & (start == 0)).alias("left_whole"),
-        ((end < F.col("w.hi")) | (end == F.col("chars"))).alias("right_whole"),
-    )
-    clear = ~F.exists("spans", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))
-    terms = terms.filter(F.col("left_whole") & F.col("right_whole") & (F.length("term") >= MIN_TERM_CHARS) & clear)
-    return terms.select("doc", "key", "entity", "term", "start", "end")
-
-
-def revealing_terms(rows: DataFrame, contexts: DataFrame, entities: DataFrame, disclosure: float) -> DataFrame:
-    """``(entity, term)``: terms whose pointwise mutual information with an entity is at least ``disclosure`` of its information.
-
-    With n texts, n_e of them holding the entity, n_t the term and n_te the term next to the entity, the disclosed
-    share is log(n p / n_e) / log(n / n_e), where p = (n_te + s n_e / n) / (n_t + s) estimates how often a text with the
-    term holds the entity and s is ``SMOOTHING``. No pair is left out for being rare. Counts are of different texts
-    over the whole corpus, so that copies of one text are one observation.
+
+def _words(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)))
+
+
+def _term_counts(rows: DataFrame) -> DataFrame:
+    """``(term, n_t)``: how many different texts hold each term. Copies go first, so that terms are counted before they move."""
+    terms = F.array_distinct(F.transform(_words(F.col("text")), lambda w: F.lower(w)))
+    words = rows.dropDuplicates(["key"]).select(F.explode(terms).alias("term"))
+    return words.filter(F.length("term") >= MIN_TERM_CHARS).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+
+
+def revealing_terms(rows: DataFrame, held: DataFrame, disclosure: float) -> DataFrame:
+    """``(key, forms)``: for each text of ``held`` the words, as written there, that give away an entity it holds.
+
+    A term is flagged for an entity if its pointwise mutual information with it is at least ``disclosure`` of the
+    entity's information. With n texts, n_e of them holding the entity, n_t the term and n_te both, the disclosed share
+    is log(n p / n_e) / log(n / n_e), where p = (n_te + s n_e / n) / (n_t + s) estimates how often a text with the
+    term holds the entity and s is ``SMOOTHING``. No pair is left out for being rare or far apart. Counts are of different
+    texts over the whole corpus, so that copies of one text are one observation.
     """
-    joint = contexts.select("entity", "term", "key").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te"))
-    joint = stored(joint, "joint-counts")
-    asked = stored(joint.select("term").distinct(), "asked-terms")
-    words = rows.select("key", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("term"))
-    # the planner broadcasts the written terms only if they are small
-    seen = words.join(asked, "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    held = entities.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    total = rows.agg(F.count_distinct("key").alias("n"))
-    n = float(max(1, total.first()["n"]))  # one number
-    scored = joint.join(seen, "term").join(held, "entity")
-    inform = F.log(F.lit(n) / F.col("n_e"))
-    likely = (F.col("n_te") + SMOOTHING * F.col("n_e") / n) / (F.col("n_t") + SMOOTHING)
-    shared = F.log(F.lit(n) * likely / F.col("n_e"))
-    return scored.filter((inform > 0) & (shared >= disclosure * inform)).select("entity", "term")
+    n = float(max(1, rows.agg(F.count_distinct("key").alias("n")).first()["n"]))  # one number
+
+    def reaches(n_te: Column) -> Column:
+        inform = F.log(F.lit(n) / F.col("n_e"))
+        likely = (n_te + SMOOTHING * F.col("n_e") / n) / (F.col("n_t") + SMOOTHING)
+        return (inform > 0) & (F.log(F.lit(n) * likely / F.col("n_e")) >= disclosure * inform)
+
+    each = held.select("key", F.explode(_entities(F.col("spans"))).alias("entity"))
+    counted = each.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
+    # most entities are in one text only
+    entities = each.join(counted.filter("n_e > 1"), "entity", "left").select("key", "entity", F.coalesce("n_e", F.lit(1)).alias("n_e"))
+    forms = held.select("key", F.explode(_words(F.col("text"))).alias("form")).select("key", F.lower("form").alias("term"), "form")
+    forms = forms.filter(F.length("term") >= MIN_TERM_CHARS).groupBy("key", "term").agg(F.collect_list("form").alias("forms"))
+    terms = forms.join(_term_counts(rows), "term")
+    # a pair that would not be flagged even if all texts with the one held the other need not be counted
+    pairs = terms.join(entities, "key").filter(reaches(F.least("n_t", "n_e")))
+    pairs = stored(pairs.select("key", "entity", "term", "forms", "n_t", "n_e"), "pairs")
+    flagged = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te"), F.first("n_t").alias("n_t"), F.first("n_e").alias("n_e"))
+    flagged = flagged.filter(reaches(F.col("n_te"))).select("entity", "term")
+    found = pairs.join(flagged, ["entity", "term"]).groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("forms"))).alias("forms"))
+    return found.withColumn("forms", F.array_sort("forms"))
 
 
 def find(docs: DataFrame, id_col: str, text_col: str, disclosure: float = DISCLOSURE) -> DataFrame:
@@ -173,15 +185,16 @@ def find(docs: DataFrame, id_col: str, text_col: str, disclosure: float = DISCLO
     found = rows.withColumn("spans", base_spans(F.col("text"))).withColumn("text", F.when(F.size("spans") > 0, F.col("text")).otherwise(""))
     found = stored(found, "base-spans")
     holding = found.filter(F.size("spans") > 0)
-    contexts = stored(_contexts(holding), "contexts")
-    entities = holding.select("key", F.explode(_entities(F.col("spans"))).alias("entity")).distinct()
-    flagged = revealing_terms(rows, contexts, entities, disclosure)
-    more = contexts.join(flagged, ["entity", "term"]).select("doc", "key", "start", "end", "term").distinct()
-    extra = F.struct(F.col("start"), F.lit(len(KINDS)).alias("rank"), F.col("end"), F.lit(TERM).alias("kind"), F.col("term").alias("value"))
-    more = more.groupBy("doc", "key").agg(F.collect_list(extra).alias("extra"))
-    out = found.drop("text").join(more, found.doc.eqNullSafe(more.doc) & (found.key == more.key), "left")
+    held = holding.dropDuplicates(["key"]).select("key", "text", "spans")
+    named = revealing_terms(rows, held, disclosure).join(held, "key")
+    # every place of the flagged words in the text that does not overlap a base span
+    pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join("forms", "|"), F.lit(r")(?!\p{L})"))
+    places = _located(_blanked(F.col("text"), F.col("spans")), pattern)
+    term = lambda m: F.struct(m["start"].alias("start"), F.lit(len(KINDS)).alias("rank"), m["end"].alias("end"), F.lit(TERM).alias("kind"), F.lower(m["value"]).alias("value"))
+    more = named.select("key", F.transform(places, term).alias("extra"))
+    out = found.drop("text").join(more, "key", "left")
     spans = F.array_sort(F.concat(F.col("spans"), F.coalesce("extra", F.array().cast(found.schema["spans"].dataType))))
-    return out.select(found.doc, found.key, F.col("spans").alias("base"), spans.alias("spans"))
+    return out.select("doc", "key", F.col("spans").alias("base"), spans.alias("spans"))
 
 
 def _of_kind(kind: str, span: Column) -> Column:

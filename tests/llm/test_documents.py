@@ -81,6 +81,16 @@ def test_terms_of_a_value_in_one_text_are_removed(spark):
     assert clean[100] == "Ask number 0 about the plan"
 
 
+def test_terms_far_from_their_value_are_removed(spark):
+    filler = "and about the plan " * 30
+    told = [(0, f"From Zebulon {filler}mail z@q.com {filler}says zebulon, Zoé+1 555 123 4567 or Zoé x {filler}"), (1, f"Zebulon {filler} alone")]
+    docs = spark.createDataFrame(told + [(100 + i, f"From {i} mail or says {filler}") for i in range(400)], "doc_id bigint, text string")
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
+    assert "ebulon" not in clean[0] and "[EMAIL]" in clean[0] and "[PHONE]" in clean[0] and clean[0].count("plan") == 90
+    assert len(clean[0].split()) == len(told[0][1].split()) - 1 - 3
+    assert clean[1] == told[1][1] and clean[100] == docs.filter("doc_id = 100").first()["text"]
+
+
 def test_tokens_equal_the_library_and_packing_is_whole(spark, awkward, nothing):
     tokens, plain = packing.WordTokens(VOCABULARY), Tokenizer.from_file(VOCABULARY)
     odd = ["a,b(c)'s d're,x we'll... ('s)", "it's\"ok\"[x]é,ö.ä ½x ²", "a!!b ??c---d_e", "Don't İstanbul ΣΑΣ", "á b", "x<|endoftext|>y", "\x1c a\x85b\xa0c", "１２ ٣ 'S", "", "  "]

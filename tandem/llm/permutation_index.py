@@ -16,8 +16,8 @@ PIVOTS = 256
 PREFIX = 64
 SEGMENT_ROWS = 16_384
 QUERY_BLOCK = 8_192
-# Share of a segment's vectors that is reranked for a query, and the least number.
-RERANKED, LEAST_RERANKED = 0.15, 512
+# Share of a segment's vectors that is reranked for a query, at every size.
+RERANKED = 0.15
 
 _HITS = "query_id bigint, vec_id bigint, score double"
 
@@ -46,9 +46,11 @@ def _unit(x: np.ndarray) -> np.ndarray:
 def build(vectors: DataFrame, pivots: int = PIVOTS, prefix: int = PREFIX) -> DataFrame:
     """Every vector with the numbers of its ``prefix`` nearest pivots in order, written to the shared folder.
 
-    Pivots are a fixed number of vectors, those with the smallest hash of their ids.
+    Pivots are a fixed number of vectors, those with the smallest hash of their ids. Rows are dealt to segments of
+    about ``SEGMENT_ROWS`` by their ids, so that results do not depend on how the table is partitioned.
     """
     spark = vectors.sparkSession
+    segments = max(1, -(-vectors.count() // SEGMENT_ROWS))
     chosen = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect()
     shared = spark.sparkContext.broadcast(_unit(np.array([r["vector"] for r in chosen])) if chosen else np.zeros((0, 0)))
 
@@ -60,7 +62,8 @@ def build(vectors: DataFrame, pivots: int = PIVOTS, prefix: int = PREFIX) -> Dat
                 offsets = pa.array(np.arange(0, order.size + 1, order.shape[1], dtype=np.int32))
                 yield pa.record_batch([batch.column("vec_id"), batch.column("vector"), pa.ListArray.from_arrays(offsets, pa.array(order.ravel()))], ["vec_id", "vector", "near"])
 
-    return stored(vectors.mapInArrow(rows, "vec_id bigint, vector array<double>, near array<smallint>"), "permutation-index")
+    index = vectors.mapInArrow(rows, "vec_id bigint, vector array<double>, near array<smallint>")
+    return stored(index.withColumn("segment", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(segments)).cast("int")), "permutation-index")
 
 
 class _Segment:
@@ -75,14 +78,14 @@ class _Segment:
         self.rows, self.ranks = place // near.shape[1], place % near.shape[1]
         self.starts = np.searchsorted(flat[place], np.arange(pivots + 1))
 
-    def candidates(self, near: np.ndarray) -> np.ndarray:
-        """The rows with the smallest footrule distance to a query, ties to smaller ids.
+    def candidates(self, near: np.ndarray, top: int) -> np.ndarray:
+        """The share of rows (the query and ``top`` others at least) with the smallest footrule distance to a query, ties to smaller ids.
 
         With a pivot that one side does not list counted at the rank after its last, each shared pivot brings the
         distance down by twice the smaller remaining depth: rows are scored by that.
         """
         prefix, n = len(near), len(self.ids)
-        wanted = max(LEAST_RERANKED, int(np.ceil(RERANKED * n)))
+        wanted = max(top + 1, int(np.ceil(RERANKED * n)))
         if wanted >= n:
             return np.arange(n)
         gain = np.zeros(n, np.int64)
@@ -93,7 +96,7 @@ class _Segment:
         return np.argpartition(-key, wanted - 1)[:wanted]
 
     def nearest(self, query_id: int, q: np.ndarray, near: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
-        rows = self.candidates(near)
+        rows = self.candidates(near, top)
         rows = rows[self.ids[rows] != query_id]
         if not len(rows):
             return rows, np.zeros(0)
@@ -119,28 +122,16 @@ def search(index: DataFrame, queries: DataFrame, top: int = 5, pivots: int = PIV
         ids = np.array([r["vec_id"] for r in held], np.int64)
         shared = spark.sparkContext.broadcast((ids, np.array([r["vector"] for r in held]), np.array([r["near"] for r in held])))
 
-        def rows(batches) -> Iterator[pa.RecordBatch]:
-            waiting, count = [], 0
-
-            def answer() -> Iterator[pa.RecordBatch]:
-                batch = pa.Table.from_batches(waiting).combine_chunks()
-                columns = [batch.column(c).chunk(0) for c in ("vec_id", "vector", "near")]
-                segment = _Segment(columns[0].to_numpy(), _matrix(columns[1]), _matrix(columns[2]), pivots)
-                found = [(q, *segment.nearest(q, v, near, top)) for q, v, near in zip(*shared.value, strict=True)]
-                query = np.repeat([q for q, _, _ in found], [len(i) for _, i, _ in found])
-                columns = [query.astype(np.int64), np.concatenate([i for _, i, _ in found]), np.concatenate([s for _, _, s in found])]
-                yield pa.record_batch([pa.array(c) for c in columns], ["query_id", "vec_id", "score"])
-
-            for batch in batches:
-                waiting.append(batch)
-                count += batch.num_rows
-                if count >= SEGMENT_ROWS:
-                    yield from answer()
-                    waiting, count = [], 0
-            if count:
-                yield from answer()
-
-        return index.mapInArrow(rows, _HITS)
+        def answer(rows: pa.Table) -> pa.Table:
+            batch = rows.combine_chunks()
+            columns = [batch.column(c).chunk(0) for c in ("vec_id", "vector", "near")]
+            segment = _Segment(columns[0].to_numpy(), _matrix(columns[1]), _matrix(columns[2]), pivots)
+            found = [(q, *segment.nearest(q, v, near, top)) for q, v, near in zip(*shared.value, strict=True)]
+            query = np.repeat([q for q, _, _ in found], [len(i) for _, i, _ in found])
+            columns = [query.astype(np.int64), np.concatenate([i for _, i, _ in found]), np.concatenate([s for _, _, s in found])]
+            return pa.table([pa.array(c) for c in columns], ["query_id", "vec_id", "score"])
+
+        return index.groupBy("segment").applyInArrow(answer, _HITS)
 
     held, parts = [], []
     for row in stored(queries.dropDuplicates(["vec_id"]), "queries").toLocalIterator():

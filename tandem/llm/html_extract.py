@@ -26,7 +26,7 @@ ENDS_BEFORE = {
 }
 SCOPES = frozenset("table ul ol dl body html article section div main select".split())
 DROPPED = frozenset(
-    "head nav footer aside form button select option input label fieldset menu dialog svg canvas object embed audio video map math".split()
+    "head nav footer aside button select option input label fieldset menu dialog svg canvas object embed audio video map math".split()
 ) | RAW
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 UNLIKELY = frozenset(
@@ -42,6 +42,7 @@ SEMANTIC = frozenset(("article", "main"))
 _TAG = re.compile(r"""<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"<]*+"|'[^'<]*+'|[^>"'<]++|["'])*+)>""", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/"']|\Z)""", re.IGNORECASE)
 _NAMES = re.compile(r"[A-Za-z]+")
+_TOKENS = re.compile(r"[^\s\"']+")
 _COMMAS = re.compile(r"[,،、，]")
 
 LENGTH_STEP = 100
@@ -49,40 +50,67 @@ LENGTH_POINTS = 3
 SIBLING_SHARE = 0.2
 SIBLING_LEAST = 10.0
 MENU_LINKS = 3
+# An element that its name, role or place makes doubtful is left out if it is at most this share of the page's text, or if
+# at least this share of its own text is links; one whose name only contains a doubtful word, if it is mostly links.
+SMALL_SHARE = 0.3
+LINK_HEAVY = 0.5
+# What text in a doubtful element that stays counts.
+DOUBT_SHARE = 0.25
+# A result shorter than this share of the densest element that was left out is taken again without leaving any out.
+FAR_SHORTER = 0.25
 # Elements further out get no points from a paragraph; the text in them is kept all the same.
 MOST_LEVELS = 100
 
 
 class _Node:
-    __slots__ = ("blocks", "dropped", "links", "parent", "points", "tag", "text")
+    __slots__ = ("blocks", "chars", "doubt", "dropped", "linked", "links", "number", "outer", "parent", "points", "tag", "text", "weak")
 
-    def __init__(self, tag: str, parent: _Node | None, dropped: bool) -> None:
-        self.tag, self.parent, self.dropped = tag, parent, dropped
+    def __init__(self, tag: str, parent: _Node | None, dropped: bool, doubt: int = 0, number: int = 0) -> None:
+        self.tag, self.parent, self.dropped, self.doubt, self.number = tag, parent, dropped, doubt, number
         self.points, self.text, self.links, self.blocks = 0.0, 0, 0, 0
+        # the nearest doubtful element around it, and characters and link characters within it
+        self.outer = None if parent is None else parent if parent.doubt else parent.outer
+        self.weak = doubt == 2 or parent is not None and parent.weak
+        self.chars = self.linked = 0
 
 
-def _is_dropped(tag: str, attributes: str, in_article: bool) -> bool:
-    if tag in DROPPED or (tag == "header" and not in_article):
+def _is_dropped(tag: str, attributes: str) -> bool:
+    """Whether an element is no part of any article: by its tag, or since it is hidden."""
+    if tag in DROPPED:
         return True
-    if not attributes or tag in ("html", "body", "article", "main") and "comment" not in attributes and "hidden" not in attributes:
-        return False
-    for name, value in _ATTRIBUTE.findall(attributes):
+    for name, value in _ATTRIBUTE.findall(attributes) if attributes else ():
         name, value = name.lower(), value.strip("\"'").lower()
-        if name in ("class", "id"):
-            if tag not in ("html", "body") and any(w in UNLIKELY for w in _NAMES.findall(value)):
-                return True
-        elif name == "role":
-            if value in UNLIKELY_ROLES:
-                return True
-        elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
     return False
 
 
-def _parse(page: str) -> list[tuple[_Node, str, int]]:
-    """The blocks of a page in order: their element, text and characters within links. One pass, no recursion."""
+def _doubt(tag: str, attributes: str, of_page: bool) -> int:
+    """2 if the role, a whole class or id, or the place of an element is one that articles do not have, 1 if part of a class or id is."""
+    if tag == "form" or tag == "header" and of_page:
+        return 2
+    if not attributes or tag in ("html", "body", "article", "main") and "comment" not in attributes:
+        return 0
+    most = 0
+    for name, value in _ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), value.strip("\"'").lower()
+        if name == "role" and value in UNLIKELY_ROLES:
+            return 2
+        if name in ("class", "id") and tag not in ("html", "body"):
+            for token in _TOKENS.findall(value):
+                words = [w in UNLIKELY and not (w == tag == "header") for w in _NAMES.findall(token)]
+                most = max(most, 2 if words and all(words) else 1 if any(words) else 0)
+    return most
+
+
+def _parse(page: str, without: frozenset[int] = frozenset()) -> tuple[list[tuple[_Node, str, int]], list[_Node]]:
+    """The blocks of a page in order (their element, text and characters within links), and its doubtful elements.
+
+    One pass, no recursion. Elements whose numbers are in ``without`` are left out.
+    """
     root = _Node("", None, False)
-    stack, blocks = [root], []
+    stack, blocks, doubtful = [root], [], []
+    number = total = total_linked = 0
     runs: list[str] = []
     linked = links = article = 0
     at = 0
@@ -103,15 +131,20 @@ def _parse(page: str) -> list[tuple[_Node, str, int]]:
             gone = stack.pop()
             links -= gone.tag == "a"
             article -= gone.tag in SEMANTIC
+            if gone.doubt:
+                gone.chars, gone.linked = total - gone.chars, total_linked - gone.linked
             if gone is node:
                 return
 
     def add(text: str) -> None:
-        nonlocal linked
+        nonlocal linked, total, total_linked
         if text and not stack[-1].dropped:
             runs.append(text)
+            size = len(" ".join(text.split()))
+            total += size
             if links:
-                linked += len(" ".join(text.split()))
+                linked += size
+                total_linked += size
 
     while True:
         found = _TAG.search(page, at)
@@ -161,7 +194,8 @@ def _parse(page: str) -> list[tuple[_Node, str, int]]:
             add(" ")
             continue
         parent = stack[-1]
-        dropped = parent.dropped or _is_dropped(tag, found[3], article > 0)
+        number += 1
+        dropped = parent.dropped or number in without or _is_dropped(tag, found[3])
         if dropped and not parent.dropped and tag not in BLOCK:
             add(" ")
         if tag in RAW:
@@ -170,11 +204,18 @@ def _parse(page: str) -> list[tuple[_Node, str, int]]:
             continue
         if found[3].endswith("/") and tag not in BLOCK:
             continue
-        stack.append(_Node(tag, parent, dropped))
+        node = _Node(tag, parent, dropped, 0 if dropped else _doubt(tag, found[3], not article and parent.tag in ("", "html", "body")), number)
+        if node.doubt:
+            node.chars, node.linked = total, total_linked
+            doubtful.append(node)
+        stack.append(node)
         links += tag == "a"
         article += tag in SEMANTIC
     flush()
-    return blocks
+    if len(stack) > 1:
+        close(stack[1])
+    root.chars = total
+    return blocks, [root, *doubtful]
 
 
 def _menus(blocks: list[tuple[_Node, str, int]]) -> set[int]:
@@ -200,14 +241,41 @@ def _within(node: _Node | None, inside: set[int], known: dict[int, bool]) -> boo
     return found
 
 
+def _left_out(doubtful: list[_Node]) -> list[_Node]:
+    """The outermost doubtful elements that are a small part of the page, or mostly links."""
+    total, out, gone = doubtful[0].chars, [], set()
+    for node in doubtful[1:]:
+        if node.outer is not None and node.outer.number in gone:
+            gone.add(node.number)
+        elif node.linked >= LINK_HEAVY * max(1, node.chars) or node.doubt == 2 and node.chars <= SMALL_SHARE * total:
+            gone.add(node.number)
+            out.append(node)
+    return out
+
+
 def extract(page: str) -> str:
+    """The main text of a page, its blocks joined by an empty line.
+
+    Elements that names, roles or places make doubtful are left out first, where they are small or mostly links; what
+    stays of them counts less. If that leaves nothing, or far less than the densest of them, nothing is left out.
+    """
+    blocks, doubtful = _parse(page)
+    out = _left_out(doubtful)
+    if not out:
+        return _best(blocks)
+    text = _best(_parse(page, frozenset(n.number for n in out))[0])
+    if len(text) < FAR_SHORTER * max(n.chars - n.linked for n in out):
+        return _best(blocks, doubts=False)
+    return text
+
+
+def _best(blocks: list[tuple[_Node, str, int]], doubts: bool = True) -> str:
     """The blocks of the best scored container and of its siblings that belong to it, joined by an empty line.
 
     Paragraphs give points for their length and commas to their ancestors, the further the fewer, discounted by
     their share of link text; a container's points are discounted by its link density. The best container grows
     to the article or main element around it.
     """
-    blocks = _parse(page)
     if not blocks:
         return ""
     menus = _menus(blocks)
@@ -220,6 +288,8 @@ def extract(page: str) -> str:
         points = (1 + len(_COMMAS.findall(text)) + min(len(text) // LENGTH_STEP, LENGTH_POINTS)) * (1 - density)
         if node.tag in HEADINGS:
             points = 0.0
+        if doubts and node.weak:
+            points *= DOUBT_SHARE
         # a paragraph passes its points on; text that stands in a container itself counts for that container
         up, level = (node.parent or node, 0) if node.tag in ("p", "pre", "li", "td", "th", "dd", "dt", "blockquote") or node.tag in HEADINGS else (node, 0)
         while up is not None and level < MOST_LEVELS:

@@ -274,14 +274,16 @@ def _best(blocks: list[tuple[_Node, str, int]], doubts: bool = True) -> str:
 
     Paragraphs give points for their length and commas to their ancestors, the further the fewer, discounted by
     their share of link text; a container's points are discounted by its link density. The best container grows
-    to the article or main element around it.
+    to the article or main element around it, or else to its parent as long as what that adds is not mostly links. Of
+    what it grows by, and of what stands between its siblings that are kept, all blocks stay but those that are mostly
+    links or doubtful. Lists of links are menus unless they stand in the best container.
     """
     if not blocks:
         return ""
-    menus = _menus(blocks)
+    every, menus = blocks, _menus(blocks)
+    listed: dict[int, bool] = {}
     if menus:
-        known: dict[int, bool] = {}
-        blocks = [b for b in blocks if not _within(b[0], menus, known)]
+        blocks = [b for b in blocks if not _within(b[0], menus, listed)]
     scored: dict[int, _Node] = {}
     for node, text, linked in blocks:
         density = linked / len(text)
@@ -309,7 +311,14 @@ def _best(blocks: list[tuple[_Node, str, int]], doubts: bool = True) -> str:
         if up.tag in SEMANTIC:
             best = up
         up = up.parent
-    kept, least = {id(best)}, max(SIBLING_LEAST, SIBLING_SHARE * value[id(best)])
+    core = best
+    if core.tag not in SEMANTIC:
+        while best.tag not in ("body", "html") and best.parent is not None and best.parent.tag:
+            up = best.parent
+            if id(up) not in scored or up.text > best.text and up.links - best.links >= LINK_HEAVY * (up.text - best.text):
+                break
+            best = up
+    kept, least = {id(best)}, max(SIBLING_LEAST, SIBLING_SHARE * value.get(id(best), 0.0))
     if best.tag not in SEMANTIC and best.tag not in ("body", "html"):
         for k, node in scored.items():
             if node.parent is best.parent and value[k] >= least:
@@ -317,8 +326,25 @@ def _best(blocks: list[tuple[_Node, str, int]], doubts: bool = True) -> str:
         for node, text, linked in blocks:
             if node.parent is best.parent and (node.tag in HEADINGS or node.tag == "p" and len(text) > 80 and linked < 0.25 * len(text)):
                 kept.add(id(node))
-    known = {}
-    return "\n\n".join(text for node, text, _ in blocks if _within(node, kept, known))
+    inner, wide, around = {}, {}, {}
+    plain = core.tag not in ("body", "html")
+    fits, stays = [], []
+    for node, text, linked in every:
+        menu = bool(menus) and _within(node, menus, listed)
+        in_core = _within(node, {id(core)}, inner)
+        fit = linked < LINK_HEAVY * len(text) and (core.weak or not (doubts and node.weak)) and not menu
+        if in_core:
+            stay = plain or not menu
+        else:
+            stay = _within(node, kept, wide) and (fit or not _within(node, {id(best)}, around) and not menu)
+        fits.append(fit)
+        stays.append(stay)
+    held = [n for n, stay in enumerate(stays) if stay]
+    if held and best.parent is not None:
+        beside: dict[int, bool] = {}
+        for n in range(held[0], held[-1]):
+            stays[n] = stays[n] or fits[n] and _within(every[n][0], {id(best.parent)}, beside)
+    return "\n\n".join(every[n][1] for n, stay in enumerate(stays) if stay)
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

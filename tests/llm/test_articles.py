@@ -31,3 +31,15 @@ def test_small_and_linked_parts_are_left_out():
     assert html_extract.extract(f"<div class=comments><p>{PARAGRAPHS[0]}</p></div><p>Short</p>").startswith(PARAGRAPHS[0])
     for broken in ("<div class=ad>" * 5000, "<form>" * 5000 + "x", "<div class=no-header>" * 5000 + "<p>x"):
         html_extract.extract(broken)
+
+
+def test_short_siblings_and_lists_of_references_stay():
+    page = f"<body><div>{MENU}</div><div><section>{BODY}</section><section><p>Short text.</p></section></div></body>"
+    assert html_extract.extract(page) == f"{WANT}\n\nShort text."
+    parts = "<p>Short.</p><pre>code = 1</pre><blockquote>said so</blockquote><ul><li>first</li><li>second</li></ul><table><tr><td>cell</td></tr></table>"
+    page = f"<body><div><div>{BODY}</div>{parts}<div>{BODY}</div></div></body>"
+    assert html_extract.extract(page) == f"{WANT}\n\nShort.\n\ncode = 1\n\nsaid so\n\nfirst\n\nsecond\n\ncell\n\n{WANT}"
+    references = "<h2>References</h2><ol><li><a href=a>First work</a></li><li><a href=b>Second work</a></li><li><a href=c>Third work</a></li></ol>"
+    for tag in ("article", "div"):
+        page = f"<body><div>{MENU}</div><{tag}>{BODY}{references}</{tag}></body>"
+        assert html_extract.extract(page) == f"{WANT}\n\nReferences\n\nFirst work\n\nSecond work\n\nThird work"

@@ -39,13 +39,16 @@ def _terms(words: np.ndarray) -> np.ndarray:
 
 
 def split_item(text: str) -> tuple[str, str]:
-    """Question and answer of an item: up to its last question mark and the rest, or all but the last sentence and that."""
+    """Question and answer of an item: up to its last question mark and the rest, or all but the last sentence and that.
+
+    All of it is the question where that would have less than ``GRAM`` words.
+    """
     text = text.strip()
     at = text.rfind("?")
+    # a question of less than a few words says nothing
     if 0 <= at < len(text) - 1:
-        return text[: at + 1], text[at + 1 :]
+        return (text[: at + 1], text[at + 1 :]) if len(_hashes(text[: at + 1])) >= GRAM else (text, "")
     ends = [m.end() for m in re.finditer(r"[.!?]\s+", text)]
-    # a question of less than a few words says nothing
     return (text[: ends[-1]], text[ends[-1] :]) if ends and len(_hashes(text[: ends[-1]])) >= GRAM else (text, "")
 
 
@@ -77,10 +80,14 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
         self.items, entries, self.item_of = [], [], []
+        self.short: dict[int, dict[int, list[int]]] = {}
         for item_id, text in items:
             question, answer = split_item(text)
             words = _hashes(text)
             if len(words) < GRAM:
+                if len(words):
+                    run = int(tx.shingles(words, np.zeros(len(words), np.int64), len(words))[0][0])
+                    self.short.setdefault(len(words), {}).setdefault(run, []).append(item_id)
                 continue
             q, a = _hashes(question), _hashes(answer)
             self.items.append((item_id, np.unique(tx.shingles(q, np.zeros(len(q), np.int64), GRAM)[0]), np.unique(a), len(words)))
@@ -155,9 +162,29 @@ class Index:
             lists = [c for c in lists if c.at < len(c.entries)]
         return out
 
+    def _short_leaks(self, words: np.ndarray, owner: np.ndarray) -> Iterator[tuple]:
+        """The first place in each text of each item that is too short for the index: its whole word sequence."""
+        starts = np.searchsorted(owner, np.arange(owner[-1] + 1))
+        for size, items in self.short.items():
+            whole = np.flatnonzero(owner[: len(words) - size + 1] == owner[size - 1 :])
+            if not len(whole):
+                continue
+            runs = tx.shingles(words, np.arange(len(words)) // len(words), size)[0]
+            at = whole[np.isin(runs[whole], np.array(list(items), np.uint64))]
+            seen = set()
+            for place in at.tolist():
+                text, run = int(owner[place]), int(runs[place])
+                if (text, run) not in seen:
+                    seen.add((text, run))
+                    for item_id in items[run]:
+                        yield text, item_id, 1.0, 1.0, 1.0, place - int(starts[text])
+
     def leaks(self, words: np.ndarray, owner: np.ndarray, count: int) -> Iterator[tuple]:
         """Per text and item found in it: both numbers, the best score, both overlaps and the passage's first word."""
-        if not len(self.items) or not len(words):
+        if not len(words):
+            return
+        yield from self._short_leaks(words, owner)
+        if not len(self.items):
             return
         cuts = np.searchsorted(owner, np.arange(count + 1))
         term = self.places(words)
@@ -226,9 +253,11 @@ def find_leaks(
 
     Every passage of ``PASSAGE_WORDS`` words of every text is a query to a BM25 index of the items' word pairs, which gives all
     items with at least ``THRESHOLD`` of their score for themselves. An item counts as leaked if half of the
-    three-word runs of its question and half of the words of its answer occur around the passage. Words are runs of
+    three-word runs of its question and half of the words of its answer occur around the passage; where the question
+    would have less than three words, the whole item is the question. Words are runs of
     letters and digits, lower-cased. Test sets larger than ``INDEX_BYTES`` are searched in blocks of that size, each an
-    index with its own statistics. Items of less than three words or without an id are left out; texts that are
+    index with its own statistics. Items of one or two words leak where their whole word sequence occurs. Items without a
+    word or an id are left out; texts that are
     null or empty hold nothing; repeated rows are reported each; other columns are ignored.
     """
     spark = docs.sparkSession

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -24,6 +25,7 @@ QUESTION_OVERLAP, ANSWER_OVERLAP = 0.5, 0.5
 GRAM = 3
 POSTING_BLOCK = 64
 INDEX_BYTES = 16 << 20
+PART_BYTES = 8 << 20
 
 _SCHEMA = "doc_id bigint, item_id bigint, score double, question_overlap double, answer_overlap double, word bigint"
 
@@ -38,6 +40,11 @@ def _terms(words: np.ndarray) -> np.ndarray:
     return tx.shingles(words, np.zeros(len(words), np.int64), TERM_WORDS)[0]
 
 
+def _entries(words: np.ndarray) -> list[np.ndarray]:
+    """The terms of each entry of an item."""
+    return [_terms(part) for part in np.array_split(words, max(1, -(-len(words) // ENTRY_WORDS)))]
+
+
 def split_item(text: str) -> tuple[str, str]:
     """Question and answer of an item: up to its last question mark and the rest, or all but the last sentence and that.
 
@@ -75,10 +82,12 @@ class _Cursor:
 class Index:
     """An inverted index of item entries with block maxima; impacts are shares of an entry's score for itself.
 
-    A long item has several entries of up to ``ENTRY_WORDS`` words, so that a passage can match each of them.
+    A long item has several entries of up to ``ENTRY_WORDS`` words, so that a passage can match each of them. ``whole``
+    has the statistics of all test items, if these are only some of them: the number and the mean length of
+    entries, all terms here in order, and the number of entries that hold each.
     """
 
-    def __init__(self, items: list[tuple[int, str]]) -> None:
+    def __init__(self, items: list[tuple[int, str]], whole: tuple[int, float, np.ndarray, np.ndarray] | None = None) -> None:
         self.items, entries, self.item_of = [], [], []
         self.short: dict[int, dict[int, list[int]]] = {}
         for item_id, text in items:
@@ -91,14 +100,16 @@ class Index:
                 continue
             q, a = _hashes(question), _hashes(answer)
             self.items.append((item_id, np.unique(tx.shingles(q, np.zeros(len(q), np.int64), GRAM)[0]), np.unique(a), len(words)))
-            parts = max(1, -(-len(words) // ENTRY_WORDS))
-            for part in np.array_split(words, parts):
-                entries.append(_terms(part))
+            for entry in _entries(words):
+                entries.append(entry)
                 self.item_of.append(len(self.items) - 1)
         self.terms = np.unique(np.concatenate(entries)) if entries else np.zeros(0, np.uint64)
         n, mean = len(entries), max(1.0, float(np.mean([len(e) for e in entries])) if entries else 1.0)
         found = [np.unique(np.searchsorted(self.terms, e), return_counts=True) for e in entries]
         df = np.bincount(np.concatenate([t for t, _ in found]), minlength=len(self.terms)) if found else np.zeros(0)
+        if whole is not None:
+            n, mean, known, counts = whole
+            df = counts[np.searchsorted(known, self.terms)]
         idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
         triples = []
         for number, (terms, tf) in enumerate(found):
@@ -216,7 +227,7 @@ class Index:
 
 def _pass(docs: DataFrame, index) -> DataFrame:
     def rows(batches) -> Iterator[pa.RecordBatch]:
-        tests = index.value
+        tests = pickle.loads(index.value)
         for batch in batches:
             data, places = tx.buffers(batch.column("text"))
             ids, out = batch.column("doc").to_pylist(), []
@@ -232,18 +243,51 @@ def _pass(docs: DataFrame, index) -> DataFrame:
     return docs.mapInArrow(rows, _SCHEMA)
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
-    """The test items in blocks of bounded size."""
+def _entry_terms(batches) -> Iterator[pa.RecordBatch]:
+    """For each entry of each test item its length, with no term, and each of its terms."""
+    for batch in batches:
+        block, term, length = [], [], []
+        for number, text in zip(batch.column("block").to_pylist(), batch.column("t").to_pylist(), strict=True):
+            words = _hashes(text)
+            for entry in _entries(words) if len(words) >= GRAM else ():
+                terms = np.unique(entry).view(np.int64).tolist()
+                block += [number] * (len(terms) + 1)
+                term += [None, *terms]
+                length += [len(entry), *[None] * len(terms)]
+        yield pa.record_batch([pa.array(block, pa.int32()), pa.array(term, pa.int64()), pa.array(length, pa.int64())], ["block", "term", "length"])
+
+
+def _indexes(benchmark: DataFrame, item_col: str, text_col: str) -> tuple[DataFrame | None, int]:
+    """``(block, part, data)``: an index for each block of test items, in parts, and the number of blocks.
+
+    Items are dealt to blocks by their hash, and the blocks are built in tasks. Statistics are counted once over
+    all items, so that scores do not depend on the blocks.
+    """
     items = benchmark.select(F.col(item_col).cast("bigint").alias("i"), F.col(text_col).cast("string").alias("t")).filter("i is not null and t is not null")
-    held, size = [], 0
-    for row in stored(items.distinct(), "test-items").toLocalIterator():
-        held.append((row["i"], row["t"]))
-        size += len(row["t"])
-        if size >= INDEX_BYTES:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
+    items = stored(items.distinct(), "test-items")
+    size = items.agg(F.sum(F.octet_length("t"))).first()[0]
+    if not size:
+        return None, 0
+    blocks = -(-size // INDEX_BYTES)
+    items = items.withColumn("block", F.pmod(F.xxhash64("i", "t"), F.lit(blocks)).cast("int"))
+    entries = stored(items.select("block", "t").mapInArrow(_entry_terms, "block int, term bigint, length bigint"), "test-entries")
+    count, mean = entries.filter("term is null").agg(F.count(F.lit(1)), F.coalesce(F.avg("length"), F.lit(1.0))).first()
+    mean = max(1.0, mean)
+    terms = entries.filter("term is not null")
+    used = terms.select("block", "term").distinct().join(terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term").select("block", "term", "df")
+
+    def build(some: pa.Table, held: pa.Table) -> pa.Table:
+        known, counts = (held.column(c).to_numpy() for c in ("term", "df"))
+        known = known.astype(np.int64).view(np.uint64)
+        order = np.argsort(known)
+        rows = sorted(zip(some.column("i").to_pylist(), some.column("t").to_pylist(), strict=True))
+        data = pickle.dumps(Index(rows, (count, mean, known[order], counts[order].astype(np.int64))), pickle.HIGHEST_PROTOCOL)
+        parts = [data[at : at + PART_BYTES] for at in range(0, len(data), PART_BYTES)]
+        block = some.column("block")[0].as_py()
+        return pa.table([pa.array([block] * len(parts), pa.int32()), pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], ["block", "part", "data"])
+
+    built = items.groupBy("block").cogroup(used.groupBy("block")).applyInArrow(build, "block int, part int, data binary")
+    return stored(built, "test-index"), blocks
 
 
 def find_leaks(
@@ -255,15 +299,28 @@ def find_leaks(
     items with at least ``THRESHOLD`` of their score for themselves. An item counts as leaked if half of the
     three-word runs of its question and half of the words of its answer occur around the passage; where the question
     would have less than three words, the whole item is the question. Words are runs of
-    letters and digits, lower-cased. Test sets larger than ``INDEX_BYTES`` are searched in blocks of that size, each an
-    index with its own statistics. Items of one or two words leak where their whole word sequence occurs. Items without a
+    letters and digits, lower-cased. Test sets larger than ``INDEX_BYTES`` are searched in blocks of about that size, one at
+    a time, with the statistics of all items. Items of one or two words leak where their whole word sequence occurs. Items without a
     word or an id are left out; texts that are
     null or empty hold nothing; repeated rows are reported each; other columns are ignored.
     """
     spark = docs.sparkSession
     tx.small_batches(spark)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.lower(F.col(text_col).cast("string")).alias("text"))
-    parts = [_pass(rows, spark.sparkContext.broadcast(Index(block))) for block in _blocks(benchmark, item_col, item_text_col)]
+    index, blocks = _indexes(benchmark, item_col, item_text_col)
+    parts = []
+    for block in range(blocks):
+        # the index of one block is held at a time, here and in tasks
+        held = index.filter(F.col("block") == block).orderBy("part").collect()
+        if not held:
+            continue
+        shared = spark.sparkContext.broadcast(b"".join(bytes(r["data"]) for r in held))
+        del held
+        hits = _pass(rows, shared)
+        if blocks > 1:
+            hits = stored(hits, "leaks")
+            shared.destroy()
+        parts.append(hits)
     return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], _SCHEMA)
 
 

@@ -1,4 +1,4 @@
-"""Removal of byte strings that occur earlier in the corpus, by prefix doubling over sampled suffixes."""
+"""Removal of byte strings that occur earlier in the corpus, by fingerprints of sampled suffixes in four fixed rounds."""
 
 from __future__ import annotations
 

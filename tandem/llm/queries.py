@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tandem.llm import decontaminate, html_extract, jaccard_join, packing, permutation_index, pii, quality, suffix_dedup, toxicity, warc
+from tandem.llm import decontaminate, html_extract, jaccard_join, packing, permutation_index, pii, quality, simhash, suffix_dedup, toxicity, warc
 from tandem.llm.oracles import JACCARD, WARC
 from tandem.session import prepare, run_dir
 
@@ -58,11 +58,15 @@ def op10_pii_sanitisation(spark, sf_dir):
     return pii.report(_table(spark, sf_dir, "documents"))
 
 
+def op11_simhash(spark, sf_dir):
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"), size=3, distance=2)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_classifier, op2_warc_writer, op3_permutation_search, op4_benchmark_decontamination, op5_html_extraction,
-        op6_best_fit_packing, op7_toxicity, op8_jaccard_join, op9_suffix_dedup, op10_pii_sanitisation,
+        op6_best_fit_packing, op7_toxicity, op8_jaccard_join, op9_suffix_dedup, op10_pii_sanitisation, op11_simhash,
     )
 }
 

@@ -48,3 +48,41 @@ WITH RECURSIVE w AS (
 )
 SELECT doc_id, CAST(len(grams) AS BIGINT) AS n_shingles, component_id FROM s JOIN lowest ON root = doc_id
 """
+
+FILTER_AUDIT = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first
+  FROM documents
+), w AS (
+  SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM d
+), f AS (
+  SELECT doc_id, part,
+    CASE WHEN len(words) < 200 THEN 'A' ELSE '' END
+    || CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+    || CASE WHEN doc_id > first THEN 'E' ELSE '' END AS failed
+  FROM w
+), l AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id
+), c AS (
+  SELECT part, failed, count(*) AS n, sum(coalesce(good, 0)) AS n_good, sum(coalesce(toxic, 0)) AS n_toxic
+  FROM f LEFT JOIN l USING (doc_id) GROUP BY part, failed
+), orders AS (
+  SELECT '' AS o UNION ALL
+  SELECT o || x FROM orders, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) WHERE NOT contains(o, x)
+), steps AS (
+  SELECT o, i AS step, substr(o, i, 1) AS x, left(o, i - 1) AS earlier FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS i) WHERE length(o) = 5
+), m AS (
+  SELECT *, contains(failed, x) AS fails, length(translate(failed, earlier, '')) < length(failed) AS gone FROM c, steps
+), s AS (
+  SELECT part, o, step, x, sum(CASE WHEN NOT fails AND NOT gone THEN n ELSE 0 END) AS kept, sum(CASE WHEN fails AND NOT gone THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN fails AND gone THEN n ELSE 0 END) AS redundant, sum(CASE WHEN failed = x THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN fails AND NOT gone THEN n_good ELSE 0 END) AS good_lost, sum(CASE WHEN fails AND NOT gone THEN n_toxic ELSE 0 END) AS toxic_lost
+  FROM m GROUP BY ALL
+)
+SELECT part, o AS filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley
+FROM s
+"""

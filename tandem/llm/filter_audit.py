@@ -164,16 +164,18 @@ def _decided_here(docs: DataFrame) -> DataFrame:
 def prefix_ranges(rows: DataFrame) -> DataFrame:
     """``rows`` with whole texts, range-partitioned and sorted by adaptive prefixes of their texts.
 
-    A prefix has ``PREFIX_CHARS`` bytes at first. Where the texts that share it weigh more than ``SHARD_BYTES``, it grows
-    by ``PREFIX_GROWTH`` until they do not or until it is the whole text. Columns ``first`` and ``prefix`` name it:
-    its first bytes and a digest of all of it. Equal texts share their prefix, so they come to one place.
+    A prefix has ``PREFIX_CHARS`` bytes at first. Where the texts that share it weigh more than ``SHARD_BYTES`` or than
+    the share of one task, it grows by ``PREFIX_GROWTH`` until they do not or until it is the whole text. Columns
+    ``first`` and ``prefix`` name it: its first bytes and a digest of all of it. Equal texts share their prefix, so they
+    come to one place.
     """
     spark = rows.sparkSession
     total, longest = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max("size"), F.lit(0))).first()
-    limit = max(SHARD_BYTES, total // MOST_HEAVY)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_BYTES))
+    limit = max(min(SHARD_BYTES, total // parts), total // MOST_HEAVY)
     length, named = PREFIX_CHARS, F.xxhash64(F.substring("text", 1, PREFIX_CHARS))
     out, under = rows.withColumn("prefix", named), rows.withColumn("prefix", named)
-    while length < longest and total > limit:
+    while length < longest:
         heavy = under.groupBy("prefix").agg(F.sum("size").alias("bytes"), F.max("size").alias("longest"))
         heavy = stored(heavy.filter((F.col("bytes") > limit) & (F.col("longest") > length)).select("prefix", F.lit(True).alias("heavy")), "heavy-prefixes")
         if heavy.isEmpty():
@@ -183,7 +185,6 @@ def prefix_ranges(rows: DataFrame) -> DataFrame:
         # at most MOST_HEAVY of them can hold more than the limit
         under = under.join(F.broadcast(heavy), "prefix", "left_semi").withColumn("prefix", named)
         out = out.join(F.broadcast(heavy), "prefix", "left").withColumn("prefix", F.when(F.col("heavy"), named).otherwise(F.col("prefix"))).drop("heavy")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_BYTES))
     ranged = out.withColumn("first", F.substring("text", 1, PREFIX_CHARS)).repartitionByRange(parts, "first", "prefix")
     return ranged.sortWithinPartitions("first", "prefix")
 

@@ -86,3 +86,42 @@ SELECT part, o AS filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed
   CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley
 FROM s
 """
+
+PREFIX_TRIE = r"""
+WITH RECURSIVE turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '') AS key
+  FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+  SELECT conv_id, list(key ORDER BY turn NULLS FIRST, left(role, 32), left(text, 32), md5(key)) AS keys,
+    list(length(text) ORDER BY turn NULLS FIRST, left(role, 32), left(text, 32), md5(key)) AS chars
+  FROM turns GROUP BY conv_id
+), crc AS (
+  SELECT conv_id, CAST(conv_id AS VARCHAR) AS s, CAST(4294967295 AS BIGINT) AS r, 0 AS i FROM own
+  UNION ALL
+  SELECT conv_id, s, CASE WHEN x & 1 = 1 THEN xor(x >> 1, CAST(3988292384 AS BIGINT)) ELSE x >> 1 END, i + 1
+  FROM (SELECT *, CASE WHEN i % 8 = 0 THEN xor(r, CAST(ascii(substr(s, CAST(i // 8 + 1 AS BIGINT), 1)) AS BIGINT)) ELSE r END AS x FROM crc WHERE i < 8 * length(s))
+), h AS (
+  SELECT conv_id, CAST(xor(r, CAST(4294967295 AS BIGINT)) % 6 AS INT) AS h FROM crc WHERE i = 8 * length(s)
+), built AS (
+  SELECT o.conv_id, list_concat(coalesce(b.keys, [])[1:h], o.keys[h + 1:]) AS keys, list_concat(coalesce(b.chars, [])[1:h], o.chars[h + 1:]) AS chars
+  FROM own o JOIN h USING (conv_id) LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 100
+), seen AS (
+  SELECT conv_id, keys[1:d] AS path, d, coalesce(chars[d], 0) AS chars, len(keys) = d AS ends
+  FROM built, unnest(range(0, len(keys) + 1)) AS t(d)
+), node AS (
+  SELECT path, d, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM seen GROUP BY path, d
+), kids AS (
+  SELECT path[1:d - 1] AS path, count(*) AS n_children FROM node WHERE d > 0 GROUP BY ALL
+), full_node AS (
+  SELECT n.*, coalesce(k.n_children, 0) AS n_children FROM node n LEFT JOIN kids k USING (path)
+), below AS (
+  SELECT path[1:i] AS path, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * chars) AS saved
+  FROM full_node, unnest(range(0, d + 1)) AS t(i) GROUP BY ALL
+)
+SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, CAST(n.n_children AS BIGINT) AS n_children,
+  CAST(b.n_leaves AS BIGINT) AS n_leaves, CAST(b.saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM full_node n JOIN below b USING (path) LEFT JOIN node p ON n.d > 0 AND p.path = n.path[1:n.d - 1]
+"""

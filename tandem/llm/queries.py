@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tandem.llm import decontaminate, filter_audit, html_extract, jaccard_join, packing, permutation_index, pii, quality, simhash, suffix_dedup, toxicity, warc
-from tandem.llm.oracles import FILTER_AUDIT, JACCARD, WARC
+from tandem.llm import decontaminate, filter_audit, html_extract, jaccard_join, packing, permutation_index, pii, prefix_trie, quality, simhash, suffix_dedup, toxicity, warc
+from tandem.llm.oracles import FILTER_AUDIT, JACCARD, PREFIX_TRIE, WARC
 from tandem.session import prepare, run_dir
 
 
@@ -62,6 +62,10 @@ def op11_simhash(spark, sf_dir):
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), size=3, distance=2)
 
 
+def op12_prefix_trie(spark, sf_dir):
+    return prefix_trie.nodes(_table(spark, sf_dir, "conversations"))
+
+
 def op13_filter_audit(spark, sf_dir):
     return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -71,8 +75,8 @@ QUERIES = {
     for f in (
         op1_quality_classifier, op2_warc_writer, op3_permutation_search, op4_benchmark_decontamination, op5_html_extraction,
         op6_best_fit_packing, op7_toxicity, op8_jaccard_join, op9_suffix_dedup, op10_pii_sanitisation, op11_simhash,
-        op13_filter_audit,
+        op12_prefix_trie, op13_filter_audit,
     )
 }
 
-ORACLES = {"op2_warc_writer": WARC, "op8_jaccard_join": JACCARD, "op13_filter_audit": FILTER_AUDIT}
+ORACLES = {"op2_warc_writer": WARC, "op8_jaccard_join": JACCARD, "op12_prefix_trie": PREFIX_TRIE, "op13_filter_audit": FILTER_AUDIT}

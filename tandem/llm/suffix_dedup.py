@@ -121,23 +121,46 @@ def _items(docs: DataFrame, length: int, size: int) -> DataFrame:
     return docs.select("doc", "tie", "text").mapInArrow(rows, "key bigint, whole bigint, doc bigint, tie bigint, lo bigint, hi bigint, anchor bigint")
 
 
+def _flat(lists: pa.ListArray, *names: str) -> tuple[np.ndarray, list[np.ndarray]]:
+    """How many entries each list of structs has, and the named fields of all entries end to end; a null list has none."""
+    sizes = np.diff(lists.offsets.to_numpy()) if not lists.null_count else np.array([len(x) if x.is_valid else 0 for x in lists], np.int64)
+    entries = lists.flatten()
+    return sizes, [entries.field(n).to_numpy(zero_copy_only=False) for n in names]
+
+
 def _ranked(docs: DataFrame, rank) -> DataFrame:
-    """Rows of ``rank(prints, begin, asked)`` for the spans asked of each text: a rank pair and the span it stands for."""
+    """Rows of ``rank(prints, begin, asked)`` for the spans asked of each text: a rank pair and the span it stands for.
+
+    Short texts are fingerprinted together, a long one in blocks of the spans that start in it.
+    """
+
+    def parts(places: np.ndarray, owner: np.ndarray, spans: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+        cuts = np.searchsorted(owner, np.arange(len(places)))
+        for first, last in tx.groups(places, tx.BLOCK_BYTES // 2):
+            own = spans[cuts[first] : cuts[last]]
+            begin, end = int(places[first]), int(places[last])
+            if end - begin <= tx.BLOCK_BYTES // 2:
+                if len(own):
+                    yield begin, end, own
+                continue
+            own = own[np.argsort(own[:, 0], kind="stable")]
+            block = (own[:, 0] - begin) // (tx.BLOCK_BYTES // 2)
+            for number in np.unique(block):
+                here = own[block == number]
+                yield int(here[0, 0]), int(here[:, 3].max()), here
 
     def rows(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, tie, text, asked in zip(*(batch.column(c) for c in ("doc", "tie", "text", "asked")), strict=True):
-                data = np.frombuffer(text.as_buffer(), np.uint8)
-                spans = np.array([(s["lo"], s["hi"], s["anchor"], s["end"]) for s in asked.as_py()], np.int64)
-                spans = spans[np.argsort(spans[:, 0], kind="stable")]
-                block = spans[:, 0] // (tx.BLOCK_BYTES // 2)
-                for number in np.unique(block):
-                    own = spans[block == number]
-                    begin = int(own[0, 0])
-                    found = rank(_Prints(data[begin : int(own[:, 3].max())]), begin, own)
-                    n = len(found[0])
-                    columns = [found[0].view(np.int64), found[1].view(np.int64), np.full(n, doc.as_py()), np.full(n, tie.as_py()), *found[2:]]
-                    yield pa.record_batch([pa.array(c) for c in columns], ["left", "right", "doc", "tie", "lo", "hi", "anchor"])
+            data, places = tx.buffers(batch.column("text"))
+            sizes, columns = _flat(batch.column("asked"), "lo", "hi", "anchor", "end")
+            ids, ties = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "tie"))
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            spans = np.stack(columns, axis=1).astype(np.int64) + places[owner][:, None]
+            for begin, end, own in parts(places, owner, spans):
+                left, right, *found = rank(_Prints(data[begin:end]), begin, own)
+                text = np.searchsorted(places, found[0], "right") - 1
+                out = [left.view(np.int64), right.view(np.int64), ids[text], ties[text], *(f - places[text] for f in found)]
+                yield pa.record_batch([pa.array(c) for c in out], ["left", "right", "doc", "tie", "lo", "hi", "anchor"])
 
     schema = "left bigint, right bigint, doc bigint, tie bigint, lo bigint, hi bigint, anchor bigint"
     return docs.select("doc", "tie", "text", "asked").mapInArrow(rows, schema)
@@ -182,19 +205,21 @@ def _cut(docs: DataFrame) -> DataFrame:
     def rows(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, spans in zip(batch.column("text"), batch.column("spans"), strict=True):
-                data = text.as_buffer() if text.is_valid else b""
-                kept, at, removed, runs = hashlib.sha256(), 0, 0, 0
-                view = memoryview(data)
-                for lo, end in sorted((s["lo"], s["end"]) for s in spans.as_py() or ()):
-                    if lo > at or not runs:
-                        kept.update(view[at:lo])
-                        runs += 1
-                        at = lo
-                    removed += max(0, end - at)
-                    at = max(at, end)
-                kept.update(view[at:])
-                out.append((len(data), removed, runs, kept.hexdigest()))
+            sizes, (lows, ends) = _flat(batch.column("spans"), "lo", "end")
+            cuts = np.concatenate([[0], np.cumsum(sizes)])
+            for number, text in enumerate(batch.column("text")):
+                data = memoryview(text.as_buffer() if text.is_valid else b"")
+                kept, at, removed = hashlib.sha256(), 0, 0
+                lo, end = lows[cuts[number] : cuts[number + 1]], ends[cuts[number] : cuts[number + 1]]
+                order = np.argsort(lo, kind="stable")
+                lo, reach = lo[order], np.maximum.accumulate(end[order])
+                # a run begins where no span before it reaches
+                begins = np.flatnonzero(np.append(len(lo) > 0, lo[1:] > reach[:-1]))
+                for first, last in zip(lo[begins].tolist(), reach[np.append(begins, len(lo))[1:] - 1].tolist(), strict=True):
+                    kept.update(data[at:first])
+                    removed, at = removed + last - first, last
+                kept.update(data[at:])
+                out.append((len(data), removed, len(begins), kept.hexdigest()))
             columns = list(zip(*out, strict=True)) or [(), (), (), ()]
             yield pa.record_batch(
                 [batch.column("doc"), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string())],

@@ -255,9 +255,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` without the near duplicates of a kept row: of each component the row with the smallest id stays.
 
-    Rows without words or without an id stay. Of rows that share the kept id, those with one text stay once.
+    All rows without words or without an id stay, repeated ones too. Of other rows that share the kept id, those with one
+    text stay once.
     """
     groups = near_duplicates(docs, id_col, text_col, size, percent)
     gone = groups.filter("component_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("__gone"))
     kept = docs.join(gone.distinct(), docs[id_col] == F.col("__gone"), "left_anti")
-    return kept.dropDuplicates([id_col, text_col]) if id_col in docs.columns else kept
+    comparable = F.col(id_col).isNotNull() & F.coalesce(F.col(text_col).cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    return kept.filter(comparable).dropDuplicates([id_col, text_col]).unionByName(kept.filter(~comparable))

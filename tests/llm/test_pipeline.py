@@ -1,5 +1,8 @@
 """Registered oracles and the pipeline."""
 
+import os
+import re
+
 import duckdb
 
 import __spark_entry__ as entry
@@ -18,6 +21,37 @@ def test_oracles(spark):
         assert sorted(map(repr, want)) == sorted(repr(tuple(r[c] for c in columns)) for r in got.collect())
 
 
+#: Where a query has no SQL: the test that compares it with a plain computation.
+PLAIN = {
+    "op1_quality_classifier": "test_documents.py::held_out_accuracy", "op3_permutation_search": "test_search.py", "op4_benchmark_decontamination": "test_leaks.py",
+    "op5_html_extraction": "test_articles.py", "op6_best_fit_packing": "test_documents.py::packing_is_whole", "op7_toxicity": "test_documents.py::held_out_accuracy",
+    "op9_suffix_dedup": "test_pairs.py::repeated_strings", "op10_pii_sanitisation": "test_documents.py::plain_matching", "op11_simhash": "test_simhash.py::given_documents",
+    "pipeline": "test_pipeline.py::stages_keep",
+}
+
+
+def test_every_query_has_sql_or_a_plain_test():
+    here = os.path.dirname(os.path.abspath(__file__))
+    llm = {q for q in entry.queries() if re.match(r"op\d+_|pipeline", q)}
+    assert llm - set(entry.oracle_sql()) == set(PLAIN)
+    for name in PLAIN.values():
+        file, _, words = name.partition("::")
+        with open(os.path.join(here, file)) as f:
+            assert any(words in line for line in f if line.startswith("def test_")), name
+
+
+def test_near_duplicate_stage_on_awkward_rows(spark):
+    """Rows without an id or without words all stay; of linked documents the smallest id stays."""
+    long = " ".join(f"w{i}" for i in range(40))
+    rows = [(None, long), (None, long), (1, ""), (1, ""), (2, None), (3, " \t"), (5, long), (4, long), (4, long), (6, long + " more"), (7, "short one")]
+    docs = spark.createDataFrame([(i, t, "n", 1) for i, t in rows], "doc_id bigint, text string, n string, tie int")
+    kept = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert kept.columns == docs.columns
+    want = [(None, long), (None, long), (1, ""), (1, ""), (2, None), (3, " \t"), (4, long), (7, "short one")]
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted(want, key=repr)
+    assert corpus_pipeline.near_duplicates(spark, docs.limit(0), SF).count() == 0
+
+
 def test_stages_keep_the_columns_and_end_in_sequences(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     left = docs.count()

@@ -31,3 +31,15 @@ def test_results_do_not_depend_on_partitions(spark, monkeypatch):
     table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
     got = [sorted(map(tuple, pi.nearest(table.repartition(n), F.col("vec_id") % 50 == 0).collect())) for n in (1, 7)]
     assert got[0] == got[1] and len(got[0]) == 100
+
+
+def test_very_large_and_small_components_take_part(spark):
+    """Scaling a vector changes neither its neighbours nor a score."""
+    x = vectors(200)
+    plain = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    scales = [2.0**500, 2.0**-500, 1.0, 2.0**-1000]
+    wild = spark.createDataFrame([(i, (v * scales[i % 4]).tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = [sorted(map(tuple, pi.nearest(t, F.col("vec_id") % 50 == 0).collect())) for t in (plain, wild)]
+    assert len(got[0]) == 20
+    assert [r[:2] for r in got[0]] == [r[:2] for r in got[1]]
+    assert np.allclose([r[3] for r in got[0]], [r[3] for r in got[1]], atol=1e-12)

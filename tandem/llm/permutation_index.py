@@ -43,6 +43,12 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows brought to a largest component near one by a power of two: no digit changes, and squares stay in range."""
+    _, exponent = np.frexp(np.abs(x).max(1, keepdims=True))
+    return np.ldexp(x, -exponent)
+
+
 def build(vectors: DataFrame, pivots: int = PIVOTS, prefix: int = PREFIX) -> DataFrame:
     """Every vector with the numbers of its ``prefix`` nearest pivots in order, written to the shared folder.
 
@@ -71,7 +77,7 @@ class _Segment:
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, near: np.ndarray, pivots: int) -> None:
         order = np.argsort(ids, kind="stable")
-        self.ids, self.x, near = ids[order], x[order], near[order]
+        self.ids, self.x, near = ids[order], _scaled(x[order]), near[order]
         self.length = np.sqrt((self.x * self.x).sum(1))
         flat = near.ravel()
         place = np.argsort(flat, kind="stable")
@@ -100,6 +106,7 @@ class _Segment:
         rows = rows[self.ids[rows] != query_id]
         if not len(rows):
             return rows, np.zeros(0)
+        q = _scaled(q[None])[0]
         about = (self.x[rows] @ q) / self.length[rows]
         if len(rows) > top:
             # sums of one row are added in one order, whatever is beside it, so copies get equal scores

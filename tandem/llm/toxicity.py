@@ -171,16 +171,52 @@ def _logits(texts: list[bytes], table: np.ndarray) -> np.ndarray:
 
 
 def _score_block(data: np.ndarray, places: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Logits of texts; a long one in overlapping parts, the highest of which counts."""
+    """Logits of texts; the words of a long one are scored in stretches, and its windows run over all of them."""
     if len(places) == 2 and len(data) > 4 * tx.BLOCK_BYTES:
-        step = tx.BLOCK_BYTES
-        # parts overlap by far more than a window of words
-        parts = [data[at : at + step + 4096] for at in range(0, len(data), step)]
-        return np.array([max(_score_block(p, np.array([0, len(p)]), table)[0] for p in parts)])
+        scores = np.concatenate([_stretch_scores(part, table) for part in _stretches(data)])
+        return _pooled(scores, np.zeros(len(scores), np.int64), 1)
     starts, owner, buckets, words = _grams(data, places)
     return _pooled(_word_scores(table, buckets, words, len(starts)), owner, len(places) - 1)
 
 
+def _stretches(data: np.ndarray) -> Iterator[np.ndarray]:
+    """A long text in parts of about a block that end between words, however far away that is."""
+    first = 0
+    while first < len(data):
+        last = first + tx.BLOCK_BYTES
+        while last < len(data):
+            gaps = np.flatnonzero(_CLASS[data[last : last + tx.BLOCK_BYTES]] == 32)
+            if len(gaps):
+                last += int(gaps[0])
+                break
+            last += tx.BLOCK_BYTES
+        yield data[first:last]
+        first = last
+
+
+def _stretch_scores(data: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The scores of the words of one stretch; one that reaches over several blocks is summed up piece by piece."""
+    if len(data) <= 2 * tx.BLOCK_BYTES:
+        starts, _, buckets, words = _grams(data, np.array([0, len(data)]))
+        return _word_scores(table, buckets, words, len(starts))
+    # a stretch is this long only for a word that crosses its end; others may stand before it
+    gaps = np.flatnonzero(_CLASS[data] == 32)
+    begin = int(gaps[-1]) + 1 if len(gaps) else 0
+    before = _stretch_scores(data[:begin], table) if begin else np.zeros(0)
+    word = np.concatenate([[32], _CLASS[data[begin:]], [32]])
+    total, count = 0.0, 0
+    for at in range(0, len(word), tx.BLOCK_BYTES):
+        codes = _CODES[word[at : at + tx.BLOCK_BYTES + max(GRAMS) - 1]]
+        run = codes
+        for size in range(2, max(GRAMS) + 1):
+            run = run[:-1] * np.uint64(0x9E3779B97F4A7C15) + codes[size - 1 :]
+            if size in GRAMS:
+                own = run[: min(tx.BLOCK_BYTES, len(word) - size + 1 - at)] if len(word) - size + 1 > at else run[:0]
+                total += table[(tx.mix(own, size) >> np.uint64(64 - 17)).astype(np.int64)].sum()
+                count += len(own)
+    return np.append(before, total / max(1, count))
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic") -> Model:
     """Trains on four fifths of the labelled sample and calibrates the highest window on the rest.
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tandem.operators.cutover import has_offsets
 from tandem.operators.modes import POSITION
 from tandem.operators.scan import Running, find_hot_keys, running
 
@@ -23,15 +24,17 @@ def handoff_outcomes(log: DataFrame, order: Sequence[str] = POSITION, drain_ms:
     """State, reason and times per trace, taking the log as finished.
 
     Each step counts only after the step before it, so two scans along the trace first note the PREPARE
-    and the DRAINED_AT in force at every row; one aggregation then picks the first of each step.
+    and the DRAINED_AT in force at every row; one aggregation then picks the first of each step. A PREPARE without
+    offsets is ignored.
     """
     keys = ["pair_id", "trace_id"]
     kind, ts = F.col("signal_type"), F.col("timestamp")
     place = F.struct(*order, ts.alias("ts"))
-    traced = log.filter(F.col("trace_id").isNotNull()).select(*keys, *order, "signal_type", "timestamp", "reason")
+    prepares = (kind == "PREPARE_HANDOFF") & has_offsets(F.col("cutover_offsets"))
+    traced = log.filter(F.col("trace_id").isNotNull()).select(*keys, *order, "signal_type", "timestamp", "reason", prepares.alias("prepares"))
     hot = find_hot_keys(traced, keys, order[0])
 
-    rows = running(traced, keys, order, Running("prepare", "min", F.when(kind == "PREPARE_HANDOFF", place)), hot=hot)
+    rows = running(traced, keys, order, Running("prepare", "min", F.when(F.col("prepares"), place)), hot=hot)
     in_time = ts <= F.col("prepare.ts") + drain_ms
     rows = running(rows, keys, order, Running("drain", "min", F.when((kind == "DRAINED_AT") & in_time, place)), hot=hot)
 
@@ -126,7 +129,7 @@ def drain_verification(signals: DataFrame, order: Sequence[str] = POSITION) -> D
     rows = signals.filter(kind.isin("PREPARE_HANDOFF", "DRAINED_AT") & F.col("trace_id").isNotNull())
     maps = rows.groupBy("pair_id", "trace_id").agg(first("PREPARE_HANDOFF").alias("target"), first("DRAINED_AT").alias("drained"))
     # a prepare without offsets is ignored
-    maps = maps.filter(F.coalesce(F.size("target"), F.lit(0)) > 0)
+    maps = maps.filter(has_offsets(F.col("target")))
     empty = F.create_map().cast("map<int,bigint>")
     reached = F.coalesce("drained", empty)
     short = F.filter(

@@ -446,6 +446,44 @@ _oracle("stream_watermark", "business_events", sql="""
 _oracle("stream_mode", "mode_signals", sql="""
     SELECT pair_id, app_id, mode, ts AS since_ms, "offset", trace_no
     FROM (SELECT *, lag(mode) OVER (PARTITION BY app_id ORDER BY "offset", trace_no) AS prev FROM mode_signals) WHERE prev <> mode""")
+_oracle("stream_topic_modes", "mode_signals", sql="""
+    SELECT pair_id, app_id, mode, ts AS since_ms, CAST(0 AS BIGINT) AS partition, ("offset" - 1704067200000 * 16) * 16777216 + trace_no AS "offset"
+    FROM (SELECT *, lag(mode) OVER (PARTITION BY app_id ORDER BY "offset", trace_no) AS prev FROM mode_signals) WHERE prev <> mode""")
+# what the wire shows: no trigger, no failed savepoint and no refused transfer
+DERIVED["wire_outcomes"] = (("control_signals",), DERIVED["outcomes"][1].replace("FROM control_log", "FROM control_signals").replace(
+    """min("timestamp") FILTER (WHERE signal_type = 'TRIGGER') AS triggered""", """min("timestamp") AS triggered"""))
+_oracle("stream_topic_progress", "wire_outcomes", sql="""
+    SELECT pair_id, trace_id, state, reason, assumed, triggered_ms, prepared_ms, drained_ms, confirmed_ms, finished_ms FROM wire_outcomes
+    WHERE finished_ms <= (SELECT max("timestamp") FROM control_signals)""")
+
+# -- pending cutovers
+
+DERIVED["cutover_signals"] = (("control_signals",), """
+    SELECT * REPLACE (CASE WHEN signal_type = 'PREPARE_HANDOFF' AND trace_no % 17 <> 0
+                           THEN [("timestamp" - 1704067200000) // 1000 - (trace_no * 131 + p * 1777) % 50000 FOR p IN range(4)] END AS offsets)
+    FROM control_signals""")
+DERIVED["copy_positions"] = ((), """
+    SELECT 'app' || copy || '-' || (user_id % 25) AS app_id, event_id % 4 AS partition, (epoch_us(ts) // 1000 - 1704067200000) // 1000 AS "offset",
+           epoch_us(ts) // 1000 + CASE WHEN copy = 2 THEN event_id % 4 % 3 * 3600000 ELSE 0 END AS at_ms
+    FROM events, (VALUES (1), (2)) c(copy)""")
+DERIVED["pending"] = (("cutover_signals", "pairs"), """
+    SELECT * FROM (
+      SELECT s.pair_id, app_id, s."offset" AS place, trace_no, trace_id, signal_type, "timestamp" AS prepared_ms, offsets,
+             lead("timestamp") OVER (PARTITION BY app_id ORDER BY s."offset", trace_no) AS ends_ms
+      FROM cutover_signals s JOIN (SELECT pair_id, app1 AS app_id FROM pairs UNION ALL SELECT pair_id, app2 FROM pairs) p
+        ON s.pair_id = p.pair_id AND (target_app_id = app_id OR target_app_id = 'broadcast')
+      WHERE (signal_type = 'PREPARE_HANDOFF' AND offsets IS NOT NULL) OR signal_type IN ('HANDOFF_ABORT', 'DEMOTE'))
+    WHERE signal_type = 'PREPARE_HANDOFF'""")
+_oracle("drained_signals", "pending", "copy_positions", sql=f"""
+    SELECT pair_id, app_id, trace_id, prepared_ms, greatest(prepared_ms, reached_ms) AS drained_ms, {_TEXT.format('offsets')} AS cutover_offsets
+    FROM pending JOIN (
+      SELECT app_id, place, trace_no, max(reached_ms) AS reached_ms FROM (
+        SELECT a.app_id, place, trace_no, a.p, min(at_ms) AS reached_ms
+        FROM (SELECT app_id, place, trace_no, p, offsets[p + 1] AS target FROM pending, range(4) t(p)) a
+        JOIN copy_positions c ON c.app_id = a.app_id AND c.partition = a.p AND c."offset" >= target GROUP BY ALL)
+      GROUP BY ALL HAVING count(*) = 4) USING (app_id, place, trace_no)
+    WHERE reached_ms < prepared_ms OR ends_ms IS NULL OR reached_ms < ends_ms""")
+ORACLES["stream_drained"] = ORACLES["drained_signals"]
 _oracle("stream_handoff_progress", "outcomes", sql="""
     SELECT pair_id, trace_id, state, reason, assumed, triggered_ms, prepared_ms, drained_ms, confirmed_ms, finished_ms FROM outcomes
     WHERE finished_ms <= (SELECT max("timestamp") FROM control_log)""")

@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tandem.functions import scalars
-from tandem.operators import fold
+from tandem.operators import cutover, fold
 from tandem.plans.queries import query
 from tandem.schemas import ACTIVE, SHADOW
 from tandem.session import run_dir
 from tandem.sources import testdata as t
 from tandem.sources import topics
-from tandem.streaming import control, runtime, sinks, state, watermark
+from tandem.streaming import control, drain, runtime, sinks, state, watermark
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,12 +50,9 @@ def _changes(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("offset").alias("seq"), "event_id", *fold.STATE_COLUMNS)
 
 
-def _staged(spark: SparkSession, rows: DataFrame, position: str, folder: str, transform, parts: int = 1) -> DataFrame:
-    """Replay a table slice by slice through a stream that keeps its checkpoint, and give back what it wrote."""
-    for path in runtime.stage(rows, position, f"{folder}/topic", parts):
-        out = transform(runtime.stream_table(spark, path))
-        runtime.start_to_table(out, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
-    return spark.read.schema(out.schema).parquet(f"{folder}/out")
+def _staged(spark: SparkSession, rows: DataFrame, position: str, folder: str, transform) -> DataFrame:
+    """Replay a table in arrival order through one stream, and give back what it wrote."""
+    return runtime.run_to_table(transform(runtime.stage(rows, position, f"{folder}/topic").stream(spark)), folder)
 
 
 @query
@@ -66,11 +63,11 @@ def stream_customer_state(spark, sf_dir):
 
 @query
 def stream_customer_state_chunked(spark, sf_dir):
-    """The same changes without Python processors, batch by batch, over at least two slices of arrival."""
+    """The same changes without Python processors, in at least two batches of arrival."""
     folder = run_dir(spark, "stream_customer_state_chunked")
     batches = state.BatchFold(spark, folder)
-    for path in runtime.stage(t.known_business_events(spark, sf_dir), "seq", f"{folder}/topic", 2):
-        runtime.run_batches(runtime.stream_table(spark, path), batches, f"{folder}/checkpoint")
+    topic = runtime.stage(t.known_business_events(spark, sf_dir), "seq", f"{folder}/topic", 2)
+    runtime.run_batches(topic.stream(spark), batches, f"{folder}/checkpoint")
     return batches.changes()
 
 
@@ -111,17 +108,15 @@ def _shadow_pair(spark: SparkSession, sf_dir: str, folder: str) -> tuple[sinks.N
     counts = sinks.GateCounts(spark, f"{folder}/counts")
     events = t.business_events_ooo(spark, sf_dir)
     middle = events.agg(F.expr("min(seq) + (max(seq) - min(seq) + 2) div 2").alias("at")).first()["at"]
-    before = list(runtime.stage(events.filter(F.col("seq") < middle), "seq", f"{folder}/before"))
-    after = runtime.stage(events.filter(F.col("seq") >= middle), "seq", f"{folder}/after")
-    for part, path in enumerate([*before, *after]):
-        if part == len(before):
+    for part, half in (("before", events.filter(F.col("seq") < middle)), ("after", events.filter(F.col("seq") >= middle))):
+        if part == "after":
             swap = [("app1", SHADOW, 1, 0), ("app2", ACTIVE, 2, 0)]
             spark.createDataFrame(swap, "app_id string, mode string, offset bigint, trace_no bigint").write.parquet(f"{folder}/modes")
+        topic = runtime.stage(half, "seq", f"{folder}/{part}")
         for app, initial in (("app1", ACTIVE), ("app2", SHADOW)):
             mode = sinks.mode_from_table(spark, f"{folder}/modes", initial)
             sink = sinks.shadow_sink(app, _to_sink(table.writer(app)), mode, counts)
-            changes = state.stream_customer_state(runtime.stream_table(spark, path))
-            runtime.run_batches(changes, sink, f"{folder}/checkpoint-{app}")
+            runtime.run_batches(state.stream_customer_state(topic.stream(spark)), sink, f"{folder}/checkpoint-{app}")
     return table, counts
 
 
@@ -137,28 +132,84 @@ def stream_shadow_counts(spark, sf_dir):
 
 @query
 def stream_cutover(spark, sf_dir):
-    """Both copies read everything; the old one writes up to the cutover of each partition, the new one the rest."""
+    """Both copies read everything; the old one writes up to the cutover of each partition, the new one the rest.
+
+    The cutover comes from the PREPARE signals of a control topic, as the control stream noted them.
+    """
     folder = run_dir(spark, "stream_cutover")
     events = t.business_events_ooo(spark, sf_dir)
-    agreed = events.groupBy("pair_id", "partition").agg(F.expr("max(offset) div 2").alias("cutover"))
-    agreed.write.parquet(f"{folder}/cutover")
-    offsets = spark.read.parquet(f"{folder}/cutover")
+    t.as_topic(t.agreed_signals(events), "offset").write.parquet(f"{folder}/control")
+    signals = topics.decode_control_signals(runtime.stream_table(spark, f"{folder}/control"))
+    changes = drain.stream_cutovers(control.with_pair(signals, t.pairs(spark, sf_dir)), control.TOPIC_ORDER)
+    runtime.start_to_table(changes, f"{folder}/cutovers", f"{folder}/checkpoint-control").awaitTermination()
     table = sinks.NewerWinsTable(spark, f"{folder}/table", TABLE, "customer_id", "last_updated_ms", "seq")
     pair = (F.col("customer_id").cast("bigint") % t.PAIRS).cast("int")
-    for path in runtime.stage(events, "seq", f"{folder}/topic"):
-        for side, app in (("OLD", "app1"), ("NEW", "app2")):
-            sink = sinks.cutover_sink(side, _to_sink(table.writer(app)), offsets)
-            changes = state.stream_customer_state(runtime.stream_table(spark, path))
-            runtime.run_batches(changes.withColumn("pair_id", pair), sink, f"{folder}/checkpoint-{app}")
+    topic = runtime.stage(events, "seq", f"{folder}/topic")
+    for side, app in (("OLD", "app1"), ("NEW", "app2")):
+        sink = sinks.cutover_sink(side, _to_sink(table.writer(app)), sinks.cutovers_from_table(spark, f"{folder}/cutovers"))
+        changes = state.stream_customer_state(topic.stream(spark))
+        runtime.run_batches(changes.withColumn("pair_id", pair), sink, f"{folder}/checkpoint-{app}")
     return table.read()
 
 
+def _drain_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return t.cutover_signals(spark, sf_dir), t.copy_positions(spark, sf_dir), t.pairs(spark, sf_dir)
+
+
+@query
+def drained_signals(spark, sf_dir):
+    """When each copy had read up to the offsets of a handoff that was pending for it."""
+    signals, positions, pairs = _drain_inputs(spark, sf_dir)
+    rows = cutover.drained(cutover.pending_cutovers(signals, pairs), positions)
+    return rows.withColumn("cutover_offsets", scalars.offsets_text(F.col("cutover_offsets")))
+
+
+@query
+def stream_drained(spark, sf_dir):
+    """The same as signals of a stream over control log and positions, in the order of their times."""
+    folder = run_dir(spark, "stream_drained")
+    rows = drain.union_log(*_drain_inputs(spark, sf_dir))
+    out = _staged(spark, rows, "at_ms", folder, drain.stream_drained)
+    return out.withColumn("cutover_offsets", scalars.offsets_text(F.col("cutover_offsets")))
+
+
 @query
 def stream_mode(spark, sf_dir):
     folder, first = run_dir(spark, "stream_mode"), F.col("app_id").startswith("app1-")
     return _staged(spark, t.control_signals(spark, sf_dir), "offset", folder, lambda rows: control.stream_modes(rows, first))
 
 
+def _topic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The control topics of all pairs, with nothing but what a topic has."""
+    return t.as_topic(t.control_signals(spark, sf_dir), t.topic_offset())
+
+
+@query
+def stream_topic_modes(spark, sf_dir):
+    """Modes straight from topic rows: decoded, given their pair by a static table, ordered by partition and offset."""
+    folder, first = run_dir(spark, "stream_topic_modes"), F.col("app_id").startswith("app1-")
+
+    def modes_of(records: DataFrame) -> DataFrame:
+        signals = control.with_pair(topics.decode_control_signals(records), t.topic_pairs(spark, sf_dir))
+        return control.stream_modes(signals, first, t.pairs(spark, sf_dir), control.TOPIC_ORDER)
+
+    return _staged(spark, _topic(spark, sf_dir), "offset", folder, modes_of)
+
+
+@query
+def stream_topic_progress(spark, sf_dir):
+    """How handoffs end, as far as the signals on the topic tell."""
+    folder = run_dir(spark, "stream_topic_progress")
+
+    def progress(records: DataFrame) -> DataFrame:
+        signals = control.with_pair(topics.decode_control_signals(records), t.topic_pairs(spark, sf_dir))
+        return control.stream_handoff_progress(signals, stored_log=True, order=control.TOPIC_ORDER)
+
+    ended = _staged(spark, _topic(spark, sf_dir), "offset", folder, progress)
+    end = t.control_signals(spark, sf_dir).agg(F.max("timestamp").alias("end_ms")).first()["end_ms"]
+    return ended.unionByName(control.timed_out_traces(spark, f"{folder}/checkpoint", end))
+
+
 @query
 def stream_heartbeat_watchdog(spark, sf_dir):
     folder = run_dir(spark, "stream_heartbeat_watchdog")

@@ -22,6 +22,8 @@ LEADER_ATTEMPT = "pair_id INT, from_app STRING, to_app STRING, expected_version
 LEASE_OP = "lock_id INT, coordinator_id STRING, op STRING, at_s BIGINT, seq BIGINT"
 METRIC = "namespace STRING, metric_name STRING, dim_name STRING, dim_value STRING, value DOUBLE, unit STRING, ts_ms BIGINT"
 
+CUTOVER_CHANGE = "pair_id INT, place1 BIGINT, place2 BIGINT, trace_id STRING, cutover_offsets MAP<INT,BIGINT>"
+
 # Field names of the JSON records.
 BUSINESS_EVENT_WIRE = {
     "event_id": "eventId",

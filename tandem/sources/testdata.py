@@ -196,6 +196,69 @@ def control_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return control_log(spark, sf_dir).filter(~F.col("signal_type").isin(*LOG_ONLY))
 
 
+def cutover_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wire signals, with targets near the positions of ``copy_positions`` at their time; some PREPAREs have none."""
+    n, second = F.col("trace_no"), F.floor((F.col("timestamp") - JANUARY) / 1000)
+    targets = F.map_from_arrays(F.array(*[F.lit(p) for p in range(4)]), F.array(*[(second - (n * 131 + p * 1777) % 50000).cast("bigint") for p in range(4)]))
+    prepare = (F.col("signal_type") == "PREPARE_HANDOFF") & (n % 17 != 0)
+    return control_signals(spark, sf_dir).withColumn("cutover_offsets", F.when(prepare, targets))
+
+
+def copy_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Offsets that both copies have read: seconds of January as offsets, the second copy up to two hours behind."""
+    events = table(spark, sf_dir, "events")
+    pair, part, at = (F.col("user_id") % PAIRS).cast("int"), (F.col("event_id") % 4).cast("int"), epoch_ms("ts")
+    offset = F.floor((at - JANUARY) / 1000).cast("bigint")
+    copies = F.array(
+        F.struct(F.concat(F.lit("app1-"), pair).alias("app_id"), at.alias("at_ms")),
+        F.struct(F.concat(F.lit("app2-"), pair).alias("app_id"), (at + HOUR * (part % 3)).cast("bigint").alias("at_ms")),
+    )
+    return events.select(pair.alias("pair_id"), part.alias("partition"), offset.alias("offset"), F.explode(copies).alias("c")).select("pair_id", "c.app_id", "partition", "offset", "c.at_ms")
+
+
+def agreed_signals(events: DataFrame) -> DataFrame:
+    """For each pair a PREPARE without offsets, one that is aborted, and the one whose offsets count: the middle of each partition."""
+    middle = events.groupBy("pair_id", "partition").agg(F.expr("max(offset) div 2").alias("cutover"))
+    maps = middle.groupBy("pair_id").agg(F.map_from_entries(F.collect_list(F.struct("partition", "cutover"))).alias("middle"))
+    early = F.transform_values("middle", lambda _, v: F.floor(v / 2).cast("bigint"))
+    steps = F.array(*[
+        F.struct(F.lit(i).cast("bigint").alias("offset"), F.lit(kind).alias("signal_type"), F.lit(trace).alias("trace_id"), offsets.alias("cutover_offsets"))
+        for i, (kind, trace, offsets) in enumerate([
+            ("PREPARE_HANDOFF", "a", early), ("HANDOFF_ABORT", "a", F.lit(None).cast("map<int,bigint>")), ("PREPARE_HANDOFF", "b", F.col("middle")),
+            ("PREPARE_HANDOFF", "c", F.lit(None).cast("map<int,bigint>")),
+        ])
+    ])
+    none = F.lit(None).cast("string")
+    rows = maps.select("pair_id", "middle", F.explode(steps).alias("s")).select("pair_id", "s.*")
+    return rows.select(
+        "pair_id", "offset", "signal_type", F.concat(F.lit("app1-"), "pair_id").alias("target_app_id"), none.alias("source_app_id"), "cutover_offsets",
+        F.lit("coordinator-1").alias("coordinator_id"), F.col("offset").alias("timestamp"), "trace_id", none.alias("reason"),
+    )
+
+
+def control_topic(pair: Column) -> Column:
+    """The control topic of a pair."""
+    return F.concat(F.lit("control-"), pair)
+
+
+def as_topic(signals: DataFrame, offset: str | Column) -> DataFrame:
+    """Signals as rows of the control topics of their pairs, with the six columns that a topic has and no others."""
+    rows = encode_control_signals(signals)
+    return rows.select(
+        control_topic(F.col("pair_id")).alias("topic"), F.lit(0).alias("partition"), (F.col(offset) if isinstance(offset, str) else offset).alias("offset"),
+        F.lit(None).cast("timestamp").alias("timestamp"), "key", "value",
+    )
+
+
+def topic_offset() -> Column:
+    """The place of a signal in the topic of its pair, by time and trace."""
+    return (F.col("offset") - JANUARY * 16) * (1 << 24) + F.col("trace_no")
+
+
+def topic_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs(spark, sf_dir).withColumn("topic", control_topic(F.col("pair_id")))
+
+
 def offset_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Committed offsets of both copies at every tick of January, plus rows of another topic.
 

@@ -2,27 +2,59 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tandem.operators import handoff, modes
+from tandem.operators.cutover import has_offsets
+from tandem.operators.modes import POSITION
+from tandem.operators.small import join_small
 from tandem.schemas import ACTIVE, BROADCAST, SHADOW
 from tandem.streaming.runtime import use_state_store
 
 
+# The order of rows of a topic; a control topic has one partition, or one per pair.
+TOPIC_ORDER = ("partition", "offset")
+
+
 def _in_order(rows) -> list[Row]:
-    return sorted(rows, key=lambda r: (r.offset, r.trace_no))
+    return sorted(rows, key=lambda r: (r.place1, r.place2))
+
+
+def _places(order: Sequence[str]) -> list[Column]:
+    return [F.col(c).cast("bigint").alias(f"place{i}") for i, c in enumerate(order, 1)]
+
 
+def with_pair(signals: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Decoded topic rows with ``pair_id`` by a static table: from the addressed app, else the sending one, else the topic.
 
-MODE_CHANGE = "pair_id INT, app_id STRING, mode STRING, since_ms BIGINT, offset BIGINT, trace_no BIGINT"
+    ``pairs`` has ``pair_id, app1, app2`` and may name the ``topic`` of each pair. Rows of unknown pairs are left out.
+    """
+    named = [F.struct(F.col(c).alias("name"), F.lit(i).alias("as")) for i, c in ((0, "app1"), (0, "app2"), *([(1, "topic")] if "topic" in pairs.columns else []))]
+    names = pairs.select("pair_id", F.explode(F.array(*named)).alias("n")).select("pair_id", "n.*")
+    known, rows = [], signals
+    for column, kind in (("target_app_id", 0), ("source_app_id", 0), ("topic", 1)):
+        if column in signals.columns and (kind == 0 or "topic" in pairs.columns):
+            own = names.filter(F.col("as") == kind).select(F.col("name").alias(column), F.col("pair_id").alias(f"_pair_{column}"))
+            rows = join_small(rows, own, [column], "left")
+            known.append(f"_pair_{column}")
+    pair = F.coalesce(*known) if len(known) > 1 else F.col(known[0])
+    return rows.withColumn("pair_id", pair).filter("pair_id is not null").select("pair_id", *signals.columns)
+
+
+def mode_change(order: Sequence[str] = POSITION) -> str:
+    return f"pair_id INT, app_id STRING, mode STRING, since_ms BIGINT, {order[0]} BIGINT, {order[1]} BIGINT"
 
 
 class ModeProcessor(StatefulProcessor):
     """The mode of one app; gives a row for each change."""
 
+    def __init__(self, order: Sequence[str] = POSITION) -> None:
+        self._order = tuple(order)
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._mode = handle.getValueState("mode", "mode STRING")
 
@@ -34,7 +66,7 @@ class ModeProcessor(StatefulProcessor):
             # the first copy of a pair starts as the writer
             current = mode or row.initial_mode
             if row.mode != current:
-                yield Row(pair_id=pair_id, app_id=app_id, mode=row.mode, since_ms=row.timestamp, offset=row.offset, trace_no=row.trace_no)
+                yield Row(pair_id=pair_id, app_id=app_id, mode=row.mode, since_ms=row.timestamp, **dict(zip(self._order, (row.place1, row.place2), strict=True)))
             mode = row.mode
         self._mode.update((mode,))
 
@@ -42,10 +74,11 @@ class ModeProcessor(StatefulProcessor):
         pass
 
 
-def stream_modes(signals: DataFrame, first_copy, pairs: DataFrame | None = None) -> DataFrame:
+def stream_modes(signals: DataFrame, first_copy, pairs: DataFrame | None = None, order: Sequence[str] = POSITION) -> DataFrame:
     """Mode changes per app. ``first_copy`` is a condition on ``app_id`` that holds for apps starting ACTIVE.
 
-    A broadcast signal reaches both apps of its pair, which a static table of ``pairs`` names.
+    A broadcast signal reaches both apps of its pair, which a static table of ``pairs`` names. ``order`` names the two
+    columns that order the signals of a pair: ``TOPIC_ORDER`` for rows as a topic has them.
     """
     use_state_store(signals.sparkSession)
     rows = signals.filter(F.col("signal_type").isin(*modes.MODE_OF))
@@ -56,10 +89,10 @@ def stream_modes(signals: DataFrame, first_copy, pairs: DataFrame | None = None)
         rows = rows.withColumn("app_id", F.explode(modes.receivers(F.col("target_app_id"), F.col("app1"), F.col("app2"))))
     rows = rows.select(
         "pair_id", "app_id", modes.signal_mode(F.col("signal_type")).alias("mode"),
-        "timestamp", "offset", "trace_no",
+        "timestamp", *_places(order),
     )
     rows = rows.withColumn("initial_mode", F.when(first_copy, ACTIVE).otherwise(SHADOW))
-    return rows.groupBy("pair_id", "app_id").transformWithState(ModeProcessor(), MODE_CHANGE, "Append", "None")
+    return rows.groupBy("pair_id", "app_id").transformWithState(ModeProcessor(order), mode_change(order), "Append", "None")
 
 
 SILENCE = "app_id STRING, last_beat_ms BIGINT, next_beat_ms BIGINT, silence_ms BIGINT, still_open BOOLEAN"
@@ -184,7 +217,7 @@ class HandoffProgress(StatefulProcessor):
                 outcome, reason = "HANDOFF_FAILED", row.reason or handoff.ABORTED
             elif row.signal_type == "SAVEPOINT_FAILED" and stage == _TRIGGERED:
                 outcome, reason = "HANDOFF_FAILED", handoff.SAVEPOINT_FAILED
-            elif row.signal_type == "PREPARE_HANDOFF" and stage == _TRIGGERED:
+            elif row.signal_type == "PREPARE_HANDOFF" and stage == _TRIGGERED and row.has_offsets:
                 stage, prepared = _DRAINING, row.timestamp
             elif row.signal_type == "DRAINED_AT" and stage == _DRAINING:
                 stage, drained = _PROMOTING, row.timestamp
@@ -232,14 +265,17 @@ class HandoffProgress(StatefulProcessor):
 
 
 def stream_handoff_progress(
-    log: DataFrame, drain_ms: int = handoff.DRAIN_TIMEOUT_MS, promote_ms: int = handoff.PROMOTE_TIMEOUT_MS, stored_log: bool = False
+    log: DataFrame, drain_ms: int = handoff.DRAIN_TIMEOUT_MS, promote_ms: int = handoff.PROMOTE_TIMEOUT_MS, stored_log: bool = False,
+    order: Sequence[str] = POSITION,
 ) -> DataFrame:
     """One row per trace when it ends, by a signal or by its time limit; no watermark, so no signal is dropped.
 
     With ``stored_log`` a time limit counts once a later signal of its trace shows it.
     """
     use_state_store(log.sparkSession)
-    rows = log.filter(F.col("trace_id").isNotNull()).select("pair_id", "trace_id", "offset", "trace_no", "signal_type", "timestamp", "reason")
+    rows = log.filter(F.col("trace_id").isNotNull()).select(
+        "pair_id", "trace_id", *_places(order), "signal_type", "timestamp", "reason", has_offsets(F.col("cutover_offsets")).alias("has_offsets")
+    )
     processor = HandoffProgress(drain_ms, promote_ms, not stored_log)
     return rows.groupBy("pair_id", "trace_id").transformWithState(processor, PROGRESS, "Append", "None" if stored_log else "ProcessingTime")
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import pairwise
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
@@ -30,11 +30,11 @@ def not_written_yet(error: AnalysisException) -> bool:
     return error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
 
 
-def stream_table(spark: SparkSession, path: str, max_bytes: str | None = None) -> DataFrame:
+def stream_table(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
     """A stored parquet table (a file or a folder of files) read as a stream, optionally bounded per micro-batch."""
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
-    if max_bytes:
-        reader = reader.option("maxBytesPerTrigger", max_bytes)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
     # a stream wants a folder or a pattern; this pattern fits a file, or a folder, of exactly this name
     return reader.parquet(f"{path[:-1]}[{path[-1]}]")
 
@@ -62,26 +62,52 @@ def run_batches(df: DataFrame, write_batch, checkpoint: str) -> None:
     start_batches(df, write_batch, checkpoint).awaitTermination()
 
 
-# Rows of a staged slice, which is one micro-batch: a key's share of it is sorted in one task.
-SLICE_ROWS = 4_000_000
-FILES_PER_SLICE = 8
+# Rows of a replay that one micro-batch takes, about: a key's share of them is sorted in one task.
+ROWS_PER_BATCH_CONF = "tandem.replay.rowsPerBatch"
+ROWS_PER_BATCH = 4_000_000
+# Files of a micro-batch, so that many tasks write and read one.
+FILES_PER_BATCH = 8
+# Tables with fewer rows than this get one file per micro-batch.
+SMALL_TABLE = 1_000_000
 
 
-def stage(rows: DataFrame, position: str, folder: str, parts: int = 1) -> Iterator[str]:
-    """Write a table in slices of a position column and give their folders in order.
+@dataclass(frozen=True)
+class Staged:
+    """A table written as files in the order of a position column, for one stream to read in that order."""
 
-    A stream that is started on each slice in turn, with one checkpoint, gets the table in arrival order and in
-    micro-batches of bounded size, and goes through a restart in between. The table is written in one pass, in
-    at least ``parts`` slices.
+    folder: str
+    files_per_batch: int
+
+    def stream(self, spark: SparkSession) -> DataFrame:
+        """The table as a stream that takes the next ``files_per_batch`` files at a time."""
+        return stream_table(spark, self.folder, self.files_per_batch)
+
+
+def stage(rows: DataFrame, position: str, folder: str, batches: int = 1) -> Staged:
+    """Write a table for a replay: one stream gets it in arrival order, in at least ``batches`` bounded micro-batches.
+
+    Files hold neighbouring ranges of the position. A file stream takes files by their modification time, so these are
+    set in the order of the ranges: a millisecond from one to the next, the last one now. A file system that does not
+    keep times that are set, as object stores, is refused.
     """
-    low, high, count = rows.agg(F.min(position), F.max(position), F.count(F.lit(1))).first()
-    parts = max(parts, -(-count // SLICE_ROWS))
-    number = F.expr(f"(({position} - {low}) * {parts}) div {high - low + 1}")
-    files = F.pmod(F.xxhash64(position), F.lit(FILES_PER_SLICE))
-    sliced = rows.withColumn("slice", number).repartition("slice", files)
-    sliced.write.partitionBy("slice").parquet(folder)
-    # folder names only; one row per slice
-    filled = {row["slice"] for row in rows.sparkSession.read.parquet(folder).select("slice").distinct().collect()}
-    for part in range(parts):
-        if part in filled:
-            yield f"{folder}/slice={part}"
+    spark = rows.sparkSession
+    limit = int(spark.conf.get(ROWS_PER_BATCH_CONF, str(ROWS_PER_BATCH)))
+    count = rows.count()
+    per_batch = FILES_PER_BATCH if count >= SMALL_TABLE else 1
+    files = max(batches, -(-count // limit)) * per_batch
+    rows.repartitionByRange(files, position).write.parquet(folder)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def written() -> list:
+        found = [f for f in system.listStatus(path) if f.getPath().getName().startswith("part-")]
+        return sorted(found, key=lambda f: f.getPath().getName())
+
+    in_order = written()
+    newest = max((f.getModificationTime() for f in in_order), default=0)
+    for number, file in enumerate(in_order):
+        system.setTimes(file.getPath(), newest - (len(in_order) - 1 - number), -1)
+    times = [f.getModificationTime() for f in written()]
+    if any(a >= b for a, b in pairwise(times)):
+        raise RuntimeError(f"{folder}: this file system does not keep the order of files; set spark.checkpoint.dir to one that does")
+    return Staged(folder, per_batch)

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tandem.operators import cutover, upsert
-from tandem.schemas import ACTIVE
+from tandem.operators.modes import POSITION
+from tandem.operators.small import join_small
+from tandem.schemas import ACTIVE, CUTOVER_CHANGE
 from tandem.sources.topics import encode_control_signals
 from tandem.streaming.runtime import not_written_yet, writer_run
 
@@ -119,26 +121,48 @@ def shadow_sink(app_id: str, write_fn: WriteFn, mode_fn: Callable[[str], str], c
     return write
 
 
-def cutover_sink(side: str, write_fn: WriteFn, offsets: DataFrame) -> WriteFn:
+def cutover_sink(side: str, write_fn: WriteFn, offsets: DataFrame | Callable[[], DataFrame], unsplit: str | None = None) -> WriteFn:
     """Wrap a writer so that it writes only its side (OLD or NEW) of the agreed offsets.
 
-    The split depends on the record alone, so no record is lost or written by both copies.
+    The split depends on the record alone, so no record is lost or written by both copies. ``offsets`` is a table, or
+    a function that is asked for one per batch. Pairs without any agreed offset are written by the side ``unsplit``.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        split = cutover.cutover_split(batch, offsets)
-        write_fn(split.filter(F.col("side") == side).select(*batch.columns), batch_id)
+        agreed = offsets() if callable(offsets) else offsets
+        split = cutover.cutover_split(batch, agreed)
+        own = F.col("side") == side
+        if unsplit == side:
+            known = agreed.select("pair_id").distinct().withColumn("agreed", F.lit(True))
+            split = join_small(split, known, ["pair_id"], "left")
+            own = own | F.col("agreed").isNull()
+        write_fn(split.filter(own).select(*batch.columns), batch_id)
 
     return write
 
 
-def latest_modes(changes: DataFrame) -> DataFrame:
+def cutovers_from_table(spark: SparkSession, path: str) -> Callable[[], DataFrame]:
+    """The offsets in force, from the table that the control stream writes; none before its first row."""
+
+    def offsets() -> DataFrame:
+        try:
+            changes = spark.read.schema(CUTOVER_CHANGE).parquet(path)
+        except AnalysisException as error:
+            if not not_written_yet(error):
+                raise
+            changes = spark.createDataFrame([], CUTOVER_CHANGE)
+        return cutover.cutovers_in_force(changes)
+
+    return offsets
+
+
+def latest_modes(changes: DataFrame, order: Sequence[str] = POSITION) -> DataFrame:
     """The mode in force per app, from a table of mode changes."""
-    last = changes.groupBy("app_id").agg(F.max(F.struct("offset", "trace_no", "mode")).alias("s"))
+    last = changes.groupBy("app_id").agg(F.max(F.struct(*order, "mode")).alias("s"))
     return last.select("app_id", "s.mode")
 
 
-def mode_from_table(spark: SparkSession, path: str, initial: str) -> Callable[[str], str]:
+def mode_from_table(spark: SparkSession, path: str, initial: str, order: Sequence[str] = POSITION) -> Callable[[str], str]:
     """A mode function that reads the table written by the control stream, so a restart keeps the mode."""
 
     def mode(app_id: str) -> str:
@@ -148,7 +172,7 @@ def mode_from_table(spark: SparkSession, path: str, initial: str) -> Callable[[s
             if not not_written_yet(error):
                 raise
             return initial
-        row = latest_modes(changes).first()
+        row = latest_modes(changes, order).first()
         return row["mode"] if row else initial
 
     return mode

@@ -29,3 +29,12 @@ def rows(df):
     """Order-free content with columns in name order."""
     columns = sorted(df.columns)
     return sorted((tuple(r[c] for c in columns) for r in df.collect()), key=repr)
+
+
+def slices(df, position, folder, parts):
+    """A table as folders of neighbouring positions, for streams that are started again on each."""
+    low, high = df.selectExpr(f"min({position})", f"max({position})").first()
+    number = f"(({position} - {low}) * {parts}) div {high - low + 1}"
+    df.selectExpr("*", f"{number} AS slice").write.partitionBy("slice").parquet(folder)
+    names = sorted(int(n.partition("=")[2]) for n in os.listdir(folder) if n.startswith("slice="))
+    return [f"{folder}/slice={n}" for n in names]

@@ -7,14 +7,14 @@ from tandem.operators import modes, savepoints
 from tandem.operators.small import join_small
 from tandem.sources import topics
 from tandem.streaming import runtime
-from tests.conftest import rows
+from tests.conftest import rows, slices
 
 
 def test_each_slice_is_read_alone_and_in_order(spark):
     folder = session.run_dir(spark, "slices")
     table = spark.range(240).withColumnRenamed("id", "seq")
     seen = []
-    for path in runtime.stage(table, "seq", f"{folder}/topic", 12):
+    for path in slices(table, "seq", f"{folder}/topic", 12):
         stream = runtime.stream_table(spark, path)
         runtime.run_batches(stream, lambda df, _: seen.append(sorted(r["seq"] for r in df.collect())), f"{folder}/checkpoint")
     assert len(seen) == 12

@@ -14,7 +14,7 @@ from tandem.sources import testdata as t
 from tandem.sources import topics
 from tandem.streaming import control, runtime, sinks, state
 
-from tests.conftest import rows
+from tests.conftest import rows, slices
 
 SF = "/root/testdata/sf0.001"
 TABLE = (
@@ -31,7 +31,7 @@ def changes_of(df):
 def test_late_and_unsorted_rows_all_fold_across_restarts(spark, parts):
     folder = run_dir(spark, "test-fold")
     events = t.business_events_ooo(spark, SF)
-    for path in runtime.stage(events, "seq", f"{folder}/topic", parts):
+    for path in slices(events, "seq", f"{folder}/topic", parts):
         changes = state.stream_customer_state(runtime.stream_table(spark, path))
         runtime.start_to_table(changes, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
     got = spark.read.parquet(f"{folder}/out")
@@ -59,7 +59,7 @@ def test_batch_fold_across_batches(spark, request, split):
     events = t.business_events_ooo(spark, SF)
     # full state sets at batches 2 and 4, so later batches start from them
     batches = state.BatchFold(spark, folder, full_every=2)
-    for path in runtime.stage(events, "seq", f"{folder}/topic", 6):
+    for path in slices(events, "seq", f"{folder}/topic", 6):
         runtime.run_batches(runtime.stream_table(spark, path), batches, f"{folder}/checkpoint")
     expected = fold.customer_state_changes(events)
     assert rows(batches.changes()) == rows(expected)
@@ -204,7 +204,7 @@ def test_signal_handler_sees_every_delivered_signal_once(spark):
     folder = run_dir(spark, "test-handler")
     signals = t.control_signals(spark, SF)
     seen = []
-    for path in runtime.stage(signals, "offset", f"{folder}/topic", 2):
+    for path in slices(signals, "offset", f"{folder}/topic", 2):
         stream = topics.encode_control_signals(runtime.stream_table(spark, path))
         runtime.run_batches(stream, lambda df, i: seen.append(df.count()), f"{folder}/checkpoint")
     assert len(seen) == 2 and sum(seen) == signals.count()
@@ -219,7 +219,7 @@ def test_handoff_progress_across_restarts_equals_the_audit(spark):
     folder = run_dir(spark, "test-progress")
     log = t.control_log(spark, SF)
     # the log arrives in order of time, as a topic does
-    for path in runtime.stage(log, "offset", f"{folder}/topic", 4):
+    for path in slices(log, "offset", f"{folder}/topic", 4):
         stream = control.stream_handoff_progress(runtime.stream_table(spark, path), stored_log=True)
         runtime.start_to_table(stream, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
     last = log.agg(F.max("timestamp")).first()[0]
@@ -231,7 +231,7 @@ def test_handoff_progress_across_restarts_equals_the_audit(spark):
 def test_silences_do_not_depend_on_the_number_of_slices(spark, parts):
     folder = run_dir(spark, "test-silences")
     beats, timeout = t.heartbeats(spark, SF), 24 * t.HOUR
-    for path in runtime.stage(beats, "ts_ms", f"{folder}/topic", parts):
+    for path in slices(beats, "ts_ms", f"{folder}/topic", parts):
         stream = control.stream_heartbeat_watchdog(runtime.stream_table(spark, path), timeout, stored_log=True)
         runtime.start_to_table(stream, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
     ended = spark.read.schema(stream.schema).parquet(f"{folder}/out")
@@ -308,7 +308,7 @@ def test_a_live_deadline_is_set_once_per_stage_and_ended_traces_are_forgotten():
 def test_modes_across_restarts(spark):
     folder = run_dir(spark, "test-modes")
     signals = t.control_signals(spark, SF)
-    for path in runtime.stage(signals, "offset", f"{folder}/topic", 3):
+    for path in slices(signals, "offset", f"{folder}/topic", 3):
         stream = control.stream_modes(runtime.stream_table(spark, path), F.col("app_id").startswith("app1-"))
         runtime.start_to_table(stream, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
     from tandem.operators import modes

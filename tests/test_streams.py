@@ -289,7 +289,7 @@ def test_a_live_silence_is_reported_again_and_again_whatever_the_clock_of_the_be
 
 def test_a_live_deadline_is_set_once_per_stage_and_ended_traces_are_forgotten():
     def signal(kind, offset):
-        return Row(offset=offset, trace_no=0, signal_type=kind, timestamp=offset, reason=None)
+        return Row(place1=offset, place2=0, signal_type=kind, timestamp=offset, reason=None, has_offsets=True)
 
     handle, progress_of = Handle(), control.HandoffProgress(60_000, 30_000, live=True)
     progress_of.init(handle)

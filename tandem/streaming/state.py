@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -18,8 +20,17 @@ STATE_SCHEMA = "order_count INT, total_cents BIGINT, last_event_type STRING, las
 CHANGE_SCHEMA = f"partition INT, offset BIGINT, event_id STRING, customer_id STRING, {STATE_SCHEMA}"
 
 
+def floored_sums(start: int, steps: np.ndarray, floored: np.ndarray) -> np.ndarray:
+    """The values of a running sum from ``start`` that is raised to 0 after each ``floored`` step.
+
+    Such steps compose, so the value is the plain sum plus the highest that the start or a floor has lifted it so far.
+    """
+    sums = np.cumsum(steps)
+    return sums + np.maximum.accumulate(np.where(floored, np.maximum(start, -sums), start))
+
+
 class CustomerStateProcessor(StatefulProcessor):
-    """Folds the events of one customer. Rows of a batch come unsorted, so they are put in arrival order first.
+    """Folds the events of one customer, as arrays. Rows of a batch come unsorted, so they are put in arrival order first.
 
     What is sorted is one key's share of one micro-batch, which the source's limit per trigger bounds.
     """
@@ -28,27 +39,25 @@ class CustomerStateProcessor(StatefulProcessor):
         self._state = handle.getValueState(STATE_NAME, STATE_SCHEMA)
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
-        self._state.update((
-            initialState.order_count, initialState.total_cents, initialState.last_event_type,
-            initialState.last_updated_ms, initialState.state_version,
-        ))
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        state = self._state.get()
-        count, cents = (state[0], state[1]) if state else (0, 0)
-        version = state[4] if state else fold.STATE_VERSION
-        for row in sorted(rows, key=lambda r: (r.partition, r.offset)):
-            if row.event_type == fold.CREATED:
-                count, cents = count + 1, cents + row.amount_cents
-            elif row.event_type == fold.UPDATED:
-                cents = max(0, cents + row.amount_cents)
-            else:
-                count, cents = max(0, count - 1), max(0, cents - row.amount_cents)
-            yield Row(
-                partition=row.partition, offset=row.offset, event_id=row.event_id, customer_id=key[0], order_count=count,
-                total_cents=cents, last_event_type=row.event_type, last_updated_ms=row.event_ts_ms, state_version=version,
-            )
-        self._state.update((count, cents, row.event_type, row.event_ts_ms, version))
+        for row in initialState[["order_count", "total_cents", "last_event_type", "last_updated_ms", "state_version"]].itertuples(index=False):
+            self._state.update(tuple(row))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        count, cents, _, _, version = self._state.get() or (0, 0, None, None, fold.STATE_VERSION)
+        frames = list(rows)
+        table = frames[0] if len(frames) == 1 else pd.concat(frames)
+        order = np.lexsort((table["offset"].to_numpy(), table["partition"].to_numpy()))
+        partition, offset, event_id, kind, amount, at = (
+            table[c].to_numpy()[order] for c in ("partition", "offset", "event_id", "event_type", "amount_cents", "event_ts_ms")
+        )
+        created, cancelled = kind == fold.CREATED, kind == fold.CANCELLED
+        counts = floored_sums(count, created.astype(np.int64) - cancelled, cancelled)
+        totals = floored_sums(cents, np.where(cancelled, -amount, amount), ~created)
+        self._state.update((int(counts[-1]), int(totals[-1]), kind[-1], int(at[-1]), version))
+        yield pd.DataFrame({
+            "partition": partition, "offset": offset, "event_id": event_id, "customer_id": key[0], "order_count": counts.astype(np.int32),
+            "total_cents": totals, "last_event_type": kind, "last_updated_ms": at, "state_version": version,
+        })
 
     def close(self) -> None:
         pass
@@ -71,7 +80,7 @@ def stream_customer_state(events: DataFrame, snapshot: DataFrame | None = None)
             "customer_id", "order_count", fold.amount_to_cents(F.col("total_amount")).alias("total_cents"),
             "last_event_type", "last_updated_ms", "state_version",
         ).groupBy("customer_id")
-    changes = rows.groupBy("customer_id").transformWithState(CustomerStateProcessor(), CHANGE_SCHEMA, "Append", "None", initial)
+    changes = rows.groupBy("customer_id").transformWithStateInPandas(CustomerStateProcessor(), CHANGE_SCHEMA, "Append", "None", initial)
     return with_amount(changes)
 
 

@@ -3,6 +3,7 @@
 import random
 from decimal import Decimal
 
+import numpy as np
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -320,3 +321,15 @@ def test_modes_across_restarts(spark):
 
 def test_start_positions():
     assert topics.topic_positions("business-events", {1: 7, 0: 5}) == '{"business-events": {"0": 5, "1": 7}}'
+
+
+def test_floored_sums_equal_single_steps():
+    rng = random.Random(4)
+    for _ in range(200):
+        start, steps = rng.randrange(20), [(rng.randrange(-9, 10), rng.random() < 0.6) for _ in range(rng.randrange(1, 30))]
+        steps = [(d if floored else abs(d), floored) for d, floored in steps]
+        want, value = [], start
+        for d, floored in steps:
+            value = max(0, value + d) if floored else value + d
+            want.append(value)
+        assert state.floored_sums(start, np.array([d for d, _ in steps]), np.array([f for _, f in steps])).tolist() == want

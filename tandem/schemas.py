@@ -54,6 +54,7 @@ SIGNAL_TYPES = (
     "HEARTBEAT",
     "HANDOFF_ABORT",
 )
+SAVEPOINT_STATUSES = ("IN_PROGRESS", "COMPLETED", "FAILED")
 HANDOFF_STATES = (
     "IDLE",
     "SAVEPOINT_IN_PROGRESS",

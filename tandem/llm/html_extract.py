@@ -26,7 +26,7 @@ ENDS_BEFORE = {
 }
 SCOPES = frozenset("table ul ol dl body html article section div main select".split())
 DROPPED = frozenset(
-    "head nav footer aside button select option input label fieldset menu dialog svg canvas object embed audio video map math".split()
+    "head nav footer aside button select option input menu svg canvas object embed audio video map annotation annotation-xml".split()
 ) | RAW
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 UNLIKELY = frozenset(
@@ -58,8 +58,8 @@ LINK_HEAVY = 0.5
 DOUBT_SHARE = 0.25
 # A result shorter than this share of the densest element that was left out is taken again without leaving any out.
 FAR_SHORTER = 0.25
-# Elements further out get no points from a paragraph; the text in them is kept all the same.
-MOST_LEVELS = 100
+# Further out than this, the share of a paragraph's points that an element gets no longer falls.
+LEAST_SHARE_LEVELS = 100
 
 
 class _Node:
@@ -87,7 +87,7 @@ def _is_dropped(tag: str, attributes: str) -> bool:
 
 def _doubt(tag: str, attributes: str, of_page: bool) -> int:
     """2 if the role, a whole class or id, or the place of an element is one that articles do not have, 1 if part of a class or id is."""
-    if tag == "form" or tag == "header" and of_page:
+    if tag in ("form", "fieldset", "dialog") or tag == "header" and of_page:
         return 2
     if not attributes or tag in ("html", "body", "article", "main") and "comment" not in attributes:
         return 0
@@ -112,7 +112,7 @@ def _parse(page: str, without: frozenset[int] = frozenset()) -> tuple[list[tuple
     stack, blocks, doubtful = [root], [], []
     number = total = total_linked = 0
     runs: list[str] = []
-    linked = links = article = 0
+    linked = links = article = forms = paragraphs = 0
     at = 0
 
     def flush() -> None:
@@ -126,11 +126,13 @@ def _parse(page: str, without: frozenset[int] = frozenset()) -> tuple[list[tuple
         linked = 0
 
     def close(node: _Node) -> None:
-        nonlocal links, article
+        nonlocal links, article, forms, paragraphs
         while True:
             gone = stack.pop()
             links -= gone.tag == "a"
             article -= gone.tag in SEMANTIC
+            forms -= gone.tag == "form"
+            paragraphs -= gone.tag == "p"
             if gone.doubt:
                 gone.chars, gone.linked = total - gone.chars, total_linked - gone.linked
             if gone is node:
@@ -156,7 +158,7 @@ def _parse(page: str, without: frozenset[int] = frozenset()) -> tuple[list[tuple
         if not tag:
             continue
         if found[1]:
-            if tag == "p" and not any(n.tag == "p" for n in stack):
+            if tag == "p" and not paragraphs:
                 flush()
                 continue
             if tag == "br":
@@ -195,7 +197,8 @@ def _parse(page: str, without: frozenset[int] = frozenset()) -> tuple[list[tuple
             continue
         parent = stack[-1]
         number += 1
-        dropped = parent.dropped or number in without or _is_dropped(tag, found[3])
+        # a label names a field in a form, and is plain text elsewhere
+        dropped = parent.dropped or number in without or _is_dropped(tag, found[3]) or tag == "label" and forms > 0
         if dropped and not parent.dropped and tag not in BLOCK:
             add(" ")
         if tag in RAW:
@@ -211,6 +214,8 @@ def _parse(page: str, without: frozenset[int] = frozenset()) -> tuple[list[tuple
         stack.append(node)
         links += tag == "a"
         article += tag in SEMANTIC
+        forms += tag == "form"
+        paragraphs += tag == "p"
     flush()
     if len(stack) > 1:
         close(stack[1])
@@ -221,10 +226,15 @@ def _parse(page: str, without: frozenset[int] = frozenset()) -> tuple[list[tuple
 def _menus(blocks: list[tuple[_Node, str, int]]) -> set[int]:
     """Lists of ``MENU_LINKS`` or more items that are nothing but links."""
     lists: dict[int, list[bool]] = {}
+    around: dict[int, _Node | None] = {}
     for node, text, linked in blocks:
-        up = node
-        while up is not None and up.tag not in ("ul", "ol"):
+        path, up = [], node
+        while up is not None and up.tag not in ("ul", "ol") and id(up) not in around:
+            path.append(id(up))
             up = up.parent
+        if up is not None and up.tag not in ("ul", "ol"):
+            up = around[id(up)]
+        around.update(dict.fromkeys(path, up))
         if up is not None:
             lists.setdefault(id(up), []).append(linked >= 0.9 * len(text))
     return {k for k, only in lists.items() if len(only) >= MENU_LINKS and all(only)}
@@ -269,6 +279,39 @@ def extract(page: str) -> str:
     return text
 
 
+def _scored(given: list[list]) -> dict[int, _Node]:
+    """All elements with text in them, with their points; text, links and blocks are plain sums over what is inside.
+
+    An element passes half of the points given to it to the one around it, a fourth to the next, and so on by the
+    number of levels, down to the share at ``LEAST_SHARE_LEVELS``. Beyond that all are passed on at this share by a running
+    sum, so that depth costs no more than the number of elements.
+    """
+    found: dict[int, _Node] = {}
+    near: dict[int, float] = {}
+    inside: dict[int, float] = {}
+    for node, points, text, links, blocks in given:
+        node.text, node.links, node.blocks = text, links, blocks
+        inside[id(node)] = points
+        up, level = node, 0
+        while up is not None and level < LEAST_SHARE_LEVELS:
+            up.points += points / (1 if level == 0 else 2 * level)
+            near[id(up)] = near.get(id(up), 0.0) + points
+            up, level = up.parent, level + 1
+        up = node
+        while up is not None and id(up) not in found:
+            found[id(up)] = up
+            up = up.parent
+    # what is inside an element has a higher number
+    for node in sorted(found.values(), key=lambda n: -n.number):
+        total = inside.get(id(node), 0.0)
+        node.points += max(0.0, total - near.get(id(node), 0.0)) / (2 * LEAST_SHARE_LEVELS)
+        up = node.parent
+        if up is not None:
+            up.text, up.links, up.blocks = up.text + node.text, up.links + node.links, up.blocks + node.blocks
+            inside[id(up)] = inside.get(id(up), 0.0) + total
+    return {k: n for k, n in found.items() if n.tag}
+
+
 def _best(blocks: list[tuple[_Node, str, int]], doubts: bool = True) -> str:
     """The blocks of the best scored container and of its siblings that belong to it, joined by an empty line.
 
@@ -284,7 +327,7 @@ def _best(blocks: list[tuple[_Node, str, int]], doubts: bool = True) -> str:
     listed: dict[int, bool] = {}
     if menus:
         blocks = [b for b in blocks if not _within(b[0], menus, listed)]
-    scored: dict[int, _Node] = {}
+    given: dict[int, list] = {}
     for node, text, linked in blocks:
         density = linked / len(text)
         points = (1 + len(_COMMAS.findall(text)) + min(len(text) // LENGTH_STEP, LENGTH_POINTS)) * (1 - density)
@@ -293,15 +336,11 @@ def _best(blocks: list[tuple[_Node, str, int]], doubts: bool = True) -> str:
         if doubts and node.weak:
             points *= DOUBT_SHARE
         # a paragraph passes its points on; text that stands in a container itself counts for that container
-        up, level = (node.parent or node, 0) if node.tag in ("p", "pre", "li", "td", "th", "dd", "dt", "blockquote") or node.tag in HEADINGS else (node, 0)
-        while up is not None and level < MOST_LEVELS:
-            if up.tag:
-                up.points += points / (1 if level == 0 else 2 * level)
-                up.text += len(text)
-                up.links += linked
-                up.blocks += 1
-                scored[id(up)] = up
-            up, level = up.parent, level + 1
+        first = (node.parent or node) if node.tag in ("p", "pre", "li", "td", "th", "dd", "dt", "blockquote") or node.tag in HEADINGS else node
+        got = given.setdefault(id(first), [first, 0.0, 0, 0, 0])
+        for i, value in enumerate((points, len(text), linked, 1), 1):
+            got[i] += value
+    scored = _scored(list(given.values()))
     if not scored:
         return "\n\n".join(text for _, text, _ in blocks)
     value = {k: n.points * (1 - n.links / max(1, n.text)) for k, n in scored.items()}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import partial
 
 from pyspark.sql import Column, DataFrame
@@ -27,34 +28,50 @@ _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 _WORD = r"\p{L}++"
 
 MIN_TERM_CHARS = 4
+# Matches whose places are summed up together, and code points of a text that are cut together.
+STRETCH = 512
 # Texts without the entity that every term is taken to have been seen in besides its own.
 SMOOTHING = 1.0
 DISCLOSURE = 0.8
 
 
-def _located(text: Column, pattern: str | Column) -> Column:
-    """The matches of a pattern with their places in code points: lengths between and of matches, summed up."""
-    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often and wherever the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _located(text: Column, pattern: str) -> Column:
+    """The matches of a pattern with their places in code points: lengths between and of matches, summed up.
+
+    Sums run within stretches of ``STRETCH`` matches and over the stretches, so the cost grows with the length of a text.
+    """
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
     empty = F.array().cast("array<struct<value:string,start:int,end:int>>")
-    return F.aggregate(
-        F.arrays_zip(found.alias("value"), F.slice(between, 1, F.size(found)).alias("before")),
-        F.struct(F.lit(0).alias("at"), empty.alias("spans")),
-        lambda acc, m: F.struct(
-            (acc["at"] + F.length(m["before"]) + F.length(m["value"])).cast("int").alias("at"),
-            F.concat(
-                acc["spans"],
-                F.array(
-                    F.struct(
-                        m["value"].alias("value"),
-                        (acc["at"] + F.length(m["before"])).cast("int").alias("start"),
-                        (acc["at"] + F.length(m["before"]) + F.length(m["value"])).cast("int").alias("end"),
-                    )
-                ),
-            ).alias("spans"),
-        ),
-    )["spans"]
+
+    def length(m: Column) -> Column:
+        return F.length(m["before"]) + F.length(m["value"])
+
+    def step(acc: Column, m: Column) -> Column:
+        start, end = (acc["at"] + F.length(m["before"])).cast("int"), (acc["at"] + length(m)).cast("int")
+        span = F.struct(m["value"].alias("value"), start.alias("start"), end.alias("end"))
+        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
+
+    def begin_next(acc: Column, size: Column) -> Column:
+        return F.struct((acc["at"] + size).cast("int").alias("at"), F.concat(acc["begins"], F.array(acc["at"])).alias("begins"))
+
+    def stretches(pieces: Column) -> Column:
+        last = F.greatest(F.lit(0), F.floor((F.size(pieces) - 1) / STRETCH).cast("int"))
+        return F.transform(F.sequence(F.lit(0), last), lambda c: F.slice(pieces, c * STRETCH + 1, STRETCH))
+
+    def places(parts: Column) -> Column:
+        sizes = F.transform(parts, lambda part: F.aggregate(part, F.lit(0), lambda acc, m: (acc + length(m)).cast("int")))
+        begins = F.aggregate(sizes, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("begins")), begin_next)["begins"]
+        each = F.zip_with(parts, begins, lambda part, at: F.aggregate(part, F.struct(at.alias("at"), empty.alias("spans")), step)["spans"])
+        return F.flatten(each)
+
+    zipped = _bound(found, lambda f: F.arrays_zip(f.alias("value"), F.slice(between, 1, F.size(f)).alias("before")))
+    return _bound(_bound(zipped, stretches), places)
 
 
 def _digits(value: Column) -> Column:
@@ -187,11 +204,13 @@ def find(docs: DataFrame, id_col: str, text_col: str, disclosure: float = DISCLO
     holding = found.filter(F.size("spans") > 0)
     held = holding.dropDuplicates(["key"]).select("key", "text", "spans")
     named = revealing_terms(rows, held, disclosure).join(held, "key")
-    # every place of the flagged words in the text that does not overlap a base span
-    pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join("forms", "|"), F.lit(r")(?!\p{L})"))
-    places = _located(_blanked(F.col("text"), F.col("spans")), pattern)
-    term = lambda m: F.struct(m["start"].alias("start"), F.lit(len(KINDS)).alias("rank"), m["end"].alias("end"), F.lit(TERM).alias("kind"), F.lower(m["value"]).alias("value"))
-    more = named.select("key", F.transform(places, term).alias("extra"))
+    # every place of the flagged words in the text that does not overlap a base span: all words are located once, and
+    # those that are flagged for their text are found by a join, however many there are
+    words = named.select("key", F.explode(_located(_blanked(F.col("text"), F.col("spans")), _WORD)).alias("m")).select("key", F.col("m.value").alias("form"), "m")
+    flagged = named.select("key", F.explode("forms").alias("form"))
+    m = F.col("m")
+    term = F.struct(m["start"].alias("start"), F.lit(len(KINDS)).alias("rank"), m["end"].alias("end"), F.lit(TERM).alias("kind"), F.lower(m["value"]).alias("value"))
+    more = words.join(flagged, ["key", "form"]).groupBy("key").agg(F.collect_list(term).alias("extra"))
     out = found.drop("text").join(more, "key", "left")
     spans = F.array_sort(F.concat(F.col("spans"), F.coalesce("extra", F.array().cast(found.schema["spans"].dataType))))
     return out.select("doc", "key", F.col("spans").alias("base"), spans.alias("spans"))
@@ -217,22 +236,42 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disc
     return found.select(F.col("doc").alias("doc_id"), *counts, F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
 
 
+def _merged(spans: Column) -> Column:
+    """Base spans with those that overlap an earlier one taken into it, under the name of the first."""
+    empty = F.array().cast("array<struct<start:int,end:int,kind:string>>")
+
+    def step(acc: Column, s: Column) -> Column:
+        last = F.element_at(acc, -1)
+        grown = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), last["kind"].alias("kind"))
+        apart = F.concat(acc, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(grown))
+        return F.when((F.size(acc) > 0) & (s["start"] < F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(0))), joined).otherwise(apart)
+
+    return F.aggregate(spans, empty, lambda acc, s: F.when(F.size(acc) == 0, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))).otherwise(step(acc, s)))
+
+
 def _redacted(text: Column, spans: Column) -> Column:
-    """The text with each span generalised to the name of its kind, overlapping spans as one, and terms removed."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
+    """The text with each span generalised to the name of its kind, overlapping spans as one, and terms removed.
+
+    Terms overlap nothing, so what is kept lies between neighbouring spans. It is cut from stretches of the text rather
+    than from its beginning.
+    """
+    base = _merged(F.filter(spans, lambda s: s["kind"] != TERM))
+    terms = F.transform(F.filter(spans, lambda s: s["kind"] == TERM), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
     label = lambda s: F.when(s["kind"] == TERM, F.lit("")).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
-    walked = F.aggregate(
-        spans,
-        start,
-        lambda acc, s: F.when(
-            s["start"] >= acc["at"],
-            F.struct(
-                s["end"].alias("at"),
-                F.concat(acc["parts"], F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), label(s))).alias("parts"),
-            ),
-        ).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["parts"].alias("parts"))),
-        lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(text, acc["at"] + 1, F.length(text))),
-    )
+
+    def cut(chunks: Column, start: Column, end: Column) -> Column:
+        first = F.floor(start / STRETCH).cast("int")
+        held = F.array_join(F.slice(chunks, first + 1, F.floor(end / STRETCH).cast("int") - first + 1), "")
+        return F.substring(held, start - first * STRETCH + 1, F.greatest(end - start, F.lit(0)))
+
+    def pieces(chunks: Column, every: Column) -> Column:
+        before = F.concat(F.array(F.lit(0)), F.transform(every, lambda s: s["end"]))
+        kept = F.zip_with(every, F.slice(before, 1, F.size(every)), lambda s, at: F.concat(cut(chunks, at, s["start"]), label(s)))
+        return F.concat(F.array_join(kept, ""), cut(chunks, F.element_at(before, -1), F.length(text)))
+
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{STRETCH}}}"), F.lit(0))
+    walked = _bound(chunks, lambda c: _bound(F.array_sort(F.concat(base, terms)), lambda every: pieces(c, every)))
     return F.when(F.size(spans) > 0, walked).otherwise(text)
 
 

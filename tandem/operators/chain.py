@@ -27,28 +27,41 @@ def _successors(ids: np.ndarray, following: np.ndarray) -> np.ndarray:
     return np.where(inside, place, -1)
 
 
+def _path(nexts: np.ndarray, start: int) -> np.ndarray:
+    """The places on the path from ``start``: each round finds as many as are known, while jumps double."""
+    reached, jump = np.array([start]), nexts
+    while True:
+        fresh = jump[reached]
+        fresh = fresh[fresh >= 0]
+        if not len(fresh):
+            return reached
+        reached = np.concatenate([reached, fresh])
+        jump = np.where(jump >= 0, jump[jump], -1)
+
+
+def _ends(nexts: np.ndarray) -> np.ndarray:
+    """The last place on the path from each place, with paths halved in every round."""
+    at = np.where(nexts >= 0, nexts, np.arange(len(nexts)))
+    while True:
+        onward = at[at]
+        if np.array_equal(onward, at):
+            return at
+        at = onward
+
+
 def _walk(pdf: pd.DataFrame, key: str) -> pd.DataFrame:
     """The rows on the path that enters this group at ``start``."""
     pdf = pdf.sort_values("id")
     ids = pdf["id"].to_numpy()
-    nexts = _successors(ids, pdf["next"].to_numpy())
-    at = int(np.searchsorted(ids, pdf["start"].iloc[0]))
-    path = []
-    while at >= 0:
-        path.append(at)
-        at = int(nexts[at])
+    path = _path(_successors(ids, pdf["next"].to_numpy()), int(np.searchsorted(ids, pdf["start"].iloc[0])))
     return pd.DataFrame({key: pdf[key].iloc[0], "id": ids[path]})
 
 
 def _exits(pdf: pd.DataFrame, key: str) -> pd.DataFrame:
     """Where the path through each entered row leaves this group."""
     pdf = pdf.sort_values("id")
-    ids, leaves = pdf["id"].to_numpy(), pdf["next"].to_numpy().copy()
-    inner = _successors(ids, leaves)
-    # successors come later, so one pass from the back settles every row
-    for at in range(len(ids) - 1, -1, -1):
-        if inner[at] >= 0:
-            leaves[at] = leaves[inner[at]]
+    ids, nexts = pdf["id"].to_numpy(), pdf["next"].to_numpy()
+    leaves = nexts[_ends(_successors(ids, nexts))]
     out = pd.DataFrame({key: pdf[key].iloc[0], "id": ids, "next": leaves})
     return out[pdf["entered"].to_numpy()]
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tandem.functions.scalars import metric_partition
 from tandem.operators import alerts
-from tandem.operators.scan import HotKeys
 from tandem.operators.small import join_small
 
 
@@ -46,12 +45,11 @@ def max_lag(lags: DataFrame) -> DataFrame:
 def ready_times(max_lags: DataFrame, stable_ms: int, threshold: int = 0) -> DataFrame:
     """When the second copy had kept up for ``stable_ms``; once per unbroken stretch.
 
-    A pair has one row per tick here, however many records it reads, so it is never cut.
+    A pair watched for long is cut into chunks of ticks: a stretch that began in an earlier chunk is carried on by
+    the chunk's summary, and its rows are reduced before they meet. ``max_lags`` is read twice, so store what is
+    costly to derive.
     """
-    whole = HotKeys(("pair_id",), "observed_ms")
-    found = alerts.sustained(
-        max_lags, ["pair_id"], ["observed_ms"], F.col("max_lag") <= threshold, F.lit(stable_ms), strict=False, hot=whole
-    )
+    found = alerts.sustained(max_lags, ["pair_id"], ["observed_ms"], F.col("max_lag") <= threshold, F.lit(stable_ms), strict=False)
     return found.select("pair_id", F.col("run_start_ms").alias("zero_since_ms"), F.col("fired_ms").alias("ready_ms"))
 
 

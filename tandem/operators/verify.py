@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tandem.functions.scalars import state_hash
+from tandem.functions.scalars import offset_at, state_hash
 from tandem.operators import fold
+from tandem.operators.scan import Running, running
 
 
 def canonical_columns() -> list[Column]:
@@ -27,12 +28,60 @@ def hash_states(states: DataFrame, key: str = "customer_id", columns: Sequence[C
     return states.select(F.col(key).alias("state_key"), state_hash(columns or canonical_columns()).alias("state_hash"))
 
 
+def digest_bits(hashed: Column) -> Column:
+    """The part of a state hash that goes into the digest of a table."""
+    return F.conv(F.substring(hashed, 1, 15), 16, 10).cast("bigint")
+
+
 def table_digest(hashes: DataFrame) -> DataFrame:
     """One order-free digest of all state hashes; equal tables have equal digests."""
-    return hashes.agg(
-        F.count(F.lit(1)).alias("states"),
-        F.bit_xor(F.conv(F.substring("state_hash", 1, 15), 16, 10).cast("bigint")).alias("digest"),
-    )
+    return hashes.agg(F.count(F.lit(1)).alias("states"), F.bit_xor(digest_bits(F.col("state_hash"))).alias("digest"))
+
+
+def digest_steps(changes: DataFrame, order: Sequence[str] = ("offset", "partition"), initial: DataFrame | None = None) -> DataFrame:
+    """What each change does to ``table_digest``: the bits of the old state go out, those of the new one come in.
+
+    ``states`` is 1 where a key appears. Restored states give steps without a position. Hot keys are cut like any scan.
+    """
+    rows = changes if initial is None else changes.unionByName(initial.select(*fold.STATE_COLUMNS), allowMissingColumns=True)
+    rows = rows.select("customer_id", *order, digest_bits(state_hash(canonical_columns())).alias("_bits"))
+    return step_rows(running(rows, ["customer_id"], order, Running("_was", "lag", F.col("_bits"))))
+
+
+def step_rows(rows: DataFrame) -> DataFrame:
+    """Steps from rows with the bits of a state (``_bits``) and of the one before it (``_was``)."""
+    step = F.col("_bits").bitwiseXOR(F.coalesce("_was", F.lit(0).cast("bigint")))
+    return rows.select("partition", "offset", F.col("_was").isNull().cast("int").alias("states"), step.alias("step"))
+
+
+def digests_at(steps: DataFrame, cuts: Mapping[str, Mapping[int, int]]) -> DataFrame:
+    """The digest of the state after the records up to each agreed position, both ends included.
+
+    ``cuts`` names a handful of positions, each an offset per partition; of a partition it does not name nothing counts.
+    One pass with partial sums, so a comparison costs what the changes cost, not what the state holds.
+    """
+    def inside(offsets: Mapping[int, int]) -> Column:
+        pairs = [F.lit(n) for entry in sorted(offsets.items()) for n in entry]
+        agreed = F.create_map(*pairs).cast("map<int,bigint>")
+        return F.col("offset").isNull() | (F.col("offset") <= offset_at(agreed, F.col("partition"), -1))
+
+    held = {name: inside(offsets) for name, offsets in cuts.items()}
+    totals = steps.agg(*[
+        F.struct(
+            F.lit(name).alias("cut"), F.coalesce(F.sum(F.when(here, F.col("states"))), F.lit(0)).cast("bigint").alias("states"),
+            F.bit_xor(F.when(here, F.col("step"))).alias("digest"),
+        ).alias(f"_{n}")
+        for n, (name, here) in enumerate(held.items())
+    ])
+    return totals.select(F.inline(F.array(*totals.columns)))
+
+
+def digests_agree(expected: DataFrame, actual: DataFrame) -> DataFrame:
+    """Per position whether both copies hold the same state; a position that one side lacks is no match."""
+    theirs = actual.select("cut", F.struct("states", "digest").alias("_theirs"))
+    both = expected.select("cut", F.struct("states", "digest").alias("_ours")).join(theirs, "cut", "full_outer")
+    same = F.col("_ours").isNotNull() & F.col("_theirs").isNotNull() & F.col("_ours").eqNullSafe(F.col("_theirs"))
+    return both.select("cut", same.alias("agree"))
 
 
 def state_hash_diff(expected: DataFrame, actual: DataFrame) -> DataFrame:

@@ -387,6 +387,16 @@ def _hash(amount: str) -> str:
 _oracle("state_hash", "latest", sql=f"SELECT customer_id AS state_key, {_hash('cents')} AS state_hash FROM latest")
 _oracle("state_digest", "latest", sql=f"""
     SELECT count(*) AS states, bit_xor(CAST('0x' || {_hash('cents')}[1:15] AS BIGINT)) AS digest FROM latest""")
+_oracle("state_digest_at_offsets", "business_events", "changes", sql=f"""
+    SELECT cut, count(*) AS states, bit_xor(CAST('0x' || {_hash('cents')}[1:15] AS BIGINT)) AS digest
+    FROM (SELECT c.*, i || '/4' AS cut
+          FROM changes c JOIN business_events e USING (event_id)
+          JOIN (SELECT partition, max("offset") AS top FROM business_events
+                WHERE event_type IN ('ORDER_CREATED', 'ORDER_UPDATED', 'ORDER_CANCELLED') GROUP BY partition) t ON t.partition = e.partition
+          CROSS JOIN (VALUES (1), (2), (3)) k(i)
+          WHERE e."offset" <= top * i // 4
+          QUALIFY row_number() OVER (PARTITION BY i, c.customer_id ORDER BY c.seq DESC) = 1)
+    GROUP BY cut""")
 _oracle("state_hash_diff", "latest", sql=f"""
     SELECT customer_id AS state_key, expected_hash, actual_hash, CASE WHEN actual_hash IS NULL THEN 'MISSING_ACTUAL'
            WHEN expected_hash = actual_hash THEN 'MATCH' ELSE 'MISMATCH' END AS status
@@ -427,6 +437,7 @@ for _key, _same in (
     ("src_control_signals", "decode_control_signals"),
     ("stream_customer_state", "customer_state_changes"),
     ("stream_customer_state_chunked", "customer_state_changes"),
+    ("stream_state_digest", "state_digest_at_offsets"),
     ("state_snapshot_read", "customer_state_latest"),
     ("stream_shadow_pair", "conditional_upsert"),
     ("stream_cutover", "conditional_upsert"),

@@ -206,7 +206,7 @@ STABLE_MS = 12 * t.HOUR
 
 @query
 def app2_ready_times(spark, sf_dir):
-    return lag.ready_times(max_lag(spark, sf_dir), STABLE_MS)
+    return lag.ready_times(stored(max_lag(spark, sf_dir), "max_lag"), STABLE_MS)
 
 
 @query
@@ -338,6 +338,20 @@ def state_digest(spark, sf_dir):
     return verify.table_digest(state_hash(spark, sf_dir))
 
 
+def agreed_cuts(events: DataFrame) -> dict[str, dict[int, int]]:
+    """Three agreed positions, at quarters of the offsets of each partition; one row per partition reaches the driver."""
+    tops = events.groupBy("partition").agg(F.max("offset").alias("top")).collect()
+    return {f"{i}/4": {r["partition"]: r["top"] * i // 4 for r in tops} for i in (1, 2, 3)}
+
+
+@query
+def state_digest_at_offsets(spark, sf_dir):
+    """The digest of the state at three agreed offsets, from the changes alone."""
+    events = t.known_business_events(spark, sf_dir)
+    changes = fold.customer_state_changes(events, ("offset", "partition"))
+    return verify.digests_at(verify.digest_steps(changes), agreed_cuts(events))
+
+
 @query
 def state_hash_diff(spark, sf_dir):
     states = customer_state_latest(spark, sf_dir)

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tandem.functions import scalars
-from tandem.operators import cutover, fold
-from tandem.plans.queries import query
+from tandem.operators import cutover, fold, verify
+from tandem.plans.queries import agreed_cuts, query
 from tandem.schemas import ACTIVE, SHADOW
 from tandem.session import run_dir
 from tandem.sources import testdata as t
@@ -71,6 +71,14 @@ def stream_customer_state_chunked(spark, sf_dir):
     return batches.changes()
 
 
+@query
+def stream_state_digest(spark, sf_dir):
+    """The digest of a running copy at three agreed offsets, from the steps that its stream wrote."""
+    events = t.known_business_events(spark, sf_dir)
+    steps = _staged(spark, events, "seq", run_dir(spark, "stream_state_digest"), state.stream_digest_steps)
+    return verify.digests_at(steps, agreed_cuts(events))
+
+
 @query
 def state_snapshot_read(spark, sf_dir):
     folder = run_dir(spark, "state_snapshot_read")

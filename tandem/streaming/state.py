@@ -11,13 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tandem.operators import fold
+from tandem.functions.scalars import state_hash
+from tandem.operators import fold, verify
 from tandem.schemas import CUSTOMER_STATE
 from tandem.streaming.runtime import not_written_yet, use_state_store, writer_run
 
 STATE_NAME = "customer-state"
 STATE_SCHEMA = "order_count INT, total_cents BIGINT, last_event_type STRING, last_updated_ms BIGINT, state_version INT"
 CHANGE_SCHEMA = f"partition INT, offset BIGINT, event_id STRING, customer_id STRING, {STATE_SCHEMA}"
+STATE_FIELDS = [field.split()[0] for field in STATE_SCHEMA.split(", ")]
+# the state before a change; a key without one is marked, as its fields then mean nothing
+BEFORE_SCHEMA = ", ".join(["is_new BOOLEAN", *[f"was_{field}" for field in STATE_SCHEMA.split(", ")]])
 
 
 def floored_sums(start: int, steps: np.ndarray, floored: np.ndarray) -> np.ndarray:
@@ -35,6 +39,9 @@ class CustomerStateProcessor(StatefulProcessor):
     What is sorted is one key's share of one micro-batch, which the source's limit per trigger bounds.
     """
 
+    def __init__(self, with_before: bool = False) -> None:
+        self._with_before = with_before
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._state = handle.getValueState(STATE_NAME, STATE_SCHEMA)
 
@@ -43,7 +50,8 @@ class CustomerStateProcessor(StatefulProcessor):
             self._state.update(tuple(row))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        count, cents, _, _, version = self._state.get() or (0, 0, None, None, fold.STATE_VERSION)
+        held = self._state.get()
+        count, cents, _, _, version = held or (0, 0, None, None, fold.STATE_VERSION)
         frames = list(rows)
         table = frames[0] if len(frames) == 1 else pd.concat(frames)
         order = np.lexsort((table["offset"].to_numpy(), table["partition"].to_numpy()))
@@ -54,10 +62,16 @@ class CustomerStateProcessor(StatefulProcessor):
         counts = floored_sums(count, created.astype(np.int64) - cancelled, cancelled)
         totals = floored_sums(cents, np.where(cancelled, -amount, amount), ~created)
         self._state.update((int(counts[-1]), int(totals[-1]), kind[-1], int(at[-1]), version))
-        yield pd.DataFrame({
+        out = pd.DataFrame({
             "partition": partition, "offset": offset, "event_id": event_id, "customer_id": key[0], "order_count": counts.astype(np.int32),
             "total_cents": totals, "last_event_type": kind, "last_updated_ms": at, "state_version": version,
         })
+        if self._with_before:
+            out["is_new"] = (np.arange(len(out)) == 0) & (held is None)
+            for name, first in zip(STATE_FIELDS, held or (0, 0, "", 0, 0), strict=True):
+                values = out[name].to_numpy()
+                out[f"was_{name}"] = np.concatenate([np.array([first], values.dtype), values[:-1]])
+        yield out
 
     def close(self) -> None:
         pass
@@ -68,6 +82,26 @@ def stream_customer_state(events: DataFrame, snapshot: DataFrame | None = None)
 
     No time mode is set: every record folds, however late, as a watermark with a time mode would drop some.
     """
+    return with_amount(_processed(events, snapshot, CustomerStateProcessor(), CHANGE_SCHEMA))
+
+
+def stream_digest_steps(events: DataFrame, snapshot: DataFrame | None = None) -> DataFrame:
+    """``verify.digest_steps`` of a stream: what each change puts into and takes out of the digest of the state.
+
+    The processor gives the state before a change beside the one after it, and both are hashed by column functions.
+    Steps of the snapshot itself are ``verify.digest_steps`` of no changes on top of it.
+    """
+    rows = _processed(events, snapshot, CustomerStateProcessor(with_before=True), f"{CHANGE_SCHEMA}, {BEFORE_SCHEMA}")
+    after = with_amount(rows.select("customer_id", *STATE_FIELDS, *[c for c in rows.columns if c not in ("customer_id", *STATE_FIELDS)]))
+    bits = verify.digest_bits(state_hash(verify.canonical_columns()))
+    hashed = after.withColumn("_bits", bits).select(
+        "partition", "offset", "customer_id", "is_new", "_bits", *[F.col(f"was_{c}").alias(c) for c in STATE_FIELDS]
+    )
+    before = F.when(~F.col("is_new"), bits)
+    return verify.step_rows(with_amount(hashed).withColumn("_was", before))
+
+
+def _processed(events: DataFrame, snapshot: DataFrame | None, processor: CustomerStateProcessor, schema: str) -> DataFrame:
     spark = events.sparkSession
     use_state_store(spark)
     rows = fold.known_events(events).select(
@@ -80,8 +114,7 @@ def stream_customer_state(events: DataFrame, snapshot: DataFrame | None = None)
             "customer_id", "order_count", fold.amount_to_cents(F.col("total_amount")).alias("total_cents"),
             "last_event_type", "last_updated_ms", "state_version",
         ).groupBy("customer_id")
-    changes = rows.groupBy("customer_id").transformWithStateInPandas(CustomerStateProcessor(), CHANGE_SCHEMA, "Append", "None", initial)
-    return with_amount(changes)
+    return rows.groupBy("customer_id").transformWithStateInPandas(processor, schema, "Append", "None", initial)
 
 
 def with_amount(states: DataFrame) -> DataFrame:

@@ -65,6 +65,7 @@ def test_same_rows(duck, spark, name):
 
 # one query per operator whose plan changes when keys are hot
 SCANS = [
+    "app2_ready_times",
     "conditional_upsert",
     "conditional_write_audit_ties",
     "customer_state_changes_ooo",
@@ -77,6 +78,7 @@ SCANS = [
     "signals_for_trace",
     "split_brain_intervals",
     "split_invariance",
+    "state_digest_at_offsets",
     "sustained_alerts",
     "write_mode_asof",
 ]

@@ -40,17 +40,29 @@ def _member(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return packer.compress(head.encode()) + packer.compress(block) + packer.compress(b"\r\n\r\n") + packer.flush()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, size: int, sha1: str, first: int | None) -> bytes:
+def _record_id(*parts) -> str:
+    return f"<urn:uuid:{uuid.uuid5(_NAMES, '|'.join(map(str, parts)))}>"
+
+
+def _target(page_id: int | None, url: str | None) -> str:
+    return _line(url or "") or f"urn:page:{page_id}"
+
+
+def file_info(name: str) -> bytes:
+    """The record that opens an archive; its id is made of the file's name."""
+    headers = [("WARC-Type", "warcinfo"), ("WARC-Record-ID", _record_id("warcinfo", name)), ("WARC-Date", DATE), ("WARC-Filename", name)]
+    return _member([*headers, ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n")
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, size: int, sha1: str, first: int | None, first_url: str | None = None) -> bytes:
     """One compressed record with headers and digests made anew; a revisit has no payload and names the response."""
-    name = uuid.uuid5(_NAMES, f"{page_id}|{url}|{sha1}")
-    target = _line(url or "") or f"urn:page:{page_id}"
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = http if first is not None else http + payload
     headers = [
         ("WARC-Type", "response" if first is None else "revisit"),
-        ("WARC-Record-ID", f"<urn:uuid:{name}>"),
+        ("WARC-Record-ID", _record_id(page_id, url, sha1)),
         ("WARC-Date", DATE),
-        ("WARC-Target-URI", target),
+        ("WARC-Target-URI", _target(page_id, url)),
         ("WARC-Payload-Digest", f"sha1:{_base32(sha1)}"),
         ("WARC-Block-Digest", f"sha1:{_base32(hashlib.sha1(block).hexdigest())}"),
         ("Content-Type", "application/http; msgtype=response"),
@@ -59,6 +71,9 @@ def record(page_id: int | None, url: str | None, payload: bytes, size: int, sha1
         headers.append(("X-Page-Id", str(page_id)))
     if first is not None:
         headers.append(("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))
+        headers.append(("WARC-Refers-To", _record_id(first, first_url, sha1)))
+        headers.append(("WARC-Refers-To-Target-URI", _target(first, first_url)))
+        headers.append(("WARC-Refers-To-Date", DATE))
         headers.append(("X-Refers-To-Page-Id", str(first)))
     return _member(headers, block)
 
@@ -97,7 +112,9 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0, id_col: str = "page
     width = -(-(hi - lo + 1) // BUCKETS)
     rows = rows.withColumn("bucket", F.coalesce(F.expr(f"(page_id - {lo}L) div {width}L"), F.lit(-1).cast("bigint")))
     plan = _plan(rows)
-    firsts = rows.filter((F.col("size") >= min_bytes) & F.col("page_id").isNotNull()).groupBy("sha").agg(F.min("page_id").alias("first"))
+    firsts = rows.filter((F.col("size") >= min_bytes) & F.col("page_id").isNotNull()).groupBy("sha")
+    firsts = firsts.agg(F.min(F.struct("page_id", "url")).alias("head"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+    firsts = firsts.select("sha", F.col("head.page_id").alias("first"), F.col("head.url").alias("first_url"))
     rows = rows.join(F.broadcast(plan), "bucket").join(firsts, "sha", "left")
     again = (F.col("size") >= min_bytes) & (F.col("page_id") > F.col("first"))
     rows = rows.withColumn("first", F.when(again, F.col("first"))).withColumn("payload", F.when(again, F.lit(b"")).otherwise(F.col("payload")))
@@ -111,8 +128,11 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0, id_col: str = "page
     def files(batches) -> Iterator[pa.RecordBatch]:
         store, key, roll, held, count = None, None, 0, [], 0
 
+        def name_of(key, roll: int) -> str:
+            return f"{key[0]:08d}-{key[1]:05d}-{roll:05d}.warc.gz"
+
         def commit() -> pa.RecordBatch:
-            name = f"{key[0]:08d}-{key[1]:05d}-{roll:05d}.warc.gz"
+            name = name_of(key, roll)
             data = b"".join(held)
             temporary = f"{base}/_temporary/{name}.{uuid.uuid4().hex}"
             with store.open_output_stream(temporary) as out:
@@ -132,15 +152,17 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0, id_col: str = "page
                         yield commit()
                     roll = roll + 1 if (row["shard"], row["part"]) == key else 0
                     key, held, count, size = (row["shard"], row["part"]), [], 0, 0
-                    held.append(_member([("WARC-Type", "warcinfo"), ("WARC-Date", DATE), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n"))
-                held.append(record(row["page_id"], row["url"], row["payload"], row["size"], row["sha"], row["first"]))
+                    held.append(file_info(name_of(key, roll)))
+                held.append(record(row["page_id"], row["url"], row["payload"], row["size"], row["sha"], row["first"], row["first_url"]))
                 count += 1
                 size += len(held[-1])
         if count:
             yield commit()
 
-    columns = ("shard", "part", "page_id", "url", "payload", "size", "sha", "first")
+    columns = ("shard", "part", "page_id", "url", "payload", "size", "sha", "first", "first_url")
     ordered.select(*columns).mapInArrow(files, _MANIFEST).write.parquet(f"{folder}/manifest")
+    # what failed attempts left; an attempt that still runs can only write what is there already
+    target.delete_dir(f"{base}/_temporary")
     return rows.sparkSession.read.schema(_MANIFEST).parquet(f"{folder}/manifest")
 
 

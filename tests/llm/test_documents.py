@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import os
 import re
 import time
 import zlib
@@ -275,6 +276,25 @@ def test_archives_round_trip(spark, monkeypatch):
         assert (r["payload_bytes"], r["payload_digest"]) == (len(data), base64.b32encode(hashlib.sha1(data).digest()).decode())
         again = r["page_id"] is not None and first[html[r["page_id"]]] != r["page_id"]
         assert (r["record_type"], r["refers_to"]) == (("revisit", first[html[r["page_id"]]]) if again else ("response", None))
+    heads, names = [], sorted(os.listdir(f"{folder}/archives"))
+    assert not os.path.exists(f"{folder}/_temporary")
+    for name in names:
+        with open(f"{folder}/archives/{name}", "rb") as stream:
+            heads.append([warc._headers(m.partition(b"\r\n\r\n")[0]) for m in warc._members(stream)])
+    for name, members in zip(names, heads, strict=True):
+        assert members[0]["warc-type"] == "warcinfo" and members[0]["warc-filename"] == name
+        assert all(h["warc-record-id"].startswith("<urn:uuid:") for h in members)
+    pages_of = [h for members in heads for h in members[1:]]
+    responses = {h["warc-record-id"]: h for h in pages_of if h["warc-type"] == "response"}
+    revisits = [h for h in pages_of if h["warc-type"] == "revisit"]
+    assert len({m[0]["warc-record-id"] for m in heads}) == len(names) > 1 and revisits
+    for h in revisits:
+        there = responses[h["warc-refers-to"]]
+        assert there["x-page-id"] == h["x-refers-to-page-id"] and there["warc-target-uri"] == h["warc-refers-to-target-uri"]
+        assert there["warc-payload-digest"] == h["warc-payload-digest"]
+    clash = pages.withColumns({c: F.lit("x") for c in ("sha", "bucket", "first", "first_url", "size", "part", "head", "copies")})
+    named = session.run_dir(spark, "warc")
+    assert sorted((r["file"], r["sha256"]) for r in warc.write(clash, named).collect()) == sums[0]
     empty = session.run_dir(spark, "warc")
     warc.write(pages.limit(0), empty)
     assert warc.read(spark, empty).count() == 0

@@ -115,12 +115,15 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0, id_col: str = "page
     firsts = rows.filter((F.col("size") >= min_bytes) & F.col("page_id").isNotNull()).groupBy("sha")
     firsts = firsts.agg(F.min(F.struct("page_id", "url")).alias("head"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
     firsts = firsts.select("sha", F.col("head.page_id").alias("first"), F.col("head.url").alias("first_url"))
-    rows = rows.join(F.broadcast(plan), "bucket").join(firsts, "sha", "left")
-    again = (F.col("size") >= min_bytes) & (F.col("page_id") > F.col("first"))
-    rows = rows.withColumn("first", F.when(again, F.col("first"))).withColumn("payload", F.when(again, F.lit(b"")).otherwise(F.col("payload")))
+    rows = rows.join(F.broadcast(plan), "bucket")
     rows = rows.withColumn("part", F.pmod(F.xxhash64("page_id", "sha", "url"), F.col("parts")).cast("int"))
+    # payloads move once, to their file; that a row is a revisit is told by a mark that is sorted in before it
+    repeats = rows.filter(F.col("size") >= min_bytes).drop("payload", "url").join(firsts, "sha").filter("page_id > first")
+    marks = repeats.select("shard", "part", "page_id", "sha", "first", "first_url")
     shards = max(1, rows.sparkSession.sparkContext.defaultParallelism, plan.agg(F.sum("parts")).first()[0] or 1)
-    ordered = rows.repartitionByRange(shards, "shard", "part").sortWithinPartitions("shard", "part", "page_id", "sha", "url")
+    both = rows.select("shard", "part", "page_id", "sha", "url", "payload", "size").unionByName(marks, allowMissingColumns=True)
+    order = ("shard", "part", "page_id", "sha", F.col("first").isNull(), "url")
+    ordered = both.repartitionByRange(shards, "shard", "part").sortWithinPartitions(*order)
     target, base = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
     target.create_dir(f"{base}/archives", recursive=True)
     target.create_dir(f"{base}/_temporary", recursive=True)
@@ -143,24 +146,28 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0, id_col: str = "page
             columns = ["file", "shard", "part", "roll", "records", "bytes", "sha256"]
             return pa.record_batch([pa.array([v], t) for v, t in zip(values, types, strict=True)], columns)
 
-        size = 0
+        size, mark = 0, None
         for batch in batches:
             store = store or fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")[0]
             for row in batch.to_pylist():
+                if row["first"] is not None:
+                    mark = row
+                    continue
+                again = mark is not None and (mark["page_id"], mark["sha"]) == (row["page_id"], row["sha"])
+                seen = (mark["first"], mark["first_url"]) if again else (None, None)
                 if (row["shard"], row["part"]) != key or size >= ROLL_BYTES:
                     if count:
                         yield commit()
                     roll = roll + 1 if (row["shard"], row["part"]) == key else 0
                     key, held, count, size = (row["shard"], row["part"]), [], 0, 0
                     held.append(file_info(name_of(key, roll)))
-                held.append(record(row["page_id"], row["url"], row["payload"], row["size"], row["sha"], row["first"], row["first_url"]))
+                held.append(record(row["page_id"], row["url"], row["payload"], row["size"], row["sha"], *seen))
                 count += 1
                 size += len(held[-1])
         if count:
             yield commit()
 
-    columns = ("shard", "part", "page_id", "url", "payload", "size", "sha", "first", "first_url")
-    ordered.select(*columns).mapInArrow(files, _MANIFEST).write.parquet(f"{folder}/manifest")
+    ordered.mapInArrow(files, _MANIFEST).write.parquet(f"{folder}/manifest")
     # what failed attempts left; an attempt that still runs can only write what is there already
     target.delete_dir(f"{base}/_temporary")
     return rows.sparkSession.read.schema(_MANIFEST).parquet(f"{folder}/manifest")

@@ -26,6 +26,8 @@ OVERSPLIT = 4
 # numbers of all levels share one BIGINT.
 LEVELS = 3
 PART_BITS = 21
+# Counters of the sketch that keeps the search for hot keys from shuffling all distinct keys.
+SKETCH_BUCKETS = 1 << 18
 
 CHUNK = "_chunk"
 
@@ -52,13 +54,16 @@ class HotKeys:
 
 
 def find_hot_keys(df: DataFrame, keys: Sequence[str], by: str) -> HotKeys:
-    """Count rows per key (partial counts only are shuffled) and keep the keys over the chunk size.
+    """Count rows per key and keep the keys over the chunk size.
 
-    ``by`` is the integer column that leads the order of the scan. Further passes happen only while there are
-    chunks to cut again, and read two columns of the hot keys' rows.
+    ``by`` is the integer column that leads the order of the scan. Without hot keys one pass over the key columns
+    builds the sketch and that is all. Further passes read two columns: one of the rows in large buckets, then one per
+    level of chunks to cut again.
     """
     hot = HotKeys(tuple(keys), by)
-    rows = df.select(*dict.fromkeys([*keys, by]))
+    rows = _in_large_buckets(df.select(*dict.fromkeys([*keys, by])), keys)
+    if rows is None:
+        return hot
     while len(hot.levels) < LEVELS:
         groups = rows if not hot.found else with_chunk(rows, hot).filter(F.col(CHUNK) >= 0)
         cut = _oversized(groups, hot.partition, by)
@@ -68,10 +73,31 @@ def find_hot_keys(df: DataFrame, keys: Sequence[str], by: str) -> HotKeys:
     return hot
 
 
+def _limit(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get(ROWS_PER_CHUNK_CONF, str(ROWS_PER_CHUNK)))
+
+
+def _in_large_buckets(rows: DataFrame, keys: Sequence[str]) -> DataFrame | None:
+    """The rows whose key can be hot, or None if none can.
+
+    A sketch with one counter per hash bucket, added up on the map side: a task passes on at most ``SKETCH_BUCKETS``
+    counters, however many keys it sees. A bucket has at least as many rows as any of its keys, so no hot key is missed,
+    and rows of other keys in a large bucket only make the exact count after it longer.
+    """
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(SKETCH_BUCKETS)).cast("int")
+    counters = rows.groupBy(bucket.alias("_bucket")).agg(F.count(F.lit(1)).alias("_n"))
+    found = counters.filter(F.col("_n") > _limit(rows)).select("_bucket")
+    large = found.collect()
+    if not large:
+        return None
+    buckets = F.broadcast(rows.sparkSession.createDataFrame(large, found.schema))
+    return rows.withColumn("_bucket", bucket).join(buckets, "_bucket", "left_semi").drop("_bucket")
+
+
 def _oversized(df: DataFrame, groups: Sequence[str], by: str) -> DataFrame | None:
     """Groups with more rows than a chunk should have, with the lowest position and the width to cut them by."""
     spark = df.sparkSession
-    limit = int(spark.conf.get(ROWS_PER_CHUNK_CONF, str(ROWS_PER_CHUNK)))
+    limit = _limit(df)
     position = F.col(by).cast("bigint")
     counts = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"), F.min(position).alias("_lo"), F.max(position).alias("_hi"))
     # groups at one single position cannot be cut

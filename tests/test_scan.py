@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tandem.operators import scan
 from tandem.operators.scan import CHUNK, Running, find_hot_keys, running, with_chunk
 from tandem.operators.small import join_small
 
@@ -65,6 +66,24 @@ def test_hot_keys_are_the_large_ones(spark, small_chunks):
     assert sorted(r.k for r in hot.levels[0].collect()) == [7, 8]
 
 
+@pytest.mark.parametrize("buckets", [1, 4, 1 << 18])
+def test_sketch_misses_no_hot_key(spark, small_chunks, monkeypatch, buckets):
+    """With few counters cold keys share a bucket with hot ones, or fill one together; the exact count sorts them out."""
+    monkeypatch.setattr(scan, "SKETCH_BUCKETS", buckets)
+    sizes = {None: 50, 0: 21, **{k: k % 20 + 1 for k in range(1, 200)}, 500: 300}
+    df = spark.createDataFrame([(k, f"p{k}", n) for k, size in sizes.items() for n in range(size)], "k int, p string, at bigint")
+    hot = find_hot_keys(df, ["k", "p"], "at")
+    assert sorted((r.k for r in hot.levels[0].collect()), key=repr) == [0, 500, None]
+
+
+def test_cold_keys_are_not_counted_one_by_one(spark, monkeypatch):
+    """Where no bucket is large, the sketch is all that runs."""
+    monkeypatch.setattr(scan, "_oversized", None)
+    df = spark.range(5000).select((F.col("id") % 700).alias("k"), F.col("id").alias("at"))
+    assert not find_hot_keys(df, ["k"], "at").found
+    assert not find_hot_keys(df.limit(0), ["k"], "at").found
+
+
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
 def test_join_small_is_the_same_beyond_the_limit(spark, how):
     big = spark.range(1000).select((F.col("id") % 7).alias("k"), "id")

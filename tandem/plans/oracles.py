@@ -446,6 +446,12 @@ for _key, _same in (
     ORACLES[_key] = ORACLES[_same]
 _oracle("stream_bootstrap", "changes", sql=f"""
     SELECT seq, event_id, {STATE} FROM changes WHERE seq > (SELECT max(event_id) // 2 FROM events)""")
+_oracle("stream_state_evolution", "changes", sql=f"""
+    SELECT seq, event_id, {STATE.replace('state_version', 'CASE WHEN seq <= middle THEN 1 ELSE 2 END AS state_version')},
+           CAST(CASE WHEN seq > middle THEN greatest(held, max(CASE WHEN seq > middle THEN cents END) OVER w) END * 0.01 AS DECIMAL(18,2)) AS peak_amount
+    FROM (SELECT *, coalesce(max_by(cents, seq) FILTER (WHERE seq <= middle) OVER (PARTITION BY customer_id), 0) AS held
+          FROM changes, (SELECT max(event_id) // 2 AS middle FROM events))
+    WINDOW w AS (PARTITION BY customer_id ORDER BY seq ROWS UNBOUNDED PRECEDING)""")
 _oracle("stream_shadow_counts", "business_events_ooo", sql="""
     SELECT app_id, sum(CASE WHEN (app_id = 'app1') = (seq < middle) THEN 1 ELSE 0 END)::BIGINT AS written,
            sum(CASE WHEN (app_id = 'app1') = (seq < middle) THEN 0 ELSE 1 END)::BIGINT AS dropped

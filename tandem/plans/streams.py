@@ -99,6 +99,21 @@ def stream_bootstrap(spark, sf_dir):
     return _changes(_staged(spark, after, "seq", folder, lambda rows: state.stream_customer_state(rows, snapshot)))
 
 
+@query
+def stream_state_evolution(spark, sf_dir):
+    """One checkpoint: the first half of the events with states of version 1, the rest with the wider ones of version 2."""
+    folder = run_dir(spark, "stream_state_evolution")
+    events = t.known_business_events(spark, sf_dir)
+    middle = t.business_events(spark, sf_dir).agg(F.expr("max(seq) div 2").alias("at")).first()["at"]
+    halves = ((F.col("seq") <= middle, ()), (F.col("seq") > middle, (state.PEAK,)))
+    for version, (half, added) in enumerate(halves, 1):
+        topic = runtime.stage(events.filter(half), "seq", f"{folder}/topic-{version}")
+        changes = state.stream_customer_state(topic.stream(spark), added=added)
+        runtime.start_to_table(changes, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    written = spark.read.schema(changes.schema).parquet(f"{folder}/out")
+    return written.select(F.col("offset").alias("seq"), "event_id", *fold.STATE_COLUMNS, fold.cents_to_amount(F.col("peak_cents")).alias("peak_amount"))
+
+
 TABLE = (
     "customer_id STRING, order_count INT, total_amount DECIMAL(18,2), last_event_type STRING, last_updated_ms BIGINT, "
     "state_version INT, seq BIGINT"

@@ -11,9 +11,13 @@ from pyspark.sql.streaming import StreamingQuery
 
 
 def use_state_store(spark: SparkSession) -> None:
-    """RocksDB with changelog checkpoints: state may exceed memory and each batch uploads only its changes."""
+    """RocksDB with changelog checkpoints: state may exceed memory and each batch uploads only its changes.
+
+    States are stored as Avro, so that a checkpoint can go on with a wider state; one begun otherwise keeps its format.
+    """
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    spark.conf.set("spark.sql.streaming.stateStore.encodingFormat", "avro")
 
 
 def writer_run(spark: SparkSession) -> str:

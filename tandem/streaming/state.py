@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -24,6 +25,29 @@ STATE_FIELDS = [field.split()[0] for field in STATE_SCHEMA.split(", ")]
 BEFORE_SCHEMA = ", ".join(["is_new BOOLEAN", *[f"was_{field}" for field in STATE_SCHEMA.split(", ")]])
 
 
+@dataclass(frozen=True)
+class Added:
+    """A state field that versions from ``since`` on have, for a stream whose checkpoint may hold older states.
+
+    ``start`` gives the value for a state of an earlier version, as a dict of its fields, or for a new key (None).
+    ``follow`` gives the values after each event, from the one before them and the event and state columns as arrays.
+    Values are fixed-width and never null.
+    """
+
+    name: str
+    sql_type: str
+    since: int
+    start: Callable[[dict | None], object]
+    follow: Callable[[object, dict[str, np.ndarray]], np.ndarray]
+
+
+#: Version 2 keeps the highest total since a customer's first event, or since the upgrade.
+PEAK = Added(
+    "peak_cents", "BIGINT", 2, lambda held: held["total_cents"] if held else 0,
+    lambda value, rows: np.maximum.accumulate(np.maximum(rows["total_cents"], value)),
+)
+
+
 def floored_sums(start: int, steps: np.ndarray, floored: np.ndarray) -> np.ndarray:
     """The values of a running sum from ``start`` that is raised to 0 after each ``floored`` step.
 
@@ -37,21 +61,50 @@ class CustomerStateProcessor(StatefulProcessor):
     """Folds the events of one customer, as arrays. Rows of a batch come unsorted, so they are put in arrival order first.
 
     What is sorted is one key's share of one micro-batch, which the source's limit per trigger bounds.
+
+    With ``added`` the state is wider. A checkpoint that narrower processors wrote goes on: its states are read as they
+    are, and one is brought to the newest version when its key's next event comes.
     """
 
-    def __init__(self, with_before: bool = False) -> None:
-        self._with_before = with_before
+    def __init__(self, with_before: bool = False, added: Sequence[Added] = ()) -> None:
+        self._with_before, self._added = with_before, tuple(added)
+        self._version = max([fold.STATE_VERSION, *(a.since for a in self._added)])
+
+    @property
+    def added_names(self) -> list[str]:
+        return [a.name for a in self._added]
+
+    @property
+    def _more(self) -> str:
+        return "".join(f", {a.name} {a.sql_type}" for a in self._added)
+
+    @property
+    def schema(self) -> str:
+        """The columns of the rows that come out."""
+        return f"{CHANGE_SCHEMA}{self._more}" + (f", {BEFORE_SCHEMA}" if self._with_before else "")
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._state = handle.getValueState(STATE_NAME, STATE_SCHEMA)
+        self._state = handle.getValueState(STATE_NAME, STATE_SCHEMA + self._more)
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
-        for row in initialState[["order_count", "total_cents", "last_event_type", "last_updated_ms", "state_version"]].itertuples(index=False):
-            self._state.update(tuple(row))
+        for row in initialState.to_dict("records"):
+            self._state.update(self._upgraded(tuple(row[c] for c in STATE_FIELDS), [row.get(c) for c in self.added_names]))
+
+    def _upgraded(self, held: tuple, had: Sequence) -> tuple:
+        """A state with every field of this processor's version; ``had`` are added fields, which stay if its version has them."""
+        if not self._added:
+            return held
+        fields = dict(zip(STATE_FIELDS, held, strict=True))
+        more = [a.start(fields) if fields["state_version"] < a.since else value for a, value in zip(self._added, had, strict=True)]
+        return (*held[:-1], max(held[-1], self._version), *more)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         held = self._state.get()
-        count, cents, _, _, version = held or (0, 0, None, None, fold.STATE_VERSION)
+        if held is None:
+            state = (0, 0, None, None, self._version, *(a.start(None) for a in self._added))
+        else:
+            state = self._upgraded(held[: len(STATE_FIELDS)], held[len(STATE_FIELDS) :])
+        count, cents, _, _, version, *more = state
         frames = list(rows)
         table = frames[0] if len(frames) == 1 else pd.concat(frames)
         order = np.lexsort((table["offset"].to_numpy(), table["partition"].to_numpy()))
@@ -61,14 +114,17 @@ class CustomerStateProcessor(StatefulProcessor):
         created, cancelled = kind == fold.CREATED, kind == fold.CANCELLED
         counts = floored_sums(count, created.astype(np.int64) - cancelled, cancelled)
         totals = floored_sums(cents, np.where(cancelled, -amount, amount), ~created)
-        self._state.update((int(counts[-1]), int(totals[-1]), kind[-1], int(at[-1]), version))
+        columns = {"event_type": kind, "amount_cents": amount, "event_ts_ms": at, "order_count": counts, "total_cents": totals}
+        followed = {a.name: a.follow(value, columns) for a, value in zip(self._added, more, strict=True)}
+        last = (values[-1].item() for values in followed.values())
+        self._state.update((int(counts[-1]), int(totals[-1]), kind[-1], int(at[-1]), version, *last))
         out = pd.DataFrame({
             "partition": partition, "offset": offset, "event_id": event_id, "customer_id": key[0], "order_count": counts.astype(np.int32),
-            "total_cents": totals, "last_event_type": kind, "last_updated_ms": at, "state_version": version,
+            "total_cents": totals, "last_event_type": kind, "last_updated_ms": at, "state_version": version, **followed,
         })
         if self._with_before:
             out["is_new"] = (np.arange(len(out)) == 0) & (held is None)
-            for name, first in zip(STATE_FIELDS, held or (0, 0, "", 0, 0), strict=True):
+            for name, first in zip(STATE_FIELDS, held or (0, 0, "", 0, 0)):
                 values = out[name].to_numpy()
                 out[f"was_{name}"] = np.concatenate([np.array([first], values.dtype), values[:-1]])
         yield out
@@ -77,12 +133,13 @@ class CustomerStateProcessor(StatefulProcessor):
         pass
 
 
-def stream_customer_state(events: DataFrame, snapshot: DataFrame | None = None) -> DataFrame:
+def stream_customer_state(events: DataFrame, snapshot: DataFrame | None = None, added: Sequence[Added] = ()) -> DataFrame:
     """State changes of a stream of events, optionally on top of a snapshot.
 
     No time mode is set: every record folds, however late, as a watermark with a time mode would drop some.
+    ``added`` widens the state by columns; the stream may be started so on a checkpoint written without them.
     """
-    return with_amount(_processed(events, snapshot, CustomerStateProcessor(), CHANGE_SCHEMA))
+    return with_amount(_processed(events, snapshot, CustomerStateProcessor(added=added)))
 
 
 def stream_digest_steps(events: DataFrame, snapshot: DataFrame | None = None) -> DataFrame:
@@ -91,7 +148,7 @@ def stream_digest_steps(events: DataFrame, snapshot: DataFrame | None = None) ->
     The processor gives the state before a change beside the one after it, and both are hashed by column functions.
     Steps of the snapshot itself are ``verify.digest_steps`` of no changes on top of it.
     """
-    rows = _processed(events, snapshot, CustomerStateProcessor(with_before=True), f"{CHANGE_SCHEMA}, {BEFORE_SCHEMA}")
+    rows = _processed(events, snapshot, CustomerStateProcessor(with_before=True))
     after = with_amount(rows.select("customer_id", *STATE_FIELDS, *[c for c in rows.columns if c not in ("customer_id", *STATE_FIELDS)]))
     bits = verify.digest_bits(state_hash(verify.canonical_columns()))
     hashed = after.withColumn("_bits", bits).select(
@@ -101,7 +158,7 @@ def stream_digest_steps(events: DataFrame, snapshot: DataFrame | None = None) ->
     return verify.step_rows(with_amount(hashed).withColumn("_was", before))
 
 
-def _processed(events: DataFrame, snapshot: DataFrame | None, processor: CustomerStateProcessor, schema: str) -> DataFrame:
+def _processed(events: DataFrame, snapshot: DataFrame | None, processor: CustomerStateProcessor) -> DataFrame:
     spark = events.sparkSession
     use_state_store(spark)
     rows = fold.known_events(events).select(
@@ -112,9 +169,9 @@ def _processed(events: DataFrame, snapshot: DataFrame | None, processor: Custome
     if snapshot is not None:
         initial = snapshot.select(
             "customer_id", "order_count", fold.amount_to_cents(F.col("total_amount")).alias("total_cents"),
-            "last_event_type", "last_updated_ms", "state_version",
+            "last_event_type", "last_updated_ms", "state_version", *(c for c in processor.added_names if c in snapshot.columns),
         ).groupBy("customer_id")
-    return rows.groupBy("customer_id").transformWithStateInPandas(processor, schema, "Append", "None", initial)
+    return rows.groupBy("customer_id").transformWithStateInPandas(processor, processor.schema, "Append", "None", initial)
 
 
 def with_amount(states: DataFrame) -> DataFrame:

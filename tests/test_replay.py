@@ -19,7 +19,7 @@ from tests.test_oracles import connect, plain
 SF = "/root/testdata/sf0.001"
 STAGED = [
     "state_snapshot_read", "stream_bootstrap", "stream_customer_state", "stream_customer_state_chunked", "stream_cutover", "stream_drained", "stream_handoff_progress",
-    "stream_heartbeat_watchdog", "stream_mode", "stream_shadow_pair", "stream_state_digest", "stream_topic_modes", "stream_topic_progress",
+    "stream_heartbeat_watchdog", "stream_mode", "stream_shadow_pair", "stream_state_digest", "stream_state_evolution", "stream_topic_modes", "stream_topic_progress",
 ]
 
 

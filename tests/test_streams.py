@@ -41,6 +41,45 @@ def test_late_and_unsorted_rows_all_fold_across_restarts(spark, parts):
     assert rows(state.read_snapshot(spark, f"{folder}/checkpoint").select(*fold.STATE_COLUMNS)) == rows(fold.latest_state(expected))
 
 
+def test_a_checkpoint_goes_on_with_wider_states(spark):
+    """Version 1 for a third, then version 2 with a restart in between: no row is lost, old states are upgraded once."""
+    folder = run_dir(spark, "test-evolution")
+    events = t.known_business_events(spark, SF)
+    for number, path in enumerate(slices(events, "seq", f"{folder}/topic", 3)):
+        changes = state.stream_customer_state(runtime.stream_table(spark, path), added=(state.PEAK,) if number else ())
+        runtime.start_to_table(changes, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    got = spark.read.schema(changes.schema).parquet(f"{folder}/out")
+    expected = fold.customer_state_changes(events)
+    assert rows(got.select("offset", "order_count", "total_amount")) == rows(expected.select(F.col("seq").alias("offset"), "order_count", "total_amount"))
+
+    held, peaks, seen = {}, {}, 0
+    for r in got.orderBy("offset").collect():
+        key, cents = r["customer_id"], int(r["total_amount"] * 100)
+        if r["state_version"] == 2:
+            peaks[key] = max(peaks.get(key, held.get(key, 0)), cents)
+            assert r["peak_cents"] == peaks[key]
+            seen += key in held
+        else:
+            assert key not in peaks and r["peak_cents"] is None
+            held[key] = cents
+    assert seen and held
+    stored = {r["customer_id"]: (r["state_version"], r["peak_cents"]) for r in state.read_snapshot(spark, f"{folder}/checkpoint").collect()}
+    assert stored == {**{k: (1, None) for k in held}, **{k: (2, v) for k, v in peaks.items()}}
+
+
+@pytest.mark.parametrize("version", [1, 2])
+def test_wider_states_start_from_a_snapshot_of_either_version(spark, version):
+    folder = run_dir(spark, "test-wider-bootstrap")
+    event = [("e", "c", "ORDER_CREATED", 5, 0, 9)]
+    columns = "event_id string, customer_id string, event_type string, event_ts_ms bigint, partition int, offset bigint"
+    spark.createDataFrame(event, columns).withColumn("amount", F.lit(3).cast("decimal(18,2)")).write.parquet(f"{folder}/topic")
+    held = "'c' AS customer_id, 1 AS order_count, CAST(7 AS DECIMAL(18,2)) AS total_amount, 'ORDER_CREATED' AS last_event_type, 1L AS last_updated_ms"
+    snapshot = spark.sql(f"SELECT {held}, {version} AS state_version" + (", 5000L AS peak_cents" if version == 2 else ""))
+    changes = state.stream_customer_state(runtime.stream_table(spark, f"{folder}/topic"), snapshot, (state.PEAK,))
+    got = runtime.run_to_table(changes, folder).collect()
+    assert [(r["total_amount"], r["state_version"], r["peak_cents"]) for r in got] == [(10, 2, 5000 if version == 2 else 1000)]
+
+
 def test_bootstrap_continues_a_snapshot(spark):
     folder = run_dir(spark, "test-bootstrap")
     events = t.known_business_events(spark, SF)

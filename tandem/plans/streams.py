@@ -109,7 +109,9 @@ def stream_state_evolution(spark, sf_dir):
     for version, (half, added) in enumerate(halves, 1):
         topic = runtime.stage(events.filter(half), "seq", f"{folder}/topic-{version}")
         changes = state.stream_customer_state(topic.stream(spark), added=added)
-        runtime.start_to_table(changes, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+        with runtime.evolving_states(spark):
+            stream = runtime.start_to_table(changes, f"{folder}/out", f"{folder}/checkpoint")
+        stream.awaitTermination()
     written = spark.read.schema(changes.schema).parquet(f"{folder}/out")
     return written.select(F.col("offset").alias("seq"), "event_id", *fold.STATE_COLUMNS, fold.cents_to_amount(F.col("peak_cents")).alias("peak_amount"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from itertools import pairwise
 
@@ -11,13 +13,27 @@ from pyspark.sql.streaming import StreamingQuery
 
 
 def use_state_store(spark: SparkSession) -> None:
-    """RocksDB with changelog checkpoints: state may exceed memory and each batch uploads only its changes.
-
-    States are stored as Avro, so that a checkpoint can go on with a wider state; one begun otherwise keeps its format.
-    """
+    """RocksDB with changelog checkpoints: state may exceed memory and each batch uploads only its changes."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
-    spark.conf.set("spark.sql.streaming.stateStore.encodingFormat", "avro")
+
+
+ENCODING_CONF = "spark.sql.streaming.stateStore.encodingFormat"
+
+
+@contextmanager
+def evolving_states(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside store their states as Avro, so that their checkpoint can go on with wider ones.
+
+    A checkpoint keeps the format it was begun with. Only streams of state processors can use this one; Spark refuses it
+    for its own stateful operators, as aggregations, so it holds for the streams started inside and no longer.
+    """
+    before = spark.conf.get(ENCODING_CONF, None)
+    spark.conf.set(ENCODING_CONF, "avro")
+    try:
+        yield
+    finally:
+        spark.conf.unset(ENCODING_CONF) if before is None else spark.conf.set(ENCODING_CONF, before)
 
 
 def writer_run(spark: SparkSession) -> str:

@@ -137,7 +137,8 @@ def stream_customer_state(events: DataFrame, snapshot: DataFrame | None = None,
     """State changes of a stream of events, optionally on top of a snapshot.
 
     No time mode is set: every record folds, however late, as a watermark with a time mode would drop some.
-    ``added`` widens the state by columns; the stream may be started so on a checkpoint written without them.
+    ``added`` widens the state by columns; the stream may be started so on a checkpoint written without them, if that was
+    begun under ``runtime.evolving_states``.
     """
     return with_amount(_processed(events, snapshot, CustomerStateProcessor(added=added)))
 

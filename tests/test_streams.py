@@ -47,7 +47,9 @@ def test_a_checkpoint_goes_on_with_wider_states(spark):
     events = t.known_business_events(spark, SF)
     for number, path in enumerate(slices(events, "seq", f"{folder}/topic", 3)):
         changes = state.stream_customer_state(runtime.stream_table(spark, path), added=(state.PEAK,) if number else ())
-        runtime.start_to_table(changes, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+        with runtime.evolving_states(spark):
+            stream = runtime.start_to_table(changes, f"{folder}/out", f"{folder}/checkpoint")
+        stream.awaitTermination()
     got = spark.read.schema(changes.schema).parquet(f"{folder}/out")
     expected = fold.customer_state_changes(events)
     assert rows(got.select("offset", "order_count", "total_amount")) == rows(expected.select(F.col("seq").alias("offset"), "order_count", "total_amount"))
@@ -67,6 +69,14 @@ def test_a_checkpoint_goes_on_with_wider_states(spark):
     assert stored == {**{k: (1, None) for k in held}, **{k: (2, v) for k, v in peaks.items()}}
 
 
+def test_the_state_format_holds_for_streams_started_inside_only(spark):
+    before = spark.conf.get(runtime.ENCODING_CONF)
+    with pytest.raises(RuntimeError), runtime.evolving_states(spark):
+        assert spark.conf.get(runtime.ENCODING_CONF) == "avro" != before
+        raise RuntimeError
+    assert spark.conf.get(runtime.ENCODING_CONF) == before
+
+
 @pytest.mark.parametrize("version", [1, 2])
 def test_wider_states_start_from_a_snapshot_of_either_version(spark, version):
     folder = run_dir(spark, "test-wider-bootstrap")

@@ -7,7 +7,8 @@ import duckdb
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from tests.llm.conftest import SF
+from tandem.llm import quality
+from tests.llm.conftest import AWKWARD, SF
 
 
 def test_oracles(spark):
@@ -52,6 +53,63 @@ def test_near_duplicate_stage_on_awkward_rows(spark):
     assert corpus_pipeline.near_duplicates(spark, docs.limit(0), SF).count() == 0
 
 
+def texts(df):
+    return sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=repr)
+
+
+def test_quality_stage_on_awkward_rows(spark, awkward):
+    """What stays are the rows whose text scores one half or more, with every column; equal rows stay or go together."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    docs = awkward.unionByName(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"), allowMissingColumns=True)
+    kept = corpus_pipeline.stored(corpus_pipeline.quality_classifier(spark, docs, SF), "test-quality")
+    scores = quality.score(docs.select("doc_id", "text"), quality.fit(docs, labels))
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"] for r in kept.collect()), key=repr) == sorted((r["doc_id"] for r in scores.filter("score >= 0.5").collect()), key=repr)
+    assert set(texts(kept)) <= set(texts(docs))
+    assert corpus_pipeline.quality_classifier(spark, docs.limit(0), SF).count() == 0
+
+
+def test_decontamination_stage_on_awkward_rows(spark, awkward):
+    """Only documents with a whole test item go, whatever stands around it; rows without an id stay."""
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").filter("length(text) > 80").orderBy("item_id").first()["text"]
+    added = [(50, item), (51, "before it. " + item + " and after"), (52, item.upper()), (53, "plain words " * 300 + item), (None, item), (54, item[: len(item) // 4])]
+    docs = awkward.unionByName(spark.createDataFrame(added, "doc_id bigint, text string"), allowMissingColumns=True)
+    kept = corpus_pipeline.benchmark_decontamination(spark, docs, SF)
+    assert kept.columns == docs.columns
+    assert texts(kept) == texts(docs.filter("doc_id IS NULL OR doc_id NOT IN (50, 51, 52, 53)"))
+    assert corpus_pipeline.benchmark_decontamination(spark, docs.limit(0), SF).count() == 0
+
+
+def test_pii_stage_on_awkward_rows(spark, awkward):
+    """No row goes; base matches become their kind, also in rows without an id and in repeated ones; nulls stay null."""
+    secret = "to bob@example.org or 10.1.2.3"
+    docs = awkward.unionByName(spark.createDataFrame([(60, secret), (60, secret), (None, secret), (61, "from 10.1.2.300")], "doc_id bigint, text string"), allowMissingColumns=True)
+    clean = corpus_pipeline.stored(corpus_pipeline.pii_sanitisation(spark, docs, SF), "test-pii")
+    assert clean.columns == docs.columns
+    got = texts(clean)
+    hidden = [t for i, t in got if t and "[EMAIL]" in t]
+    assert len(hidden) == 3 and all("bob@" not in t and "10.1.2.3" not in t for t in hidden)
+    untouched = [(i, t) for i, t in texts(docs) if t is None or "bob@" not in t]
+    assert sorted([g for g in got if g[1] is None or "[EMAIL]" not in g[1]], key=repr) == untouched
+    assert corpus_pipeline.pii_sanitisation(spark, docs.limit(0), SF).count() == 0
+
+
+def test_packing_stage_on_awkward_rows(spark, awkward):
+    """Every row has its pieces end to end, and the pieces of a sequence leave no gap and do not overlap."""
+    packed = corpus_pipeline.stored(corpus_pipeline.best_fit_packing(spark, awkward, SF), "test-packed").collect()
+    first = [r["doc_id"] for r in packed if r["piece"] == 0]
+    assert sorted(first, key=repr) == sorted((i for i, _ in AWKWARD), key=repr)
+    long = sorted((r["piece"], r["start"], r["length"]) for r in packed if r["doc_id"] == 11)
+    assert len(long) > 1 and all(a[1] + a[2] == b[1] for a, b in zip(long, long[1:])) and all(n == 4096 for _, _, n in long[:-1])
+    sequences = {}
+    for r in packed:
+        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for places in sequences.values():
+        ends = [0, *(a + n for a, n in sorted(places))]
+        assert [a for a, _ in sorted(places)] == ends[:-1] and ends[-1] <= 4096
+    assert corpus_pipeline.best_fit_packing(spark, awkward.limit(0), SF).count() == 0
+
+
 def test_stages_keep_the_columns_and_end_in_sequences(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     left = docs.count()

@@ -6,12 +6,14 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Row
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tandem.operators import cutover, modes
 from tandem.operators.modes import POSITION
+from tandem.streaming.packed import PACKED, ints, pack, pack_table, unpack
 from tandem.streaming.runtime import use_state_store
 
 
@@ -46,7 +48,7 @@ def union_log(signals: DataFrame, positions: DataFrame, pairs: DataFrame, order:
     return sent.unionByName(read)
 
 
-REACHED = "pair_id INT, app_id STRING, partition INT, at_ms BIGINT, kind INT, place1 BIGINT, place2 BIGINT, prepared1 BIGINT, prepared2 BIGINT"
+REACHED = f"pair_id INT, app_id STRING, {PACKED} BINARY"
 # what is furthest where nothing has been read
 _NONE = np.iinfo(np.int64).min
 
@@ -62,26 +64,27 @@ class PartitionReader(StatefulProcessor):
         self._state = handle.getValueState("reader", "furthest BIGINT, target BIGINT, prepared1 BIGINT, prepared2 BIGINT")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        table = pd.concat(list(rows)).sort_values(["at_ms", "kind", "place1", "place2"], kind="stable")
+        table = unpack(rows)
+        order = np.lexsort([ints(table, c) for c in ("place2", "place1", "kind", "at_ms")])
         furthest, target, prepared1, prepared2 = self._state.get() or (int(_NONE), None, None, None)
-        at, kind, place1, place2 = (table[c].to_numpy(np.int64) for c in ("at_ms", "kind", "place1", "place2"))
-        offset = table["offset"].to_numpy(np.int64)
+        at, kind, place1, place2, offset = (ints(table, c)[order] for c in ("at_ms", "kind", "place1", "place2", "offset"))
         far = np.maximum(np.maximum.accumulate(np.where(kind == _POSITION, offset, _NONE)), furthest)
-        prepares = np.flatnonzero(kind == _SIGNAL)
         # the pending target, then each new one until the next
-        asked = [(0, target, prepared1, prepared2)] if target is not None else []
-        asked += [(int(i), int(offset[i]), int(place1[i]), int(place2[i])) for i in prepares]
-        stops = [*(a[0] for a in asked), len(table)][1:]
-        found = []
-        for (begin, goal, p1, p2), stop in zip(asked, stops, strict=True):
-            i = max(begin, int(np.searchsorted(far, goal)))
-            target, prepared1, prepared2 = goal, p1, p2
-            if i < stop:
-                found.append((key[0], key[1], key[2], int(at[i]), int(kind[i]), int(place1[i]), int(place2[i]), p1, p2))
-                target = prepared1 = prepared2 = None
-        self._state.update((int(far[-1]), target, prepared1, prepared2))
-        if found:
-            yield pd.DataFrame(found, columns=["pair_id", "app_id", "partition", "at_ms", "kind", "place1", "place2", "prepared1", "prepared2"])
+        begin = np.flatnonzero(kind == _SIGNAL)
+        goal, goal1, goal2 = offset[begin], place1[begin], place2[begin]
+        if target is not None:
+            begin, goal, goal1, goal2 = (np.concatenate([[first], rest]) for first, rest in ((0, begin), (target, goal), (prepared1, goal1), (prepared2, goal2)))
+        at_row = np.maximum(begin, np.searchsorted(far, goal))
+        hit = at_row < np.append(begin[1:], len(order))[: len(begin)]
+        waits = len(begin) > 0 and not hit[-1]
+        self._state.update((int(far[-1]), *((int(goal[-1]), int(goal1[-1]), int(goal2[-1])) if waits else (None, None, None))))
+        if hit.any():
+            i = at_row[hit]
+            reports = {
+                "at_ms": at[i], "kind": kind[i], "place1": place1[i], "place2": place2[i], "partition": np.full(len(i), key[2], np.int32),
+                "prepared1": goal1[hit], "prepared2": goal2[hit], "is_report": np.ones(len(i), np.int32),
+            }
+            yield pd.DataFrame({"pair_id": [key[0]], "app_id": [key[1]], PACKED: [pack_table(pa.table(reports))]})
 
     def close(self) -> None:
         pass
@@ -89,38 +92,64 @@ class PartitionReader(StatefulProcessor):
 
 # offsets by partition as two arrays: states have no maps with numbers as keys
 _PENDING = "trace_id STRING, prepared_ms BIGINT, place1 BIGINT, place2 BIGINT, partitions ARRAY<INT>, targets ARRAY<BIGINT>, reached ARRAY<INT>"
-DRAINED = "pair_id INT, app_id STRING, trace_id STRING, prepared_ms BIGINT, drained_ms BIGINT, cutover_offsets MAP<INT,BIGINT>"
+DRAINED = "pair_id INT, app_id STRING, trace_id STRING, prepared_ms BIGINT, drained_ms BIGINT, partitions ARRAY<INT>, targets ARRAY<BIGINT>"
 
 
 class PendingCutover(StatefulProcessor):
     """The cutover that is pending for a copy and the partitions that have reached it; gives its DRAINED_AT once.
 
-    What a partition reports counts only while the PREPARE it answers is pending.
+    What a partition reports counts only while the PREPARE it answers is pending. Rows are handled as arrays: each signal
+    begins a group of reports, the held cutover the first one, and the report that completes the partitions of a group drains it.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._state = handle.getValueState("pending", _PENDING)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         held = self._state.get()
-        trace, prepared, place, offsets, reached = None, None, None, None, set()
-        if held:
-            trace, prepared, place, offsets, reached = held[0], held[1], (held[2], held[3]), dict(zip(held[4], held[5], strict=True)), set(held[6])
+        table = unpack(rows)
         # a partition that had read far enough before answers at the place of the PREPARE, right after it
-        for row in sorted(rows, key=lambda r: (r.at_ms, r.kind, r.place1, r.place2, r.partition is not None, r.prepared1 or 0, r.prepared2 or 0)):
-            if row.partition is None:
-                trace, prepared, place, offsets, reached = None, None, None, None, set()
-                if row.signal_type == "PREPARE_HANDOFF":
-                    trace, prepared, place, offsets = row.trace_id, row.at_ms, (row.place1, row.place2), dict(row.cutover_offsets)
-            elif place == (row.prepared1, row.prepared2):
-                reached.add(row.partition)
-                if len(reached) == len(offsets):
-                    yield Row(pair_id=key[0], app_id=key[1], trace_id=trace, prepared_ms=prepared, drained_ms=row.at_ms, cutover_offsets=offsets)
-                    trace, prepared, place, offsets, reached = None, None, None, None, set()
-        if place is None:
+        order = np.lexsort([ints(table, c) for c in ("prepared2", "prepared1", "is_report", "place2", "place1", "kind", "at_ms")])
+        at, place1, place2, needs, partition, prepared1, prepared2 = (
+            ints(table, c)[order] for c in ("at_ms", "place1", "place2", "needs", "partition", "prepared1", "prepared2")
+        )
+        report = ints(table, "is_report")[order] == 1
+
+        def texts(column: str, at_rows: np.ndarray) -> list:
+            return table[column].take(order[at_rows]).to_pylist() if len(at_rows) else []
+
+        group, heads = np.cumsum(~report), np.flatnonzero(~report)
+        # group 0 is the held cutover; a group that needs no partitions is an abort, or nothing
+        was = list(held[6]) if held else []
+        need = np.concatenate([[len(held[4]) if held else 0], needs[heads]])
+        need1, need2 = (np.concatenate([[place or 0], rest[heads]]) for place, rest in ((held and held[2], place1), (held and held[3], place2)))
+        answers = report & (need[group] > 0) & (prepared1 == need1[group]) & (prepared2 == need2[group]) & ~((group == 0) & np.isin(partition, was))
+        i = np.flatnonzero(answers)
+        # each partition counts once, by its first report
+        i = i[~pd.DataFrame({"group": group[i], "partition": partition[i]}).duplicated().to_numpy()]
+        number = np.arange(len(i)) - np.searchsorted(group[i], group[i]) + 1 + np.where(group[i] == 0, len(was), 0)
+        done = i[number == need[group[i]]]
+        if len(done):
+            # the held cutover can only be drained first
+            mine = int(group[done[0]] == 0)
+            heads_done = heads[group[done[mine:]] - 1]
+            first = ([held[0]], [held[1]], [held[4]], [held[5]]) if mine else ([], [], [], [])
+            yield pd.DataFrame({
+                "pair_id": key[0], "app_id": key[1], "trace_id": first[0] + texts("trace_id", heads_done),
+                "prepared_ms": np.array(first[1] + at[heads_done].tolist(), np.int64), "drained_ms": at[done],
+                "partitions": first[2] + texts("partitions", heads_done), "targets": first[3] + texts("targets", heads_done),
+            })
+        last = int(group[-1])
+        if need[last] == 0 or last in group[done]:
             self._state.clear()
+            return
+        reached = sorted({int(p) for p in partition[i[group[i] == last]]} | set(was if last == 0 else []))
+        if last == 0:
+            self._state.update((*held[:6], reached))
         else:
-            self._state.update((trace, prepared, *place, list(offsets), list(offsets.values()), sorted(reached)))
+            n = heads[-1:]
+            (trace,), (partitions,), (targets,) = (texts(c, n) for c in ("trace_id", "partitions", "targets"))
+            self._state.update((trace, *(int(v[n[0]]) for v in (at, place1, place2)), partitions, targets, reached))
 
     def close(self) -> None:
         pass
@@ -138,8 +167,13 @@ def stream_drained(log: DataFrame) -> DataFrame:
     targets = log.filter(is_signal & (F.col("signal_type") == "PREPARE_HANDOFF"))
     targets = targets.select("pair_id", "app_id", *place, F.explode("cutover_offsets").alias("partition", "offset"))
     read = log.filter(~is_signal).select("pair_id", "app_id", *place, "partition", "offset")
-    by_partition = targets.unionByName(read).select("pair_id", "app_id", "partition", *place, "offset")
-    reached = by_partition.groupBy("pair_id", "app_id", "partition").transformWithStateInPandas(PartitionReader(), REACHED, "Append", "None")
-    signals = log.filter(is_signal).select("pair_id", "app_id", *place, "signal_type", "trace_id", "cutover_offsets")
-    rows = signals.unionByName(reached, allowMissingColumns=True)
-    return rows.groupBy("pair_id", "app_id").transformWithState(PendingCutover(), DRAINED, "Append", "None")
+    keys = ["pair_id", "app_id"]
+    by_partition = pack(targets.unionByName(read).select(*keys, "partition", *place, "offset"), [*keys, "partition"])
+    reached = by_partition.groupBy(*keys, "partition").transformWithStateInPandas(PartitionReader(), REACHED, "Append", "None")
+    offsets = F.when(F.col("signal_type") == "PREPARE_HANDOFF", F.col("cutover_offsets"))
+    signals = log.filter(is_signal).select(
+        *keys, *place, "trace_id", F.size(F.map_keys(offsets)).alias("needs"), F.map_keys(offsets).alias("partitions"), F.map_values(offsets).alias("targets")
+    )
+    rows = pack(signals, keys).unionByName(reached)
+    out = rows.groupBy("pair_id", "app_id").transformWithStateInPandas(PendingCutover(), DRAINED, "Append", "None")
+    return out.withColumn("cutover_offsets", F.map_from_arrays("partitions", "targets")).drop("partitions", "targets")

@@ -36,6 +36,24 @@ def evolving_states(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(ENCODING_CONF) if before is None else spark.conf.set(ENCODING_CONF, before)
 
 
+PARTITIONS_CONF = "spark.sql.shuffle.partitions"
+
+
+@contextmanager
+def replay_partitions(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in no more partitions than there are cores, 8 at least.
+
+    Each task of a state processor starts a Python worker of its own, a second or two whatever it reads, in every
+    micro-batch. A checkpoint keeps the number it was begun with.
+    """
+    before = spark.conf.get(PARTITIONS_CONF)
+    spark.conf.set(PARTITIONS_CONF, str(min(int(before), max(8, spark.sparkContext.defaultParallelism))))
+    try:
+        yield
+    finally:
+        spark.conf.set(PARTITIONS_CONF, before)
+
+
 def writer_run(spark: SparkSession) -> str:
     """The id of the streaming query whose batch is being written, ``direct`` outside of one.
 
@@ -65,21 +83,25 @@ def start_to_table(df: DataFrame, path: str, checkpoint: str, output_mode: str =
     return writer.trigger(availableNow=True).start(path)
 
 
-def start_batches(df: DataFrame, write_batch, checkpoint: str) -> StreamingQuery:
+def start_batches(df: DataFrame, write_batch, checkpoint: str, output_mode: str = "append") -> StreamingQuery:
     """Hand everything available to ``write_batch(batch, batch_id)``."""
-    return df.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return df.writeStream.foreachBatch(write_batch).outputMode(output_mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def run_to_table(df: DataFrame, folder: str, schema=None) -> DataFrame:
     """Run a stream over all stored input and give back what it wrote."""
     out = f"{folder}/out"
-    start_to_table(df, out, f"{folder}/checkpoint").awaitTermination()
     spark = df.sparkSession
+    with replay_partitions(spark):
+        stream = start_to_table(df, out, f"{folder}/checkpoint")
+    stream.awaitTermination()
     return spark.read.schema(schema or df.schema).parquet(out)
 
 
-def run_batches(df: DataFrame, write_batch, checkpoint: str) -> None:
-    start_batches(df, write_batch, checkpoint).awaitTermination()
+def run_batches(df: DataFrame, write_batch, checkpoint: str, output_mode: str = "append") -> None:
+    with replay_partitions(df.sparkSession):
+        stream = start_batches(df, write_batch, checkpoint, output_mode)
+    stream.awaitTermination()
 
 
 # Rows of a replay that one micro-batch takes, about: a key's share of them is sorted in one task.

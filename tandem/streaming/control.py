@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -13,6 +15,7 @@ from tandem.operators.cutover import has_offsets
 from tandem.operators.modes import POSITION
 from tandem.operators.small import join_small
 from tandem.schemas import ACTIVE, BROADCAST, SHADOW
+from tandem.streaming.packed import ints, pack, unpack
 from tandem.streaming.runtime import use_state_store
 
 
@@ -46,11 +49,11 @@ def with_pair(signals: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def mode_change(order: Sequence[str] = POSITION) -> str:
-    return f"pair_id INT, app_id STRING, mode STRING, since_ms BIGINT, {order[0]} BIGINT, {order[1]} BIGINT"
+    return f"pair STRING, app_id STRING, mode STRING, since_ms BIGINT, {order[0]} BIGINT, {order[1]} BIGINT"
 
 
 class ModeProcessor(StatefulProcessor):
-    """The mode of one app; gives a row for each change."""
+    """The mode of one app; gives a row for each change. An app's share of a micro-batch is handled as arrays."""
 
     def __init__(self, order: Sequence[str] = POSITION) -> None:
         self._order = tuple(order)
@@ -58,17 +61,22 @@ class ModeProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._mode = handle.getValueState("mode", "mode STRING")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        pair_id, app_id = key
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         held = self._mode.get()
-        mode = held[0] if held else None
-        for row in _in_order(rows):
-            # the first copy of a pair starts as the writer
-            current = mode or row.initial_mode
-            if row.mode != current:
-                yield Row(pair_id=pair_id, app_id=app_id, mode=row.mode, since_ms=row.timestamp, **dict(zip(self._order, (row.place1, row.place2), strict=True)))
-            mode = row.mode
-        self._mode.update((mode,))
+        table = unpack(rows)
+        order = np.lexsort((ints(table, "place2"), ints(table, "place1")))
+        at, place1, place2, active = (ints(table, c)[order] for c in ("timestamp", "place1", "place2", "active"))
+        # the first copy of a pair starts as the writer
+        before = int(held[0] == ACTIVE) if held else ints(table, "starts_active")[0]
+        changed = active != np.concatenate([[before], active[:-1]])
+        mode = np.where(active == 1, ACTIVE, SHADOW)
+        if not held or held[0] != mode[-1]:
+            self._mode.update((str(mode[-1]),))
+        if changed.any():
+            yield pd.DataFrame({
+                "pair": key[0], "app_id": key[1], "mode": mode[changed], "since_ms": at[changed],
+                self._order[0]: place1[changed], self._order[1]: place2[changed],
+            })
 
     def close(self) -> None:
         pass
@@ -88,11 +96,13 @@ def stream_modes(signals: DataFrame, first_copy, pairs: DataFrame | None = None,
         rows = rows.join(pairs.select("pair_id", "app1", "app2"), "pair_id", "left")
         rows = rows.withColumn("app_id", F.explode(modes.receivers(F.col("target_app_id"), F.col("app1"), F.col("app2"))))
     rows = rows.select(
-        "pair_id", "app_id", modes.signal_mode(F.col("signal_type")).alias("mode"),
+        F.col("pair_id").cast("string").alias("pair"), "app_id", (modes.signal_mode(F.col("signal_type")) == ACTIVE).cast("int").alias("active"),
         "timestamp", *_places(order),
     )
-    rows = rows.withColumn("initial_mode", F.when(first_copy, ACTIVE).otherwise(SHADOW))
-    return rows.groupBy("pair_id", "app_id").transformWithState(ModeProcessor(order), mode_change(order), "Append", "None")
+    rows = rows.withColumn("starts_active", F.when(first_copy, 1).otherwise(0))
+    # the pair is text on the way: arrays of numbers have no place for a missing one
+    changes = pack(rows, ["pair", "app_id"]).groupBy("pair", "app_id").transformWithStateInPandas(ModeProcessor(order), mode_change(order), "Append", "None")
+    return changes.select(F.col("pair").cast("int").alias("pair_id"), *changes.columns[1:])
 
 
 SILENCE = "app_id STRING, last_beat_ms BIGINT, next_beat_ms BIGINT, silence_ms BIGINT, still_open BOOLEAN"

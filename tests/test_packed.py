@@ -52,3 +52,25 @@ def test_a_pending_cutover_goes_over_batches_of_packed_reports():
     (out,) = pending.handleInputRows((1, "a"), frames(reports((4, 0, 1), (5, 1, 1), (6, 1, 1), (10, 0, 9)), signal.slice(1, 1)), None)
     assert out[["trace_id", "prepared_ms", "drained_ms", "targets"]].values.tolist() == [["t", 1, 5, [5, 6]], ["u", 9, 10, [7]]]
     assert handle.value is None
+
+
+def test_modes_are_followed_as_arrays():
+    handle, processor = Handle(), control.ModeProcessor()
+    processor.init(handle)
+    table = pa.table({"timestamp": [30, 10, 20], "place1": [3, 1, 2], "place2": [0, 0, 0], "active": [0, 0, 1], "starts_active": [0, 0, 0]})
+    (out,) = processor.handleInputRows(("1", "a"), frames(table), None)
+    assert out[["mode", "since_ms"]].values.tolist() == [[ACTIVE, 20], [SHADOW, 30]] and handle.value == (SHADOW,)
+
+
+def test_replays_keep_their_state_in_few_partitions(spark):
+    before = spark.conf.get(runtime.PARTITIONS_CONF)
+    folder = run_dir(spark, "test-few")
+    signals = log(spark, ("PROMOTE", 1, "t", "b"))
+    spark.conf.set(runtime.PARTITIONS_CONF, "40")
+    try:
+        stream = control.stream_modes(runtime.stage(signals, "offset", f"{folder}/log").stream(spark), F.col("app_id") == "a")
+        assert runtime.run_to_table(stream, folder).count() == 1
+        assert spark.conf.get(runtime.PARTITIONS_CONF) == "40"
+    finally:
+        spark.conf.set(runtime.PARTITIONS_CONF, before)
+    assert len([n for n in os.listdir(f"{folder}/checkpoint/state/0") if n.isdigit()]) == max(8, spark.sparkContext.defaultParallelism)

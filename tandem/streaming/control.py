@@ -302,3 +302,81 @@ def timed_out_traces(
         F.when(~promoting, handoff.DRAIN_TIMEOUT).alias("reason"), promoting.alias("assumed"), "triggered_ms", "prepared_ms",
         F.when(promoting, F.col("drained_ms")).alias("drained_ms"), F.lit(None).cast("bigint").alias("confirmed_ms"), finished.alias("finished_ms"),
     )
+
+
+def _followed(steps: Column, drain_ms: int, promote_ms: int) -> Column:
+    """What ``HandoffProgress`` holds and reports after the steps of a trace, as one fold over them in their order."""
+    none = F.lit(None)
+    names = ("stage", "state", "reason", "assumed", "prepared_ms", "drained_ms", "confirmed_ms", "finished_ms")
+    types = ("string", "string", "string", "boolean", "bigint", "bigint", "bigint", "bigint")
+
+    def held(*values: Column) -> Column:
+        return F.struct(*[v.cast(kind).alias(name) for v, kind, name in zip(values, types, names, strict=True)])
+
+    def step(was: Column, row: Column) -> Column:
+        at, kind = row["timestamp"], row["signal_type"]
+        triggered, draining, promoting = (was["stage"] == stage for stage in (_TRIGGERED, _DRAINING, _PROMOTING))
+        prepared, drained = was["prepared_ms"], was["drained_ms"]
+        reason = F.coalesce(F.nullif(row["reason"], F.lit("")), F.lit(handoff.ABORTED))
+
+        def failed(why: Column) -> Column:
+            return held(F.lit(_ENDED), F.lit("HANDOFF_FAILED"), why, F.lit(False), prepared, drained, none, at)
+
+        return (
+            F.when(was["stage"] == _ENDED, was)
+            # the time limit passed before this signal
+            .when(promoting & (at > drained + promote_ms), held(F.lit(_ENDED), F.lit("HANDOFF_COMPLETE"), none, F.lit(True), prepared, drained, none, drained + promote_ms))
+            .when(draining & (at > prepared + drain_ms), held(F.lit(_ENDED), F.lit("HANDOFF_FAILED"), F.lit(handoff.DRAIN_TIMEOUT), F.lit(False), prepared, none, none, prepared + drain_ms))
+            .when(kind == "HANDOFF_ABORT", failed(reason))
+            .when((kind == "SAVEPOINT_FAILED") & triggered, failed(F.lit(handoff.SAVEPOINT_FAILED)))
+            .when((kind == "PREPARE_HANDOFF") & triggered & row["has_offsets"], held(F.lit(_DRAINING), none, none, F.lit(False), at, none, none, none))
+            .when((kind == "DRAINED_AT") & draining, held(F.lit(_PROMOTING), none, none, F.lit(False), prepared, at, none, none))
+            .when((kind == "TRANSFER_REFUSED") & promoting, failed(F.lit(handoff.TRANSFER_REFUSED)))
+            .when((kind == "PROMOTED_CONFIRMED") & promoting, held(F.lit(_ENDED), F.lit("HANDOFF_COMPLETE"), none, F.lit(False), prepared, drained, at, at))
+            .otherwise(was)
+        )
+
+    return F.aggregate(steps, held(F.lit(_TRIGGERED), none, none, F.lit(False), none, none, none, none), step)
+
+
+class ProgressReplay:
+    """``stream_handoff_progress`` of a stored log for ``foreachBatch``, without Python on the way of a trace.
+
+    The stream collects the steps of each trace in the state store; a batch follows those of the traces it touched from
+    their begin and writes what they are at under its own number, so a replayed batch rewrites the same files. The log
+    must come in its order, as ``runtime.stage`` gives it.
+    """
+
+    def __init__(self, folder: str, drain_ms: int = handoff.DRAIN_TIMEOUT_MS, promote_ms: int = handoff.PROMOTE_TIMEOUT_MS) -> None:
+        self._path, self._drain, self._promote = f"{folder}/traces", drain_ms, promote_ms
+
+    def steps(self, log: DataFrame, order: Sequence[str] = POSITION) -> DataFrame:
+        """The steps of each trace so far; runs in update mode."""
+        use_state_store(log.sparkSession)
+        rows = log.filter(F.col("trace_id").isNotNull())
+        step = F.struct(*_places(order), "timestamp", "signal_type", "reason", has_offsets(F.col("cutover_offsets")).alias("has_offsets"))
+        return rows.groupBy("pair_id", "trace_id").agg(F.collect_list(step).alias("steps"))
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        ordered = batch.select("pair_id", "trace_id", F.array_sort("steps").alias("steps"))
+        at = _followed(F.col("steps"), self._drain, self._promote)
+        rows = ordered.select("pair_id", "trace_id", F.col("steps")[0]["timestamp"].alias("triggered_ms"), at.alias("at")).select("pair_id", "trace_id", "triggered_ms", "at.*")
+        rows.filter(F.col("stage") != _TRIGGERED).write.mode("overwrite").parquet(f"{self._path}/batch={batch_id}")
+
+    def ended(self, spark: SparkSession, end_ms: int | None) -> DataFrame:
+        """One row per trace that a signal ended, or whose time limit passed up to ``end_ms``, the end of the log."""
+        columns = [c.split()[0] for c in PROGRESS.split(", ")]
+        written = spark.read.schema(f"{PROGRESS}, stage STRING, batch BIGINT").parquet(self._path)
+        own = F.struct(*[c for c in written.columns if c not in ("pair_id", "trace_id", "batch")])
+        # the first end of a trace stands, and one without an end is where it came to last
+        first_end = F.min_by(own, F.when(F.col("stage") == _ENDED, F.col("batch")))
+        last = written.groupBy("pair_id", "trace_id").agg(F.coalesce(first_end, F.max_by(own, "batch")).alias("s")).select("pair_id", "trace_id", "s.*")
+        open_, promoting = F.col("stage") != _ENDED, F.col("stage") == _PROMOTING
+        limit = F.when(promoting, F.col("drained_ms") + self._promote).otherwise(F.col("prepared_ms") + self._drain)
+        settled = last.filter(~open_ | (limit <= F.lit(end_ms).cast("bigint"))).withColumns({
+            "state": F.when(~open_, F.col("state")).when(promoting, "HANDOFF_COMPLETE").otherwise("HANDOFF_FAILED"),
+            "reason": F.when(~open_, F.col("reason")).when(~promoting, handoff.DRAIN_TIMEOUT),
+            "assumed": F.when(open_, promoting).otherwise(F.col("assumed")),
+            "finished_ms": F.when(open_, limit).otherwise(F.col("finished_ms")),
+        })
+        return settled.select(*columns)

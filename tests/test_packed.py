@@ -62,6 +62,28 @@ def test_modes_are_followed_as_arrays():
     assert out[["mode", "since_ms"]].values.tolist() == [[ACTIVE, 20], [SHADOW, 30]] and handle.value == (SHADOW,)
 
 
+def random_signals(seed):
+    rng = random.Random(seed)
+    kinds = ["TRIGGER", "PREPARE_HANDOFF", "PREPARE_HANDOFF", "DRAINED_AT", "DRAINED_AT", "PROMOTE", "PROMOTED_CONFIRMED", "TRANSFER_REFUSED", "SAVEPOINT_FAILED", "HANDOFF_ABORT", "HEARTBEAT"]
+    extra = {"PREPARE_HANDOFF": [None, {}, {0: 1}, {0: 1}], "HANDOFF_ABORT": [None, "", "why"]}
+    return [(kind, at, f"t{rng.randrange(60)}", rng.choice(extra.get(kind, [None]))) for at in sorted(rng.sample(range(0, 600_000), 240)) for kind in [rng.choice(kinds)]]
+
+
+@pytest.mark.parametrize("count", [1, 4])
+def test_replayed_progress_equals_the_state_processor(spark, count):
+    signals = log(spark, *random_signals(3))
+    end, folder = 600_000, run_dir(spark, "test-progress-replay")
+    staged = runtime.stage(signals, "offset", f"{folder}/log", count)
+    processed = runtime.run_to_table(control.stream_handoff_progress(staged.stream(spark), stored_log=True), f"{folder}/processed")
+    want = processed.unionByName(control.timed_out_traces(spark, f"{folder}/processed/checkpoint", end))
+    replay = control.ProgressReplay(folder)
+    runtime.run_batches(replay.steps(staged.stream(spark)), replay, f"{folder}/checkpoint", "update")
+    got = replay.ended(spark, end)
+    assert rows(got) == rows(want) and got.columns == want.columns
+    outcomes = {(r.state, r.reason, r.assumed) for r in got.collect()}
+    assert {("HANDOFF_COMPLETE", None, True), ("HANDOFF_FAILED", "why", False), ("HANDOFF_FAILED", handoff.DRAIN_TIMEOUT, False)} <= outcomes
+
+
 def test_replays_keep_their_state_in_few_partitions(spark):
     before = spark.conf.get(runtime.PARTITIONS_CONF)
     folder = run_dir(spark, "test-few")

@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 ROWS_PER_CHUNK_CONF = "tandem.scan.rowsPerChunk"
 ROWS_PER_CHUNK = 2_000_000
+# Rows of a scan that one task should sort; with more rows the scan gets more tasks than the session's shuffles.
+ROWS_PER_TASK_CONF = "tandem.scan.rowsPerTask"
+ROWS_PER_TASK = 1_000_000
 # A key over 1/MAX_HOT_KEYS of all rows is always among the collected ones, so what is collected and
 # broadcast has a fixed bound while the largest unsplit key stays below that share.
 MAX_HOT_KEYS = 50_000
@@ -34,11 +37,15 @@ CHUNK = "_chunk"
 
 @dataclass(frozen=True)
 class HotKeys:
-    """Keys to be cut. Each level has the origin and chunk width per key, or per chunk of the level before."""
+    """Keys to be cut. Each level has the origin and chunk width per key, or per chunk of the level before.
+
+    ``rows`` is the number of all rows counted in the search, 0 where none was made.
+    """
 
     keys: tuple[str, ...]
     by: str
     levels: tuple[DataFrame, ...] = ()
+    rows: int = 0
 
     @property
     def found(self) -> bool:
@@ -50,7 +57,7 @@ class HotKeys:
 
     def finer(self, keys: Sequence[str], by: str) -> HotKeys | None:
         """For keys that split these: if no key here is hot, none of theirs can be; else unknown."""
-        return None if self.found else HotKeys(tuple(keys), by)
+        return None if self.found else HotKeys(tuple(keys), by, rows=self.rows)
 
 
 def find_hot_keys(df: DataFrame, keys: Sequence[str], by: str) -> HotKeys:
@@ -60,8 +67,8 @@ def find_hot_keys(df: DataFrame, keys: Sequence[str], by: str) -> HotKeys:
     builds the sketch and that is all. Further passes read two columns: one of the rows in large buckets, then one per
     level of chunks to cut again.
     """
-    hot = HotKeys(tuple(keys), by)
-    rows = _in_large_buckets(df.select(*dict.fromkeys([*keys, by])), keys)
+    rows, count = _in_large_buckets(df.select(*dict.fromkeys([*keys, by])), keys)
+    hot = HotKeys(tuple(keys), by, rows=count)
     if rows is None:
         return hot
     while len(hot.levels) < LEVELS:
@@ -69,7 +76,7 @@ def find_hot_keys(df: DataFrame, keys: Sequence[str], by: str) -> HotKeys:
         cut = _oversized(groups, hot.partition, by)
         if cut is None:
             break
-        hot = HotKeys(hot.keys, by, (*hot.levels, cut))
+        hot = HotKeys(hot.keys, by, (*hot.levels, cut), count)
     return hot
 
 
@@ -77,8 +84,8 @@ def _limit(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get(ROWS_PER_CHUNK_CONF, str(ROWS_PER_CHUNK)))
 
 
-def _in_large_buckets(rows: DataFrame, keys: Sequence[str]) -> DataFrame | None:
-    """The rows whose key can be hot, or None if none can.
+def _in_large_buckets(rows: DataFrame, keys: Sequence[str]) -> tuple[DataFrame | None, int]:
+    """The rows whose key can be hot, or None if none can, and the number of all rows.
 
     A sketch with one counter per hash bucket, added up on the map side: a task passes on at most ``SKETCH_BUCKETS``
     counters, however many keys it sees. A bucket has at least as many rows as any of its keys, so no hot key is missed,
@@ -86,12 +93,13 @@ def _in_large_buckets(rows: DataFrame, keys: Sequence[str]) -> DataFrame | None:
     """
     bucket = F.pmod(F.xxhash64(*keys), F.lit(SKETCH_BUCKETS)).cast("int")
     counters = rows.groupBy(bucket.alias("_bucket")).agg(F.count(F.lit(1)).alias("_n"))
-    found = counters.filter(F.col("_n") > _limit(rows)).select("_bucket")
-    large = found.collect()
-    if not large:
-        return None
-    buckets = F.broadcast(rows.sparkSession.createDataFrame(large, found.schema))
-    return rows.withColumn("_bucket", bucket).join(buckets, "_bucket", "left_semi").drop("_bucket")
+    large = F.collect_list(F.when(F.col("_n") > _limit(rows), F.col("_bucket")))
+    found = counters.agg(F.sum("_n").alias("rows"), large.alias("large")).first()
+    count = found["rows"] or 0
+    if not found["large"]:
+        return None, count
+    buckets = F.broadcast(rows.sparkSession.createDataFrame([(b,) for b in found["large"]], "_bucket INT"))
+    return rows.withColumn("_bucket", bucket).join(buckets, "_bucket", "left_semi").drop("_bucket"), count
 
 
 def _oversized(df: DataFrame, groups: Sequence[str], by: str) -> DataFrame | None:
@@ -126,6 +134,16 @@ def with_chunk(df: DataFrame, hot: HotKeys) -> DataFrame:
     return out
 
 
+def spread(df: DataFrame, hot: HotKeys) -> DataFrame:
+    """The rows dealt to the tasks of a scan, so many that one sorts about ``ROWS_PER_TASK`` however large the table is.
+
+    Only where that is more than the session's shuffles have; else the window deals the rows itself.
+    """
+    spark = df.sparkSession
+    tasks = -(-hot.rows // int(spark.conf.get(ROWS_PER_TASK_CONF, str(ROWS_PER_TASK))))
+    return df.repartition(tasks, *hot.partition) if tasks > int(spark.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def chunk_window(hot: HotKeys, order: Sequence[str]):
     return Window.partitionBy(*hot.partition).orderBy(*order)
 
@@ -215,7 +233,7 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], *specs: Ru
     hot = hot or find_hot_keys(df, keys, order[0])
     window = chunk_window(hot, order)
     if not hot.found:
-        out = df.withColumns({s.name: _local(s, window) for s in specs})
+        out = spread(df, hot).withColumns({s.name: _local(s, window) for s in specs})
     else:
         chunked = with_chunk(df, hot)
         totals = [_summary(s, order).alias(f"_s_{s.name}") for s in specs]
@@ -223,7 +241,7 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], *specs: Ru
             chunked, hot, totals,
             lambda over: [_carried(s, F.col(f"_s_{s.name}"), over).alias(f"_c_{s.name}") for s in specs],
         )
-        out = attach(chunked.withColumns({s.name: _local(s, window) for s in specs}), before, hot)
+        out = attach(spread(chunked, hot).withColumns({s.name: _local(s, window) for s in specs}), before, hot)
         out = out.withColumns({s.name: _combine(s, F.col(s.name), F.col(f"_c_{s.name}")) for s in specs})
         out = out.drop(CHUNK, *[f"_c_{s.name}" for s in specs])
     steps = {s.name: F.col(f"{s.name}.v") for s in specs if s.kind in ("lag", "lead")}

@@ -103,3 +103,19 @@ def test_dense_stretches_are_cut_again(spark, small_chunks):
     series = sorted(positions)
     wanted = [(1, p, i + 1, series[i - 1] if i else None) for i, p in enumerate(series)] + [(2, 5, 1, None)]
     assert sorted((r.k, r["at"], r.s, r.p) for r in got.collect()) == wanted
+
+
+def test_a_scan_has_tasks_by_its_rows(spark):
+    """However large a table is, a task sorts a bounded number of its rows, be a key cut or not."""
+    table = spark.range(1000).select((F.col("id") % 50).alias("k"), "id")
+    spark.conf.set(scan.ROWS_PER_TASK_CONF, "20")
+    try:
+        for limit in ("20", "1000"):
+            spark.conf.set(scan.ROWS_PER_CHUNK_CONF, limit)
+            out = scan.running(table, ["k"], ["id"], scan.Running("total", "sum", F.col("id")))
+            assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().toString() and "hashpartitioning(k" in out._jdf.queryExecution().toString()
+            assert scan.find_hot_keys(table, ["k"], "id").rows == 1000
+            assert sorted((r.k, r.id, r.total) for r in out.collect()) == [(k, i, sum(range(k, i + 1, 50))) for k in range(50) for i in range(k, 1000, 50)]
+    finally:
+        spark.conf.unset(scan.ROWS_PER_TASK_CONF)
+        spark.conf.unset(scan.ROWS_PER_CHUNK_CONF)

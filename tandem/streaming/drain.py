@@ -50,7 +50,7 @@ def union_log(signals: DataFrame, positions: DataFrame, pairs: DataFrame, order:
 
 REACHED = f"pair_id INT, app_id STRING, {PACKED} BINARY"
 # what is furthest where nothing has been read
-_NONE = np.iinfo(np.int64).min
+_NONE, _LAST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 
 
 class PartitionReader(StatefulProcessor):
@@ -65,9 +65,10 @@ class PartitionReader(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         table = unpack(rows)
-        order = np.lexsort([ints(table, c) for c in ("place2", "place1", "kind", "at_ms")])
+        # what has no time or place comes last, and an offset that is not known reaches nothing
+        order = np.lexsort([ints(table, c, _LAST) for c in ("place2", "place1", "kind", "at_ms")])
         furthest, target, prepared1, prepared2 = self._state.get() or (int(_NONE), None, None, None)
-        at, kind, place1, place2, offset = (ints(table, c)[order] for c in ("at_ms", "kind", "place1", "place2", "offset"))
+        at, kind, place1, place2, offset = (ints(table, c, _NONE)[order] for c in ("at_ms", "kind", "place1", "place2", "offset"))
         far = np.maximum(np.maximum.accumulate(np.where(kind == _POSITION, offset, _NONE)), furthest)
         # the pending target, then each new one until the next
         begin = np.flatnonzero(kind == _SIGNAL)

@@ -28,11 +28,11 @@ def unpack(frames: Iterable[pd.DataFrame]) -> pa.Table:
     return pa.concat_tables([pa.ipc.open_stream(p).read_all() for frame in frames for p in frame[PACKED]], promote_options="permissive")
 
 
-def ints(table: pa.Table, column: str) -> np.ndarray:
-    """A column as BIGINT, 0 where it has no value."""
+def ints(table: pa.Table, column: str, missing: int = 0) -> np.ndarray:
+    """A column as BIGINT, ``missing`` where it has no value."""
     if column not in table.column_names:
-        return np.zeros(table.num_rows, np.int64)
-    return pc.fill_null(table[column].cast(pa.int64()), 0).to_numpy()
+        return np.full(table.num_rows, missing, np.int64)
+    return pc.fill_null(table[column].cast(pa.int64()), missing).to_numpy()
 
 
 def _cut(held: list[pa.RecordBatch], keys: Sequence[str]) -> Iterator[pa.RecordBatch]:

@@ -37,6 +37,13 @@ def test_partition_reader_answers_each_target_as_an_array():
     assert handle.value == (9, None, None, None)
 
 
+def test_a_position_without_time_or_offset_reaches_nothing():
+    handle, reader = Handle(), drain.PartitionReader()
+    reader.init(handle)
+    log_ = pa.table({"at_ms": [None, 3], "kind": [1, 0], "place1": [None, 2], "place2": [0, 0], "offset": [None, -8]})
+    assert not list(reader.handleInputRows((1, "a", 0), frames(log_), None)) and handle.value == (int(drain._NONE), -8, 2, 0)
+
+
 def test_a_pending_cutover_goes_over_batches_of_packed_reports():
     handle, pending = Handle(), drain.PendingCutover()
     pending.init(handle)

@@ -11,6 +11,16 @@ from tandem.session import discard, stored
 LINKS_PER_PART = 200_000
 
 
+def gathered(table: DataFrame, rows_per_part: int = LINKS_PER_PART) -> DataFrame:
+    """A written table in no more partitions than its rows ask for: tables of one partition are joined and grouped without a shuffle.
+
+    Joined with a table of several partitions it is dealt out like any other.
+    """
+    out = table.coalesce(max(1, -(-table.count() // rows_per_part)))
+    out.stored_at = table.stored_at
+    return out
+
+
 def _digest(edges: DataFrame) -> tuple:
     row = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
     return row["n"], row["h"]
@@ -52,12 +62,13 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def extend(groups: DataFrame, links: DataFrame) -> DataFrame:
-    """The components after more ``links(a, b)``, given those so far: only links between them are followed."""
+    """The components after more written ``links(a, b)``, given those so far: only links between them are followed."""
+    links = gathered(links)
     left = groups.select(F.col("node").alias("a"), F.col("component").alias("a_c"))
     right = groups.select(F.col("node").alias("b"), F.col("component").alias("b_c"))
     between = links.join(left, "a", "left").join(right, "b", "left")
     between = between.select(F.coalesce("a_c", "a").alias("a"), F.coalesce("b_c", "b").alias("b"))
-    merged = stored(components(between), "merged")
+    merged = gathered(stored(components(between), "merged"))
     moved = merged.select(F.col("node").alias("component"), F.col("component").alias("moved"))
     old = groups.join(moved, "component", "left").select("node", F.coalesce("moved", "component").alias("component"))
     return old.unionByName(merged.join(groups, "node", "left_anti"))

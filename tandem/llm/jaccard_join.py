@@ -11,12 +11,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tandem.llm import text as tx
-from tandem.llm.graph import components, extend
+from tandem.llm.graph import components, extend, gathered
 from tandem.session import discard, stored
 
 SKETCH_BITS = 22
 _SLICE = 1 << 16
 HUBS = 4
+# Pairs of one task that reads two prefixes, or two whole sets, for each of them.
+PREFIX_PAIRS = 50_000
+SET_PAIRS = 2_000
 
 _HEADS = "doc bigint, n bigint, f1 bigint, f2 bigint, p0 array<bigint>, p1 array<int>, p2 array<int>"
 
@@ -52,10 +55,11 @@ def _sketch(docs: DataFrame, size: int) -> np.ndarray:
 
     schema = "part int, counts binary"
     slices = docs.select("text").mapInArrow(partial, schema).repartition("part").mapInArrow(total, schema)
-    out = np.zeros(1 << SKETCH_BITS, np.uint64)
-    for row in slices.collect():  # at most one row per slice of the fixed table
-        out[row["part"] * _SLICE : (row["part"] + 1) * _SLICE] += np.frombuffer(zlib.decompress(row["counts"]), np.uint64)
-    return np.minimum(out, (1 << 16) - 1).astype(np.uint16)
+    out = np.zeros(1 << SKETCH_BITS, np.uint16)
+    for row in slices.collect():  # one row per slice of the fixed table
+        counts = np.frombuffer(zlib.decompress(row["counts"]), np.uint64)
+        out[row["part"] * _SLICE : (row["part"] + 1) * _SLICE] = np.minimum(counts, (1 << 16) - 1)
+    return out
 
 
 def _prefix(keys: np.ndarray, tokens: np.ndarray, count: int) -> np.ndarray:
@@ -124,11 +128,11 @@ def _filtered(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     Pairs and the prefixes they ask for are written first, so that joins are planned by their true sizes and the
     prefixes of all other classes stay where they are.
     """
-    pairs = stored(pairs, "candidates")
-    prefixes = stored(classes.join(_asked(pairs), "doc", "left_semi").select("doc", "p1", "p2"), "prefixes")
+    pairs = gathered(stored(pairs, "candidates"), PREFIX_PAIRS)
+    prefixes = gathered(stored(classes.join(_asked(pairs), "doc", "left_semi").select("doc", "p1", "p2"), "prefixes"), 2 * PREFIX_PAIRS)
     wide = pairs.join(_side(prefixes, "x", "p1", "p2"), "x").join(_side(prefixes, "y", "p1", "p2"), "y")
     kept = wide.filter(F.arrays_overlap("x_p1", "y_p1") & F.arrays_overlap("x_p2", "y_p2")).select("x", "y").distinct()
-    kept = stored(kept, "pairs")
+    kept = gathered(stored(kept, "pairs"), SET_PAIRS)
     discard(pairs, prefixes)
     return kept
 
@@ -144,7 +148,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, repeated: DataFrame | None, size:
     else:
         several = _sets(asked.join(repeated, "doc", "left_semi"), size).dropDuplicates(["doc", "tokens"])
         sets = _sets(asked.join(repeated, "doc", "left_anti"), size).unionByName(several)
-    sets = stored(sets, "shingle-sets")
+    sets = gathered(stored(sets, "shingle-sets"), 2 * SET_PAIRS)
     wide = pairs.join(_side(sets, "x", "tokens"), "x").join(_side(sets, "y", "tokens"), "y")
     shared = F.size(F.array_intersect("x_tokens", "y_tokens"))
     union = F.size("x_tokens") + F.size("y_tokens") - shared
@@ -178,17 +182,17 @@ def linked_classes(docs: DataFrame, classes: DataFrame, repeated: DataFrame | No
     """
     postings = classes.select(F.posexplode("p0").alias("at", "token"), "doc", "n")
     lists = postings.groupBy("token").agg(F.count(F.lit(1)).alias("members"))
-    shared = stored(postings.join(lists.filter("members > 1"), "token"), "postings")
+    shared = gathered(stored(postings.join(lists.filter("members > 1"), "token"), "postings"))
     # the class that others are copies of has the tokens of all of them, so it is in the longest lists
     central = shared.groupBy("doc").agg(F.sum("members").alias("reach"))
-    ordered = stored(shared.drop("members").join(central, "doc"), "postings")
+    ordered = gathered(stored(shared.drop("members").join(central, "doc"), "postings"))
     discard(shared)
     shared = ordered
     hub = shared.groupBy("token").agg(F.max(F.struct(F.col("reach"), -F.col("doc"), "doc", "n", "at")).alias("hub"))
     pairs = shared.join(hub, "token").filter(F.col("doc") != F.col("hub.doc"))
     pairs = pairs.select(F.col("hub.doc").alias("x"), F.col("doc").alias("y"), F.col("hub.n").alias("x_n"), F.col("n").alias("y_n"), F.col("hub.at").alias("x_at"), F.col("at").alias("y_at"))
     tested = _filtered(_either_way(pairs.filter(_may_link(percent))), classes)
-    groups = stored(components(_linked(tested, docs, repeated, size, percent)), "groups")
+    groups = gathered(stored(components(_linked(tested, docs, repeated, size, percent)), "groups"))
     first, block, left, ranked = 1, HUBS, shared, None
     while True:
         # who was a hub is done with, so only members from the next rank on decide whether a list goes on
@@ -198,7 +202,7 @@ def linked_classes(docs: DataFrame, classes: DataFrame, repeated: DataFrame | No
         if ranked is None:
             rank = F.row_number().over(Window.partitionBy("token").orderBy(F.desc("reach"), "doc", F.desc("n"), F.desc("at"))) - 1
             member = member.withColumn("rank", rank).filter(F.col("rank") >= first)
-        ranked = stored(member, "open-lists")
+        ranked = gathered(stored(member, "open-lists"))
         discard(left)
         hubs = ranked.filter(F.col("rank") < first + block)
         hubs = hubs.select("token", F.col("doc").alias("x"), F.col("n").alias("x_n"), F.col("at").alias("x_at"), F.col("component").alias("x_c"), F.col("rank").alias("x_rank"))
@@ -210,7 +214,7 @@ def linked_classes(docs: DataFrame, classes: DataFrame, repeated: DataFrame | No
             tested = tested.unionByName(pairs)
             more = _linked(pairs, docs, repeated, size, percent)
             if not more.isEmpty():
-                wider = stored(extend(groups, more), "groups")
+                wider = gathered(stored(extend(groups, more), "groups"))
                 discard(groups)
                 groups = wider
         rest = ranked.filter(F.col("rank") >= first)
@@ -237,6 +241,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).cast("string").alias("text"))
     counts = spark.sparkContext.broadcast(_sketch(rows, size))  # 8 MB, whatever the input
     wide = stored(_heads(rows, size, percent, counts), "heads")
+    counts.destroy()
     heads = stored(wide.select("doc", "n", "f1", "f2"), "sizes")
     known = wide.filter("n > 0 and doc is not null")
     classes = known.groupBy("n", "f1", "f2").agg(F.min("doc").alias("doc"), *[F.min_by(p, "doc").alias(p) for p in ("p0", "p1", "p2")])

@@ -7,17 +7,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tandem.functions.scalars import state_hash
 from tandem.operators import fold, verify
 from tandem.schemas import CUSTOMER_STATE
+from tandem.streaming.packed import pack, unpack
 from tandem.streaming.runtime import not_written_yet, use_state_store, writer_run
 
 STATE_NAME = "customer-state"
+# Customers share this many keys of the state processor, as a call of it costs far more than a customer. Fixed: checkpoints are keyed by it.
+BUCKETS = 512
 STATE_SCHEMA = "order_count INT, total_cents BIGINT, last_event_type STRING, last_updated_ms BIGINT, state_version INT"
 CHANGE_SCHEMA = f"partition INT, offset BIGINT, event_id STRING, customer_id STRING, {STATE_SCHEMA}"
 STATE_FIELDS = [field.split()[0] for field in STATE_SCHEMA.split(", ")]
@@ -58,12 +62,13 @@ def floored_sums(start: int, steps: np.ndarray, floored: np.ndarray) -> np.ndarr
 
 
 class CustomerStateProcessor(StatefulProcessor):
-    """Folds the events of one customer, as arrays. Rows of a batch come unsorted, so they are put in arrival order first.
+    """Folds the events of a bucket of customers, as arrays. Rows of a batch come unsorted, so they are put in arrival order first.
 
-    What is sorted is one key's share of one micro-batch, which the source's limit per trigger bounds.
+    What is sorted is a bucket's share of one micro-batch, which the source's limit per trigger bounds. States are a map
+    by customer: only those of a batch's customers are read and written.
 
     With ``added`` the state is wider. A checkpoint that narrower processors wrote goes on: its states are read as they
-    are, and one is brought to the newest version when its key's next event comes.
+    are, and one is brought to the newest version when its customer's next event comes.
     """
 
     def __init__(self, with_before: bool = False, added: Sequence[Added] = ()) -> None:
@@ -84,11 +89,12 @@ class CustomerStateProcessor(StatefulProcessor):
         return f"{CHANGE_SCHEMA}{self._more}" + (f", {BEFORE_SCHEMA}" if self._with_before else "")
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._state = handle.getValueState(STATE_NAME, STATE_SCHEMA + self._more)
+        self._state = handle.getMapState(STATE_NAME, "customer_id STRING", STATE_SCHEMA + self._more)
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
         for row in initialState.to_dict("records"):
-            self._state.update(self._upgraded(tuple(row[c] for c in STATE_FIELDS), [row.get(c) for c in self.added_names]))
+            held = tuple(row[c] for c in STATE_FIELDS)
+            self._state.updateValue((row["customer_id"],), self._upgraded(held, [row.get(c) for c in self.added_names]))
 
     def _upgraded(self, held: tuple, had: Sequence) -> tuple:
         """A state with every field of this processor's version; ``had`` are added fields, which stay if its version has them."""
@@ -99,35 +105,45 @@ class CustomerStateProcessor(StatefulProcessor):
         return (*held[:-1], max(held[-1], self._version), *more)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        held = self._state.get()
+        table = unpack(rows)
+        customers = table["customer_id"].combine_chunks().dictionary_encode(null_encoding="encode")
+        codes = customers.indices.to_numpy()
+        order = np.lexsort((table["offset"].to_numpy(), table["partition"].to_numpy(), codes))
+        columns = {c: table[c].to_numpy()[order] for c in ("partition", "offset", "event_id", "event_type", "amount_cents", "event_ts_ms")}
+        starts = np.flatnonzero(np.diff(codes[order], prepend=-1)).tolist()
+        parts = [
+            self._followed(customer, {c: values[a:b] for c, values in columns.items()})
+            for customer, a, b in zip(customers.dictionary.take(pa.array(codes[order][starts])).to_pylist(), starts, [*starts[1:], len(order)], strict=True)
+        ]
+        yield pd.DataFrame({c: np.concatenate([part[c] for part in parts]) for c in parts[0]})
+
+    def _followed(self, customer: str | None, rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        """The rows that come out for one customer's events, which are in order; the last one is the state that is kept."""
+        held = self._state.getValue((customer,))
         if held is None:
             state = (0, 0, None, None, self._version, *(a.start(None) for a in self._added))
         else:
             state = self._upgraded(held[: len(STATE_FIELDS)], held[len(STATE_FIELDS) :])
         count, cents, _, _, version, *more = state
-        frames = list(rows)
-        table = frames[0] if len(frames) == 1 else pd.concat(frames)
-        order = np.lexsort((table["offset"].to_numpy(), table["partition"].to_numpy()))
-        partition, offset, event_id, kind, amount, at = (
-            table[c].to_numpy()[order] for c in ("partition", "offset", "event_id", "event_type", "amount_cents", "event_ts_ms")
-        )
+        kind, amount, at = rows["event_type"], rows["amount_cents"], rows["event_ts_ms"]
         created, cancelled = kind == fold.CREATED, kind == fold.CANCELLED
         counts = floored_sums(count, created.astype(np.int64) - cancelled, cancelled)
         totals = floored_sums(cents, np.where(cancelled, -amount, amount), ~created)
         columns = {"event_type": kind, "amount_cents": amount, "event_ts_ms": at, "order_count": counts, "total_cents": totals}
         followed = {a.name: a.follow(value, columns) for a, value in zip(self._added, more, strict=True)}
         last = (values[-1].item() for values in followed.values())
-        self._state.update((int(counts[-1]), int(totals[-1]), kind[-1], int(at[-1]), version, *last))
-        out = pd.DataFrame({
-            "partition": partition, "offset": offset, "event_id": event_id, "customer_id": key[0], "order_count": counts.astype(np.int32),
-            "total_cents": totals, "last_event_type": kind, "last_updated_ms": at, "state_version": version, **followed,
-        })
+        self._state.updateValue((customer,), (int(counts[-1]), int(totals[-1]), kind[-1], int(at[-1]), version, *last))
+        out = {
+            "partition": rows["partition"], "offset": rows["offset"], "event_id": rows["event_id"], "customer_id": np.full(len(kind), customer, object),
+            "order_count": counts.astype(np.int32), "total_cents": totals, "last_event_type": kind, "last_updated_ms": at,
+            "state_version": np.full(len(kind), version, np.int32), **followed,
+        }
         if self._with_before:
-            out["is_new"] = (np.arange(len(out)) == 0) & (held is None)
+            before = {"is_new": (np.arange(len(kind)) == 0) & (held is None)}
             for name, first in zip(STATE_FIELDS, held or (0, 0, "", 0, 0)):
-                values = out[name].to_numpy()
-                out[f"was_{name}"] = np.concatenate([np.array([first], values.dtype), values[:-1]])
-        yield out
+                before[f"was_{name}"] = np.concatenate([np.array([first], out[name].dtype), out[name][:-1]])
+            out |= before
+        return out
 
     def close(self) -> None:
         pass
@@ -159,6 +175,10 @@ def stream_digest_steps(events: DataFrame, snapshot: DataFrame | None = None) ->
     return verify.step_rows(with_amount(hashed).withColumn("_was", before))
 
 
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("customer_id"), F.lit(BUCKETS)).cast("int")
+
+
 def _processed(events: DataFrame, snapshot: DataFrame | None, processor: CustomerStateProcessor) -> DataFrame:
     spark = events.sparkSession
     use_state_store(spark)
@@ -171,8 +191,9 @@ def _processed(events: DataFrame, snapshot: DataFrame | None, processor: Custome
         initial = snapshot.select(
             "customer_id", "order_count", fold.amount_to_cents(F.col("total_amount")).alias("total_cents"),
             "last_event_type", "last_updated_ms", "state_version", *(c for c in processor.added_names if c in snapshot.columns),
-        ).groupBy("customer_id")
-    return rows.groupBy("customer_id").transformWithStateInPandas(processor, processor.schema, "Append", "None", initial)
+        ).withColumn("bucket", _bucket()).groupBy("bucket")
+    packed = pack(rows.withColumn("bucket", _bucket()), ["bucket"])
+    return packed.groupBy("bucket").transformWithStateInPandas(processor, processor.schema, "Append", "None", initial)
 
 
 def with_amount(states: DataFrame) -> DataFrame:
@@ -182,11 +203,13 @@ def with_amount(states: DataFrame) -> DataFrame:
 
 
 def read_snapshot(spark: SparkSession, checkpoint: str) -> DataFrame:
-    """The customer states held by a stream's checkpoint."""
+    """The customer states held by a stream's checkpoint, also of one that was keyed by customer and cannot go on: it can start a stream."""
     use_state_store(spark)
     spark.streams  # noqa: B018  the state reader needs the streaming manager to exist
     stored = spark.read.format("statestore").option("stateVarName", STATE_NAME).load(checkpoint)
-    return with_amount(stored.select(F.col("key.customer_id").alias("customer_id"), "value.*"))
+    if "user_map_key" not in stored.columns:  # a checkpoint from before customers shared keys
+        return with_amount(stored.select(F.col("key.customer_id").alias("customer_id"), "value.*"))
+    return with_amount(stored.select(F.col("user_map_key.customer_id").alias("customer_id"), "user_map_value.*"))
 
 
 class BatchFold:
